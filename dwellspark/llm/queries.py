@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, token_counts, url_filter
+from . import decontaminate, hamming_search, packed_ids, packing, pseudonyms, quality, simhash, token_counts, url_filter, warc
+from .shared import new_path
 
 #: (host, path, verdict) of the production url rules.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -45,7 +46,44 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_token_counts, op3_url_filter, op4_simhash)}
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-ids")
+    packed_ids.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return packed_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+#: A production run takes its key from its secret store.
+PSEUDONYM_KEY = "corpus-pseudonyms-1"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hamming_search.codes(table(spark, sf_dir, "embeddings"))
+    return hamming_search.top_k(rows, rows.filter("id % 100 = 0"), k=10)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1, 2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_length")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.plan(table(spark, sf_dir, "pages")), new_path(spark, "warc"))
+    return warc.read(spark, archives, payloads=False)
+
+
+_OPERATORS = (
+    op1_quality_classifier, op2_token_counts, op3_url_filter, op4_simhash, op5_decontamination,
+    op6_token_ids, op7_pii, op8_top_k, op9_packing, op10_warc,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 #: Pages' links: the urls that canonical links and meta refreshes name; then least reachable url, blocked groups.
 _OP3_SQL = r"""
@@ -81,4 +119,27 @@ SELECT page_id, host, path, rule, coalesce(decision, CASE WHEN regexp_extract(ur
 FROM fits WHERE n = 1
 """
 
-ORACLE_SQL = {"op3_url_filter": _OP3_SQL}
+_OP8_SQL = """
+WITH coded AS (
+  SELECT vec_id AS id, list_sum([CASE WHEN embedding[i + 1] > 0 AND NOT isnan(embedding[i + 1]) THEN (1::HUGEINT << i::INT) ELSE 0::HUGEINT END FOR i IN range(64)])::HUGEINT AS code
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) = 64
+), ranked AS (
+  SELECT q.id AS query_id, d.id AS neighbor_id, bit_count(xor(q.code, d.code))::BIGINT AS distance,
+         row_number() OVER (PARTITION BY q.id ORDER BY bit_count(xor(q.code, d.code)), d.id) AS rank
+  FROM coded q, coded d WHERE q.id % 100 = 0
+)
+SELECT query_id, rank::BIGINT AS rank, neighbor_id, distance FROM ranked WHERE rank <= 10
+"""
+
+_OP10_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM m
+"""
+
+ORACLE_SQL = {"op3_url_filter": _OP3_SQL, "op8_top_k": _OP8_SQL, "op10_warc": _OP10_SQL}
