@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and encoded together; bounds a task's memory.
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 8 << 20
 
 
 @functools.cache
