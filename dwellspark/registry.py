@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import daily, inputs
+
+FAMILIES = [inputs.family, daily.family]
+QUERIES = {name: q for f in FAMILIES for name, q in f.queries.items()}
+ORACLE_SQL = {name: s for f in FAMILIES for name, s in f.sql.items()}
