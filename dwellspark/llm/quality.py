@@ -30,6 +30,8 @@ from .shared import add_columns
 
 #: Labelled documents that the field is fitted on, at most.
 MOST_FITTED = 3000
+#: Bytes of text whose lines are measured together; a byte needs some 60 bytes of memory.
+SLICE_BYTES = 4 << 20
 
 #: Classes of UTF-8 bytes: other, upper, lower, digit, blank, sentence mark, symbol, letter of several bytes, control.
 OTHER, UPPER, LOWER, DIGIT, BLANK, MARK, SYMBOL, WIDE, EXCLAIM, BAR = range(10)
@@ -221,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             "x": pa.array([x[a:b].astype(np.float32).tobytes() for a, b in cut], pa.binary()),
         }
 
-    made = add_columns(texts, {"size": T.BinaryType(), "x": T.BinaryType()}, ["y"], work, lambda b: pretokens.slices(b, "text"))
+    made = add_columns(texts, {"size": T.BinaryType(), "x": T.BinaryType()}, ["y"], work, lambda b: pretokens.slices(b, "text", SLICE_BYTES))
     rows = sorted(((r.y, bytes(r.size), bytes(r.x)) for r in made.limit(2 * most).collect()), key=lambda r: (r[0], r[1], r[2]))
     if not rows:
         return LineField((0.0,) * N_FEATURES, (0.0,) * 4)
@@ -247,4 +249,4 @@ def score(docs: DataFrame, field: LineField, text: str = "text", keep: list[str]
         }
 
     names = {"score": T.DoubleType(), "n_lines": T.LongType(), "bad_lines": T.ArrayType(T.IntegerType())}
-    return add_columns(docs, names, keep, work, lambda b: pretokens.slices(b, text))
+    return add_columns(docs, names, keep, work, lambda b: pretokens.slices(b, text, SLICE_BYTES))
