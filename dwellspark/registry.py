@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import daily, inputs
+from .plans import daily, inputs, places
 
-FAMILIES = [inputs.family, daily.family]
+FAMILIES = [f.family for f in (inputs, daily, places)]
 QUERIES = {name: q for f in FAMILIES for name, q in f.queries.items()}
 ORACLE_SQL = {name: s for f in FAMILIES for name, s in f.sql.items()}
