@@ -13,7 +13,7 @@ EQUATOR_M = 40_075_000.0
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle meters; null if any argument is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * EARTH_M * F.asin(F.sqrt(a - F.greatest(a - 1, F.lit(0.0))))  # at most 1, and null stays null
 
 
 def north_east_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column, Column]:

@@ -180,18 +180,22 @@ def lookup_multiclass(pairs: DataFrame, table: DataFrame, k: int) -> DataFrame:
     return both.withColumn("transition_p", F.coalesce("p1", "p2", F.lit(1.0 / k))).drop("p1", "p2", "at", "has_prev", "has_prev_slot", "has_slot")
 
 
-def time_compat_ranking(pairs: DataFrame, start_p: DataFrame) -> DataFrame:
-    """``pairs`` (charge_start_time, delay_h, place) with time_compat: p at the slot that the delay leads to, 0 without a table."""
-    at = F.expr("charge_start_time + make_dt_interval(0, 0, 0, cast(round(delay_h * 3600, 6) AS DECIMAL(18,6)))")
-    out = pairs.withColumn("arrive", at)
+def _arrival_slot(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (charge_start_time, delay_h) with the slot (dow, bin) that the delay leads to."""
+    out = pairs.withColumn("arrive", F.expr("charge_start_time + make_dt_interval(0, 0, 0, cast(round(delay_h * 3600, 6) AS DECIMAL(18,6)))"))
     dow, b = ft.slot("arrive", SLOT_HOURS)
-    out = out.withColumns({"dow": dow, "bin": b}).join(start_p, ["hashvin", "place", "dow", "bin"], "left")
-    return out.withColumn("time_compat", F.coalesce("p", F.lit(0.0))).drop("p", "arrive", "dow", "bin")
+    return out.withColumns({"dow": dow, "bin": b}).drop("arrive")
+
+
+def time_compat_ranking(pairs: DataFrame, start_p: DataFrame) -> DataFrame:
+    """``pairs`` with time_compat: p at the slot of arrival, 0 without a table."""
+    out = _arrival_slot(pairs).join(start_p, ["hashvin", "place", "dow", "bin"], "left")
+    return out.withColumn("time_compat", F.coalesce("p", F.lit(0.0))).drop("p", "dow", "bin")
 
 
 def time_compat_multiclass(pairs: DataFrame, start_p: DataFrame) -> DataFrame:
-    """``pairs`` (dow, bin, place) with time_compat: 3/4 of the slot's p and 1/4 of the slot before on that weekday."""
+    """``pairs`` with time_compat: 3/4 of p at the slot of arrival and 1/4 of the slot before on that weekday; flat without a table."""
     flat = F.lit(1.0 / (7 * SLOTS))
     before = start_p.select("hashvin", "place", "dow", ((F.col("bin") + 1) % SLOTS).alias("bin"), F.col("p").alias("p_before"))
-    out = pairs.join(start_p, ["hashvin", "place", "dow", "bin"], "left").join(before, ["hashvin", "place", "dow", "bin"], "left")
-    return out.withColumn("time_compat", 0.75 * F.coalesce("p", flat) + 0.25 * F.coalesce("p_before", flat)).drop("p", "p_before")
+    out = _arrival_slot(pairs).join(start_p, ["hashvin", "place", "dow", "bin"], "left").join(before, ["hashvin", "place", "dow", "bin"], "left")
+    return out.withColumn("time_compat", 0.75 * F.coalesce("p", flat) + 0.25 * F.coalesce("p_before", flat)).drop("p", "p_before", "dow", "bin")

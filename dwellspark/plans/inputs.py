@@ -215,7 +215,8 @@ def calendar_cycles(spark, d):
     return fleet.table(spark, d, "events").select("event_id", *[(c if n == "year" else F.round(c, 6)).alias(n) for n, c in cols.items()])
 
 
-HAV = "(2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0::DOUBLE, pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))))"
+_CHORD = "(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2))"
+HAV = f"(2 * 6371000.0::DOUBLE * asin(sqrt({_CHORD} - greatest({_CHORD} - 1, 0))))"
 
 
 @family.query(f"WITH {SESSIONS} SELECT session_id, round({HAV.format('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 4) AS meters, round({HAV.format('start_lat', 'start_lon', 'end_lat', 'end_lon')} / 1000, 4) AS km FROM sessions")

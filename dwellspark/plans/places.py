@@ -150,7 +150,7 @@ def transition_lookup_ranking(spark, d):
 
 
 #: Sessions with their HEAD places, and the level that the multiclass lookup reads.
-HEADED = f""", hp AS (SELECT session_uid, s.hashvin, coalesce(prev_cluster, 'NONE') AS prev, {SLOT.format('charge_start_time')}, place, head_rank FROM split s JOIN head USING (hashvin)),
+HEADED = f""", hp AS (SELECT session_uid, s.hashvin, charge_cluster AS origin, charge_start_time, coalesce(prev_cluster, 'NONE') AS prev, {SLOT.format('charge_start_time')}, place, head_rank FROM split s JOIN head USING (hashvin)),
 lv AS (SELECT h.*, CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'prev' AND k.hashvin = h.hashvin AND k.prev = h.prev)
     THEN CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'prev_slot' AND k.hashvin = h.hashvin AND k.prev = h.prev AND k.dow = h.dow AND k.bin = h.bin) THEN 'prev_slot' ELSE 'prev' END
     ELSE CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'slot' AND k.hashvin = h.hashvin AND k.dow = h.dow AND k.bin = h.bin) THEN 'slot' ELSE 'all' END END AS at_level FROM hp h),
@@ -163,7 +163,7 @@ def head_pairs(spark, d):
     """Every session with each of its vehicle's HEAD places."""
     rows = ordered(spark, d)
     dow, b = ft.slot("charge_start_time", 4)
-    base = rows.select("session_uid", "hashvin", F.coalesce("prev_cluster", F.lit("NONE")).alias("prev"), dow.alias("dow"), b.alias("bin"))
+    base = rows.select("session_uid", "hashvin", F.col("charge_cluster").alias("origin"), "charge_start_time", F.coalesce("prev_cluster", F.lit("NONE")).alias("prev"), dow.alias("dow"), b.alias("bin"))
     return base.join(pl.head_places(rows, long_cut(spark, d), HEAD_K).select("hashvin", "place", "head_rank"), "hashvin")
 
 
@@ -183,13 +183,17 @@ def time_compat_ranking(spark, d):
     return pl.time_compat_ranking(resolved, starts(spark, d)).select("session_uid", "place", r("time_compat"))
 
 
-COMPAT = """, mc AS (SELECT h.session_uid, h.place, 0.75 * coalesce(a.p, 1.0 / 42) + 0.25 * coalesce(b.p, 1.0 / 42) AS time_compat FROM hp h
-LEFT JOIN starts a ON a.hashvin = h.hashvin AND a.place = h.place AND a.dow = h.dow AND a.bin = h.bin LEFT JOIN starts b ON b.hashvin = h.hashvin AND b.place = h.place AND b.dow = h.dow AND b.bin = (h.bin + 5) % 6)"""
+COMPAT = """, hr AS (SELECT h.*, h.charge_start_time + to_microseconds(CAST(round(coalesce(q.delay_h, b.delay_h, 0) * 3600, 6) * 1000000 AS BIGINT)) AS arrive FROM hp h LEFT JOIN bq q USING (hashvin, origin, place) LEFT JOIN bp b USING (hashvin, place)),
+mc AS (SELECT h.session_uid, h.place, 0.75 * coalesce(a.p, 1.0 / 42) + 0.25 * coalesce(b.p, 1.0 / 42) AS time_compat FROM hr h
+LEFT JOIN starts a ON a.hashvin = h.hashvin AND a.place = h.place AND a.dow = isodow(arrive) - 1 AND a.bin = hour(arrive) // 4
+LEFT JOIN starts b ON b.hashvin = h.hashvin AND b.place = h.place AND b.dow = isodow(arrive) - 1 AND b.bin = (hour(arrive) // 4 + 5) % 6)"""
 
 
-@family.query(f"WITH {BASE}{MOVED}{STARTS}{HEAD}{HEADED}{COMPAT} SELECT session_uid, place, round(time_compat, 6) AS time_compat FROM mc")
+@family.query(f"WITH {BASE}{MOVED}{DELAYS}{STARTS}{HEAD}{HEADED}{COMPAT} SELECT session_uid, place, round(time_compat, 6) AS time_compat FROM mc")
 def time_compat_multiclass(spark, d):
-    return pl.time_compat_multiclass(head_pairs(spark, d), starts(spark, d)).select("session_uid", "place", r("time_compat"))
+    rows = ordered(spark, d)
+    resolved = pl.resolve_delay(head_pairs(spark, d).drop("dow", "bin"), pl.pair_delays(rows), pl.place_delays(rows))
+    return pl.time_compat_multiclass(resolved, starts(spark, d)).select("session_uid", "place", r("time_compat"))
 
 
 @family.query(f"WITH {BASE}{HEAD} SELECT session_uid, CASE WHEN place IS NULL THEN 'OTHER' ELSE next_long_inactive_cluster END AS y_class FROM split s LEFT JOIN head h ON h.hashvin = s.hashvin AND h.place = s.next_long_inactive_cluster")
