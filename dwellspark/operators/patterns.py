@@ -106,8 +106,8 @@ def cluster_scores(rows: DataFrame, *keys: str) -> DataFrame:
     near = rows.join(centre, [*ks, "label"]).withColumn("d2", squared(F.col("vector"), F.col("centre")))
     spread = near.groupBy(*ks, "label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"))
     parts = spread.join(centre, [*ks, "label"]).join(whole, ks)
-    between = parts.groupBy(*ks).agg(F.sum(F.col("n") * squared(F.col("centre"), F.col("middle"))).alias("b"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    ch = between.select(*ks, F.when(F.col("k") > 1, (F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"))
+    between = parts.groupBy(*ks).agg(F.sum(F.col("n") * squared(F.col("centre"), F.col("middle"))).alias("b"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+    ch = between.select(*ks, F.when(F.col("labels") > 1, (F.col("b") / (F.col("labels") - 1)) / (F.col("w") / (F.col("n") - F.col("labels")))).alias("calinski_harabasz"))
     p, q = (parts.select(*ks, F.col("label").alias(f"label_{x}"), F.col("s").alias(f"s_{x}"), F.col("centre").alias(f"c_{x}")) for x in "pq")
     ratio = (F.col("s_p") + F.col("s_q")) / F.sqrt(squared(F.col("c_p"), F.col("c_q")))
     db = p.join(q, ks).filter("label_p <> label_q").groupBy(*ks, "label_p").agg(F.max(ratio).alias("r")).groupBy(*ks).agg(F.avg("r").alias("davies_bouldin"))
@@ -123,19 +123,13 @@ def cluster_scores(rows: DataFrame, *keys: str) -> DataFrame:
 
 def average_ranks(scores: DataFrame, *keys: str) -> DataFrame:
     """Average-tie ranks of the three scores (davies_bouldin ascending), their mean, and whether the row is its key's first minimum."""
-
-    def rank(order: Column) -> Column:
-        w = W.partitionBy(*keys).orderBy(order)
-        ties = F.count(F.lit(1)).over(W.partitionBy(*keys, *_same(order)))
-        return F.rank().over(w) + (ties - 1) / 2
-
-    def _same(order: Column) -> list[Column]:
-        return [F.col(named[id(order)])]
-
-    orders = {"silhouette": F.desc("silhouette"), "calinski_harabasz": F.desc("calinski_harabasz"), "davies_bouldin": F.asc("davies_bouldin")}
-    named = {id(o): c for c, o in orders.items()}
-    out = scores.withColumns({f"rank_{c}": rank(o) for c, o in orders.items()})
-    out = out.withColumn("mean_rank", sum((F.col(f"rank_{c}") for c in orders), F.lit(0.0)) / 3)
+    order = {"silhouette": F.desc("silhouette"), "calinski_harabasz": F.desc("calinski_harabasz"), "davies_bouldin": F.asc("davies_bouldin")}
+    ranks = {}
+    for c, o in order.items():
+        ties = F.count(F.lit(1)).over(W.partitionBy(*keys, c))
+        ranks[f"rank_{c}"] = F.rank().over(W.partitionBy(*keys).orderBy(o)) + (ties - 1) / 2
+    out = scores.withColumns(ranks)
+    out = out.withColumn("mean_rank", sum((F.col(r) for r in ranks), F.lit(0.0)) / 3)
     return out.withColumn("best", F.row_number().over(W.partitionBy(*keys).orderBy("mean_rank", "k")) == 1)
 
 

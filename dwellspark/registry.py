@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import candidates, daily, inputs, places
+from .plans import candidates, daily, inputs, metrics, models, patterns, places, series
 
-FAMILIES = [f.family for f in (inputs, daily, places, candidates)]
+FAMILIES = [f.family for f in (inputs, daily, places, candidates, patterns, series, metrics, models)]
 QUERIES = {name: q for f in FAMILIES for name, q in f.queries.items()}
 ORACLE_SQL = {name: s for f in FAMILIES for name, s in f.sql.items()}
