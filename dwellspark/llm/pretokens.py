@@ -102,6 +102,43 @@ class Pieces:
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
+#: Pieces that one call of a library gets, and pieces that are joined into one text.
+CALL, JOINED = 20_000, 20
+
+
+@functools.cache
+def _joint(path: str) -> tuple[str, int, tuple[str, ...]] | None:
+    """A special token that may stand between pieces, its id, and all special strings."""
+    added = library(path).get_added_tokens_decoder()
+    fit = [(i, t) for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+    return (fit[-1][1].content, fit[-1][0], tuple(t.content for t in added.values())) if fit else None
+
+
+def encode_each(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids per piece, all ids).
+
+    The library cuts a text at its special tokens before anything else, so pieces that
+    hold none are joined by one and come apart at its id; a call costs far more
+    than a piece.
+    """
+    joint = _joint(path) if divides(path) else None
+    counts, ids = np.zeros(len(pieces), np.int64), []
+    for at in range(0, len(pieces), CALL):
+        part = pieces[at : at + CALL]
+        if joint is None or any(s in p for p in part for s in joint[2]):
+            found = [e.ids for e in library(path).encode_batch_fast(part, add_special_tokens=False)] if divides(path) else library(path).encode(part, num_threads=1)
+            counts[at : at + len(part)] = np.fromiter(map(len, found), np.int64, len(found))
+            ids.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts[at : at + len(part)].sum())))
+            continue
+        mark, mark_id, _ = joint
+        texts = [mark.join(part[i : i + JOINED]) + mark for i in range(0, len(part), JOINED)]
+        flat = np.concatenate([np.array(e.ids, np.uint32) for e in library(path).encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(flat == mark_id)
+        counts[at : at + len(part)] = np.diff(ends, prepend=-1) - 1
+        ids.append(flat[flat != mark_id])
+    return counts, np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+
+
 class Known:
     """Pieces that this worker has encoded before, up to ``MOST`` of them."""
 
@@ -124,15 +161,11 @@ class Known:
         missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [distinct[i] for i in missing.tolist()]
-            if divides(self.path):
-                found = [e.ids for e in library(self.path).encode_batch_fast(new, add_special_tokens=False)]
-            else:
-                found = library(self.path).encode(new, num_threads=1)
-            counts = np.fromiter(map(len, found), np.int64, len(found))
+            counts, ids = encode_each(new, self.path)
             at[missing] = len(self.index) + np.arange(len(new))
             self.index.update(zip(new, at[missing].tolist()))
             self.counts = np.concatenate([self.counts, counts])
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts.sum()))])
+            self.ids = np.concatenate([self.ids, ids])
         begins = np.cumsum(self.counts) - self.counts
         return self.counts[at], begins[at], self.ids
 
