@@ -55,7 +55,7 @@ def class_stats(scored: DataFrame, head: DataFrame, keys: tuple[str, ...] = ("y_
     )
     other = W.partitionBy(*[k for k in keys if k != "y_class"])
     x = x.withColumns({"share": F.col("n") / F.sum("n").over(other), "accuracy": F.try_divide("hits", F.col("hits") + F.col("misses"))})
-    return x.join(F.broadcast(is_head), "y_class", "left").withColumn("is_head", F.coalesce("is_head", F.lit(False)))
+    return x.join(is_head, "y_class", "left").withColumn("is_head", F.coalesce("is_head", F.lit(False)))
 
 
 def auc(scored: DataFrame, by: list[str]) -> DataFrame:

@@ -43,12 +43,13 @@ def calendar(df: DataFrame, keys=("series",), t: str = "t") -> DataFrame:
 def time_cut_split(df: DataFrame, shares: tuple[float, ...], names: tuple[str, ...], t: str = "t", tie: str = "id") -> DataFrame:
     """``split`` by position in (t, tie) order of the whole table: the first floor(n * share) rows and so on (1 row at least).
 
-    Positions come from counts per time and a running sum over times, so that only
-    distinct times are ordered in one place.
+    Positions are those within a day plus the counts of earlier days, so that only days
+    are ordered in one place.
     """
-    per = df.groupBy(t).agg(F.count(F.lit(1)).alias("__n"))
-    before = per.select(t, (F.sum("__n").over(W.orderBy(t)) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("__all"))
-    out = df.join(before, t).withColumn("__i", F.col("__before") + F.row_number().over(W.partitionBy(t).orderBy(tie)) - 1)
+    dated = df.withColumn("__day", F.to_date(t))
+    per = dated.groupBy("__day").agg(F.count(F.lit(1)).alias("__n"))
+    before = per.select("__day", (F.sum("__n").over(W.orderBy("__day")) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("__all"))
+    out = dated.join(before, "__day").withColumn("__i", F.col("__before") + F.row_number().over(W.partitionBy("__day").orderBy(t, tie)) - 1)
     split, total = F.lit(names[-1]), 0.0
     cuts = []
     for share in shares[:-1]:
@@ -56,13 +57,18 @@ def time_cut_split(df: DataFrame, shares: tuple[float, ...], names: tuple[str, .
         cuts.append(F.greatest(F.lit(1), F.floor(F.col("__all") * F.lit(round(total, 9)))))
     for cut, name in reversed(list(zip(cuts, names))):
         split = F.when(F.col("__i") < cut, name).otherwise(split)
-    return out.withColumn("split", split).drop("__before", "__all", "__i")
+    return out.withColumn("split", split).drop("__day", "__before", "__all", "__i")
 
 
-def category_codes(df: DataFrame, column: str) -> DataFrame:
-    """(column, code): positions of the distinct values in order, from 0."""
-    distinct = df.select(column).distinct()
-    return distinct.withColumn("code", F.dense_rank().over(W.orderBy(column)) - 1)
+def category_codes(df: DataFrame, column: str, prefix: int = 6) -> DataFrame:
+    """(column, code): positions of the distinct texts in order, from 0.
+
+    Positions are those among texts of one prefix plus the counts of earlier prefixes.
+    """
+    distinct = df.select(column).distinct().withColumn("__p", F.substring(column, 1, prefix))
+    per = distinct.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = per.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
+    return distinct.join(before, "__p").select(column, (F.col("__before") + F.row_number().over(W.partitionBy("__p").orderBy(column)) - 1).alias("code"))
 
 
 def target_means(train: DataFrame, key: str, target: str) -> tuple[DataFrame, DataFrame]:
