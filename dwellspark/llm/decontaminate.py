@@ -34,6 +34,8 @@ from .shared import settle, small
 WINDOW = 8
 LITERALS = 4
 ENOUGH = 5
+#: Bytes of text whose windows are made together; a word needs some 150 bytes of memory.
+SLICE_BYTES = 2 << 20
 #: Bits of the map of benchmark hashes.
 MAP_BITS = 1 << 23
 
@@ -141,7 +143,7 @@ def template_windows(texts: DataFrame, key: str, text: str, seen: np.ndarray | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(seen).view(bool) if seen is not None else None
         for whole in batches:
-            for batch in pretokens.slices(whole, text):
+            for batch in pretokens.slices(whole, text, SLICE_BYTES):
                 w = Windows(batch[text])
                 hit = w.usable if bits is None else w.usable & bits[(w.hash % np.uint64(MAP_BITS)).astype(np.int64)]
                 at = np.flatnonzero(hit)
