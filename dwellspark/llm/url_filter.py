@@ -24,7 +24,7 @@ from .shared import settle, small, without
 #: Rules up to this number become one expression; more are joined by host.
 INLINE_RULES = 64
 #: Blocked alias urls up to this number are broadcast.
-BROADCAST_ALIASES = 500_000
+BROADCAST_ALIASES = 200_000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RESULT = ("host", "path", "rule", "verdict")

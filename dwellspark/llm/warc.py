@@ -34,8 +34,8 @@ from .shared import forget, settle, small
 
 #: Payload bytes from which equal payloads are stored once.
 LEAST = 100
-#: Revisits up to this number are broadcast to the writers; more are joined.
-BROADCAST_REVISITS = 500_000
+#: Revisits up to this number (some 50 MB) are broadcast to the writers; more are joined.
+BROADCAST_REVISITS = 100_000
 #: Bytes of an archive that a reading task scans.
 RANGE_BYTES = 8 << 20
 #: Bytes read at a time when a header crosses the range's end.
