@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import pretokens
 
 #: Ids that a task packs at once, but for one larger slice of texts.
-POOL_IDS = 1 << 24
+POOL_IDS = 1 << 22
 
 
 class OpenWindows:

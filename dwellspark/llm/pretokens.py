@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and encoded together; bounds a task's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 @functools.cache
@@ -140,9 +140,9 @@ def encode_each(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Known:
-    """Pieces that this worker has encoded before, up to ``MOST`` of them."""
+    """Pieces that this worker has encoded before, up to ``MOST`` of them (some 200 bytes each)."""
 
-    MOST = 1 << 20
+    MOST = 3 << 18
 
     def __init__(self, path: str):
         self.path = path

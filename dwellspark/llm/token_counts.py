@@ -1,7 +1,7 @@
 """Token counts of whole texts without keeping ids.
 
 A task cuts its texts into pre-tokens, counts the pieces of each distinct pre-token
-once (a worker remembers up to a million of them between batches), joins the counts
+once (a worker remembers several hundred thousand of them between batches), joins the counts
 to the per-document pre-token frequencies by dictionary code, and sums.
 Nothing is shuffled, so a hot source or a very common word changes nothing.
 
