@@ -338,7 +338,9 @@ def test_best_fit_takes_the_tightest_window():
 # 10 --------------------------------------------------------------------------------------
 
 
-def test_archives_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [100_000, -1])
+def test_archives_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", broadcast)
     fake = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: 666\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "x" * 150), (2, "x" * 150), (3, "short"), (4, "short"), (5, None), (6, fake * 4 + "tail"), (7, "é" * 60), (None, "x" * 150), (9, fake), (1, "x" * 150)]
     rows += [(100 + i, fake + "y" * (i * 37 % 211)) for i in range(60)]
