@@ -7,7 +7,7 @@ knows which capacities have an open window.
 
 Each task packs the documents of its own partition in pools of at most ``POOL_IDS`` ids,
 so nothing is shuffled, hot sources do not matter and a lost task is simply run again.
-A pool of thousands of remainders leaves well under a percent of padding.
+A pool of a thousand windows leaves well under a percent of padding.
 
 Null text counts as empty: its end id alone.  Repeated rows are packed like others.  An
 empty table gives no pieces.
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from . import pretokens
 
 #: Ids that a task packs at once, but for one larger slice of texts.
-POOL_IDS = 1 << 22
+POOL_IDS = 1 << 21
 
 
 class OpenWindows:

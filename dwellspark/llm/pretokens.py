@@ -57,6 +57,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
