@@ -1,13 +1,16 @@
 """The corpus pipeline, whole and stage by stage."""
 
+import itertools
+import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dwellspark.llm import queries
+from dwellspark.llm import near_copies, queries
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -52,3 +55,53 @@ def test_held_out_rows_are_a_fifth(spark):
     docs = queries.table(spark, SMALL, "documents").select("doc_id", queries.held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in docs)
     assert F is not None
+
+
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def least_of_groups(texts):
+    """The least id that each id reaches over pairs of similarity 0.8 or more."""
+    sets, parent = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if x == y or (x and y and len(x & y) / len(x | y) >= 0.8):
+            lo, hi = sorted((root(a), root(b)))
+            parent[hi] = lo
+    return {i: root(i) for i in texts}
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for at in rng.choice(len(words), n, replace=False):
+        words[at] = f"edit{rng.integers(1 << 40)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("crowd", [32, 3])
+def test_near_copies_equal_brute_force(spark, crowd):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    texts = [r.text for r in queries.table(spark, SMALL, "documents").limit(150).collect()] + [None, "", " \n", "One two", "one  TWO", "one three"]
+    for n, edits, copies in [(300, (1, 2, 4, 5, 6, 7, 9, 12), 3), (60, (1, 2), 4), (1000, (5, 15, 20, 22, 30), 2)]:
+        for _ in range(4):
+            base = word(n)
+            texts += [" ".join(base), *[edited(base, k, rng) for k in edits for _ in range(copies)]]
+    chain = word(200)  # each step is a near copy of the last, the ends have nothing in common
+    texts += [" ".join(chain[i:] + word(i)) for i in range(0, 60, 4)]
+    page = word(300)  # many texts of one template that are no near copies of each other
+    texts += [" ".join(page + word(90)) for _ in range(60)]
+    rows = dict(enumerate(texts))
+    docs = spark.createDataFrame([(int(i), t) for i, t in rows.items()], "doc_id bigint, text string")
+    want = least_of_groups(rows)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs, crowd=crowd).collect()} == want
+    if crowd == near_copies.CROWD:
+        assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, SMALL).collect()) == sorted(set(want.values()))
