@@ -7,6 +7,10 @@ verdict: they are blocked if their connected component over redirect and
 canonical-link edges holds a blocked url, else allowed.  An explicit allow keeps its
 url allowed whatever its aliases are.
 
+Link targets are resolved against the page's url (or its base element): relative and
+protocol-relative ones too, with ``&amp;`` decoded.  Urls of links, redirects and pages meet
+with scheme and host in lower case and without fragment.
+
 Only DataFrame functions are used.  Null or malformed urls have empty host and path,
 fit no rule (unless a rule's host is empty) and are allowed.  Repeated rows are judged
 alike; an empty table gives an empty table.  Columns named like a result column are
@@ -77,8 +81,35 @@ def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
 
 
 def _place(url: Column) -> Column:
-    """A url without its fragment: what a redirect or canonical link names."""
-    return F.regexp_extract(url, "^[^#]*", 0)
+    """A url without its fragment, scheme and host in lower case: what a redirect or canonical link names."""
+    head = F.regexp_extract(url, "^[^/?#]*://[^/?#]*", 0)
+    return F.concat(F.translate(head, UPPER, UPPER.lower()), F.regexp_extract(url.substr(F.length(head) + 1, F.length(url)), "^[^#]*", 0))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from / without its . and .. segments."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.greatest(F.lit(0), F.size(F.split(path, "/", -1)) - 1))
+    up = lambda done: F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The url that ``target`` names on a page at ``base``; null for other schemes than those with ://."""
+    origin = F.regexp_extract(base, "^[^/?#]*://[^/?#]*", 0)
+    path = F.regexp_extract(base, "^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^.*/", 0))
+    full = F.when(target.startswith("/"), target).otherwise(F.concat(folder, target))
+    mine = F.regexp_extract(full, "^[^?#]*", 0)
+    rest = full.substr(F.length(mine) + 1, F.length(full))
+    return (
+        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, "^[^/?#]*:(?=//)", 0), target))
+        .when(target.startswith("?"), F.concat(origin, path, target))
+        .when((target == "") | target.startswith("#"), base)
+        .otherwise(F.concat(origin, _without_dots(mine), rest))
+    )
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -92,8 +123,12 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         ),
     )
     has = F.col(html).rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b")
-    edges = pages.filter(has).select(_place(F.col(url)).alias("a"), F.explode(target).alias("b"))
-    return edges.select("a", _place(F.col("b")).alias("b")).filter("instr(a, '://') > 0 AND instr(b, '://') > 0 AND a <> b").distinct()
+    decode = lambda t: F.regexp_replace(t, "(?i)&(?:amp|#0*38|#x0*26);", "&")
+    stated = decode(F.regexp_extract(F.col(html), r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    rows = pages.filter(has).select(F.col(url).alias("url"), stated.alias("stated"), F.explode(target).alias("target")).filter("target <> ''")
+    rows = rows.withColumn("base", F.coalesce(F.when(F.col("stated") != "", resolved(F.col("stated"), F.col("url"))), F.col("url")))
+    edges = rows.select(_place(F.col("url")).alias("a"), _place(resolved(decode(F.col("target")), F.col("base"))).alias("b"))
+    return edges.filter("instr(a, '://') > 0 AND instr(b, '://') > 0 AND a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html") -> DataFrame:

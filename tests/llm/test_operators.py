@@ -111,6 +111,24 @@ def test_url_verdicts(spark, monkeypatch, inline):
     assert url_filter.judge(empty(pages), url_filter.rules_table(spark, queries.URL_RULES)).count() == 0
 
 
+def test_link_targets_are_resolved(spark):
+    link = lambda x: f'<link rel="canonical" href="{x}">'
+    away = [
+        ("https://A.org/en/p/1", "/es/1", "https://a.org/es/1"), ("http://a.org/en/p/1", "2.html", "http://a.org/en/p/2.html"), ("http://a.org/en/p/1", "../x?y#z", "http://a.org/en/x?y"),
+        ("https://a.org/en", "//B.net/es/1", "https://b.net/es/1"), ("http://a.org", "q", "http://a.org/q"), ("http://a.org/c?d", "?e=1&amp;f=2", "http://a.org/c?e=1&f=2"),
+        ("http://a.org/d", "HTTP://C.net/Es?a&#38;b", "http://c.net/Es?a&b"), ("http://a.org/x/y", "..", "http://a.org/"), ("http://a.org/m", "mailto:x@y.org", None), ("http://a.org/n", "#top", None),
+    ]
+    pages = spark.createDataFrame([(u, link(t)) for u, t, _ in away] + [("http://a.org/base", '<base href="/deep/er/">' + link("p"))], "url string, html string")
+    got = {(r.a, r.b) for r in url_filter.link_edges(pages).collect()}
+    assert got == {(u.replace("A.org", "a.org"), w) for u, _, w in away if w} | {("http://a.org/base", "http://a.org/deep/er/p")}
+    rows = [
+        (1, "https://x.org/a", link("//A.Example.net/es/1?u=1&amp;v=2")), (2, "https://X.org/b#f", '<meta http-equiv="refresh" content="0; url=a">'), (3, "https://a.example.net/es/1?u=1&v=2", ""),
+        (4, "https://x.org/c", link("/a")), (5, "https://x.org/d", link("/e")),
+    ]
+    out = url_filter.judge(spark.createDataFrame(rows, "page_id int, url string, html string"), url_filter.rules_table(spark, queries.URL_RULES)).collect()
+    assert {r.page_id: r.verdict for r in out} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(80)] + [(5, 5)]
