@@ -300,19 +300,34 @@ def test_feistel_is_a_permutation(spark):
 # 8 ---------------------------------------------------------------------------------------
 
 
-def test_search_equals_brute_force(spark):
+def nearest(ids, codes, query, k):
+    far = np.bitwise_count((codes ^ query).astype(np.int64).view(np.uint64)).astype(int)
+    return sorted((int(d), int(i)) for i, d in zip(ids, far))[:k]
+
+
+@pytest.mark.parametrize("bucket,block", [(20_000, 5_000), (40, 2)])
+def test_search_equals_brute_force(spark, bucket, block):
     rng = np.random.default_rng(8)
-    codes = np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 700), np.full(300, 12345)])
-    table = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "id bigint, code bigint")
-    wanted = [0, 5, 650, 800]
-    got = hamming_search.top_k(table, table.filter(F.col("id").isin(wanted)), k=7, shard_rows=200, query_rows=2).collect()
+    near = np.array([77 ^ (1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 62, (120, 2))])
+    codes = np.concatenate([rng.integers(-(1 << 63), (1 << 63) - 1, 700), np.full(300, 12345), near])
+    ids = np.concatenate([np.arange(len(codes) - 1), [5]])  # id 5 has two codes
+    table = spark.createDataFrame([(int(i), int(c), "x") for i, c in zip(ids, codes)], "id bigint, code bigint, distance string")
+    wanted = [0, 5, 650, 800, 801, 1010, 1040, 1041]
+    got = hamming_search.top_k(table, table.filter(F.col("id").isin(wanted)).union(table.filter("id = 0")), k=7, bucket=bucket, block=block).collect()
     for q in wanted:
-        far = np.bitwise_count((codes ^ codes[q]).astype(np.int64).view(np.uint64)).astype(int)
-        want = sorted((int(d), i) for i, d in enumerate(far))[:7]
-        assert [(r.distance, r.neighbor_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+        want = [(n, *x) for c in codes[ids == q] for n, x in enumerate(nearest(ids, codes, c, 7), 1)] * (2 if q == 0 else 1)
+        assert sorted((r.rank, r.distance, r.neighbor_id) for r in got if r.query_id == q) == sorted(want)
+
+
+def test_search_edges(spark):
     vectors = spark.createDataFrame([(1, [0.5] * 64), (2, None), (3, []), (4, [float("nan")] * 63 + [None]), (None, [1.0] * 64)], "vec_id bigint, embedding array<float>")
-    assert {r.id: r.code for r in hamming_search.codes(vectors).collect()} == {1: -1, 4: 0}
-    assert hamming_search.top_k(table.filter("false"), table.filter("false")).count() == 0
+    table = hamming_search.codes(vectors)
+    assert {r.id: r.code for r in table.collect()} == {1: -1, 4: 0}
+    found = hamming_search.top_k(table, table).collect()  # fewer codes than k
+    assert sorted((r.query_id, r.rank, r.neighbor_id, r.distance) for r in found) == [(1, 1, 1, 0), (1, 2, 4, 64), (4, 1, 4, 0), (4, 2, 1, 64)]
+    assert hamming_search.top_k(table.filter("false"), table).count() == 0 and hamming_search.top_k(table, table.filter("false")).count() == 0
+    named = spark.createDataFrame([("a", 3), ("b", 1), (None, 3), ("c", None)], "id string, code bigint")
+    assert [(r.query_id, r.neighbor_id) for r in hamming_search.top_k(named, named, k=1).collect() if r.query_id == "a"] == [("a", "a")]
 
 
 # 9 ---------------------------------------------------------------------------------------
