@@ -2,15 +2,18 @@
 
 Numbers and dates that validate are permuted within their own format by a keyed Feistel
 network, so equal values get equal pseudonyms in all documents and different values
-different ones:
-
-- payment card numbers (13 to 19 digits, Luhn sum right): all digits but the last are
-  permuted, the last makes the sum right again; separators stay
-- telephone numbers ``(ddd) ddd-dddd`` and ``ddd-ddd-dddd``: the ten digits
+different ones.  Where only some values of a format are real, the network is applied
+until it lands on a real one again (cycle walking), which keeps it a permutation of those:
+
+- payment card numbers (13 to 19 digits that begin with 2 to 6 and have a right Luhn sum, whole
+  or in groups 4-4-4-4 or 4-6-5): all digits but the last are permuted, the last makes
+  the sum right again; separators stay
+- telephone numbers of ten digits in groups 3-3-4, with or without a country code, and numbers
+  of 8 to 15 digits after a plus sign: the last ten digits (all but two of a shorter one)
 - social security numbers ``ddd-dd-dddd`` (no group of zeros): the nine digits
 - IPv4 addresses (octets up to 255): the 32 bits
-- dates ``yyyy-mm-dd``, ``dd/mm/yyyy`` or ``mm/dd/yyyy``, ``dd.mm.yyyy`` that exist, within
-  2**16 days from 1900-01-01: the day number
+- dates ``yyyy-mm-dd``, ``dd/mm/yyyy`` or else ``mm/dd/yyyy``, ``dd.mm.yyyy`` that exist, within
+  2**16 days from 1900-01-01: the day number; what reads as mm/dd/yyyy alone does so again
 
 Two kinds have no numeric format and get a keyed digest of equal shape instead: the local
 part and domain of e-mail addresses, and hexadecimal secrets of 32 digits or more.
@@ -30,21 +33,29 @@ from pyspark.sql import functions as F
 from .shared import without
 
 ROUNDS = 8
+#: Steps of a cycle walk at most.  Half of all values fit or more, so one in 2**100 would need another.
+WALK = 100
 #: The first day and the number of days that date pseudonyms range over.
 DAY_ZERO, DAYS = "1900-01-01", 1 << 16
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
 SECRET = r"(?<![A-Za-z0-9])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+#: Ten digits in groups; between blanks only where both groups of three may begin a real number.
+PHONE = (
+    r"(?<![0-9+.-])(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?! [0-9]))(?![0-9-])"
+    r"|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])"
+)
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IP = r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])(?!\.[0-9])"
-DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9])"
-DATE = DATE.replace(r"([/.])[0-9]{2}\1", r"(?:/[0-9]{2}/|\.[0-9]{2}\.)")
-CARD = r"(?<![0-9])[0-9]{13,19}(?![0-9])|(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])".replace(r"([ -])[0-9]{4}\1[0-9]{4}\1", r"(?: [0-9]{4} [0-9]{4} |-[0-9]{4}-[0-9]{4}-)")
+DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/.])[0-9]{2}(?:/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9])"
+CARD = (
+    r"(?<![0-9])[2-6][0-9]{12,18}(?![0-9])|(?<![0-9])[2-6][0-9]{3}(?: [0-9]{4} [0-9]{4} |-[0-9]{4}-[0-9]{4}-)[0-9]{4}(?![0-9])"
+    r"|(?<![0-9])[2-6][0-9]{3}(?: [0-9]{6} |-[0-9]{6}-)[0-9]{5}(?![0-9])"
+)
 #: In order of precedence where two begin at one place.
 KINDS = {"email": EMAIL, "secret": SECRET, "ip": IP, "phone": PHONE, "ssn": SSN, "date": DATE, "card": CARD}
 #: Cheap looks ahead spare most places of a text the alternatives.
-PATTERN = f"{EMAIL}|(?=[0-9A-Fa-f]{{32}})(?:{SECRET})|(?=[0-9(])(?:{'|'.join(KINDS[k] for k in ('ip', 'phone', 'ssn', 'date', 'card'))})"
+PATTERN = f"{EMAIL}|(?=[0-9A-Fa-f]{{32}})(?:{SECRET})|(?=[0-9(+])(?:{'|'.join(KINDS[k] for k in ('ip', 'phone', 'ssn', 'date', 'card'))})"
 #: A character of this class is in every match (a secret of letters alone is none).
 NEEDED = "[0-9@]"
 
@@ -54,6 +65,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def walked(start: Column, step: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
+    """The first of ``step(start)``, ``step(step(start))``, ... that fits."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(start), lambda now, _: F.when(fits(now), now).otherwise(step(now)))
+
+
 def _round(value: Column, turn: Column, tweak: Column, key: str) -> Column:
     """A keyed number of 60 bits."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, turn.cast("string"), value.cast("string")), 256)
@@ -123,19 +139,26 @@ def _card(value: Column, key: str) -> Column:
         return F.concat(body, F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string"))
 
     def card(digits: Column) -> Column:
-        body = permute_digits(digits.substr(F.lit(1), F.length(digits) - 1), "card", key)
+        body = walked(digits.substr(F.lit(1), F.length(digits) - 1), lambda b: permute_digits(b, "card", key), lambda b: b.rlike("^[2-6]"))
         return F.when(luhn_sum(digits) % 10 == 0, refill(value, let(body, checked))).otherwise(value)
 
     return let(only_digits(value), card)
 
 
-def _digits(kind: str) -> Callable[[Column, str], Column]:
-    return lambda value, key: refill(value, let(only_digits(value), lambda digits: permute_digits(digits, kind, key)))
+def _phone(value: Column, key: str) -> Column:
+    def phone(digits: Column) -> Column:
+        n = F.length(digits)
+        kept = F.when(n > 10, n - 10).when(value.startswith("+"), 2).otherwise(0)
+        return F.concat(digits.substr(F.lit(1), kept), permute_digits(digits.substr(kept + 1, n - kept), "phone", key))
+
+    digits = only_digits(value)
+    return F.when(F.length(digits).between(8, 15), refill(value, let(digits, phone))).otherwise(value)
 
 
 def _ssn(value: Column, key: str) -> Column:
-    real = ~value.rlike("^000|-00-|0000$")
-    return F.when(real, _digits("ssn")(value, key)).otherwise(value)
+    step = lambda digits: permute_digits(digits, "ssn", key)
+    real = lambda digits: ~digits.rlike("^000|^...00|0000$")
+    return let(only_digits(value), lambda digits: F.when(real(digits), refill(value, walked(digits, step, real))).otherwise(value))
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -147,15 +170,21 @@ def _ip(value: Column, key: str) -> Column:
 
 
 def _date(value: Column, key: str) -> Column:
-    def by(layout: str) -> tuple[Column, Column]:
-        day = F.datediff(F.try_to_date(value, layout), F.lit(DAY_ZERO).cast("date"))
-        out = feistel(F.floor(day / 256), day % 256, F.lit(DAYS // 256), F.lit(256), F.lit("date"), key)
-        new = let(out, lambda o: F.date_add(F.lit(DAY_ZERO).cast("date"), (o["a"] * 256 + o["b"]).cast("int")))
-        return (day >= 0) & (day < DAYS), F.date_format(new, layout)
+    zero = F.lit(DAY_ZERO).cast("date")
+
+    def moved(day: Column) -> Column:
+        return let(feistel(F.floor(day / 256), day % 256, F.lit(DAYS // 256), F.lit(256), F.lit("date"), key), lambda o: (o["a"] * 256 + o["b"]).cast("int"))
+
+    def by(layout: str, fits: Callable[[Column], Column] | None = None) -> tuple[Column, Column]:
+        day = F.datediff(F.try_to_date(value, layout), zero)
+        real = (day >= 0) & (day < DAYS)
+        new = moved(day) if fits is None else walked(day, moved, fits)
+        return real if fits is None else real & fits(day), F.date_format(F.date_add(zero, new), layout)
 
+    late = lambda day: F.dayofmonth(F.date_add(zero, day)) > 12  # noqa: E731 - no month: such a date has one reading
     out = value
-    for layout, shape in (("MM/dd/yyyy", "^../../"), ("dd/MM/yyyy", "^../../"), ("dd.MM.yyyy", r"^..\..."), ("yyyy-MM-dd", "^....-")):
-        real, spelt = by(layout)
+    for shape, layout, fits in (("^../../", "MM/dd/yyyy", late), ("^../../", "dd/MM/yyyy", None), (r"^..\..", "dd.MM.yyyy", None), ("^....-", "yyyy-MM-dd", None)):
+        real, spelt = by(layout, fits)
         out = F.when(value.rlike(shape) & real, spelt).otherwise(out)
     return out
 
@@ -174,7 +203,7 @@ def _secret(value: Column, key: str) -> Column:
     return F.when(value == F.upper(value), F.upper(out)).otherwise(out)
 
 
-REWRITE = {"email": _email, "secret": _secret, "ip": _ip, "phone": _digits("phone"), "ssn": _ssn, "date": _date, "card": _card}
+REWRITE = {"email": _email, "secret": _secret, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date, "card": _card}
 
 
 def pseudonym(value: Column, key: str) -> Column:

@@ -56,12 +56,16 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-#: A production run takes its key from its secret store.
+#: The key where the session names none (``spark.dwellspark.pseudonyms.secret``, a name that Spark redacts).
 PSEUDONYM_KEY = "corpus-pseudonyms-1"
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.dwellspark.pseudonyms.secret", PSEUDONYM_KEY)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
 
 
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

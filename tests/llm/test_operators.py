@@ -1,5 +1,6 @@
 """The text operators against brute force, round trips and edge cases."""
 
+import datetime
 import hashlib
 import itertools
 import re
@@ -270,6 +271,25 @@ def brute_digits(digits, kind, key):
     return f"{a:0{half}d}{b:0{n - half}d}"
 
 
+def brute_walk(digits, kind, key, fits):
+    digits = brute_digits(digits, kind, key)
+    while not fits(digits):
+        digits = brute_digits(digits, kind, key)
+    return digits
+
+
+def brute_pair(a, b, high, low, tweak, key):
+    for i in range(2 * pseudonyms.ROUNDS):
+        f = lambda v: int(hashlib.sha256(f"{key}|{tweak}|{i}|{v}".encode()).hexdigest()[:15], 16)  # noqa: B023, E731
+        a, b = ((a + f(b)) % high, b) if i % 2 == 0 else (a, (b + f(a)) % low)
+    return a, b
+
+
+def rewritten(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id int, text string")
+    return {r.doc_id: r.text for r in pseudonyms.pseudonymise(df, "k").select("doc_id", "text").collect()}
+
+
 def luhn(s):
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
 
@@ -280,7 +300,7 @@ def test_pseudonyms(spark, hard):
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id int, text string, PII_found int")
     out = {r.doc_id: r for r in pseudonyms.pseudonymise(docs, "k").collect()}
     new = out[1].text.split()[1]
-    assert luhn(card) and luhn(new) and new != card and new[:15] == brute_digits(card[:15], "card", "k")
+    assert luhn(card) and luhn(new) and new != card and new[:15] == brute_walk(card[:15], "card", "k", lambda d: "2" <= d[0] <= "6")
     assert out[0].text == f"card {new} and {new[:4]}-{new[4:8]}-{new[8:12]}-{new[12:]} not {other}" and dict(out[0].pii_found) == {"card": 2}
     d = brute_digits("2075557713", "phone", "k")
     assert f"({d[:3]}) {d[3:6]}-{d[6:]}" in out[2].text and "000-12-3456" in out[2].text and "123-45-6789" not in out[2].text
@@ -291,6 +311,58 @@ def test_pseudonyms(spark, hard):
     assert pseudonyms.pseudonymise(hard, "k").count() == len(HARD) + 2 and pseudonyms.pseudonymise(empty(hard), "k").count() == 0
 
 
+def test_all_dates_get_different_pseudonyms(spark):
+    zero = datetime.date(1900, 1, 1)
+    days = [zero + datetime.timedelta(i) for i in range(1 << 16)]
+    texts = sorted({d.strftime(f) for d in days for f in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y")})
+    got = rewritten(spark, texts)
+    assert len(set(got.values())) == len(texts) and sum(got[i] == t for i, t in enumerate(texts)) < 200
+    assert all(re.sub("[0-9]", "0", t) == re.sub("[0-9]", "0", got[i]) for i, t in enumerate(texts))
+
+    def moved(d):
+        a, b = brute_pair(*divmod((d - zero).days, 256), 256, 256, "date", "k")
+        return zero + datetime.timedelta(256 * a + b)
+
+    def walked(d):  # what reads as mm/dd alone must do so again
+        d = moved(d)
+        return d if d.day > 12 else walked(d)
+
+    at = {t: i for i, t in enumerate(texts)}
+    for d in days[::997]:
+        assert got[at[d.strftime("%Y-%m-%d")]] == moved(d).strftime("%Y-%m-%d") and got[at[d.strftime("%d/%m/%Y")]] == moved(d).strftime("%d/%m/%Y")
+        if d.day > 12:
+            assert got[at[d.strftime("%m/%d/%Y")]] == walked(d).strftime("%m/%d/%Y")
+
+
+def test_addresses_and_numbers_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    ips = [".".join(map(str, x)) for x in rng.integers(0, 256, (200, 4)).tolist()]
+    ssns = [f"{a:03d}-{b:02d}-{c:04d}" for a, b, c in zip(rng.integers(1, 1000, 2000).tolist(), rng.integers(1, 100, 2000).tolist(), rng.integers(1, 10000, 2000).tolist())]
+    got = rewritten(spark, ips + ssns)
+    for i, t in enumerate(ips):
+        o = list(map(int, t.split(".")))
+        a, b = brute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 1 << 16, 1 << 16, "ip", "k")
+        assert got[i] == f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+    real = lambda d: d[:3] != "000" and d[3:5] != "00" and d[5:] != "0000"
+    for i, t in enumerate(ssns, len(ips)):
+        d = brute_walk(t.replace("-", ""), "ssn", "k", real)
+        assert got[i] == f"{d[:3]}-{d[3:5]}-{d[5:]}"
+
+
+def test_spellings_of_numbers(spark):
+    phones = ["555-123-4567", "+1-555-123-4567", "1.555.123.4567", "555 223 4567", "(555) 123-4567", "+1 (555) 123-4567", "+49 30 1234567", "+442071234567"]
+    cards = ["378282246310005", "3782 822463 10005", "3782-822463-10005"]
+    plain = ["1700000000008", "100 200 3000", "555-123-45678", "12 555 223 4567 8", "3 + 4", "2024-02-30", "1234567890123"]
+    got = rewritten(spark, phones + cards + plain)
+    d = brute_digits("5551234567", "phone", "k")
+    spelt = f"{d[:3]}-{d[3:6]}-{d[6:]}"
+    assert [got[i] for i in (0, 1, 2, 4, 5)] == [spelt, "+1-" + spelt, "1." + spelt.replace("-", "."), f"({d[:3]}) {d[3:6]}-{d[6:]}", f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"]
+    assert all(got[i] != phones[i] and re.sub("[0-9]", "0", got[i]) == re.sub("[0-9]", "0", phones[i]) for i in range(len(phones)))
+    new = brute_walk(cards[0][:14], "card", "k", lambda x: "2" <= x[0] <= "6")
+    assert got[8][:14] == new and luhn(got[8]) and {got[8 + i].replace(" ", "").replace("-", "") for i in range(3)} == {got[8]}
+    assert [got[11 + i] for i in range(len(plain))] == plain
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = {r[0] for r in df.select(pseudonyms.permute_digits(F.col("d"), "t", "k")).collect()}
