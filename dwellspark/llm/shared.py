@@ -6,23 +6,43 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of a side of a join that is broadcast, at most.
+BROADCAST_BYTES = 64 << 20
+#: Bits that one row of a bit map holds.
+MAP_ROW = 1 << 15
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder under ``spark.checkpoint.dir``; a local one only where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """This application's folder under ``spark.checkpoint.dir``, which is deleted when the driver exits.
+
+    A local folder is used where that is unset, in a local session only: executors elsewhere
+    would not find it.
+    """
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir")
     if not top:
-        global _own
-        _own = _own or tempfile.mkdtemp(prefix="spark-llm-")
-        top = f"file://{_own}"
-    return f"{top.rstrip('/')}/llm"
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        _own[context.applicationId] = _own.get(context.applicationId) or f"file://{tempfile.mkdtemp(prefix='spark-llm-')}"
+        top = _own[context.applicationId]
+    folder = f"{top.rstrip('/')}/llm-{context.applicationId}"
+    if folder not in _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _made.add(folder)
+    return folder
 
 
-_own = ""
+_own: dict[str, str] = {}
+_made: set[str] = set()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -44,15 +64,37 @@ def forget(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bit_map(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A packed bit map (lowest bit first) with bit ``column`` modulo ``bits`` set for every row.
+
+    Executors set the bits; the driver gets at most ``bits / 2**15`` rows of 4 KB.
+    """
+    at = F.pmod(F.col(column), F.lit(bits))
+    rows = hashes.select(F.floor(at / MAP_ROW).cast("int").alias("row"), (at % MAP_ROW).alias("bit"))
+    out = np.zeros((-(-bits // MAP_ROW), MAP_ROW // 8), np.uint8)
+    for r in rows.groupBy("row").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
+        out[r.row] = np.frombuffer(bytes(r.map), np.uint8)
+    return out.ravel()[: -(-bits // 8)]
+
+
+def on_map(packed: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which of some 64-bit hashes (as in ``bit_map``) have their bit set."""
+    at = (hashes.view(np.int64) % bits).astype(np.int64)
+    return (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Without columns of these names in any case: a result column replaces such a column."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """The (settled) side of a join, marked for broadcast if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def small(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The (settled) side of a join, marked for broadcast if it has at most ``most`` rows and ``most_bytes``."""
+    long = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    size = sum(long, F.lit(16 * len(df.columns)))
+    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
 
 
 def add_columns(
