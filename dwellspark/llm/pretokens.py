@@ -9,9 +9,11 @@ does is always safe: a piece that holds several pre-tokens is encoded whole.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import itertools
 import os
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +59,17 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
-    pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -176,6 +188,42 @@ def known(path: str) -> Known:
     return Known(path)
 
 
+class Counts:
+    """Numbers of tokens of pieces that this worker has counted before, up to ``MOST`` of them; no ids are kept or built."""
+
+    MOST = 3 << 18
+
+    def __init__(self, path: str):
+        self.path = path
+        self.found: dict[str, int] = {}
+
+    def of(self, distinct: list[str]) -> np.ndarray:
+        if len(self.found) > self.MOST:
+            self.found.clear()
+        counts = np.fromiter(map(self.found.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(counts < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
+            counts[missing] = count_each(new, self.path)
+            self.found.update(zip(new, counts[missing].tolist()))
+        return counts
+
+
+@functools.cache
+def counted(path: str) -> Counts:
+    return Counts(path)
+
+
+def count_each(pieces: list[str], path: str) -> np.ndarray:
+    """Tokens of each piece, as lengths of the library's encodings."""
+    lib, out = library(path), np.zeros(len(pieces), np.int64)
+    for at in range(0, len(pieces), CALL):
+        part = pieces[at : at + CALL]
+        made = lib.encode_batch_fast(part, add_special_tokens=False) if divides(path) else lib.encode(part, num_threads=1)
+        out[at : at + len(part)] = np.fromiter(map(len, made), np.int64, len(part))
+    return out
+
+
 def divides(path: str) -> bool:
     """Whether the file's library never merges over the places of ``cuts``."""
     return path.endswith(".json")
@@ -184,8 +232,7 @@ def divides(path: str) -> bool:
 def count_tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, tokens) per text; each distinct pre-token is counted once."""
     pieces = Pieces(texts, divides(path))
-    counts, _, _ = known(path).lookup(pieces.distinct)
-    return pieces.n_bytes, pieces.summed(counts)
+    return pieces.n_bytes, pieces.summed(counted(path).of(pieces.distinct))
 
 
 def encode(texts: pa.Array, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
