@@ -2,19 +2,27 @@
 
 Texts become template tokens: numbers, names and units turn into typed placeholders,
 other words are lower-cased and stripped of outer punctuation.  A name is a word with
-one leading capital inside a sentence, a unit a listed word after a number (or glued to
-it).  Windows of ``WINDOW`` template tokens with at least ``LITERALS`` plain words are
-hash-joined between documents and benchmark items.  Matched windows on one alignment
-(document position minus item position) must replace each slot value of the item by one
-value; windows with a value that gets two are dropped.  A document holds an item if
-``ENOUGH`` windows, or all of a shorter item, remain on one alignment.
+one leading capital, wherever it stands, or a run of such words with nothing but blanks
+between them; a unit is a listed word after a number (or glued to it).  Windows of
+``WINDOW`` template tokens with at least ``LITERALS`` plain words are hash-joined between
+documents and benchmark items.  Matched windows on one alignment (document position minus
+item position) must replace each slot value of the item by one value; windows with a
+value that gets two are dropped.  A document holds an item if ``ENOUGH`` windows, or all of
+a shorter item, remain on one alignment.
+
+Items without such a window (short, or mostly placeholders) are found by a second, exact
+key: all their windows of ``EXACT`` words as they stand, on one alignment; items of
+fewer words only where they are a whole document.
 
 Tasks hash windows with numpy and pass on only those whose hash falls on a bit map of
-the benchmark's hashes; the map has a fixed size however large the benchmark is, and
-wrong hits of it end in the join.  Everything after the map is a Spark join.
+the benchmark's hashes, of at most ``MOST_BITS`` bits; wrong hits of it end in the join.
+Windows meet distinct benchmark windows first; only documents with enough of them are
+joined to items, of which equal ones count once until the end.
 
-Null and empty texts, and items of fewer than ``WINDOW`` words, match nothing.  Rows that
-share an id are judged together.  Empty tables give an empty result.
+Null and empty texts match nothing, nor do items without a word.  Rows are judged by
+id and text: rows that share an id (or have none) each by their own text, repeated rows
+alike.  Very long texts are cut into windows whole.  Columns other than id and text take no
+part and are kept, whatever their names.  Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -25,19 +33,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .shared import settle, small
+from .shared import bit_map, on_map, settle, small
 
 WINDOW = 8
 LITERALS = 4
 ENOUGH = 5
+#: Words of an exact window.
+EXACT = 4
 #: Bytes of text whose windows are made together; a word needs some 150 bytes of memory.
 SLICE_BYTES = 2 << 20
 #: Bits of the map of benchmark hashes.
-MAP_BITS = 1 << 23
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Distinct benchmark windows (24 bytes each) that are broadcast, at most.
+BROADCAST_WINDOWS = 1_000_000
 
 #: Units of measure (fixed values).
 UNITS = frozenset(
@@ -47,36 +60,44 @@ UNITS = frozenset(
 )
 STRIPPED = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’«»…–—"
 
-LITERAL, NUMBER, UNIT, TITLE, MEASURE, NOTHING = range(6)
-PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", TITLE: "<name>", MEASURE: "<number><unit>"}
+LITERAL, NUMBER, UNIT, NAME, MEASURE, NOTHING = range(6)
+PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>", MEASURE: "<number><unit>"}
+#: Forms of a window: template, exact words, whole text.
+TEMPLATE, WORDS, WHOLE = range(3)
 BLANKS = np.zeros(256, bool)
 BLANKS[[32, 9, 10, 11, 12, 13]] = True
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_CHECKS = np.random.default_rng(11).integers(1, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FORMS = np.random.default_rng(12).integers(1, 1 << 63, (3, WINDOW + 1), dtype=np.uint64)
 
 
-def _kind(word: str) -> tuple[int, str, bool]:
-    """(kind, core, whether a sentence ends here) of a word as it stands."""
+def _kind(word: str) -> tuple[int, str]:
+    """(kind, core) of a word as it stands."""
     core = word.strip(STRIPPED)
-    ends = word.rstrip("*#$%&\"')]}”’»").endswith((".", "!", "?", ":"))
     if not core:
-        return (UNIT, word, ends) if word in UNITS else (NOTHING, "", ends)
+        return (UNIT, word) if word in UNITS else (NOTHING, "")
     if core[0].isdigit():
         plain = core.replace(",", "").replace(".", "").replace("/", "")
         if plain.isdigit():
-            return NUMBER, core, ends
+            return NUMBER, core
         figures = len(core) - len(core.lstrip("0123456789.,"))
         if core[figures:].lower() in UNITS:
-            return MEASURE, core.lower(), ends
-        return LITERAL, core.lower(), ends
+            return MEASURE, core.lower()
+        return LITERAL, core.lower()
     if len(core) > 1 and core[0].isupper() and core[1:].islower():
-        return TITLE, core.lower(), ends
+        return NAME, core.lower()
     low = core.lower()
-    return (UNIT if low in UNITS else LITERAL), low, ends
+    return (UNIT if low in UNITS else LITERAL), low
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text, 42)
 
 
-class Windows:
-    """Template windows of an array of texts."""
+class Words:
+    """The words of an array of texts: kind and code of each, the text it is in, and whether it goes on a name."""
 
-    def __init__(self, texts: pa.Array, size: int = WINDOW):
+    def __init__(self, texts: pa.Array):
         offsets, data = pretokens.utf8(texts)
         inside = ~BLANKS[data]
         begins = inside.copy()
@@ -91,114 +112,174 @@ class Windows:
         stops = np.flatnonzero(stop)
         ends = stops[np.searchsorted(stops, begins, side="right")] if len(begins) else begins
         both = np.stack([begins, ends], axis=1).ravel() if len(begins) else np.zeros(0, np.int64)
-        raw = pa.Array.from_buffers(
-            pa.large_string(), max(0, len(both) - 1), [None, pa.py_buffer(both.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
-        )
+        raw = pa.Array.from_buffers(pa.large_string(), max(0, len(both) - 1), [None, pa.py_buffer(both.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = raw.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode() if len(both) else pa.array([], pa.large_string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        kinds = [_kind(w) for w in distinct]
+        self.cores = [c for _, c in kinds]
+        table = np.array([(k, w.endswith(w.strip(STRIPPED)), w.startswith(w.strip(STRIPPED))) for (k, _), w in zip(kinds, distinct)], np.int8).reshape(-1, 3)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        distinct = [_kind(w) for w in coded.dictionary.to_pylist()]
-        kind = np.fromiter((k for k, _, _ in distinct), np.int8, len(distinct))[codes] if distinct else np.zeros(0, np.int8)
-        ending = np.fromiter((e for _, _, e in distinct), bool, len(distinct))[codes] if distinct else np.zeros(0, bool)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(c.encode(), 42) for _, c, _ in distinct), np.uint64, len(distinct))[codes] if distinct else np.zeros(0, np.uint64)
+        kind, bare_end, bare_start = table[codes].T if len(codes) else np.zeros((3, 0), np.int8)
+        hashes = np.fromiter(map(_hash, self.cores), np.uint64, len(self.cores))[codes] if len(codes) else np.zeros(0, np.uint64)
         of = np.searchsorted(offsets, begins, side="right") - 1
-        opens = np.ones(len(begins), bool)  # first in its text, after a sentence's end or a line feed
+        same_line = np.zeros(len(begins), bool)
         if len(begins) > 1:
-            opens[1:] = (of[1:] != of[:-1]) | ending[:-1] | (data[np.maximum(begins[1:] - 1, 0)] == 10)
+            feeds = np.concatenate([[0], np.cumsum(data == 10)])
+            same_line[1:] = (of[1:] == of[:-1]) & (feeds[begins[1:]] == feeds[begins[:-1]])
+        goes_on = np.zeros(len(begins), bool)
+        goes_on[1:] = same_line[1:] & (kind[1:] == NAME) & (kind[:-1] == NAME) & (bare_end[:-1] == 1) & (bare_start[1:] == 1)
         real = kind != NOTHING
-        kind, of, opens, codes, hashes = kind[real], of[real], opens[real], codes[real], hashes[real]
+        self.kind, self.of, self.codes, self.hashes, self.goes_on = kind[real], of[real], codes[real], hashes[real], goes_on[real]
+        #: Each text's first word, and one past the last.
+        self.first = np.searchsorted(self.of, np.arange(len(offsets)))
+
+    def exact(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, whether it lies in one text) of the windows of ``size`` words as they stand."""
+        rolled, whole = _rolled(self.hashes, self.of, size)
+        return rolled ^ _FORMS[WORDS, size], whole
+
+    def text(self, word: int, end: int) -> str:
+        return " ".join(self.cores[c] for c in self.codes[word:end].tolist())
+
+
+def _rolled(hashes: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(0, len(hashes) - size + 1)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(size):
+        rolled = rolled * _STEP + hashes[k : n + k]
+    return rolled ^ (rolled >> np.uint64(31)), of[:n] == of[size - 1 : n + size - 1]
+
+
+class Templates:
+    """The template tokens of some words, and their windows."""
+
+    def __init__(self, words: Words):
+        begins = np.flatnonzero(~words.goes_on)
+        kind, of = words.kind[begins], words.of[begins]
         counted = np.zeros(len(kind), bool)
         counted[1:] = (kind[:-1] == NUMBER) & (of[1:] == of[:-1])
-        kind = np.where((kind == TITLE) & opens, LITERAL, kind)
         kind = np.where((kind == UNIT) & ~counted, LITERAL, kind)
+        hashes = words.hashes[begins]
         for k, mark in PLACEHOLDER.items():
-            hashes = np.where(kind == k, np.uint64(xxhash.xxh64_intdigest(mark, 42)), hashes)
-        self.kind, self.codes, self.of, self.size = kind, codes, of, size
-        self.cores = [c for _, c, _ in distinct]
-        self.first = np.searchsorted(of, np.arange(len(offsets)))
-        n = max(0, len(kind) - size + 1)
-        rolled = np.zeros(n, np.uint64)
-        for k in range(size):
-            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n + k]
-        self.hash = rolled ^ (rolled >> np.uint64(31))
+            hashes = np.where(kind == k, np.uint64(_hash(mark)), hashes)
+        self.words, self.begins, self.ends = words, begins, np.append(begins[1:], len(words.kind))
+        self.kind, self.of, self.hashes = kind, of, hashes
+        self.first = np.searchsorted(of, np.arange(len(words.first)))
+        rolled, whole = _rolled(hashes, of, WINDOW)
         plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-        self.usable = (of[:n] == of[size - 1 : n + size - 1]) & (plain[size:][:n] - plain[:n] >= LITERALS) if n else np.zeros(0, bool)
+        n = len(rolled)
+        self.hash = rolled ^ _FORMS[TEMPLATE, WINDOW]
+        self.usable = whole & (plain[WINDOW:][:n] - plain[:n] >= LITERALS)
 
-    def rows(self, at: np.ndarray) -> tuple[list[str], list[list[str]]]:
-        """Templates and slot values of the windows that begin at tokens ``at``."""
-        templates, slots = [], []
+    def slots(self, at: np.ndarray) -> list[list[str]]:
+        """Slot values of the windows that begin at tokens ``at``."""
+        out = []
         for a in at.tolist():
-            kinds = self.kind[a : a + self.size].tolist()
-            words = [self.cores[c] for c in self.codes[a : a + self.size].tolist()]
-            templates.append(" ".join(w if k == LITERAL else PLACEHOLDER[k] for k, w in zip(kinds, words)))
-            slots.append([f"{PLACEHOLDER[k]} {w}" for k, w in zip(kinds, words) if k != LITERAL])
-        return templates, slots
+            places = [i for i in range(a, a + WINDOW) if self.kind[i] != LITERAL]
+            out.append([f"{PLACEHOLDER[int(self.kind[i])]} {self.words.text(self.begins[i], self.ends[i])}" for i in places])
+        return out
 
 
-def template_windows(texts: DataFrame, key: str, text: str, seen: np.ndarray | None = None) -> DataFrame:
-    """(key, pos, hash, template, slots) per window, or per window on the map ``seen``."""
-    schema = T.StructType(
-        [T.StructField("key", texts.schema[key].dataType), T.StructField("pos", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("template", T.StringType()), T.StructField("slots", T.ArrayType(T.StringType()))]
-    )
+_HIT = {"pos": T.LongType(), "form": T.IntegerType(), "hash": T.LongType(), "check": T.LongType(), "slots": T.ArrayType(T.StringType())}
+
+
+def _hits(texts: pa.Array, packed: np.ndarray | None, bits: int, forms: tuple[int, ...]) -> Iterator[tuple[np.ndarray, dict[str, pa.Array]]]:
+    """(text, columns of ``_HIT``) of windows: those of items (no map), or those of documents on the map."""
+    words = Words(texts)
+    made = Templates(words)
+    n_words = np.diff(words.first)
+    bare = np.ones(len(n_words), bool)  # texts without a template window
+    bare[made.of[: len(made.usable)][made.usable]] = False
+
+    def rows(form: int, hashes: np.ndarray, tokens: np.ndarray, size: int, at: np.ndarray, of: np.ndarray, first: np.ndarray, slots: list[list[str]]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+        check = (tokens[at[:, None] + np.arange(size)] * _CHECKS[:size]).sum(axis=1, dtype=np.uint64)
+        columns = {"pos": pa.array(at - first[of], pa.int64()), "form": pa.array(np.full(len(at), form), pa.int32()), "hash": pa.array(hashes.view(np.int64)), "check": pa.array(check.view(np.int64)), "slots": pa.array(slots, pa.list_(pa.string()))}
+        return of, columns
+
+    def parts(hashes: np.ndarray, usable: np.ndarray) -> Iterator[np.ndarray]:
+        if packed is not None:
+            usable = usable & on_map(packed, hashes, bits)
+        at = np.flatnonzero(usable)
+        return iter(np.array_split(at, max(1, len(at) // 50_000)))
+
+    for at in parts(made.hash, made.usable):
+        yield rows(TEMPLATE, made.hash[at], made.hashes, WINDOW, at, made.of[at], made.first, made.slots(at))
+    if WORDS in forms:
+        hashes, whole = words.exact(EXACT)
+        n = len(whole)
+        for at in parts(hashes, whole if packed is not None else whole & bare[words.of[:n]]):
+            yield rows(WORDS, hashes[at], words.hashes, EXACT, at, words.of[at], words.first, [[]] * len(at))
+    if WHOLE in forms:
+        for size in range(1, EXACT):
+            hashes, whole = words.exact(size)
+            n = len(whole)
+            hashes, whole = hashes ^ _FORMS[WHOLE, size], whole & (n_words[words.of[:n]] == size)
+            for at in parts(hashes, whole if packed is not None else whole & bare[words.of[:n]]):
+                yield rows(WHOLE, hashes[at], words.hashes, size, at, words.of[at], words.first, [[]] * len(at))
+
+
+def windows(texts: DataFrame, key: str, text: str, packed: np.ndarray | None = None, bits: int = LEAST_BITS, forms: tuple[int, ...] = (TEMPLATE, WORDS, WHOLE)) -> DataFrame:
+    """(key, same, pos, form, hash, check, slots) per window that may count; ``same`` is a hash of the text."""
+    rows = texts.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
+    schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(n, t) for n, t in _HIT.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(seen).view(bool) if seen is not None else None
         for whole in batches:
-            for batch in pretokens.slices(whole, text, SLICE_BYTES):
-                w = Windows(batch[text])
-                hit = w.usable if bits is None else w.usable & bits[(w.hash % np.uint64(MAP_BITS)).astype(np.int64)]
-                at = np.flatnonzero(hit)
-                for part in np.array_split(at, max(1, len(at) // 50_000)):
-                    templates, slots = w.rows(part)
-                    of = w.of[part]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch[key].take(pa.array(of)), pa.array(part - w.first[of], pa.int64()), pa.array(w.hash[part].view(np.int64)), pa.array(templates, pa.string()), pa.array(slots, pa.list_(pa.string()))],
-                        ["key", "pos", "hash", "template", "slots"],
-                    )
+            for batch in pretokens.slices(whole, "text", SLICE_BYTES):
+                for of, columns in _hits(batch["text"], packed, bits, forms):
+                    of = pa.array(of, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch["key"].take(of), batch["same"].take(of), *columns.values()], schema.names)
 
-    return texts.select(key, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def hash_map(windows: DataFrame) -> np.ndarray:
-    """The packed bit map of the windows' hashes: ``MAP_BITS`` bits, however many windows."""
-    places = windows.select(F.pmod("hash", F.lit(MAP_BITS)).alias("bit")).distinct()
-    bits = np.zeros(MAP_BITS, np.uint8)
-    bits[places.toPandas()["bit"].to_numpy(np.int64)] = 1
-    return np.packbits(bits)
+def _matched(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, enough: int) -> DataFrame:
+    """(key, same, item, windows, share, start, replaced)."""
+    bench, _ = settle(windows(items.filter(F.col(item_id).isNotNull()), item_id, item_text).withColumnRenamed("key", "item").distinct(), "benchmark-windows")
+    # items with equal windows count once
+    facts = F.array_sort(F.collect_set(F.struct("pos", "form", "hash", "check", "slots")))
+    sizes = bench.groupBy("item", "same").agg(F.xxhash64(facts).alias("content"), F.count(F.lit(1)).alias("n_windows"), F.max("form").alias("form"))
+    sizes, _ = settle(sizes.withColumn("of", F.min(F.struct("item", "same")).over(W.partitionBy("content", "n_windows"))), "benchmark-items")
+    needed = F.when(F.col("form") == TEMPLATE, F.least(F.lit(enough), F.col("n_windows"))).otherwise(F.col("n_windows"))
+    least, total = sizes.agg(F.min(needed), F.sum("n_windows")).first()
+    forms = tuple(r.form for r in bench.select("form").distinct().collect())  # three rows at most
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * (total or 1)).bit_length()))
+    known, _ = settle(bench.select("hash", "check").distinct(), "benchmark-known")
+    hits = windows(docs, doc_id, text, bit_map(known, "hash", bits), bits, forms).join(small(known, BROADCAST_WINDOWS), ["hash", "check"], "left_semi")
+    hits, _ = settle(hits, "benchmark-hits")
+    some = hits.groupBy("key", "same").agg(F.countDistinct("pos").alias("n")).filter(F.col("n") >= (least or 1)).select(F.col("key").alias("__key"), F.col("same").alias("__same"))
+    hits = hits.join(some, F.col("key").eqNullSafe(F.col("__key")) & (F.col("same") == F.col("__same"))).drop("__key", "__same")
+    one = sizes.filter("of.item = item AND of.same = same").select("item", "same", "n_windows", needed.alias("needed"))
+    asked = bench.join(one, ["item", "same"]).select(F.struct("item", "same").alias("of"), "n_windows", "needed", F.col("pos").alias("item_pos"), "hash", "check", F.col("slots").alias("old"))
+    slots = F.zip_with("old", "slots", lambda o, r: F.struct(o.alias("o"), r.alias("r")))
+    met = hits.join(asked, ["hash", "check"]).select("key", "same", "of", "n_windows", "needed", (F.col("pos") - F.col("item_pos")).alias("shift"), F.struct("item_pos", slots.alias("slots")).alias("hit"))
+    # all windows of an item on one alignment: no more than the item has
+    lines = met.groupBy("key", "same", "of", "shift").agg(F.collect_set("hit").alias("hits"), F.first("n_windows").alias("n_windows"), F.first("needed").alias("needed")).filter("size(hits) >= needed")
+    lines = lines.withColumn("pairs", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["slots"]))))
+    olds = F.transform("pairs", lambda p: p["o"])
+    lines = lines.withColumn("torn", F.filter(F.array_distinct(olds), lambda o: F.size(F.filter("pairs", lambda p: p["o"] == o)) > 1))
+    whole = F.filter("hits", lambda h: ~F.exists(h["slots"], lambda s: F.array_contains("torn", s["o"])))
+    lines = lines.select("key", "same", "of", "shift", "n_windows", "needed", F.size(whole).cast("bigint").alias("windows"), F.size(F.filter("pairs", lambda p: p["o"] != p["r"])).cast("bigint").alias("replaced"))
+    lines = lines.filter("windows >= needed")
+    best = F.max_by(F.struct("windows", (F.col("windows") / F.col("n_windows")).alias("share"), F.col("shift").alias("start"), "replaced"), F.struct("windows", -F.col("shift")))
+    best = lines.groupBy("key", "same", "of").agg(best.alias("b"))
+    return best.join(sizes.select("of", "item"), "of").select("key", "same", "item", "b.*").distinct()
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", enough: int = ENOUGH) -> DataFrame:
     """(doc_id, item_id, windows, share, start, replaced): items that documents hold.
 
     windows: matched windows of the item on the best alignment; share: of all its windows;
-    start: position of the item's first template token in the document; replaced: slot
-    values that differ from the item's.
+    start: position of the item's first token in the document; replaced: slot values
+    that differ from the item's.  A row per item and distinct text of an id.
     """
-    bench, _ = settle(template_windows(items, item_id, item_text).filter("key IS NOT NULL"), "benchmark-windows")
-    known = bench.select(F.col("key").alias("item"), F.col("pos").alias("item_pos"), "hash", "template", F.col("slots").alias("item_slots"))
-    sizes = bench.groupBy(F.col("key").alias("item")).agg(F.countDistinct("pos").alias("n_windows"))
-    found = template_windows(docs, doc_id, text, hash_map(bench)).join(known, ["hash", "template"])
-    found = found.select("key", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.arrays_zip(F.col("item_slots").alias("o"), F.col("slots").alias("r")).alias("slots")).distinct()
-    found, _ = settle(found, "benchmark-hits")
-    line = ["key", "item", "shift"]
-    slots = found.select(*line, F.explode("slots").alias("s")).select(*line, F.col("s.o").alias("o"), F.col("s.r").alias("r")).distinct()
-    torn = slots.groupBy(*line, "o").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy(*line).agg(F.collect_set("o").alias("torn"))
-    changed = slots.filter("o <> r").groupBy(*line).agg(F.count(F.lit(1)).alias("replaced"))
-
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.select(*[F.col(c).alias(f"__{c}") for c in line], *[c for c in right.columns if c not in line])
-        same = F.lit(True)
-        for c in line:
-            same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-        return left.join(right, same, "left").drop(*[f"__{c}" for c in line])
-
-    whole = joined(found, torn).filter(~F.coalesce(F.exists("slots", lambda s: F.array_contains("torn", s["o"])), F.lit(False)))
-    lines = whole.groupBy(*line).agg(F.countDistinct("item_pos").alias("windows")).join(sizes, "item")
-    lines = joined(lines.filter(F.col("windows") >= F.least(F.lit(enough), F.col("n_windows"))), changed)
-    best = F.max_by(F.struct("windows", (F.col("windows") / F.col("n_windows")).alias("share"), F.col("shift").alias("start"), F.coalesce("replaced", F.lit(0)).alias("replaced")), F.struct("windows", -F.col("shift")))
-    return lines.groupBy("key", "item").agg(best.alias("b")).select(F.col("key").alias(doc_id), F.col("item").alias(item_id), "b.windows", "b.share", "b.start", "b.replaced")
-
-
-def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+    out = _matched(docs, items, doc_id, text, item_id, item_text, enough)
+    return out.select(F.col("key").alias(doc_id), F.col("item").alias(item_id), "windows", "share", "start", "replaced")
+
+
+def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = 500_000, item_id: str = "item_id", item_text: str = "text", enough: int = ENOUGH) -> DataFrame:
     """``docs`` without the rows that hold a benchmark item."""
-    bad, _ = settle(matches(docs, items, doc_id, text, **options).select(F.col(doc_id).alias("__bad")).distinct(), "contaminated")
-    return docs.join(small(bad, broadcast_rows), docs[doc_id].eqNullSafe(F.col("__bad")), "left_anti")
+    found = _matched(docs, items, doc_id, text, item_id, item_text, enough)
+    bad, _ = settle(found.select(F.col("key").alias("__bad"), F.col("same").alias("__bad_text")).distinct(), "contaminated")
+    same = docs[doc_id].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs[text]) == F.col("__bad_text"))
+    return docs.join(small(bad, broadcast_rows), same, "left_anti")

@@ -224,6 +224,95 @@ def test_templates_find_reparameterised_items(spark, hard):
     assert decontaminate.remove_contaminated(hard, items).count() == len(HARD) + 2
 
 
+def brute_tokens(text):
+    """(template tokens, their values, exact words): words one by one, runs of names joined."""
+    tokens, words, open_name = [], [], False
+    for line in re.split("\n", text or ""):
+        open_name = False
+        for word in re.findall(r"[^\x20\x09-\x0D]+", line):
+            kind, core = decontaminate._kind(word)
+            if kind == decontaminate.NOTHING:
+                open_name = False
+                continue
+            words.append(core)
+            bare = word.strip(decontaminate.STRIPPED)
+            if kind == decontaminate.NAME and open_name and word.startswith(bare):
+                tokens[-1][1] += " " + core
+            else:
+                if kind == decontaminate.UNIT and not (tokens and tokens[-1][0] == decontaminate.NUMBER):
+                    kind = decontaminate.LITERAL
+                tokens.append([kind, core])
+            open_name = kind == decontaminate.NAME and word.endswith(bare)
+    return tokens, words
+
+
+def brute_windows(text):
+    tokens, words = brute_tokens(text)
+    mark = lambda k, c: c if k == decontaminate.LITERAL else decontaminate.PLACEHOLDER[k]
+    templates = {}
+    for i in range(len(tokens) - 7):
+        part = tokens[i : i + 8]
+        if sum(k == decontaminate.LITERAL for k, _ in part) >= 4:
+            templates[i] = (tuple(mark(k, c) for k, c in part), [(mark(k, c), c) for k, c in part if k != decontaminate.LITERAL])
+    return templates, words
+
+
+def brute_matches(docs, items):
+    """(document, item): windows of the best alignment, by comparing everything with everything."""
+    found = {}
+    made = {d: brute_windows(t) for d, t in docs}
+    for item, text in items:
+        templates, words = brute_windows(text)
+        for d, (theirs, spoken) in made.items():
+            if templates:
+                lines = {}
+                for i, (t, old) in templates.items():
+                    for j, (u, new) in theirs.items():
+                        if t == u:
+                            lines.setdefault(j - i, []).append(list(zip(old, new)))
+                best = 0
+                for hits in lines.values():
+                    values = {}
+                    for o, r in itertools.chain(*hits):
+                        values.setdefault(o, set()).add(r)
+                    best = max(best, sum(all(len(values[o]) == 1 for o, _ in h) for h in hits))
+                if best >= min(5, len(templates)):
+                    found[d, item] = best
+            elif words and (spoken == words if len(words) < 4 else any(spoken[i : i + len(words)] == words for i in range(len(spoken)))):
+                found[d, item] = max(1, len(words) - 3)
+    return found
+
+
+STORY = "Anna has 12 apples. Ben has 7 apples. How many do they have?"
+
+
+def test_matches_equal_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in queries.table(spark, SMALL, "documents").collect()]
+    items = [(r.item_id, r.text) for r in queries.table(spark, SMALL, "benchmark").collect()]
+    items += [(1000, STORY), (1001, "Is 7 prime"), (1002, "Yes"), (1003, "1 2 3 4 5 6 7 8 9 10"), (1004, STORY), (1005, "Paul Miller met the old man in Paris on Monday before he went back home")]
+    items += [(2000 + i, " ".join(docs[i][1].split()[5 : 5 + 3 * i])) for i in range(1, 12)]
+    texts = [
+        STORY, "Carla has 40 apples. David has 9 apples. How many do they have?", "so Carla has 40 apples. David has 9 apples. How many do they have? Well", "Carla has 40 apples. Carla has 9 apples. How many do they have?",
+        "is 7 prime", "so Is 7 prime or not", "yes!", "yes it is", "count 1 2 3 4 5 6 7 8 9 10 11", "count 1 2 3 4 5 6 7 8 9 11",
+        "Then New York met the old man in San Francisco on Friday before he went back home.", "Eva met the old man in Rome on Monday before he went back home", None, "", "Anna Bell",
+    ]
+    docs += list(enumerate(texts, 10_000))
+    got = decontaminate.matches(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.windows for r in got} == brute_matches(docs, items) and len(got) == len({(r.doc_id, r.item_id) for r in got})
+    by_doc = {d: {r.item_id for r in got if r.doc_id == d} for d in range(10_000, 10_000 + len(texts))}
+    assert by_doc[10_001] == by_doc[10_002] == {1000, 1004} and by_doc[10_010] == by_doc[10_011] == {1005}  # other names, numbers and word counts
+    assert by_doc[10_004] == {1001} and not by_doc[10_005] and by_doc[10_006] == {1002} and not by_doc[10_007] and by_doc[10_008] == {1003} and not by_doc[10_009]
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    words = ITEM.split()
+    rows = [(None, ITEM), (None, "a clean text without an id"), (1, " ".join(words[:14])), (1, " ".join(words[10:])), (2, ITEM), (2, "a clean text of the same id"), (2, ITEM)]
+    docs = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id bigint, text string, same string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    kept = [tuple(r)[:2] for r in decontaminate.remove_contaminated(docs, items, enough=12).collect()]
+    assert sorted(kept, key=str) == sorted([rows[1], rows[2], rows[3], rows[5]], key=str)
+
+
 def test_planted_items_are_found_and_clean_documents_kept(spark):
     sf = "/root/testdata/sf0.01"
     items = [r.text for r in queries.table(spark, sf, "benchmark").collect()]
