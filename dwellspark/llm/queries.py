@@ -80,7 +80,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(warc.plan(table(spark, sf_dir, "pages")), new_path(spark, "warc"))
-    return warc.read(spark, archives, payloads=False)
+    return warc.read(archives, payloads=False)
 
 
 _OPERATORS = (

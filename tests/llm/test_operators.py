@@ -2,8 +2,10 @@
 
 import datetime
 import hashlib
+import io
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -538,10 +540,10 @@ def test_archives_round_trip(spark, monkeypatch, broadcast):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nX-Page-ID: 666\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "x" * 150), (2, "x" * 150), (3, "short"), (4, "short"), (5, None), (6, fake * 4 + "tail"), (7, "é" * 60), (None, "x" * 150), (9, fake), (1, "x" * 150)]
     rows += [(100 + i, fake + "y" * (i * 37 % 211)) for i in range(60)]
-    pages = spark.createDataFrame([(*r, "mine") for r in rows], "page_id bigint, html string, digest string").repartition(3)
+    pages = spark.createDataFrame([(*r, f"http://a.org/{r[0]}?x=\r\nWARC/1.0\r\n é", "mine") for r in rows], "page_id bigint, html string, url string, digest string").repartition(3)
     archives = warc.write(warc.plan(pages), new_path(spark, "test-warc"))
     for size in (97, 4096):
-        got = warc.read(spark, archives, range_bytes=size).collect()
+        got = warc.read(archives, range_bytes=size).collect()
         assert len(got) == len(rows)
         first = {}
         for i, h in rows:
@@ -553,12 +555,55 @@ def test_archives_round_trip(spark, monkeypatch, broadcast):
             to = first.get(h) if len(body) >= 100 and (i is None or i > first.get(h, i)) else None
             want.append((i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if to is not None else "response", to))
         assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in got)
-    assert warc.read(spark, warc.write(warc.plan(empty(pages)), new_path(spark, "test-warc"))).count() == 0
-    path = archives[0][0].removeprefix("file://")
+    assert warc.read(warc.write(warc.plan(empty(pages)), new_path(spark, "test-warc"))).count() == 0
+    one = spark.createDataFrame([tuple(archives.first())], archives.schema)
+    path = one.first().path.removeprefix("file://")
     with open(path, "r+b") as f:
-        f.truncate(archives[0][1] - 3)
+        f.truncate(one.first().bytes - 3)
     with pytest.raises(ValueError, match="don't end"):
-        warc.read(spark, [(archives[0][0], archives[0][1] - 3)])
+        warc.read(one.withColumn("bytes", F.col("bytes") - 3))
+
+
+def parsed(data):
+    """(fields, block) of each record, as the format says."""
+    at, out = 0, []
+    while at < len(data):
+        head, _, _ = data[at:].partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        assert version == "WARC/1.0"
+        fields = dict(x.split(": ", 1) for x in lines)
+        begin = at + len(head) + 4
+        n = int(fields["Content-Length"])
+        assert data[begin + n : begin + n + 4] == b"\r\n\r\n"
+        out.append((fields, data[begin : begin + n]))
+        at = begin + n + 4
+    return out
+
+
+def test_records_are_those_of_the_format(spark):
+    rows = [("a b", "x" * 150, "http://a.org/é b"), ("c", "x" * 150, None), ("d", "tiny", "http://a.org/d"), (None, "y" * 120, "nothing")]
+    pages = spark.createDataFrame(rows, "page_id string, html string, url string").coalesce(1)
+    archives = warc.write(warc.plan(pages), new_path(spark, "test-warc"), date="2026-01-02T03:04:05Z")
+    (archive,) = archives.collect()
+    with open(archive.path.removeprefix("file://"), "rb") as f:
+        records = parsed(f.read())
+    assert len(records) == 4
+    by_page = {f["X-Page-ID"]: (f, b) for f, b in records}
+    for fields, block in records:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Type"} <= set(fields) and fields["WARC-Date"] == "2026-01-02T03:04:05Z"
+        assert fields["WARC-Type"] == "revisit" or block.startswith(b"HTTP/1.1 200 OK\r\n")
+    assert by_page["a%20b"][0]["WARC-Target-URI"] == "http://a.org/%C3%A9%20b" and by_page["c"][0]["WARC-Target-URI"] == "urn:page:c"
+    assert by_page["c"][0]["WARC-Refers-To"] == by_page["a%20b"][0]["WARC-Record-ID"] and by_page["c"][1] == b""
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload) for r in warc.read(archives, id_type="string").collect()}
+    assert got == {"a b": ("response", None, b"x" * 150), "c": ("revisit", "a b", None), "d": ("response", None, b"tiny"), None: ("response", None, b"y" * 120)}
+
+
+def test_repeated_magic_is_scanned_once():
+    for part in (b"WARC/1.0\r\n", b"X: WARC/1.0\r\n", b"WARC/1.0\r\nA: b\r\n"):
+        data = part * ((2 << 20) // len(part))
+        began = time.time()
+        assert not list(warc._in_range(io.BytesIO(data), 0, len(data), len(data)))
+        assert time.time() - began < 1
 
 
 # registered queries ----------------------------------------------------------------------
