@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .shared import bit_map, on_map, settle, small
+from .shared import bit_map, in_arrow, on_map, settle, small
 
 WINDOW = 8
 LITERALS = 4
@@ -230,7 +230,7 @@ def windows(texts: DataFrame, key: str, text: str, packed: np.ndarray | None = N
                     of = pa.array(of, pa.int64())
                     yield pa.RecordBatch.from_arrays([batch["key"].take(of), batch["same"].take(of), *columns.values()], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def _matched(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, enough: int) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import pretokens
+from .shared import in_arrow
 
 #: Ids that a task packs at once, but for one larger slice of texts.
 POOL_IDS = 1 << 21
@@ -126,4 +127,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, doc_id:
         if pool[0] and sum(map(len, pool[0])):
             yield packed(*pool, first)[0]
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(doc_id, text), run, schema)

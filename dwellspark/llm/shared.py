@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 
 #: Bytes of a side of a join that is broadcast, at most.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of a batch that Spark hands to Python.  Both ends hold a batch several times over, and
+#: Spark's own bound of 64 MB leaves two tasks of a small executor too little.
+BATCH_BYTES = 8 << 20
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: Bits that one row of a bit map holds.
 MAP_ROW = 1 << 15
 
@@ -97,6 +101,14 @@ def small(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if n <= most and size <= most_bytes else df
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """``df.mapInArrow`` on batches of ``BATCH_BYTES``, unless the session has a bound of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, _SPARKS_OWN) == _SPARKS_OWN:
+        conf.set(_BATCH, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def add_columns(
     df: DataFrame, names: dict[str, T.DataType], keep: list[str] | None, work: Callable[[pa.RecordBatch], dict[str, pa.Array]], most: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
 ) -> DataFrame:
@@ -114,4 +126,4 @@ def add_columns(
                 made = work(batch)
                 yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + list(made.values()), [*kept, *made])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .shared import forget, settle, small
+from .shared import forget, in_arrow, settle, small
 
 #: Payload bytes from which equal payloads are stored once.
 LEAST = 100
@@ -123,7 +123,7 @@ def write(planned: DataFrame, folder: str, date: str | None = None) -> DataFrame
             store.move(f"{name}.open", f"{name}.warc")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rpartition('/')[2]}.warc"], "bytes": [size]})
 
-    made, _ = settle(planned.mapInArrow(run, "path string, bytes bigint"), "warc-archives")
+    made, _ = settle(in_arrow(planned, run, "path string, bytes bigint"), "warc-archives")
     return made.select(F.xxhash64("path").alias("file"), "path", "bytes")
 
 
@@ -263,7 +263,7 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
                     bodies.append(block[block.find(END) + len(END) :] if block.startswith(b"HTTP/") else block)
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept_columns), pa.array(bodies, pa.binary())], [*kept_columns, "payload"])
 
-    out = rows.select("path", "body", "n", *kept_columns).mapInArrow(run, schema)
+    out = in_arrow(rows.select("path", "body", "n", *kept_columns), run, schema)
     full = F.col("payload").isNotNull()
     spelt = lambda c: F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B"))).try_cast(id_type)
     return out.select(
