@@ -2,16 +2,19 @@
 
 The file format is a Parquet folder whose rows are blocks:
 shard, block (order of the blocks), shard_start (ids of the shard before the block),
-width (bits per id), n_ids, doc_ids and lengths (ids per document), and data: id k of the
-block in bits [k * width, (k + 1) * width), least significant bit first.  The width is
-the least that holds the vocabulary's largest id, so any id or document of a block is
-found by arithmetic and whole blocks unpack with numpy.  Parquet's commit leaves no
-partial files when an executor is lost.
-
-Documents are dealt to shards by ranges of their id, so only texts are shuffled, once.
-Null text counts as empty (its ids are the end id alone); a null id sorts first; repeated
-ids stand side by side, by a hash of the text.  A document longer than a block is a
-block of its own.  An empty table writes no block and reads as no document.
+width (bits per id), n_ids, first_doc and last_doc (its least and greatest document id, so that
+Parquet's statistics find a document's blocks), doc_ids and lengths (ids per document), and
+data: id k of the block in bits [k * width, (k + 1) * width), least significant bit first.
+The width is the least that holds the vocabulary's largest id, so any id or document of a
+block is found by arithmetic and whole blocks unpack with numpy.  Parquet's commit leaves
+no partial files when an executor is lost.
+
+Texts are encoded where they are read; only packed ids (a third of the text or so) are then
+dealt to shards by ranges of the document's id.  Null text counts as empty (its ids are the end id
+alone); a null id sorts first; repeated ids stand side by side, by a hash of their
+ids.  A document longer than a block is a block of its own, whatever its length.  Other
+columns than id and text are not written.  An empty table writes no block and reads as
+no document.
 """
 
 from __future__ import annotations
@@ -27,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
+from .shared import forget, in_arrow, settle
 
 #: Ids of a block, but for one longer document.
 BLOCK_IDS = 1 << 20
+#: Ids whose bits are spread out at once (32 bytes each).
+SPREAD_IDS = 1 << 16
 #: Shards are at most so many, so that a table of one row each may be broadcast.
 MOST_SHARDS = 100_000
 
@@ -42,8 +48,11 @@ def pack(ids: np.ndarray, width: int) -> bytes:
     """Ids (unsigned, below 2**width) at ``width`` bits each."""
     if width in (8, 16, 32):
         return ids.astype(f"<u{width // 8}").tobytes()
-    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    out = []
+    for at in range(0, len(ids), SPREAD_IDS):  # a multiple of 8 ids fills whole bytes
+        bits = np.unpackbits(ids[at : at + SPREAD_IDS].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+        out.append(np.packbits(bits.ravel(), bitorder="little").tobytes())
+    return b"".join(out)
 
 
 def unpack(data: bytes, width: int, first: int, n: int) -> np.ndarray:
@@ -52,41 +61,66 @@ def unpack(data: bytes, width: int, first: int, n: int) -> np.ndarray:
         return np.frombuffer(data, f"<u{width // 8}", n, first * (width // 8)).astype(np.uint32)
     begin, end = first * width, (first + n) * width
     raw = np.frombuffer(data, np.uint8, (end + 7) // 8 - begin // 8, begin // 8)
-    bits = np.unpackbits(raw, bitorder="little")[begin % 8 : begin % 8 + n * width].reshape(n, width)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+    out = np.zeros(n, np.uint32)
+    for at in range(0, n, SPREAD_IDS):
+        m = min(SPREAD_IDS, n - at)
+        start = begin % 8 + at * width
+        bits = np.unpackbits(raw[start // 8 : (start + m * width + 7) // 8], bitorder="little")[start % 8 : start % 8 + m * width].reshape(m, width)
+        wide = np.zeros((m, 32), np.uint8)
+        wide[:, :width] = bits
+        out[at : at + m] = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    return out
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of all documents, each with id ``end`` after it, to ``path``."""
     from tokenizers import Tokenizer
 
+    spark = docs.sparkSession
     width = width_of(max(Tokenizer.from_file(tokenizer).get_vocab_size() - 1, end))
+    id_type = docs.schema[doc_id].dataType
+    coded = T.StructType([T.StructField("doc", id_type), T.StructField("n", T.LongType()), T.StructField("data", T.BinaryType())])
     schema = T.StructType(
         [T.StructField(n, T.IntegerType()) for n in ("shard", "block")]
-        + [T.StructField("shard_start", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("n_ids", T.LongType())]
-        + [T.StructField("doc_ids", T.ArrayType(docs.schema[doc_id].dataType)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())]
+        + [T.StructField("shard_start", T.LongType()), T.StructField("width", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("first_doc", id_type), T.StructField("last_doc", id_type)]
+        + [T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, done = TaskContext.get().partitionId(), 0, 0
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pretokens.slices(whole, text):
-                offsets, ids = pretokens.encode(batch[text], tokenizer, end)
-                at = 0
-                while at < batch.num_rows:
-                    to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_ids, side="right")) - 1)
-                    n = int(offsets[to] - offsets[at])
-                    rows = pa.ListArray.from_arrays(pa.array([0, to - at], pa.int32()), batch[doc_id].slice(at, to - at))
-                    lengths = pa.array([np.diff(offsets[at : to + 1])], pa.list_(pa.int64()))
-                    data = pa.array([pack(ids[offsets[at] : offsets[to]], width)], pa.binary())
-                    heads = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([done], pa.int64()), pa.array([width], pa.int32()), pa.array([n], pa.int64())]
-                    yield pa.RecordBatch.from_arrays([*heads, rows, lengths, data], schema.names)
-                    block, done, at = block + 1, done + n, to
-
-    dealt = docs.select(doc_id, text).repartitionByRange(F.col(doc_id), F.xxhash64(text)).sortWithinPartitions(doc_id, F.xxhash64(text))
-    dealt.mapInArrow(run, schema).write.parquet(path)
+            for batch in pretokens.slices(whole, "text"):
+                offsets, ids = pretokens.encode(batch["text"], tokenizer, end)
+                cut = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+                yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(np.diff(offsets)), pa.array([pack(ids[a:b], width) for a, b in cut], pa.binary())], coded.names)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, block, done = TaskContext.get().partitionId(), 0, 0
+        held: tuple[list, list, list] = ([], [], [])  # documents, their numbers of ids, and ids
+
+        def made() -> pa.RecordBatch:
+            doc, lengths = pa.array(held[0], pa_type), np.array(held[1], np.int64)
+            ids = np.concatenate([unpack(d, width, 0, n) for d, n in zip(held[2], held[1])])
+            heads = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([done], pa.int64()), pa.array([width], pa.int32()), pa.array([len(ids)], pa.int64()), doc.slice(0, 1), doc.slice(len(doc) - 1, 1)]
+            rows = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
+            return pa.RecordBatch.from_arrays([*heads, rows, pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(ids, width)], pa.binary())], schema.names)
+
+        for batch in batches:
+            pa_type = batch["doc"].type
+            for doc, n, data in zip(*(batch[c].to_pylist() for c in ("doc", "n", "data"))):
+                if held[0] and sum(held[1]) + n > block_ids:
+                    yield made()
+                    block, done = block + 1, done + sum(held[1])
+                    held = ([], [], [])
+                for column, value in zip(held, (doc, n, data)):
+                    column.append(value)
+        if held[0]:
+            yield made()
+
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    ids, ids_path = settle(in_arrow(rows, encoded, coded), "token-ids-unordered")
+    dealt = ids.repartitionByRange(F.col("doc"), F.xxhash64("data")).sortWithinPartitions("doc", F.xxhash64("data"))
+    in_arrow(dealt, blocks, schema).write.parquet(path)
+    forget(spark, ids_path)
 
 
 def shard_starts(blocks: DataFrame) -> DataFrame:
@@ -114,12 +148,13 @@ def read(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:
 
     starts = shard_starts(blocks)
     starts = F.broadcast(starts) if spark.conf.get("spark.sql.shuffle.partitions").isdigit() and int(spark.conf.get("spark.sql.shuffle.partitions")) <= MOST_SHARDS else starts
-    return blocks.join(starts, "shard").select("shard_start", "before", "width", "doc_ids", "lengths", "data").mapInArrow(run, schema)
+    return in_arrow(blocks.join(starts, "shard").select("shard_start", "before", "width", "doc_ids", "lengths", "data"), run, schema)
 
 
 def read_document(spark: SparkSession, path: str, wanted: int, doc_id: str = "doc_id") -> list[np.ndarray]:
-    """The ids of each document with id ``wanted``, from its blocks alone."""
-    found = spark.read.parquet(path).filter(F.array_contains("doc_ids", F.lit(wanted))).collect()
+    """The ids of each document with id ``wanted`` (not null), from its blocks alone."""
+    near = (F.col("first_doc").isNull() | (F.col("first_doc") <= wanted)) & (F.col("last_doc") >= wanted)
+    found = spark.read.parquet(path).filter(near).filter(F.array_contains("doc_ids", F.lit(wanted))).collect()
     out = []
     for b in sorted(found, key=lambda b: (b.shard, b.block)):
         ends = np.concatenate([[0], np.cumsum(b.lengths)]).astype(int)

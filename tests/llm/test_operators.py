@@ -328,7 +328,8 @@ def test_planted_items_are_found_and_clean_documents_kept(spark):
 
 
 @pytest.mark.parametrize("width", [1, 7, 8, 15, 16, 17, 31, 32])
-def test_bits_round_trip(width):
+def test_bits_round_trip(width, monkeypatch):
+    monkeypatch.setattr(packed_ids, "SPREAD_IDS", 64)
     ids = np.random.default_rng(width).integers(0, 1 << width, 1001, dtype=np.uint64).astype(np.uint32)
     data = packed_ids.pack(ids, width)
     assert len(data) == -(-1001 * width // 8)
