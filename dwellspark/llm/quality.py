@@ -6,13 +6,15 @@ labels are tied by a 2 x 2 transition table.  Forward-backward gives each line's
 marginal; the document's score is the length-weighted mean marginal of good, passed
 through a one-variable logistic curve.
 
-The field is fitted on at most ``MOST_FITTED`` labelled documents (whole texts),
-drawn by a hash of the id; lines inherit the label of their document.  Executors
-make the line features; the driver gets only those, and fits by gradient ascent.
+The field is fitted on at most ``MOST_FITTED`` labelled documents (whole texts of at most
+``LONGEST_FITTED`` lines) and ``MOST_LINES`` lines, drawn by a hash of the id and the text; lines
+inherit the label of their document.  Executors make the line features; the driver gets
+only those (some 70 bytes a line), and fits by gradient ascent.
 
 Null and empty texts are one empty line and get a score like any other; a very long
 text is scored whole; repeated rows get equal scores; an empty table gives an empty
-table.  Rows with null labels or ids are not fitted on.
+table.  Rows with null labels or ids are not fitted on.  Columns named score, n_lines or
+bad_lines (in any case) are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .shared import add_columns
+from .shared import add_columns, settle
 
 #: Labelled documents that the field is fitted on, at most.
 MOST_FITTED = 3000
+#: Lines of such a document, and of all of them, at most.
+LONGEST_FITTED, MOST_LINES = 2_000, 300_000
 #: Bytes of text whose lines are measured together; a byte needs some 60 bytes of memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 #: Classes of UTF-8 bytes: other, upper, lower, digit, blank, sentence mark, symbol, letter of several bytes, control.
 OTHER, UPPER, LOWER, DIGIT, BLANK, MARK, SYMBOL, WIDE, EXCLAIM, BAR = range(10)
@@ -78,14 +83,16 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     feeds = data == 10
     counts = np.bincount((line * N_CLASSES + kinds)[~feeds], minlength=len(of) * N_CLASSES).reshape(-1, N_CLASSES)[: len(of)].astype(np.float64)
     gap = (kinds == BLANK) | feeds
+    begin = np.zeros(len(data) + 1, bool)  # a line begins, in the same text or another
+    begin[starts] = True
     word_end = ~gap
-    word_end[:-1] &= gap[1:] | feeds[1:]
+    word_end[:-1] &= gap[1:] | begin[1:-1]
     words = np.bincount(line[word_end], minlength=len(of)).astype(np.float64)
     odd = word_end & np.isin(kinds, (SYMBOL, EXCLAIM, BAR))
     odd_ends = np.bincount(line[odd], minlength=len(of)).astype(np.float64)
     # words that repeat the word before them in their line, by length and summed byte codes
     word_start = ~gap
-    word_start[1:] &= gap[:-1]
+    word_start[1:] &= gap[:-1] | begin[1:-1]
     begins = np.flatnonzero(word_start)
     again = np.zeros(len(of))
     if len(begins):
@@ -94,9 +101,10 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         same[1:] = (held[1:] == held[:-1]) & (line[begins[1:]] == line[begins[:-1]])
         again = np.bincount(line[begins[same]], minlength=len(of)).astype(np.float64)
     # lines that occur more than once in their text, by content
-    raw = pa.Array.from_buffers(pa.large_binary(), len(data) and len(of), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]) if len(data) else None
     repeated = np.zeros(len(of))
-    if raw is not None:
+    if len(data):
+        bounds = np.stack([starts, ends], axis=1).ravel().astype(np.int64)
+        raw = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).take(pa.array(np.arange(0, len(bounds), 2)))
         same = raw.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
         key = of * (int(same.max()) + 1) + same
         _, where, times = np.unique(key, return_inverse=True, return_counts=True)
@@ -213,7 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A field fitted on ``docs`` whose id has a 0/1 ``label``; ``most`` bounds the sample."""
     rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(most)
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id").select("y", "text")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
+    texts = texts.select("y", F.xxhash64("id").alias("of"), F.xxhash64("text").alias("same"), "text").orderBy("of", "same").limit(most)  # ids may be repeated
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         first, size, x = line_features(batch["text"])
@@ -223,8 +232,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             "x": pa.array([x[a:b].astype(np.float32).tobytes() for a, b in cut], pa.binary()),
         }
 
-    made = add_columns(texts, {"size": T.BinaryType(), "x": T.BinaryType()}, ["y"], work, lambda b: pretokens.slices(b, "text", SLICE_BYTES))
-    rows = sorted(((r.y, bytes(r.size), bytes(r.x)) for r in made.limit(2 * most).collect()), key=lambda r: (r[0], r[1], r[2]))
+    made = add_columns(texts, {"size": T.BinaryType(), "x": T.BinaryType()}, ["y", "of", "same"], work, lambda b: pretokens.slices(b, "text", SLICE_BYTES))
+    made, _ = settle(made.withColumn("n", F.length("size") / 4).filter(F.col("n") <= LONGEST_FITTED), "quality-lines")
+    before = F.sum("n").over(W.orderBy("of", "same", "y").rowsBetween(W.unboundedPreceding, 0))  # of MOST_FITTED rows
+    rows = made.withColumn("lines", before).filter(F.col("lines") <= MOST_LINES).select("y", "size", "x").collect()
+    rows = sorted(((r.y, bytes(r.size), bytes(r.x)) for r in rows), key=lambda r: (r[0], r[1], r[2]))
     if not rows:
         return LineField((0.0,) * N_FEATURES, (0.0,) * 4)
     sizes = [np.frombuffer(s, np.int32) for _, s, _ in rows]
