@@ -98,11 +98,25 @@ WITH RECURSIVE parts AS (
          regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM parts
 ), tags AS (
   SELECT url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS tag FROM split
+), fields AS (
+  SELECT url, tag, regexp_extract(tag, '(?i)[\s"''/]rel\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS rel,
+         regexp_extract(tag, '(?i)[\s"''/]http-equiv\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS equiv,
+         regexp_extract(tag, '(?i)[\s"''/]href\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS href,
+         regexp_extract(tag, '(?i)[\s"''/]content\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', ['a', 'b', 'c']) AS content FROM tags
+), named AS (
+  SELECT url, trim(replace(CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(string_split_regex(lower(trim(rel.a || rel.b || rel.c)), '\s+'), 'canonical') THEN href.a || href.b || href.c
+                           WHEN regexp_matches(tag, '(?i)^<meta') AND lower(trim(equiv.a || equiv.b || equiv.c)) = 'refresh'
+                           THEN regexp_extract(content.a || content.b || content.c, '(?i)^[^;,]*[;,]\s*url\s*=\s*["'']?([^"''\s]*)', 1) ELSE '' END, '&amp;', '&')) AS target FROM fields
+), targets AS (
+  SELECT url, regexp_extract(url, '^[^/?#]*://[^/?#]*') AS origin, regexp_extract(url, '^[^/?#]*://[^/?#]*([^?#]*)', 1) AS path, target FROM named WHERE target <> ''
+), full_urls AS (
+  SELECT url, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                   WHEN starts_with(target, '//') THEN regexp_extract(url, '^[^/?#]*:') || target WHEN starts_with(target, '?') THEN origin || path || target
+                   WHEN starts_with(target, '#') THEN url WHEN starts_with(target, '/') THEN origin || target
+                   ELSE origin || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^.*/') END || target END AS target FROM targets
 ), edges AS (
-  SELECT DISTINCT regexp_extract(url, '^[^#]*') AS a,
-         regexp_extract(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
-                             ELSE regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '^[^#]*') AS b
-  FROM tags WHERE regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical\b|\bhttp-equiv\s*=\s*["'']?refresh\b')
+  SELECT DISTINCT lower(regexp_extract(url, '^[^/?#]*://[^/?#]*')) || regexp_extract(regexp_replace(url, '^[^/?#]*://[^/?#]*', ''), '^[^#]*') AS a,
+         lower(regexp_extract(target, '^[^/?#]*://[^/?#]*')) || regexp_extract(regexp_replace(target, '^[^/?#]*://[^/?#]*', ''), '^[^#]*') AS b FROM full_urls
 ), linked AS (
   SELECT a, b FROM edges WHERE a LIKE '%://%' AND b LIKE '%://%' AND a <> b UNION SELECT b, a FROM edges WHERE a LIKE '%://%' AND b LIKE '%://%' AND a <> b
 ), reach AS (
@@ -119,7 +133,7 @@ fits AS (
          row_number() OVER (PARTITION BY s.page_id, s.url ORDER BY length(r.rhost || r.rpath) DESC, r.decision) AS n
   FROM split s LEFT JOIN rules r ON (s.host = r.rhost OR s.host LIKE '%.' || r.rhost) AND starts_with(s.path, r.rpath)
 )
-SELECT page_id, host, path, rule, coalesce(decision, CASE WHEN regexp_extract(url, '^[^#]*') IN (SELECT url FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(decision, CASE WHEN lower(regexp_extract(url, '^[^/?#]*://[^/?#]*')) || regexp_extract(regexp_replace(url, '^[^/?#]*://[^/?#]*', ''), '^[^#]*') IN (SELECT url FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
 FROM fits WHERE n = 1
 """
 

@@ -7,13 +7,14 @@ verdict: they are blocked if their connected component over redirect and
 canonical-link edges holds a blocked url, else allowed.  An explicit allow keeps its
 url allowed whatever its aliases are.
 
-Link targets are resolved against the page's url (or its base element): relative and
-protocol-relative ones too, with ``&amp;`` decoded.  Urls of links, redirects and pages meet
-with scheme and host in lower case and without fragment.
+Links are ``link`` elements whose rel has the word canonical, and ``meta`` elements with
+http-equiv refresh and a url.  Targets are resolved against the page's url (or its base
+element): relative and protocol-relative ones too, with ``&amp;`` decoded.  Urls of links,
+redirects and pages meet with scheme and host in lower case and without fragment.
 
 Only DataFrame functions are used.  Null or malformed urls have empty host and path,
 fit no rule (unless a rule's host is empty) and are allowed.  Repeated rows are judged
-alike; an empty table gives an empty table.  Columns named like a result column are
+alike; an empty table gives an empty table; very long pages and urls are read whole.  Columns named like a result column are
 replaced, others kept.
 """
 
@@ -112,20 +113,32 @@ def resolved(target: Column, base: Column) -> Column:
     )
 
 
+def _value(pattern: str, of: Column) -> Column:
+    """What follows ``pattern``: in double quotes, in single quotes or up to a blank; empty if nothing does."""
+    full = pattern + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(F.concat(*[F.regexp_extract(of, full, i) for i in (1, 2, 3)]))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return _value(rf"""(?i)[\s"'/]{name}""", tag)
+
+
+def _target(tag: Column) -> Column:
+    """The url that a canonical link or meta refresh names; empty for other tags."""
+    canonical = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
+    content = _attribute(tag, "content")
+    named = F.trim(F.concat(*[F.regexp_extract(content, r"""(?i)^[^;,]*[;,]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s]\S*))""", i) for i in (1, 2, 3)]))
+    return F.when(tag.rlike("(?i)^<link") & canonical, _attribute(tag, "href")).when(tag.rlike("(?i)^<meta") & refresh, named).otherwise("")
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): page urls and the urls that their canonical links and meta redirects name."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    wanted = F.filter(tags, lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    target = F.transform(
-        wanted,
-        lambda t: F.when(t.rlike(r"(?i)^<link"), F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)).otherwise(
-            F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-        ),
-    )
-    has = F.col(html).rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b")
+    body = F.col(html)
+    tags = F.filter(F.regexp_extract_all(body, F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike("(?i)canonical|refresh"))
     decode = lambda t: F.regexp_replace(t, "(?i)&(?:amp|#0*38|#x0*26);", "&")
-    stated = decode(F.regexp_extract(F.col(html), r"(?i)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    rows = pages.filter(has).select(F.col(url).alias("url"), stated.alias("stated"), F.explode(target).alias("target")).filter("target <> ''")
+    stated = decode(_attribute(F.regexp_extract(body, r"(?i)<base\b[^>]*>", 0), "href"))
+    rows = pages.filter(body.rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("url"), stated.alias("stated"), F.explode(F.transform(tags, _target)).alias("target")).filter("target <> ''")
     rows = rows.withColumn("base", F.coalesce(F.when(F.col("stated") != "", resolved(F.col("stated"), F.col("url"))), F.col("url")))
     edges = rows.select(_place(F.col("url")).alias("a"), _place(resolved(decode(F.col("target")), F.col("base"))).alias("b"))
     return edges.filter("instr(a, '://') > 0 AND instr(b, '://') > 0 AND a <> b").distinct()

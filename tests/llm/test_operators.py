@@ -7,6 +7,7 @@ import itertools
 import re
 import time
 import zlib
+from urllib.parse import urljoin
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,47 @@ def test_marginals_are_those_of_all_labellings():
     assert np.allclose(good, want) and np.allclose(pairs, seen)
 
 
+def brute_lines(text):
+    """A line's features, byte by byte."""
+    lines = text.encode().split(b"\n")
+    out = []
+    for line in lines:
+        kinds = [int(quality.CLASSES[b]) for b in line]
+        words = re.findall(rb"[^ \t\r\x0b\x0c]+", line)
+        n = lambda k: kinds.count(k)  # noqa: B023, E731
+        letters, length, count = max(1, n(quality.UPPER) + n(quality.LOWER) + n(quality.WIDE)), max(1, len(line)), max(1, len(words))
+        odd = sum(int(quality.CLASSES[w[-1]]) in (quality.SYMBOL, quality.EXCLAIM, quality.BAR) for w in words)
+        again = sum(a == b for a, b in zip(words, words[1:]))
+        x = [
+            1, np.log1p(len(line)) / 5, n(quality.UPPER) / letters, n(quality.DIGIT) / length, n(quality.BLANK) / length, n(quality.MARK) / count, n(quality.SYMBOL) / count, n(quality.EXCLAIM) / count,
+            n(quality.BAR) / count, n(quality.WIDE) / length, length / count / 10, odd / count, again / count, lines.count(line) > 1, len(line) < 20, not line,
+        ]
+        out.append([min(5.0, float(v)) for v in x])
+    return out
+
+
+def test_lines_and_scores_equal_brute_force():
+    texts = ["One line", "", None, "a a b!\n\nSAME | x\nSAME | x\n tail  12 é#", "\n", "x\n" * 5 + "end", "zwei Wörter!!! ### ***"]
+    first, size, x = quality.line_features(pa.array(texts))
+    want = [brute_lines(t or "") for t in texts]
+    assert np.diff(first).tolist() == [len(w) for w in want] and size.tolist() == [len(line) for t in texts for line in (t or "").encode().split(b"\n")]
+    assert np.allclose(x, np.concatenate(want))
+    rng = np.random.default_rng(2)
+    field = quality.LineField(tuple(rng.normal(size=quality.N_FEATURES)), tuple(rng.normal(size=4)), 1.3, -0.2)
+    got = field.documents(first, size, field.lines(first, x))
+    tie = np.array(field.tie).reshape(2, 2)
+    for i, lines in enumerate(want):
+        if len(lines) > 6:
+            continue
+        wide = [np.concatenate([lines[j], lines[j - 1] if j else np.zeros(16), lines[j + 1] if j + 1 < len(lines) else np.zeros(16)]) for j in range(len(lines))]
+        emit = [float(w @ np.array(field.weights)) for w in wide]
+        weights = {ys: np.exp(sum(e for e, y in zip(emit, ys) if y) + sum(tie[p, q] for p, q in zip(ys, ys[1:]))) for ys in itertools.product((0, 1), repeat=len(lines))}
+        good = [sum(w for ys, w in weights.items() if ys[j]) / sum(weights.values()) for j in range(len(lines))]
+        length = [max(1, len(line)) for line in (texts[i] or "").encode().split(b"\n")]
+        mean = np.clip(np.average(good, weights=length), 1e-4, 1 - 1e-4)
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(field.slope * np.log(mean / (1 - mean)) + field.shift))))
+
+
 def test_quality_edges(spark, hard):
     field = quality.LineField((0.1,) * quality.N_FEATURES, (0.5, 0.0, 0.0, 0.5))
     out = quality.score(hard.withColumn("Score", F.lit("mine")), field).toPandas()
@@ -132,6 +174,26 @@ def test_link_targets_are_resolved(spark):
     assert {r.page_id: r.verdict for r in out} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
+def test_links_of_odd_tags(spark):
+    tags = [
+        ('<link rel="shortlink  Canonical" href="/a b">', "http://h.org/a b"), ("<LINK href='/single' rel='canonical'/>", "http://h.org/single"), ("<link data-rel=canonical href=/no>", None),
+        ('<link rel="canonicals" href="/no">', None), ("<meta content='5;URL=\"/q\"' http-equiv=Refresh>", "http://h.org/q"), ('<meta http-equiv="refresh" content="5">', None), ('<meta name="canonical" content="x">', None),
+        ("<meta http-equiv=refresh content='0; url=/u v'>", "http://h.org/u"),
+    ]
+    pages = spark.createDataFrame([(f"http://h.org/{i}", t) for i, (t, _) in enumerate(tags)], "url string, html string")
+    assert {(r.a, r.b) for r in url_filter.link_edges(pages).collect()} == {(f"http://h.org/{i}", w) for i, (_, w) in enumerate(tags) if w}
+
+
+def test_resolution_equals_the_library(spark):
+    bases = ["http://h.org", "https://h.org/", "http://h.org/a/b/c?x=/y", "http://h.org/a/b/"]
+    targets = ["x", "./x", "../x", "../../x", "../../../x", "/x/../y", "//k.org/z", "?q=1", "http://k.org/a", "x/./y/", ".", "..", "x?y=../z"]
+    rows = [(b, t) for b in bases for t in targets]
+    got = spark.createDataFrame(rows, "b string, t string").select("b", "t", url_filter.resolved(F.col("t"), F.col("b")).alias("u")).collect()
+    for r in got:
+        base = r.b if r.b.count("/") > 2 else r.b + "/"
+        assert r.u == urljoin(r.b if r.t.startswith("?") else base, r.t), (r.b, r.t)
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(80)] + [(5, 5)]
