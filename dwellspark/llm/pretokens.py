@@ -155,7 +155,7 @@ def encode_each(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 class Known:
     """Pieces that this worker has encoded before, up to ``MOST`` of them (some 200 bytes each)."""
 
-    MOST = 3 << 18
+    MOST = 1 << 19
 
     def __init__(self, path: str):
         self.path = path
