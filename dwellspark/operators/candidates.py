@@ -1,7 +1,9 @@
 """Visit history, adaptive windows and candidate places of every charge.
 
-What a charge knows of earlier charges depends on rows before it only, so the ordered
-scan becomes one equi-join on the vehicle with a residual order condition.
+What a charge knows of earlier charges depends on rows before it only.  Stays of the last
+days meet it in an equi-join on vehicle and bucket of days, its last stays come from one
+ordered pass over the vehicle, and the last visit to a place is a running maximum; no
+charge is joined with its vehicle's whole history.
 """
 
 from __future__ import annotations
@@ -18,27 +20,56 @@ SHORTEST, LONGEST, GROWTH = 7.0, 56.0, 1.5
 NEVER_HOURS = 1e6
 
 
-def events(rows: DataFrame) -> DataFrame:
-    """(hashvin, e_order, place, event_time): registered stays, at parking start or else charge end."""
-    at = F.coalesce("inactive_start_time", "charge_end_time")
-    return rows.select("hashvin", F.col("session_order").alias("e_order"), F.col(LABEL).alias("place"), at.alias("event_time")).filter("event_time IS NOT NULL")
+def reference() -> Column:
+    return F.coalesce("charge_end_time", "charge_start_time")
 
 
-def history(rows: DataFrame) -> DataFrame:
-    """Each session with each earlier event of its vehicle: session_uid, ref, place, event_time, age_days, back.
+def in_days(asks: DataFrame, seen: DataFrame, keys: list[str], days: float) -> DataFrame:
+    """Pairs of asks (keys, order, at) and earlier events (keys, e_order, began, event_time) by keys and time.
 
-    back: 1 for the newest registered event before the session.
+    Holds all pairs with e_order < order and event_time at ``days`` before ``at`` or later, and
+    some older ones.  An event is in the buckets of ``days`` days from its charge (``began``,
+    no later than any later ask) to the one after its time, an ask in one bucket.
     """
-    ref = F.coalesce("charge_end_time", "charge_start_time")
-    base = rows.select("session_uid", "hashvin", "session_order", ref.alias("ref"))
-    out = base.join(events(rows), "hashvin").filter("e_order < session_order")
-    back = F.row_number().over(W.partitionBy("session_uid").orderBy(F.desc("e_order")))
-    return out.withColumns({"age_days": ft.hours_between("event_time", "ref") / 24, "back": back})
+    bucket = lambda c: F.floor(ft.epoch_seconds(c) / (days * 86400))
+    asks = asks.withColumn("bucket", bucket("at"))
+    first, last = F.least(bucket("began"), bucket("event_time")), bucket("event_time") + 1
+    seen = seen.withColumn("bucket", F.explode(F.sequence(first, last)))
+    return asks.join(seen, [*keys, "bucket"]).filter("e_order < order").drop("bucket", "began")
+
+
+def history(rows: DataFrame, days: float = LONGEST) -> DataFrame:
+    """Each session with the earlier events of its vehicle in the last ``days`` days: session_uid, place, event_time, age_days."""
+    at = F.coalesce("inactive_start_time", "charge_end_time")
+    seen = rows.select("hashvin", F.col("session_order").alias("e_order"), F.col(LABEL).alias("place"), F.col("charge_start_time").alias("began"), at.alias("event_time")).filter("event_time IS NOT NULL")
+    asks = rows.select("session_uid", "hashvin", F.col("session_order").alias("order"), reference().alias("at"))
+    out = in_days(asks, seen, ["hashvin"], days).withColumn("age_days", ft.hours_between("event_time", "at") / 24)
+    return out.filter(F.col("age_days") <= days).select("session_uid", "place", "event_time", "age_days")
 
 
 def history_in_window(rows: DataFrame, days: float) -> DataFrame:
     """(session_uid, place, n): earlier stays not older than ``days`` at the reference time."""
-    return history(rows).filter(F.col("age_days") <= days).groupBy("session_uid", "place").agg(F.count(F.lit(1)).alias("n"))
+    return history(rows, days).groupBy("session_uid", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
+def last_events(rows: DataFrame, n: int = RECENT) -> DataFrame:
+    """(session_uid, place, back): the last ``n`` registered stays before each session, newest first from 1."""
+    place = F.when(F.coalesce("inactive_start_time", "charge_end_time").isNotNull(), F.col(LABEL))
+    marked = rows.select("session_uid", "hashvin", "session_order", place.alias("stay"))
+    back = [F.expr(f"lag(stay, {i}) IGNORE NULLS OVER (PARTITION BY hashvin ORDER BY session_order)") for i in range(1, n + 1)]
+    return marked.select("session_uid", F.array(*back).alias("stays")).select("session_uid", F.posexplode("stays").alias("i", "place")).filter("place IS NOT NULL").select("session_uid", "place", (F.col("i") + 1).alias("back"))
+
+
+def last_visit(asks: DataFrame, seen: DataFrame, keys: list[str], latest: Column) -> DataFrame:
+    """``asks`` (keys, order, ...) with ``last``: ``latest``, a running aggregate of event_time over earlier events.
+
+    seen: (keys, e_order, event_time).  One ordered pass over both by keys.
+    """
+    both = asks.withColumns({"event_time": F.lit(None).cast("timestamp_ntz"), "is_event": F.lit(0)}).unionByName(
+        seen.select(*keys, F.col("e_order").alias("order"), "event_time", F.lit(1).alias("is_event")), allowMissingColumns=True
+    )
+    before = W.partitionBy(*keys).orderBy("order", "is_event").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("last", latest.over(before)).filter("is_event = 0").drop("event_time", "is_event")
 
 
 def ladder(base_days: Column) -> Column:
@@ -47,8 +78,8 @@ def ladder(base_days: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda j: F.greatest(F.lit(SHORTEST), F.least(F.lit(LONGEST), base_days * F.pow(F.lit(GROWTH), j))))
 
 
-def adaptive_windows(rows: DataFrame, intervals: DataFrame, past: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(session_uid, window_days, stays_in_window) and the history with each event's ladder level.
+def adaptive_windows(rows: DataFrame, intervals: DataFrame, past: DataFrame | None = None) -> DataFrame:
+    """(session_uid, window_days, stays_in_window).
 
     The window is the first with ``MIN_PLACES`` places and ``MIN_STAYS`` stays, else the last.
     """
@@ -65,13 +96,12 @@ def adaptive_windows(rows: DataFrame, intervals: DataFrame, past: DataFrame | No
     found = sums.groupBy("session_uid").agg(F.min(F.when(enough, F.col("level"))).alias("met"), F.array_sort(F.collect_list(F.struct("level", "stays"))).alias("sums"))
     out = steps.join(found, "session_uid", "left").withColumn("chosen", F.least(F.coalesce("met", F.size("steps") - 1), F.size("steps") - 1))
     held = F.coalesce(F.array_max(F.transform(F.filter("sums", lambda s: s["level"] <= F.col("chosen")), lambda s: s["stays"])), F.lit(0))
-    windows = out.select("session_uid", F.element_at("steps", F.col("chosen") + 1).alias("window_days"), held.cast("bigint").alias("stays_in_window"))
-    return windows, levelled
+    return out.select("session_uid", F.element_at("steps", F.col("chosen") + 1).alias("window_days"), held.cast("bigint").alias("stays_in_window"))
 
 
-def recent_places(past: DataFrame, n: int = RECENT) -> DataFrame:
+def recent_places(rows: DataFrame, n: int = RECENT) -> DataFrame:
     """(session_uid, recent_rank, place): distinct places of the last n events, newest first."""
-    last = past.filter(F.col("back") <= n).groupBy("session_uid", "place").agg(F.min("back").alias("back"))
+    last = last_events(rows, n).groupBy("session_uid", "place").agg(F.min("back").alias("back"))
     return last.select("session_uid", F.row_number().over(W.partitionBy("session_uid").orderBy("back")).alias("recent_rank"), "place")
 
 
@@ -82,13 +112,10 @@ def candidates(rows: DataFrame, intervals: DataFrame, nearest: DataFrame, includ
     place (``include_truth``: all, train or none).
     """
     past = history(rows)
-    windows, _ = adaptive_windows(rows, intervals, past)
-    per = past.join(windows.select("session_uid", "window_days"), "session_uid").groupBy("session_uid", "place").agg(
-        F.count_if(F.col("age_days") <= F.col("window_days")).alias("freq"), F.max("event_time").alias("last"), F.min("ref").alias("ref"), F.min("back").alias("back")
-    )
-    hours = ft.hours_between("last", "ref")
-    per = per.withColumn("recency_hours", F.when(hours >= 0, hours).otherwise(NEVER_HOURS)).drop("last", "ref")
-    listed = per.filter((F.col("freq") > 0) | (F.col("back") <= RECENT)).withColumn("source", F.when(F.col("freq") > 0, "window").otherwise("recent"))
+    windows = adaptive_windows(rows, intervals, past)
+    per = past.join(windows.select("session_uid", "window_days"), "session_uid").filter("age_days <= window_days").groupBy("session_uid", "place").agg(F.count(F.lit(1)).alias("freq"))
+    recent = last_events(rows).select("session_uid", "place").distinct()
+    listed = per.join(recent, ["session_uid", "place"], "full").select("session_uid", "place", F.when(F.col("freq") > 0, "window").otherwise("recent").alias("source"))
     have = listed.groupBy("session_uid").agg(F.count(F.lit(1)).alias("have"))
     rest = nearest.select("session_uid", "place", "distance_order").join(listed.select("session_uid", "place"), ["session_uid", "place"], "left_anti").join(have, "session_uid", "left")
     rest = rest.withColumn("order", F.row_number().over(W.partitionBy("session_uid").orderBy("distance_order")))
@@ -98,25 +125,30 @@ def candidates(rows: DataFrame, intervals: DataFrame, nearest: DataFrame, includ
     truth = truth.filter("split = 'train'") if include_truth == "train" else truth.filter("false") if include_truth == "none" else truth
     truth = truth.select("session_uid", "place", F.lit(True).alias("is_truth"))
     named = named.join(truth, ["session_uid", "place"], "full").withColumns({"source": F.coalesce("source", F.lit("label")), "is_truth": F.coalesce("is_truth", F.lit(False))})
-    full = named.join(per.select("session_uid", "place", "freq", "recency_hours"), ["session_uid", "place"], "left").join(windows, "session_uid")
+    me = rows.select("session_uid", "hashvin", F.col("session_order").alias("order"), reference().alias("ref"))
+    seen = rows.select("hashvin", F.col(LABEL).alias("place"), F.col("session_order").alias("e_order"), F.coalesce("inactive_start_time", "charge_end_time").alias("event_time"))
+    visited = last_visit(named.join(me, "session_uid"), seen.filter("event_time IS NOT NULL"), ["hashvin", "place"], F.max("event_time")).drop("hashvin", "order")
+    hours = ft.hours_between("last", "ref")
+    visited = visited.withColumn("recency_hours", F.when(hours >= 0, hours)).drop("last", "ref")
+    full = visited.join(per, ["session_uid", "place"], "left").join(windows, "session_uid")
     full = full.withColumns({"freq": F.coalesce("freq", F.lit(0)), "recency_hours": F.coalesce("recency_hours", F.lit(NEVER_HOURS)), "in_window": F.col("source").isin("window", "label")})
     order = [F.desc("is_truth"), F.when(F.col("source") == "window", 0).otherwise(1), F.desc("freq"), "recency_hours", F.coalesce("distance_order", F.lit(9999)), "place"]
     return full.withColumn("rank", F.row_number().over(W.partitionBy("session_uid").orderBy(*order))).filter(F.col("rank") <= TOP_K)
 
 
-def train_visits(rows: DataFrame, split: str = "split") -> DataFrame:
-    return rows.filter((F.col(split) == "train") & F.col("inactive_start_time").isNotNull()).select("hashvin", F.col("session_order").alias("v_order"), F.col(LABEL).alias("place"), F.col("inactive_start_time").alias("visited"))
-
-
 def place_visits(rows: DataFrame, pairs: DataFrame, days: int = 90, alpha: float = 1.0, never: float = NEVER_HOURS, split: str = "split") -> DataFrame:
     """``pairs`` (session_uid, hashvin, place) with freq (+ alpha) within ``days`` before the charge and hours since the last registered visit."""
-    me = rows.select("session_uid", "session_order", "charge_start_time")
-    seen = pairs.select("session_uid", "hashvin", "place").join(me, "session_uid").join(train_visits(rows, split), ["hashvin", "place"]).filter("v_order < session_order")
-    near = F.count_if(F.col("visited") >= F.expr(f"charge_start_time - INTERVAL '{days}' DAY"))
-    agg = seen.groupBy("session_uid", "place").agg(near.alias("n"), F.max_by("visited", "v_order").alias("last"), F.min("charge_start_time").alias("start"))
-    agg = agg.select("session_uid", "place", "n", F.greatest(F.lit(0.0), ft.hours_between("last", "start")).alias("h"))
-    out = pairs.join(agg, ["session_uid", "place"], "left")
-    return out.withColumns({"freq": F.coalesce("n", F.lit(0)) + F.lit(alpha), "recency_hours": F.coalesce("h", F.lit(never))}).drop("n", "h")
+    kept = rows.filter((F.col(split) == "train") & F.col("inactive_start_time").isNotNull())
+    seen = kept.select("hashvin", F.col(LABEL).alias("place"), F.col("session_order").alias("e_order"), F.col("charge_start_time").alias("began"), F.col("inactive_start_time").alias("event_time"))
+    me = rows.select("session_uid", F.col("session_order").alias("order"), F.col("charge_start_time").alias("at"))
+    asks = pairs.select("session_uid", "hashvin", "place").join(me, "session_uid")
+    near = in_days(asks, seen, ["hashvin", "place"], days).filter(F.col("event_time") >= F.expr(f"at - INTERVAL '{days}' DAY"))
+    near = near.groupBy("session_uid", "place").agg(F.count(F.lit(1)).alias("n"))
+    last = last_visit(asks, seen.drop("began"), ["hashvin", "place"], F.last("event_time", ignorenulls=True))
+    last = last.select("session_uid", "place", F.greatest(F.lit(0.0), ft.hours_between("last", "at")).alias("h"), F.col("last").isNotNull().alias("__seen"))
+    out = pairs.join(near, ["session_uid", "place"], "left").join(last, ["session_uid", "place"], "left")
+    recency = F.when(F.col("__seen"), F.col("h")).otherwise(never)
+    return out.withColumns({"freq": F.coalesce("n", F.lit(0)) + F.lit(alpha), "recency_hours": recency}).drop("n", "h", "__seen")
 
 
 def daily_bins(rows: DataFrame, stays: DataFrame, mode: str = "calendar", size: int = 6) -> DataFrame:

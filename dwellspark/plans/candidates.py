@@ -56,12 +56,12 @@ def history_in_window(spark, d):
 
 @family.query(f"WITH {BASE}{PAST}{STEPS} SELECT session_uid, round(window_days, 6) AS window_days, stays_in_window FROM win")
 def adaptive_window(spark, d):
-    return cd.adaptive_windows(ordered(spark, d), intervals(spark, d))[0].select("session_uid", r("window_days"), "stays_in_window")
+    return cd.adaptive_windows(ordered(spark, d), intervals(spark, d)).select("session_uid", r("window_days"), "stays_in_window")
 
 
 @family.query(f"WITH {BASE}{PAST}, l AS (SELECT session_uid, place, min(back) AS back FROM past WHERE back <= 10 GROUP BY ALL) SELECT session_uid, CAST(row_number() OVER (PARTITION BY session_uid ORDER BY back) AS INTEGER) AS recent_rank, place FROM l")
 def recent_places(spark, d):
-    return cd.recent_places(cd.history(ordered(spark, d)))
+    return cd.recent_places(ordered(spark, d))
 
 
 _CAND = "session_uid, rank, place, source, distance_order, is_truth, freq, round(recency_hours, 6) AS recency_hours, in_window, round(window_days, 6) AS window_days, stays_in_window"
