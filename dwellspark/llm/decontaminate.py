@@ -27,6 +27,7 @@ part and are kept, whatever their names.  Empty tables give an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,9 +72,8 @@ _CHECKS = np.random.default_rng(11).integers(1, 1 << 63, WINDOW, dtype=np.uint64
 _FORMS = np.random.default_rng(12).integers(1, 1 << 63, (3, WINDOW + 1), dtype=np.uint64)
 
 
-def _kind(word: str) -> tuple[int, str]:
-    """(kind, core) of a word as it stands."""
-    core = word.strip(STRIPPED)
+def _kind(core: str, word: str) -> tuple[int, str]:
+    """(kind, canonical form) of a word with this core."""
     if not core:
         return (UNIT, word) if word in UNITS else (NOTHING, "")
     if core[0].isdigit():
@@ -90,6 +90,14 @@ def _kind(word: str) -> tuple[int, str]:
     return (UNIT if low in UNITS else LITERAL), low
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def word_facts(word: str) -> tuple[int, bool, bool, int, str]:
+    """(kind, whether it ends and begins with its core, hash and text of its canonical form) of a word as it stands."""
+    core = word.strip(STRIPPED)
+    kind, form = _kind(core, word)
+    return kind, word.endswith(core), word.startswith(core), _hash(form), form
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text, 42)
 
@@ -114,20 +122,18 @@ class Words:
         both = np.stack([begins, ends], axis=1).ravel() if len(begins) else np.zeros(0, np.int64)
         raw = pa.Array.from_buffers(pa.large_string(), max(0, len(both) - 1), [None, pa.py_buffer(both.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = raw.take(pa.array(np.arange(0, len(both), 2))).dictionary_encode() if len(both) else pa.array([], pa.large_string()).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        kinds = [_kind(w) for w in distinct]
-        self.cores = [c for _, c in kinds]
-        table = np.array([(k, w.endswith(w.strip(STRIPPED)), w.startswith(w.strip(STRIPPED))) for (k, _), w in zip(kinds, distinct)], np.int8).reshape(-1, 3)
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        kind, bare_end, bare_start = table[codes].T if len(codes) else np.zeros((3, 0), np.int8)
-        hashes = np.fromiter(map(_hash, self.cores), np.uint64, len(self.cores))[codes] if len(codes) else np.zeros(0, np.uint64)
+        facts = list(map(word_facts, coded.dictionary.to_pylist()))
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        column = lambda i, kind: np.fromiter((f[i] for f in facts), kind, len(facts))[codes]
+        kind, bare_end, bare_start, hashes = column(0, np.int8), column(1, bool), column(2, bool), column(3, np.uint64)
+        self.cores = [f[4] for f in facts]
         of = np.searchsorted(offsets, begins, side="right") - 1
         same_line = np.zeros(len(begins), bool)
         if len(begins) > 1:
             feeds = np.concatenate([[0], np.cumsum(data == 10)])
             same_line[1:] = (of[1:] == of[:-1]) & (feeds[begins[1:]] == feeds[begins[:-1]])
         goes_on = np.zeros(len(begins), bool)
-        goes_on[1:] = same_line[1:] & (kind[1:] == NAME) & (kind[:-1] == NAME) & (bare_end[:-1] == 1) & (bare_start[1:] == 1)
+        goes_on[1:] = same_line[1:] & (kind[1:] == NAME) & (kind[:-1] == NAME) & bare_end[:-1] & bare_start[1:]
         real = kind != NOTHING
         self.kind, self.of, self.codes, self.hashes, self.goes_on = kind[real], of[real], codes[real], hashes[real], goes_on[real]
         #: Each text's first word, and one past the last.

@@ -294,7 +294,7 @@ def brute_tokens(text):
     for line in re.split("\n", text or ""):
         open_name = False
         for word in re.findall(r"[^\x20\x09-\x0D]+", line):
-            kind, core = decontaminate._kind(word)
+            kind, _, _, _, core = decontaminate.word_facts(word)
             if kind == decontaminate.NOTHING:
                 open_name = False
                 continue
