@@ -47,7 +47,7 @@ ENOUGH = 5
 #: Words of an exact window.
 EXACT = 4
 #: Bytes of text whose windows are made together; a word needs some 150 bytes of memory.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bits of the map of benchmark hashes.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 #: Distinct benchmark windows (24 bytes each) that are broadcast, at most.
