@@ -1,7 +1,9 @@
 """Day patterns: scaling, keyed k-means, density groups, quality scores and profiles.
 
 Days are rows (key, day, vector) with ``key`` a vehicle; all vehicles are clustered in
-one job.  Distances are taken within a key only.
+one job.  Distances are taken within a key only; where all pairs of a key are needed
+(silhouette, core distances), its days are dealt to blocks, a task compares two blocks with
+numpy, and only sums or nearest distances leave it.
 """
 
 from __future__ import annotations
@@ -9,11 +11,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Days of a block; a task holds one, or compares two.
+BLOCK_DAYS = 2_000
+
+
 def squared(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -39,40 +47,107 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
 
 
 def work_folder(df: DataFrame) -> str:
-    """A folder that all executors share: under spark.checkpoint.dir, or local where that is unset (tests)."""
-    top = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A folder that all executors share: under spark.checkpoint.dir, or local where that is unset in a local session."""
+    context = df.sparkSession.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir")
+    if not top and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{top.rstrip('/')}/patterns" if top else f"file://{tempfile.mkdtemp(prefix='spark-patterns-')}"
 
 
-def day_kmeans(days: DataFrame, ks: tuple[int, ...] = (3, 4, 5), restarts: int = 2, rounds: int = 5, seed: int = 42) -> DataFrame:
+def dense(long: DataFrame) -> DataFrame:
+    """(key, day, vector) of long rows (key, day, feature, value): a component per feature of the key, in order of its name, 0 where a day lacks it."""
+    names = long.groupBy("key").agg(F.array_sort(F.collect_set("feature")).alias("features"))
+    days = long.groupBy("key", "day").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")).join(names, "key")
+    return days.select("key", "day", F.transform("features", lambda f: F.coalesce(F.try_element_at("m", f), F.lit(0.0))).alias("vector"))
+
+
+def scaled(days: DataFrame) -> DataFrame:
+    """(key, day, vector) scaled per key and component by mean and population deviation (0 counts as 1)."""
+    parts = days.select("key", F.posexplode("vector").alias("i", "x")).groupBy("key", "i").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"))
+    scale = parts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("i", "mean", "sd"))).alias("scale"))
+    one = lambda x, s: (x - s["mean"]) / F.when(s["sd"] == 0, 1.0).otherwise(s["sd"])
+    return days.join(scale, "key").select("key", "day", F.zip_with("vector", "scale", one).alias("vector"))
+
+
+def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), restarts: int = 10, rounds: int = 300, seed: int = 42) -> DataFrame:
     """(key, k, day, label): per key and k the labels of the restart with least inertia.
 
-    Lloyd's steps run for all keys, ks and restarts at once.  First centres are the k days
-    that come first by a hash of day, k, restart and seed.  A k needs more than k days.
+    Lloyd's steps run for all keys, ks and restarts at once, until no centre of any moves;
+    runs that are settled take no further part.  First centres are the k days that
+    come first by a hash of day, k, restart and seed.  A k needs more than k days.  Raises if
+    ``rounds`` are not enough.  A task gets a block of a key's days and the centres of its runs,
+    and passes on sums by label; one task per run adds those up.
     """
     folder = work_folder(days)
     n = days.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     runs = n.select("key", "n", F.explode(F.array(*map(F.lit, ks))).alias("k")).filter("k < n").select("key", "k", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"))
     first = days.join(runs, "key").withColumn("r", F.row_number().over(W.partitionBy("key", "k", "run").orderBy(F.xxhash64("day", "k", "run", F.lit(seed)), "day")))
-    centres = _written(first.filter("r <= k").select("key", "k", "run", (F.col("r") - 1).alias("label"), "vector"), folder)
-
-    def assigned(centres: DataFrame) -> DataFrame:
-        near = days.join(centres.withColumnRenamed("vector", "centre"), "key").withColumn("d2", squared(F.col("vector"), F.col("centre")))
-        return near.groupBy("key", "k", "run", "day").agg(F.min(F.struct("d2", "label")).alias("b"), F.first("vector").alias("vector")).select("key", "k", "run", "day", "vector", "b.label", "b.d2")
+    open_ = first.filter("r <= k").groupBy("key", "k", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "vector"))), lambda c: c["vector"]).alias("centres"))
+    open_, settled = _written(open_, folder), None
+    blocks = n.select("key", F.ceil(F.col("n") / BLOCK_DAYS).cast("int").alias("blocks"))
+    dealt = _written(days.join(blocks, "key").select("key", "day", "vector", F.pmod(F.xxhash64("day"), F.col("blocks")).cast("int").alias("block")), folder)
+    key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
+    run_type = f"key {key_type}, k int, run int"
+
+    def met(runs: DataFrame, work, schema: str) -> DataFrame:
+        """``work`` on each block of days with all runs of its key."""
+        everywhere = runs.join(blocks, "key").select("key", "k", "run", "centres", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        return dealt.groupBy("key", "block").cogroup(everywhere.groupBy("key", "block")).applyInPandas(work, schema)
+
+    def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d2 = ((vectors[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+        label = d2.argmin(axis=1)
+        return label, d2[np.arange(len(label)), label]
+
+    def sums(here: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(here):
+            vectors = np.stack(here["vector"].to_numpy())
+            for r in runs.itertuples():
+                centres = np.stack(r.centres)
+                one = np.eye(r.k)[nearest(vectors, centres)[0]]
+                out.append((r.key, r.k, r.run, (one.T @ vectors).ravel(), one.sum(axis=0), centres.ravel()))
+        return pd.DataFrame(out, columns=["key", "k", "run", "total", "n", "old"])
+
+    def merged(parts: pd.DataFrame) -> pd.DataFrame:
+        k = int(parts["k"].iloc[0])
+        total, n, old = np.sum(np.stack(parts["total"].to_numpy()), axis=0).reshape(k, -1), np.sum(np.stack(parts["n"].to_numpy()), axis=0)[:, None], parts["old"].iloc[0].reshape(k, -1)
+        new = np.where(n > 0, total / np.maximum(n, 1), old)
+        return pd.DataFrame([(*parts[["key", "k", "run"]].iloc[0], list(new), bool(np.allclose(new, old, rtol=0, atol=1e-9)))], columns=["key", "k", "run", "centres", "still"])
 
     for _ in range(rounds):
-        centres = _written(mean_vectors(assigned(centres), "key", "k", "run", "label"), folder)
-    last = _written(assigned(centres), folder)
+        parts = met(open_, sums, f"{run_type}, total array<double>, n array<double>, old array<double>")
+        moved = _written(parts.groupBy("key", "k", "run").applyInPandas(merged, f"{run_type}, centres array<array<double>>, still boolean"), folder)
+        done = moved.filter("still").drop("still")
+        settled = done if settled is None else settled.unionByName(done)
+        open_ = moved.filter("NOT still").drop("still")
+        if open_.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"k-means needs more than {rounds} rounds")
+
+    def labelled(here: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(here):
+            vectors = np.stack(here["vector"].to_numpy())
+            for r in runs.itertuples():
+                label, d2 = nearest(vectors, np.stack(r.centres))
+                out.append(pd.DataFrame({"key": r.key, "k": r.k, "run": r.run, "day": here["day"], "label": label.astype(np.int32), "d2": d2}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("key", "k", "run", "day", "label", "d2")})
+
+    last = _written(met(settled, labelled, f"{run_type}, day {day_type}, label int, d2 double"), folder)
     cost = last.groupBy("key", "k", "run").agg(F.sum("d2").alias("cost"))
-    best = cost.groupBy("key", "k").agg(F.min_by("run", F.struct("cost", "run")).alias("run"))
+    best = cost.groupBy("key", "k").agg(F.min_by("run", F.struct(F.round("cost", 9), "run")).alias("run"))
     return last.join(best, ["key", "k", "run"]).select("key", "k", "day", "label")
 
 
-def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, least: int = 5, rounds: int = 25) -> DataFrame:
+def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, least: int = 5, rounds: int = 1000) -> DataFrame:
     """(key, day, label): groups of days linked at mutual reachability up to the key's cut-off, -1 for small ones.
 
     The core distance of a day is that to its third-nearest other day; the cut-off is
-    a quantile of the core distances.  Labels are the least day of the group.
+    a quantile of the core distances.  Labels are the least day of the group.  Raises if
+    ``rounds`` don't settle them.
     """
     folder = work_folder(days)
     a, b = days.select("key", F.col("day").alias("a"), F.col("vector").alias("va")), days.select("key", F.col("day").alias("b"), F.col("vector").alias("vb"))
@@ -91,10 +166,49 @@ def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, lea
         labels = after
         if not changed:
             break
+    else:
+        raise RuntimeError(f"the groups need more than {rounds} rounds")
     size = F.count(F.lit(1)).over(W.partitionBy("key", "label"))
     return labels.withColumn("n", size).select("key", "day", F.when(F.col("n") >= least, F.col("label")).otherwise(F.lit(-1)).alias("label"))
 
 
+def label_distances(rows: DataFrame, ks: list[str], block_days: int = BLOCK_DAYS) -> DataFrame:
+    """(keys, x, lx, ly, d): mean distance of each day x to the other days of each label of its key.
+
+    A key's days are dealt to blocks by a hash; every block meets every block in one group,
+    whose distances numpy computes and sums by day and label.
+    """
+    blocks = rows.groupBy(*ks).agg(F.ceil(F.count(F.lit(1)) / block_days).cast("int").alias("__blocks"))
+    dealt = rows.join(blocks, ks).withColumn("__b", F.pmod(F.xxhash64("day"), F.col("__blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    mine = dealt.select(*ks, F.col("__b").alias("__mine"), every.alias("__other"), "day", "label", "vector")
+    theirs = dealt.select(*[F.col(k).alias(k) for k in ks], every.alias("__mine"), F.col("__b").alias("__other"), *[F.col(c).alias(c) for c in ("day", "label", "vector")])
+    group = [*ks, "__mine", "__other"]
+    day_type, label_type = rows.schema["day"].dataType.simpleString(), rows.schema["label"].dataType.simpleString()
+    schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in ks] + [f"x {day_type}", f"lx {label_type}", f"ly {label_type}", "total double", "n bigint"])
+
+    def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        va, vb = np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())
+        labels, of = np.unique(b["label"].to_numpy(), return_inverse=True)
+        one = np.zeros((len(b), len(labels)))
+        one[np.arange(len(b)), of] = 1
+        sums, counts = np.zeros((len(a), len(labels))), np.zeros((len(a), len(labels)))
+        days = b["day"].to_numpy()
+        for at in range(0, len(a), 64):  # 64 x block_days x components at most
+            part = slice(at, at + 64)
+            far = np.sqrt(((va[part, None, :] - vb[None, :, :]) ** 2).sum(axis=2))
+            other = a["day"].to_numpy()[part, None] != days[None, :]
+            sums[part], counts[part] = (far * other) @ one, other @ one
+        i, j = np.nonzero(counts)
+        made = {k: [v] * len(i) for k, v in zip(ks, key)}
+        return pd.DataFrame({**made, "x": a["day"].to_numpy()[i], "lx": a["label"].to_numpy()[i], "ly": labels[j], "total": sums[i, j], "n": counts[i, j].astype(np.int64)})
+
+    summed = mine.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInPandas(compare, schema)
+    return summed.groupBy(*ks, "x", "lx", "ly").agg((F.sum("total") / F.sum("n")).alias("d"))
+
+
 def cluster_scores(rows: DataFrame, *keys: str) -> DataFrame:
     """silhouette, calinski_harabasz and davies_bouldin of labelled vectors, by ``keys``.
 
@@ -111,9 +225,7 @@ def cluster_scores(rows: DataFrame, *keys: str) -> DataFrame:
     p, q = (parts.select(*ks, F.col("label").alias(f"label_{x}"), F.col("s").alias(f"s_{x}"), F.col("centre").alias(f"c_{x}")) for x in "pq")
     ratio = (F.col("s_p") + F.col("s_q")) / F.sqrt(squared(F.col("c_p"), F.col("c_q")))
     db = p.join(q, ks).filter("label_p <> label_q").groupBy(*ks, "label_p").agg(F.max(ratio).alias("r")).groupBy(*ks).agg(F.avg("r").alias("davies_bouldin"))
-    x = rows.select(*ks, F.col("day").alias("x"), F.col("label").alias("lx"), F.col("vector").alias("vx"))
-    y = rows.select(*ks, F.col("day").alias("y"), F.col("label").alias("ly"), F.col("vector").alias("vy"))
-    pair = x.join(y, ks).filter("x <> y").groupBy(*ks, "x", "lx", "ly").agg(F.avg(F.sqrt(squared(F.col("vx"), F.col("vy")))).alias("d"))
+    pair = label_distances(rows, ks)
     own, other = F.max(F.when(F.col("lx") == F.col("ly"), F.col("d"))), F.min(F.when(F.col("lx") != F.col("ly"), F.col("d")))
     per = pair.groupBy(*ks, "x").agg(own.alias("a"), other.alias("b"))
     s = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))

@@ -37,29 +37,28 @@ def embedded(spark, d):
     return e.select(F.lit("all").alias("key"), F.col("vec_id").alias("day"), F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
-def bin_vectors(spark, d):
-    """(key, day, vector): share of the day at the fleet's top place, per hour bin."""
-    x = dy.dwell_ratios(folded(spark, d)).filter("place <> 'OTHER'").groupBy("hashvin", "date06", "bin").agg(F.sum("ratio").alias("x"))
-    m = x.groupBy(F.col("hashvin").alias("key"), F.unix_date(F.to_date("date06")).alias("day")).agg(F.map_from_entries(F.collect_list(F.struct("bin", "x"))).alias("m"))
-    return m.select("key", "day", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda b: F.coalesce(F.col("m")[b], F.lit(0.0)) * 10).alias("vector"))
+def day_vectors(spark, d):
+    """(key, day, vector): standardised shares of the day by hour bin and place, days as numbers."""
+    long = long_days(spark, d).select("key", F.unix_date(F.to_date("day")).alias("day"), "feature", "value")
+    return pt.scaled(pt.dense(long))
 
 
 @family.query(
-    f"WITH {LONG} SELECT key, day, feature, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 5) + 0.0 AS z FROM lg WHERE feature LIKE '1_\\_\\_%' ESCAPE '\\' WINDOW w AS (PARTITION BY key, feature)"
+    f"WITH {LONG} SELECT key, day, feature, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 5) + 0.0 AS z FROM lg WINDOW w AS (PARTITION BY key, feature)"
 )
 def standardize_days(spark, d):
-    return pt.standardize(long_days(spark, d).filter(F.col("feature").rlike("^1[0-9]__"))).select("key", "day", "feature", (F.round("z", 5) + 0.0).alias("z"))
+    return pt.standardize(long_days(spark, d)).select("key", "day", "feature", (F.round("z", 5) + 0.0).alias("z"))
 
 
 @family.query()
 def day_kmeans(spark, d):
-    return pt.day_kmeans(bin_vectors(spark, d), ks=(3, 4), restarts=2, rounds=3)
+    return pt.day_kmeans(day_vectors(spark, d))
 
 
 @family.query()
 def k_metric_table(spark, d):
-    days = bin_vectors(spark, d)
-    labels = pt.day_kmeans(days, ks=(3, 4), restarts=1, rounds=2)
+    days = day_vectors(spark, d)
+    labels = pt.day_kmeans(days)
     return pt.average_ranks(pt.cluster_scores(labels.join(days, ["key", "day"]), "key", "k"), "key")
 
 
@@ -109,7 +108,20 @@ def choose_k(spark, d):
 
 @family.query()
 def density_days(spark, d):
-    return pt.density_groups(bin_vectors(spark, d))
+    return pt.density_groups(day_vectors(spark, d))
+
+
+NEAREST = """, vc AS (SELECT key, label, i, avg(x) AS c FROM lv GROUP BY ALL),
+nd AS (SELECT lv.key, lv.label, lv.day, round(sum((x - c) * (x - c)), 9) AS d2 FROM lv JOIN vc ON vc.key = lv.key AND vc.label = lv.label AND vc.i = lv.i GROUP BY ALL)
+SELECT key, label, CAST(rank AS INTEGER) AS rank, day FROM (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY d2, day) AS rank FROM nd) WHERE rank <= 3"""
+
+
+@family.query(f"""WITH {LONG}{LABELS}, fs AS (SELECT DISTINCT key, feature FROM lg), lv AS (SELECT b.key, b.label, b.day, f.feature AS i, coalesce(l.value, 0) AS x
+FROM lb b JOIN fs f ON f.key = b.key LEFT JOIN lg l ON l.key = b.key AND l.day = b.day AND l.feature = f.feature WHERE b.label <> -1){NEAREST}""")
+def nearest_days(spark, d):
+    """The three days nearest to the mean of their pattern."""
+    x = long_days(spark, d)
+    return pt.nearest_days(pt.dense(x), given_labels(x))
 
 
 PROFILE = LONG + LABELS + ", ds AS (SELECT key, label, count(*) AS days FROM lb WHERE label <> -1 GROUP BY ALL), pf AS (SELECT l.key, b.label, feature, sum(value) / any_value(days) AS mean, any_value(days) AS days FROM lg l JOIN lb b USING (key, day) JOIN ds ON ds.key = l.key AND ds.label = b.label GROUP BY ALL)"
