@@ -10,11 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,22 +58,36 @@ def batch_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumns({"proba": F.col("p")[1], "max_proba": F.array_max("p")})
 
 
-def shuffled(rows: DataFrame, column: str, seed: int = 42, by: Sequence[str] = ("hashvin",)) -> DataFrame:
-    """``rows`` with the values of a column dealt anew within ``by``."""
+def _altered(rows: DataFrame, columns: Sequence[str], new: dict[str, Column], keep: Sequence[str]) -> DataFrame:
+    """A row per row and column of ``columns``, named ``feature``, in which that column has its ``new`` value."""
+    one = lambda c: F.struct(F.lit(c).alias("feature"), *[(new[c] if x == c else F.col(x)).alias(x) for x in columns])
+    others = [c for c in keep if c not in columns]
+    return rows.select(*others, F.explode(F.array(*map(one, columns))).alias("__a")).select(*others, "__a.*")
+
+
+def dealt_anew(rows: DataFrame, columns: Sequence[str], seed: int = 42, by: Sequence[str] = ("hashvin",)) -> DataFrame:
+    """``rows`` with ``__new``: the ``columns`` of another row of the same ``by``, each row's given once."""
     here = W.partitionBy(*by)
     a = rows.withColumn("__i", F.row_number().over(here.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id")))
-    b = rows.select(*by, F.col(column).alias("__new"), F.row_number().over(here.orderBy(F.xxhash64("row_id", F.lit(seed + 1)), "row_id")).alias("__i"))
-    return a.join(b, [*by, "__i"]).withColumn(column, F.col("__new")).drop("__new", "__i")
+    b = rows.select(*by, F.struct(*columns).alias("__new"), F.row_number().over(here.orderBy(F.xxhash64("row_id", F.lit(seed + 1)), "row_id")).alias("__i"))
+    return a.join(b, [*by, "__i"]).drop("__i")
 
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, columns: Sequence[str], seed: int = 42) -> DataFrame:
-    """(feature, drop): loss of accuracy when a feature is dealt anew."""
+    """(feature, drop): loss of accuracy when a feature is dealt anew; one pass over all features."""
     hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-    out = model.transform(rows).agg(hit.alias("score")).withColumn("feature", F.lit(None).cast("string"))
-    for c in columns:
-        out = out.unionByName(model.transform(shuffled(rows, c, seed)).agg(hit.alias("score")).withColumn("feature", F.lit(c)))
-    base = out.filter("feature IS NULL").select(F.col("score").alias("base"))
-    return out.filter("feature IS NOT NULL").join(F.broadcast(base)).select("feature", (F.col("base") - F.col("score")).alias("drop"))
+    base = model.transform(rows).agg(hit.alias("base"))
+    altered = _altered(dealt_anew(rows, columns, seed), columns, {c: F.col(f"__new.{c}") for c in columns}, rows.columns)
+    return model.transform(altered).groupBy("feature").agg(hit.alias("score")).join(F.broadcast(base)).select("feature", (F.col("base") - F.col("score")).alias("drop"))
+
+
+def precision_gap(model: PipelineModel, rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """(n, mean_gap, max_gap): differences of a model's predictions on its inputs and on inputs cut to single precision."""
+    single = rows.withColumns({c: F.col(c).cast("float").cast("double") for c in numeric})
+    a = model.transform(rows).select("row_id", F.col("prediction").alias("a"))
+    b = model.transform(single).select("row_id", F.col("prediction").alias("b"))
+    gap = F.abs(F.col("a") - F.col("b"))
+    return a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"))
 
 
 def leaderboard(train: DataFrame, test: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -97,15 +111,8 @@ def feature_impact(model: PipelineModel, rows: DataFrame, train: DataFrame, colu
     base = model.transform(rows).select("row_id", F.col("prediction").cast("int").alias("k"), vector_to_array("probability").alias("p"))
     if base.filter("k >= size(p)").limit(1).count():
         raise ValueError("a predicted label has no probability")
-    out = None
-    for c in columns:
-        other = model.transform(rows.withColumn(c, F.lit(float(medians[c])))).select("row_id", vector_to_array("probability").alias("q"))
-        one = base.join(other, "row_id").select("row_id", F.lit(c).alias("feature"), (F.element_at("p", F.col("k") + 1) - F.element_at("q", F.col("k") + 1)).alias("impact"))
-        out = one if out is None else out.unionByName(one)
+    altered = _altered(rows, columns, {c: F.lit(float(medians[c])) for c in columns}, rows.columns)
+    other = model.transform(altered).select("row_id", "feature", vector_to_array("probability").alias("q"))
+    out = base.join(other, "row_id").select("row_id", "feature", (F.element_at("p", F.col("k") + 1) - F.element_at("q", F.col("k") + 1)).alias("impact"))
     w = W.partitionBy("row_id").orderBy(F.desc(F.abs("impact")), "feature")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-
-
-def evaluate(model: PipelineModel, rows: DataFrame, kind: str, label: str = "label") -> float:
-    judge = {"auc": lambda: BinaryClassificationEvaluator(labelCol=label), "accuracy": lambda: MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), "rmse": lambda: RegressionEvaluator(labelCol=label)}[kind]()
-    return float(judge.evaluate(model.transform(rows)))

@@ -40,7 +40,8 @@ def mean_vectors(rows: DataFrame, *keys: str) -> DataFrame:
     return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def _written(df: DataFrame, folder: str) -> DataFrame:
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """The table written to the shared folder and reread, which cuts its lineage."""
     path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -84,9 +85,9 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
     runs = n.select("key", "n", F.explode(F.array(*map(F.lit, ks))).alias("k")).filter("k < n").select("key", "k", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"))
     first = days.join(runs, "key").withColumn("r", F.row_number().over(W.partitionBy("key", "k", "run").orderBy(F.xxhash64("day", "k", "run", F.lit(seed)), "day")))
     open_ = first.filter("r <= k").groupBy("key", "k", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "vector"))), lambda c: c["vector"]).alias("centres"))
-    open_, settled = _written(open_, folder), None
+    open_, settled = written(open_, folder), None
     blocks = n.select("key", F.ceil(F.col("n") / BLOCK_DAYS).cast("int").alias("blocks"))
-    dealt = _written(days.join(blocks, "key").select("key", "day", "vector", F.pmod(F.xxhash64("day"), F.col("blocks")).cast("int").alias("block")), folder)
+    dealt = written(days.join(blocks, "key").select("key", "day", "vector", F.pmod(F.xxhash64("day"), F.col("blocks")).cast("int").alias("block")), folder)
     key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
     run_type = f"key {key_type}, k int, run int"
 
@@ -118,7 +119,7 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
 
     for _ in range(rounds):
         parts = met(open_, sums, f"{run_type}, total array<double>, n array<double>, old array<double>")
-        moved = _written(parts.groupBy("key", "k", "run").applyInPandas(merged, f"{run_type}, centres array<array<double>>, still boolean"), folder)
+        moved = written(parts.groupBy("key", "k", "run").applyInPandas(merged, f"{run_type}, centres array<array<double>>, still boolean"), folder)
         done = moved.filter("still").drop("still")
         settled = done if settled is None else settled.unionByName(done)
         open_ = moved.filter("NOT still").drop("still")
@@ -136,7 +137,7 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
                 out.append(pd.DataFrame({"key": r.key, "k": r.k, "run": r.run, "day": here["day"], "label": label.astype(np.int32), "d2": d2}))
         return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("key", "k", "run", "day", "label", "d2")})
 
-    last = _written(met(settled, labelled, f"{run_type}, day {day_type}, label int, d2 double"), folder)
+    last = written(met(settled, labelled, f"{run_type}, day {day_type}, label int, d2 double"), folder)
     cost = last.groupBy("key", "k", "run").agg(F.sum("d2").alias("cost"))
     best = cost.groupBy("key", "k").agg(F.min_by("run", F.struct(F.round("cost", 9), "run")).alias("run"))
     return last.join(best, ["key", "k", "run"]).select("key", "k", "day", "label")
@@ -151,17 +152,17 @@ def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, lea
     """
     folder = work_folder(days)
     a, b = days.select("key", F.col("day").alias("a"), F.col("vector").alias("va")), days.select("key", F.col("day").alias("b"), F.col("vector").alias("vb"))
-    far = _written(a.join(b, "key").filter("a <> b").select("key", "a", "b", F.sqrt(squared(F.col("va"), F.col("vb"))).alias("d")), folder)
+    far = written(a.join(b, "key").filter("a <> b").select("key", "a", "b", F.sqrt(squared(F.col("va"), F.col("vb"))).alias("d")), folder)
     core = far.withColumn("r", F.row_number().over(W.partitionBy("key", "a").orderBy("d", "b"))).filter(F.col("r") == neighbours).select("key", F.col("a").alias("day"), F.col("d").alias("core"))
     eps = core.groupBy("key").agg(F.percentile("core", share).alias("eps"))
     ca, cb = core.select("key", F.col("day").alias("a"), F.col("core").alias("ca")), core.select("key", F.col("day").alias("b"), F.col("core").alias("cb"))
-    edges = _written(far.join(ca, ["key", "a"]).join(cb, ["key", "b"]).join(eps, "key").filter(F.greatest("d", "ca", "cb") <= F.col("eps")).select("key", "a", "b"), folder)
-    labels = _written(days.select("key", "day", F.col("day").alias("label")), folder)
+    edges = written(far.join(ca, ["key", "a"]).join(cb, ["key", "b"]).join(eps, "key").filter(F.greatest("d", "ca", "cb") <= F.col("eps")).select("key", "a", "b"), folder)
+    labels = written(days.select("key", "day", F.col("day").alias("label")), folder)
     for _ in range(rounds):
         near = edges.join(labels.select("key", F.col("day").alias("b"), F.col("label").alias("l")), ["key", "b"]).groupBy("key", F.col("a").alias("day")).agg(F.min("l").alias("l"))
         lower = labels.join(near, ["key", "day"], "left").withColumn("label", F.least("label", "l"))
         up = lower.select("key", F.col("day").alias("label"), F.col("label").alias("l2"))
-        after = _written(lower.select("key", "day", "label").join(up, ["key", "label"]).select("key", "day", F.least("label", "l2").alias("label")), folder)
+        after = written(lower.select("key", "day", "label").join(up, ["key", "label"]).select("key", "day", F.least("label", "l2").alias("label")), folder)
         changed = after.join(labels.withColumnRenamed("label", "old"), ["key", "day"]).filter("label <> old").limit(1).count()
         labels = after
         if not changed:

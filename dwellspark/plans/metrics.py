@@ -201,15 +201,15 @@ def map_rows(spark, d):
     color = F.when(F.col("session_type") == "charging", "red").when(F.col("session_type") == "moving", "green").otherwise("blue")
     n = F.row_number().over(W.partitionBy("hashvin").orderBy("start_time", "session_id"))
     out = s.withColumn("number", n).filter("session_type <> 'moving' OR end_lat IS NOT NULL")
-    return out.select("session_id", "hashvin", "number", kind.alias("geometry"), color.alias("color"), ft.date06("start_time").alias("time"), "start_lon", "start_lat", geo.duration_text(F.col("duration_minutes")).alias("duration_text"))
+    return out.select("session_id", "hashvin", "number", kind.alias("geometry"), color.alias("color"), ft.date06("start_time").alias("time"), "start_lon", "start_lat", *[F.when(kind == "LineString", F.col(c)).alias(c) for c in ("end_lon", "end_lat")], geo.duration_text(F.col("duration_minutes")).alias("duration_text"))
 
 
 @family.query(
-    f"""WITH {BASE} SELECT session_id, hashvin, CASE session_type WHEN 'moving' THEN 'LineString' ELSE 'Point' END AS geometry, CASE session_type WHEN 'charging' THEN 'red' WHEN 'moving' THEN 'green' ELSE 'blue' END AS color, {DATE06.format('start_time')} AS time, round(start_lon, 6) AS start_lon, round(start_lat, 6) AS start_lat, {TEXT} AS duration_text FROM sessions WHERE session_type <> 'moving' OR end_lat IS NOT NULL"""
+    f"""WITH {BASE} SELECT session_id, hashvin, CASE session_type WHEN 'moving' THEN 'LineString' ELSE 'Point' END AS geometry, CASE session_type WHEN 'charging' THEN 'red' WHEN 'moving' THEN 'green' ELSE 'blue' END AS color, {DATE06.format('start_time')} AS time, round(start_lon, 6) AS start_lon, round(start_lat, 6) AS start_lat, CASE WHEN session_type = 'moving' THEN round(end_lon, 6) END AS end_lon, CASE WHEN session_type = 'moving' THEN round(end_lat, 6) END AS end_lat, {TEXT} AS duration_text FROM sessions WHERE session_type <> 'moving' OR end_lat IS NOT NULL"""
 )
 def map_features(spark, d):
     """Flat columns; ``sinks.geojson`` makes the GeoJSON documents."""
-    return map_rows(spark, d).select("session_id", "hashvin", "geometry", "color", "time", r("start_lon"), r("start_lat"), "duration_text")
+    return map_rows(spark, d).select("session_id", "hashvin", "geometry", "color", "time", r("start_lon"), r("start_lat"), r("end_lon"), r("end_lat"), "duration_text")
 
 
 @family.query(f"WITH {BASE} SELECT hashvin, count(*) AS features, round(avg(start_lat), 6) AS center_lat, round(avg(start_lon), 6) AS center_lon FROM sessions WHERE session_type <> 'moving' OR end_lat IS NOT NULL GROUP BY 1")

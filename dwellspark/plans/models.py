@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from ..operators import metrics as mt
 from ..operators import models as md
 from ..operators import series as sr
-from ..operators.patterns import work_folder
+from ..operators.patterns import work_folder, written
 from ..sources import fleet, sinks
+from . import candidates as candidate_plans
 from . import daily as daily_plans
 from . import places as place_plans
 from .base import Family
@@ -20,29 +21,37 @@ from .series import daily as daily_series
 
 family = Family()
 
-NUMERIC = ["charge_start_soc", "dow", "hour", "prev_lat", "meters", "no"]
+#: Trees and rounds of the registered models.  GBT rounds run one after another (some 0.4 s each at
+#: any small size), so the regressor takes 60 instead of the operator's 400.
+CANDIDATE_ROUNDS, PLACE_TREES, REGRESSION_ROUNDS = 20, 30, 60
+
+NUMERIC = ["candidate_set_size", "cand_distance_m", "cand_freq", "cand_recency_hours", "cand_time_compat", "cand_transition_prev", "dow", "time_sin", "soc_start", "station_home", "daily_bin_0_minutes", "daily_bin_3_minutes"]
+TEXTS = ["daily_bin_0_place", "daily_bin_3_place"]
 
 
 def candidate_rows(spark, d):
-    """Each charge with the eight parking places: distance and time features, and whether the place is the truth."""
-    x = ordered(spark, d).select("session_uid", "session_id", "hashvin", "split", "charge_start_soc", F.weekday("charge_start_time").alias("dow"), F.hour("charge_start_time").alias("hour"), "prev_lat", "charge_lat", "next_long_inactive_cluster", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("no"))
-    label = (F.concat(F.lit("I_"), F.col("no").cast("string")) == F.col("next_long_inactive_cluster")).cast("double")
-    x = x.withColumns({"label": label, "meters": F.abs(F.col("charge_lat") - 35 - 0.01 * F.col("no")) * 111320, "row_id": F.col("session_id") * 8 + F.col("no")})
-    return x.select("row_id", "session_uid", "hashvin", "split", "label", *[F.col(c).cast("double").alias(c) for c in NUMERIC])
+    """The scoring table: each charge with its candidate places, their features, and whether the place is the truth."""
+    t = candidate_plans.scoring_table(spark, d)
+    rows = t.select(F.xxhash64("session_uid", "candidate_cluster").alias("row_id"), "session_uid", "hashvin", "split", "candidate_cluster", F.col("label").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in NUMERIC], *TEXTS)
+    return written(rows, work_folder(rows))
 
 
-def place_rows(spark, d):
-    x = ordered(spark, d)
-    label = F.regexp_extract("next_long_inactive_cluster", r"I_(\d)", 1).cast("double")
-    return x.select(F.col("session_id").alias("row_id"), "session_uid", "hashvin", "split8", "next_long_inactive_cluster", label.alias("label"), F.col("charge_start_soc"), F.weekday("charge_start_time").cast("double").alias("dow"), F.hour("charge_start_time").cast("double").alias("hour"), "prev_lat")
+PLACE = ["dow", "time_sin", "time_cos", "soc_start", *[f"{n}_{k}" for k in range(1, 6) for n in ("dist_m", "freq", "recency_hours", "time_compat", "transition_p")]]
 
 
-PLACE = ["charge_start_soc", "dow", "hour", "prev_lat"]
+def place_rows(spark, d):
+    """The multiclass table with the HEAD rank of the true place as its label (0: OTHER)."""
+    charges = ordered(spark, d).select("session_uid", "session_id", "hashvin", F.col("next_long_inactive_cluster").alias("place"))
+    ranks = charges.join(place_plans.heads(spark, d).select("hashvin", "place", "head_rank"), ["hashvin", "place"], "left")
+    ranks = ranks.select("session_uid", "hashvin", F.col("session_id").alias("row_id"), F.coalesce("head_rank", F.lit(0)).cast("double").alias("label"))
+    t = candidate_plans.multiclass_table(spark, d).join(ranks, "session_uid")
+    rows = t.select("row_id", "session_uid", "hashvin", F.col("split").alias("split8"), "label", *[F.col(c).cast("double").alias(c) for c in PLACE])
+    return written(rows, work_folder(rows))
 
 
 def lagged(spark, d):
     x = sr.lag_vectors(daily_series(spark, d), 4)
-    return x.select("series", "t", "target", F.year("t").alias("year"), *[F.col("lags")[i].alias(f"lag_{i + 1}") for i in range(4)])
+    return x.select(F.xxhash64("series", "t").alias("row_id"), "series", "t", "target", F.year("t").alias("year"), *[F.col("lags")[i].alias(f"lag_{i + 1}") for i in range(4)])
 
 
 LAGS = [f"lag_{i}" for i in range(1, 5)]
@@ -50,26 +59,26 @@ LAGS = [f"lag_{i}" for i in range(1, 5)]
 
 def _fit_candidates(spark, d):
     rows = candidate_rows(spark, d)
-    return md.candidate_classifier(rows.filter("split = 'train'"), NUMERIC, trees=5), rows
+    return md.candidate_classifier(rows.filter("split = 'train'"), NUMERIC, TEXTS, trees=CANDIDATE_ROUNDS), rows
 
 
 @family.query()
 def candidate_classifier(spark, d):
     model, rows = _fit_candidates(spark, d)
-    return md.batch_score(model, rows.filter("split = 'test'")).select("session_uid", "no", "label", "proba")
+    return md.batch_score(model, rows.filter("split = 'test'")).select("session_uid", "candidate_cluster", "label", "proba")
 
 
 @family.query()
 def place_classifier(spark, d):
     rows = place_rows(spark, d)
-    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=10)
+    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=PLACE_TREES)
     return md.batch_score(model, rows.filter("split8 = 'test'")).select("session_uid", "label", "prediction", "max_proba")
 
 
 @family.query()
 def batch_score(spark, d):
     rows = place_rows(spark, d)
-    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=5)
+    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=PLACE_TREES)
     return md.batch_score(model, rows).select("session_uid", "prediction", "proba", "max_proba", F.aggregate("p", F.lit(0.0), lambda a, b: a + b).alias("p_sum"))
 
 
@@ -81,7 +90,7 @@ def _regression(model, rows):
 @family.query()
 def boosted_regressor(spark, d):
     rows = lagged(spark, d)
-    model = md.boosted_regressor(rows.filter("year < 2000"), LAGS, rounds=5, step=0.1)
+    model = md.boosted_regressor(rows.filter("year < 2000"), LAGS, rounds=REGRESSION_ROUNDS, step=0.1)
     return _regression(model, rows.filter("year >= 2000"))
 
 
@@ -91,10 +100,17 @@ def forest_regressor(spark, d):
     return _regression(md.forest_regressor(rows.filter("year < 2000"), LAGS), rows.filter("year >= 2000"))
 
 
+@family.query()
+def model_dtype_parity(spark, d):
+    """How far a forest's predictions move when its inputs are cut to single precision."""
+    rows = lagged(spark, d)
+    return md.precision_gap(md.forest_regressor(rows.filter("year < 2000"), LAGS), rows.filter("year >= 2000"), LAGS)
+
+
 @family.query()
 def permutation_importance(spark, d):
     rows = place_rows(spark, d)
-    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=5)
+    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=PLACE_TREES)
     return md.permutation_importance(model, rows.filter("split8 = 'test'"), PLACE).orderBy(F.desc("drop"), "feature").limit(10)
 
 
@@ -108,7 +124,7 @@ def leaderboard(spark, d):
 def feature_impact(spark, d):
     rows = place_rows(spark, d)
     train = rows.filter("split8 = 'train'")
-    model = md.place_classifier(train, PLACE, trees=5)
+    model = md.place_classifier(train, PLACE, trees=PLACE_TREES)
     return md.feature_impact(model, rows.filter("split8 = 'test'"), train, PLACE)
 
 
@@ -164,7 +180,7 @@ def map_documents(spark, d):
 def save_load_model(spark, d):
     """Predictions of a saved and reloaded model, beside those of the first."""
     rows = place_rows(spark, d)
-    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=5)
+    model = md.place_classifier(rows.filter("split8 = 'train'"), PLACE, trees=PLACE_TREES)
     path = _folder(rows, "model")
     sinks.save_model(model, path)
     a = model.transform(rows).select("session_uid", F.col("prediction").alias("first"))
@@ -177,8 +193,8 @@ def export_scoring_set(spark, d):
     """Test rows with the truth and the predictions of two models."""
     rows = lagged(spark, d)
     train, test = rows.filter("year < 2000"), rows.filter("year >= 2000")
-    a = md.forest_regressor(train, LAGS, trees=5).transform(test).select("series", "t", "target", F.col("prediction").alias("prediction_a"))
-    b = md.boosted_regressor(train, LAGS, rounds=3, step=0.1).transform(test).select("series", "t", F.col("prediction").alias("prediction_b"))
+    a = md.forest_regressor(train, LAGS).transform(test).select("series", "t", "target", F.col("prediction").alias("prediction_a"))
+    b = md.boosted_regressor(train, LAGS, rounds=REGRESSION_ROUNDS, step=0.1).transform(test).select("series", "t", F.col("prediction").alias("prediction_b"))
     path = _folder(rows, "scoring")
     a.join(b, ["series", "t"]).write.parquet(path)
     return spark.read.parquet(path)

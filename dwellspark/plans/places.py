@@ -159,6 +159,10 @@ ml AS (SELECT l.*, coalesce(a.p, b.p, 1.0 / 5) AS transition_p FROM lv l
  LEFT JOIN tp b ON b.hashvin = l.hashvin AND b.level = at_level AND b.target = 'OTHER' AND b.prev IS NOT DISTINCT FROM CASE WHEN at_level LIKE 'prev%' THEN l.prev END AND b.dow IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.dow END AND b.bin IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.bin END)"""
 
 
+def heads(spark, d):
+    return pl.head_places(ordered(spark, d), long_cut(spark, d), HEAD_K)
+
+
 def head_pairs(spark, d):
     """Every session with each of its vehicle's HEAD places."""
     rows = ordered(spark, d)

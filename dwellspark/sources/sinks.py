@@ -31,13 +31,16 @@ def head_details(df: DataFrame) -> DataFrame:
 
 
 def geojson(df: DataFrame) -> DataFrame:
-    """(hashvin, json): a FeatureCollection per vehicle of map rows (geometry, number, color, time, start_lon, start_lat, duration_text)."""
-    feature = F.struct(
-        F.col("number"), F.lit("Feature").alias("type"), F.struct(F.col("geometry").alias("type"), F.array("start_lon", "start_lat").alias("coordinates")).alias("geometry"),
-        F.struct("color", "time", "duration_text", F.col("session_id").alias("id")).alias("properties"),
-    )
-    docs = df.groupBy("hashvin").agg(F.array_sort(F.collect_list(feature)).alias("features"))
-    return docs.select("hashvin", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("json"))
+    """(hashvin, json): a FeatureCollection per vehicle of map rows (geometry, number, color, time, start_lon, start_lat, end_lon, end_lat, duration_text).
+
+    A Point has one position, a LineString those of its start and end.
+    """
+    start, end = F.array("start_lon", "start_lat"), F.array("end_lon", "end_lat")
+    position = F.when(F.col("geometry") == "LineString", F.to_json(F.array(start, end))).otherwise(F.to_json(start))
+    properties = F.to_json(F.struct("number", "color", "time", "duration_text", F.col("session_id").alias("id")))
+    feature = F.concat(F.lit('{"type":"Feature","geometry":{"type":"'), "geometry", F.lit('","coordinates":'), position, F.lit('},"properties":'), properties, F.lit("}"))
+    features = F.transform(F.array_sort(F.collect_list(F.struct("number", feature.alias("text")))), lambda f: f["text"])
+    return df.groupBy("hashvin").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}")).alias("json"))
 
 
 def save_model(model: PipelineModel, path: str) -> None:
