@@ -117,9 +117,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, doc_id: str = "d
             yield made()
 
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    ids, ids_path = settle(in_arrow(rows, encoded, coded), "token-ids-unordered")
+    ids, ids_path = settle(in_arrow(rows, encoded, coded), "token-ids-unordered", "zstd")
     dealt = ids.repartitionByRange(F.col("doc"), F.xxhash64("data")).sortWithinPartitions("doc", F.xxhash64("data"))
-    in_arrow(dealt, blocks, schema).write.parquet(path)
+    in_arrow(dealt, blocks, schema).write.option("compression", "zstd").parquet(path)
     forget(spark, ids_path)
 
 

@@ -53,11 +53,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def settle(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """The table written to the shared folder and reread, which cuts its lineage; its path."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
