@@ -152,11 +152,11 @@ def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, lea
     """
     folder = work_folder(days)
     a, b = days.select("key", F.col("day").alias("a"), F.col("vector").alias("va")), days.select("key", F.col("day").alias("b"), F.col("vector").alias("vb"))
-    far = written(a.join(b, "key").filter("a <> b").select("key", "a", "b", F.sqrt(squared(F.col("va"), F.col("vb"))).alias("d")), folder)
+    far = written(a.join(b, "key").filter("a <> b").select("key", "a", "b", F.round(F.sqrt(squared(F.col("va"), F.col("vb"))), 9).alias("d")), folder)
     core = far.withColumn("r", F.row_number().over(W.partitionBy("key", "a").orderBy("d", "b"))).filter(F.col("r") == neighbours).select("key", F.col("a").alias("day"), F.col("d").alias("core"))
     eps = core.groupBy("key").agg(F.percentile("core", share).alias("eps"))
     ca, cb = core.select("key", F.col("day").alias("a"), F.col("core").alias("ca")), core.select("key", F.col("day").alias("b"), F.col("core").alias("cb"))
-    edges = written(far.join(ca, ["key", "a"]).join(cb, ["key", "b"]).join(eps, "key").filter(F.greatest("d", "ca", "cb") <= F.col("eps")).select("key", "a", "b"), folder)
+    edges = written(far.join(ca, ["key", "a"]).join(cb, ["key", "b"]).join(eps, "key").filter(F.greatest("d", "ca", "cb") <= F.col("eps") + 1e-9).select("key", "a", "b"), folder)
     labels = written(days.select("key", "day", F.col("day").alias("label")), folder)
     for _ in range(rounds):
         near = edges.join(labels.select("key", F.col("day").alias("b"), F.col("label").alias("l")), ["key", "b"]).groupBy("key", F.col("a").alias("day")).agg(F.min("l").alias("l"))

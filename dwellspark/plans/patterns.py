@@ -106,7 +106,18 @@ def choose_k(spark, d):
     return _choose(spark, d).filter("best").select("key", F.col("k").alias("best_k"))
 
 
-@family.query()
+#: Standardised day vectors, distances, core distances, links and what each day reaches.
+DENSITY = """, dn_fs AS (SELECT DISTINCT key, feature FROM lg), dn_dy AS (SELECT DISTINCT key, day, CAST(date_diff('day', DATE '1970-01-01', CAST(day AS DATE)) AS INTEGER) AS no FROM lg),
+dn_dv AS (SELECT dn_dy.key, dn_dy.no, f.feature, coalesce(l.value, 0) AS x FROM dn_dy JOIN dn_fs f ON f.key = dn_dy.key LEFT JOIN lg l ON l.key = dn_dy.key AND l.day = dn_dy.day AND l.feature = f.feature),
+dn_sc AS (SELECT key, no, feature, (x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w = 0 THEN 1 ELSE stddev_pop(x) OVER w END AS z FROM dn_dv WINDOW w AS (PARTITION BY key, feature)),
+dn_pr AS (SELECT a.key, a.no AS a, b.no AS b, round(sqrt(sum((a.z - b.z) * (a.z - b.z))), 9) AS d FROM dn_sc a JOIN dn_sc b ON b.key = a.key AND b.feature = a.feature AND b.no <> a.no GROUP BY ALL),
+dn_co AS (SELECT key, a AS no, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY key, a ORDER BY d, b) AS k FROM dn_pr) WHERE k = 3), dn_ep AS (SELECT key, quantile_cont(core, 0.9) AS eps FROM dn_co GROUP BY 1),
+dn_ed AS (SELECT p.key, p.a, p.b FROM dn_pr p JOIN dn_co x ON x.key = p.key AND x.no = p.a JOIN dn_co y ON y.key = p.key AND y.no = p.b JOIN dn_ep ON dn_ep.key = p.key WHERE greatest(p.d, x.core, y.core) <= eps + 1e-9),
+dn_re AS (SELECT key, no AS a, no AS b FROM dn_dy UNION SELECT r.key, r.a, e.b FROM dn_re r JOIN dn_ed e ON e.key = r.key AND e.a = r.b), dn_la AS (SELECT key, a AS day, min(b) AS label FROM dn_re GROUP BY ALL)
+SELECT key, day, CASE WHEN count(*) OVER (PARTITION BY key, label) >= 5 THEN label ELSE -1 END AS label FROM dn_la"""
+
+
+@family.query(f"WITH RECURSIVE {LONG}{DENSITY}")
 def density_days(spark, d):
     return pt.density_groups(day_vectors(spark, d))
 

@@ -1,22 +1,22 @@
 """Registered queries against their SQL, and plans that must not degrade."""
 
+import json
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
 
 from dwellspark import registry
+from dwellspark.operators import patterns as pt
 
 SMALL = "/root/testdata/sf0.001"
-CHECKED = [
-    "bin_place_minutes", "scan_sessions", "normalize_times", "chrono_split", "centroids", "transition_probability", "head_clusters", "candidates", "daily_bins",
-    "topk_vectors", "rolling_stats", "ratio_split", "cluster_scores", "pattern_heatmap", "vehicle_summary", "residual_table", "session_text",
-]
-TABLES = ["events", "orders", "embeddings", "customer"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"]
 
 
 def shown(v):
-    if isinstance(v, float):
+    if isinstance(v, (float, Decimal)):
+        v = float(v)
         return "nan" if math.isnan(v) else round(v, 6) + 0.0
     return str(v)
 
@@ -29,7 +29,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_its_sql(spark, con, name):
     df = registry.QUERIES[name](spark, SMALL)
     cols = sorted(df.columns)
@@ -49,6 +49,39 @@ def test_splits_are_written_and_read(spark):
     assert {r.split for r in got.select("split").distinct().collect()} == {"train", "valid", "test"}
 
 
+def test_maps_are_geojson(spark):
+    rows = registry.QUERIES["map_features"](spark, SMALL).groupBy("hashvin").count().collect()
+    docs = {r.hashvin: json.loads(r.json) for r in registry.QUERIES["map_documents"](spark, SMALL).collect()}
+    assert {r.hashvin: r["count"] for r in rows} == {v: len(d["features"]) for v, d in docs.items()}
+    for f in (f for d in docs.values() for f in d["features"]):
+        at = f["geometry"]["coordinates"]
+        assert len(at) == 2 and all(len(p) == 2 for p in at) if f["geometry"]["type"] == "LineString" else all(isinstance(x, float) for x in at)
+
+
+def test_days_lie_with_their_nearest_centre(spark):
+    days = spark.createDataFrame([("v", i, [float(i % 3) * 10 + i % 5 * 0.1, float(i % 2) * 0.1]) for i in range(60)] + [("w", i, [float(i)]) for i in range(3)], "key string, day int, vector array<double>")
+    rows = pt.day_kmeans(days, ks=(3, 4), restarts=4).collect()
+    assert {r.key for r in rows} == {"v"} and len(rows) == 120
+    at = {r.day: r.label for r in rows if r.k == 3}
+    assert len({(i % 3, at[i]) for i in range(60)}) == 3  # the three clumps, each with a label of its own
+    scores = {b: pt.label_distances(spark.createDataFrame([("v", d, label, [float(d % 3), 1.0]) for d, label in at.items()], "key string, day int, label int, vector array<double>"), ["key"], b).collect() for b in (7, 2000)}
+    shown = lambda rs: sorted((r.x, r.lx, r.ly, round(r.d, 9)) for r in rs)
+    assert shown(scores[7]) == shown(scores[2000]) and len(scores[7]) == 180
+
+
+def test_scaled_vectors_are_the_long_ones(spark):
+    long = spark.createDataFrame([("v", 1, "a", 1.0), ("v", 2, "a", 3.0), ("v", 2, "b", 4.0), ("w", 1, "c", 2.0)], "key string, day int, feature string, value double")
+    got = {(r.key, r.day): r.vector for r in pt.scaled(pt.dense(long)).collect()}
+    assert got == {("v", 1): [-1.0, -1.0], ("v", 2): [1.0, 1.0], ("w", 1): [0.0]}
+
+
+def test_models_score_every_row(spark):
+    rows = registry.QUERIES["candidate_classifier"](spark, SMALL).collect()
+    assert rows and all(0 <= r.proba <= 1 and r.label in (0.0, 1.0) for r in rows)
+    assert registry.QUERIES["model_dtype_parity"](spark, SMALL).first().max_gap >= 0
+    assert registry.QUERIES["permutation_importance"](spark, SMALL).count() == 10
+
+
 def test_probabilities_sum_to_one(spark):
     assert all(abs(r.p_sum - 1) < 1e-9 for r in registry.QUERIES["batch_score"](spark, SMALL).select("p_sum").collect())
 
