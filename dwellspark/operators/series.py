@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .patterns import work_folder, written
+
 
 def _order(keys, t):
     return W.partitionBy(*keys).orderBy(t)
@@ -40,16 +42,26 @@ def calendar(df: DataFrame, keys=("series",), t: str = "t") -> DataFrame:
     return span.join(df, [*keys, t], "left")
 
 
+def positions(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with position (from 0, by ``order``) and total, the number of rows.
+
+    Rows are dealt to ranges of all of ``order``, so equal first columns don't gather in one
+    task; a position is that within its range plus the rows of earlier ranges.  The
+    ranges are settled in the shared folder, since sampling them again could move them.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), work_folder(df))
+    per = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # a row per range
+    before = per.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("total"))
+    place = F.row_number().over(W.partitionBy("__p").orderBy(*order))
+    return dealt.join(before, "__p").withColumn("position", F.col("__before") + place - 1).drop("__p", "__before")
+
+
 def time_cut_split(df: DataFrame, shares: tuple[float, ...], names: tuple[str, ...], t: str = "t", tie: str = "id") -> DataFrame:
     """``split`` by position in (t, tie) order of the whole table: the first floor(n * share) rows and so on (1 row at least).
 
-    Positions are those within a day plus the counts of earlier days, so that only days
-    are ordered in one place.
+    Rows are ordered by ranges of (t, tie), as ``positions`` does.
     """
-    dated = df.withColumn("__day", F.to_date(t))
-    per = dated.groupBy("__day").agg(F.count(F.lit(1)).alias("__n"))
-    before = per.select("__day", (F.sum("__n").over(W.orderBy("__day")) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy()).alias("__all"))
-    out = dated.join(before, "__day").withColumn("__i", F.col("__before") + F.row_number().over(W.partitionBy("__day").orderBy(t, tie)) - 1)
+    out = positions(df, t, tie).withColumnsRenamed({"position": "__i", "total": "__all"})
     split, total = F.lit(names[-1]), 0.0
     cuts = []
     for share in shares[:-1]:
@@ -57,18 +69,12 @@ def time_cut_split(df: DataFrame, shares: tuple[float, ...], names: tuple[str, .
         cuts.append(F.greatest(F.lit(1), F.floor(F.col("__all") * F.lit(round(total, 9)))))
     for cut, name in reversed(list(zip(cuts, names))):
         split = F.when(F.col("__i") < cut, name).otherwise(split)
-    return out.withColumn("split", split).drop("__day", "__before", "__all", "__i")
-
+    return out.withColumn("split", split).drop("__all", "__i")
 
-def category_codes(df: DataFrame, column: str, prefix: int = 6) -> DataFrame:
-    """(column, code): positions of the distinct texts in order, from 0.
 
-    Positions are those among texts of one prefix plus the counts of earlier prefixes.
-    """
-    distinct = df.select(column).distinct().withColumn("__p", F.substring(column, 1, prefix))
-    per = distinct.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = per.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
-    return distinct.join(before, "__p").select(column, (F.col("__before") + F.row_number().over(W.partitionBy("__p").orderBy(column)) - 1).alias("code"))
+def category_codes(df: DataFrame, column: str) -> DataFrame:
+    """(column, code): positions of the distinct texts in order, from 0."""
+    return positions(df.select(column).distinct(), column).select(column, F.col("position").alias("code"))
 
 
 def target_means(train: DataFrame, key: str, target: str) -> tuple[DataFrame, DataFrame]:
