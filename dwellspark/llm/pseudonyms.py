@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import without
+from .shared import let, without
 
 ROUNDS = 8
 #: Steps of a cycle walk at most.  Half of all values fit or more, so one in 2**100 would need another.
@@ -60,11 +60,6 @@ PATTERN = f"{EMAIL}|(?=[0-9A-Fa-f]{{32}})(?:{SECRET})|(?=[0-9(+])(?:{'|'.join(KI
 NEEDED = "[0-9@]"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def walked(start: Column, step: Callable[[Column], Column], fits: Callable[[Column], Column]) -> Column:
     """The first of ``step(start)``, ``step(step(start))``, ... that fits."""
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), step(start), lambda now, _: F.when(fits(now), now).otherwise(step(now)))

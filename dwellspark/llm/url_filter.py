@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import settle, small, without
+from .shared import let, settle, small, without
 
 #: Rules up to this number become one expression; more are joined by host.
 INLINE_RULES = 64
@@ -83,34 +83,45 @@ def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
 
 def _place(url: Column) -> Column:
     """A url without its fragment, scheme and host in lower case: what a redirect or canonical link names."""
-    head = F.regexp_extract(url, "^[^/?#]*://[^/?#]*", 0)
-    return F.concat(F.translate(head, UPPER, UPPER.lower()), F.regexp_extract(url.substr(F.length(head) + 1, F.length(url)), "^[^#]*", 0))
+
+    def placed(u: Column) -> Column:
+        head = F.regexp_extract(u, "^[^/?#]*://[^/?#]*", 0)
+        return let(head, lambda h: F.concat(F.translate(h, UPPER, UPPER.lower()), F.regexp_extract(u.substr(F.length(h) + 1, F.length(u)), "^[^#]*", 0)))
+
+    return let(url, placed)
 
 
 def _without_dots(path: Column) -> Column:
     """A path from / without its . and .. segments."""
-    parts = F.slice(F.split(path, "/", -1), 2, F.greatest(F.lit(0), F.size(F.split(path, "/", -1)) - 1))
     up = lambda done: F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x))))
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
+
+    def joined(p: Column) -> Column:
+        kept = let(F.split(p, "/", -1), lambda parts: F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)), F.array().cast("array<string>"), step))
+        return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(p.rlike(r"/\.\.?$") & (F.size(k) > 0), "/").otherwise("")))
+
+    return let(path, joined)
 
 
 def resolved(target: Column, base: Column) -> Column:
     """The url that ``target`` names on a page at ``base``; null for other schemes than those with ://."""
-    origin = F.regexp_extract(base, "^[^/?#]*://[^/?#]*", 0)
-    path = F.regexp_extract(base, "^[^/?#]*://[^/?#]*([^?#]*)", 1)
-    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "^.*/", 0))
-    full = F.when(target.startswith("/"), target).otherwise(F.concat(folder, target))
-    mine = F.regexp_extract(full, "^[^?#]*", 0)
-    rest = full.substr(F.length(mine) + 1, F.length(full))
-    return (
-        F.when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(target.startswith("//"), F.concat(F.regexp_extract(base, "^[^/?#]*:(?=//)", 0), target))
-        .when(target.startswith("?"), F.concat(origin, path, target))
-        .when((target == "") | target.startswith("#"), base)
-        .otherwise(F.concat(origin, _without_dots(mine), rest))
-    )
+
+    def on_page(t: Column, b: Column) -> Column:
+        origin = F.regexp_extract(b, "^[^/?#]*://[^/?#]*", 0)
+        path = F.regexp_extract(b, "^[^/?#]*://[^/?#]*([^?#]*)", 1)
+        folder = let(path, lambda p: F.when(p == "", "/").otherwise(F.regexp_extract(p, "^.*/", 0)))
+        full = F.when(t.startswith("/"), t).otherwise(F.concat(folder, t))
+        whole = lambda f, mine: F.concat(origin, _without_dots(mine), f.substr(F.length(mine) + 1, F.length(f)))
+        return (
+            F.when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+            .when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(t.startswith("//"), F.concat(F.regexp_extract(b, "^[^/?#]*:(?=//)", 0), t))
+            .when(t.startswith("?"), F.concat(origin, path, t))
+            .when((t == "") | t.startswith("#"), b)
+            .otherwise(let(full, lambda f: let(F.regexp_extract(f, "^[^?#]*", 0), lambda mine: whole(f, mine))))
+        )
+
+    return let(target, lambda t: let(base, lambda b: on_page(t, b)))
 
 
 def _value(pattern: str, of: Column) -> Column:
@@ -128,7 +139,7 @@ def _target(tag: Column) -> Column:
     canonical = F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
     refresh = F.lower(_attribute(tag, "http-equiv")) == "refresh"
     content = _attribute(tag, "content")
-    named = F.trim(F.concat(*[F.regexp_extract(content, r"""(?i)^[^;,]*[;,]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s]\S*))""", i) for i in (1, 2, 3)]))
+    named = let(content, lambda c: F.trim(F.concat(*[F.regexp_extract(c, r"""(?i)^[^;,]*[;,]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'\s]\S*))""", i) for i in (1, 2, 3)])))
     return F.when(tag.rlike("(?i)^<link") & canonical, _attribute(tag, "href")).when(tag.rlike("(?i)^<meta") & refresh, named).otherwise("")
 
 
@@ -140,8 +151,9 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     stated = decode(_attribute(F.regexp_extract(body, r"(?i)<base\b[^>]*>", 0), "href"))
     rows = pages.filter(body.rlike("(?i)canonical|http-equiv")).select(F.col(url).alias("url"), stated.alias("stated"), F.explode(F.transform(tags, _target)).alias("target")).filter("target <> ''")
     rows = rows.withColumn("base", F.coalesce(F.when(F.col("stated") != "", resolved(F.col("stated"), F.col("url"))), F.col("url")))
-    edges = rows.select(_place(F.col("url")).alias("a"), _place(resolved(decode(F.col("target")), F.col("base"))).alias("b"))
-    return edges.filter("instr(a, '://') > 0 AND instr(b, '://') > 0 AND a <> b").distinct()
+    pair = F.struct(_place(F.col("url")).alias("a"), _place(resolved(decode(F.col("target")), F.col("base"))).alias("b"))
+    real = lambda e: (F.instr(e["a"], "://") > 0) & (F.instr(e["b"], "://") > 0) & (e["a"] != e["b"])
+    return rows.select(F.explode(F.filter(F.array(pair), real)).alias("e")).select("e.a", "e.b").distinct()
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html") -> DataFrame:
