@@ -134,8 +134,11 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
             vectors = np.stack(here["vector"].to_numpy())
             for r in runs.itertuples():
                 label, d2 = nearest(vectors, np.stack(r.centres))
-                out.append(pd.DataFrame({"key": r.key, "k": r.k, "run": r.run, "day": here["day"], "label": label.astype(np.int32), "d2": d2}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("key", "k", "run", "day", "label", "d2")})
+                out.append((r, label, d2))
+        times = lambda f, kind: np.repeat(np.array([f(r) for r, _, _ in out], kind), len(here))
+        whole = lambda i, kind: np.concatenate([x[i] for x in out]).astype(kind) if out else np.zeros(0, kind)
+        day = np.tile(here["day"].to_numpy(), len(out))
+        return pd.DataFrame({"key": pd.Series(times(lambda r: r.key, object), dtype=object), "k": times(lambda r: r.k, np.int32), "run": times(lambda r: r.run, np.int32), "day": day, "label": whole(1, np.int32), "d2": whole(2, np.float64)})
 
     last = written(met(settled, labelled, f"{run_type}, day {day_type}, label int, d2 double"), folder)
     cost = last.groupBy("key", "k", "run").agg(F.sum("d2").alias("cost"))
