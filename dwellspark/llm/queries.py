@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming_search, packed_ids, packing, pseudonyms, quality, simhash, token_counts, url_filter, warc
+from . import decontaminate, embedding_links, hamming_search, lexical_search, merkle, packed_ids, packing, pseudonyms, quality, simhash, token_counts, url_filter, warc
 from .shared import new_path
 
 #: (host, path, verdict) of the production url rules.
@@ -83,9 +83,29 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, payloads=False)
 
 
+def op11_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    # a tampered copy: of the rows with an even checksum of the id, texts lose their line feeds
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.contains("text", F.lit("\n"))
+    altered = F.when(hit, merkle.leaf(**fields | {"text": F.replace("text", F.lit("\n"), F.lit(""))}))
+    out = merkle.manifest(docs, merkle.leaf(**fields), also={"altered": altered})
+    out = out.withColumns({"proof_sha256": merkle.proof_digest(F.col("path")), "folded_root": merkle.fold(F.coalesce("altered", "leaf"), F.col("path"))})
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 _OPERATORS = (
     op1_quality_classifier, op2_token_counts, op3_url_filter, op4_simhash, op5_decontamination,
     op6_token_ids, op7_pii, op8_top_k, op9_packing, op10_warc,
+    op11_embedding_duplicates, op12_merkle_manifest, op13_lexical_search,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
@@ -160,4 +180,73 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first_id < page_id THEN
 FROM m
 """
 
-ORACLE_SQL = {"op3_url_filter": _OP3_SQL, "op8_top_k": _OP8_SQL, "op10_warc": _OP10_SQL}
+#: Nodes level by level, siblings of every node, and the fold of each (tampered) leaf along its path.
+_OP12_SQL = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, text,
+         CASE WHEN doc_id IS NULL THEN '-' ELSE octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id END || CASE WHEN source IS NULL THEN '-' ELSE octet_length(encode(source)) || ':' || source END
+         || CASE WHEN lang IS NULL THEN '-' ELSE octet_length(encode(lang)) || ':' || lang END || CASE WHEN n_chars IS NULL THEN '-' ELSE octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars END AS head,
+         CASE WHEN list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda ch: ascii(ch)::BIGINT)),
+              lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))) % 2 = 1
+              AND doc_id IS NOT NULL THEN replace(text, chr(10), '') ELSE text END AS tampered
+  FROM documents
+), l AS (
+  SELECT doc_id, source, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END) AS leaf,
+         sha256(head || CASE WHEN tampered IS NULL THEN '-' ELSE octet_length(encode(tampered)) || ':' || tampered END) AS altered FROM f
+), leaves AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, leaf) AS row_no, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot, count(*) OVER (PARTITION BY source) AS n,
+         dense_rank() OVER (ORDER BY source NULLS FIRST) AS src FROM l
+), low AS (
+  SELECT 0 AS lvl, src, slot, n, leaf AS d FROM leaves
+  UNION ALL
+  SELECT lvl + 1, src, slot // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY slot)) FROM low WHERE n > 1 GROUP BY lvl, src, slot // 3
+), subroots AS (
+  SELECT src, d AS subroot, src - 1 AS slot, count(*) OVER () AS n FROM low WHERE n = 1
+), high AS (
+  SELECT 1000 AS lvl, 0 AS src, slot, n, subroot AS d FROM subroots
+  UNION ALL
+  SELECT lvl + 1, 0, slot // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY slot)) FROM high WHERE n > 1 GROUP BY lvl, slot // 3
+), nodes AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+sides AS (
+  SELECT a.lvl, a.src, a.slot, coalesce(string_agg(b.d, '' ORDER BY b.slot) FILTER (WHERE b.slot < a.slot), '') AS before, coalesce(string_agg(b.d, '' ORDER BY b.slot) FILTER (WHERE b.slot > a.slot), '') AS after
+  FROM nodes a JOIN nodes b ON a.lvl = b.lvl AND a.src = b.src AND a.slot // 3 = b.slot // 3 WHERE a.n > 1 GROUP BY a.lvl, a.src, a.slot
+), paths AS (
+  SELECT row_no, lvl, before, after FROM leaves JOIN sides ON sides.src = leaves.src AND lvl < 1000 AND sides.slot = leaves.slot // (3 ** lvl)::BIGINT
+  UNION ALL
+  SELECT row_no, lvl, before, after FROM leaves JOIN subroots USING (src) JOIN sides ON lvl >= 1000 AND sides.slot = subroots.slot // (3 ** (lvl - 1000))::BIGINT
+), steps AS (
+  SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY lvl) AS k FROM paths
+), folded AS (
+  SELECT row_no, 0 AS k, altered AS d FROM leaves
+  UNION ALL
+  SELECT s.row_no, f.k + 1, sha256(s.before || f.d || s.after) FROM folded f JOIN steps s ON s.row_no = f.row_no AND s.k = f.k + 1
+), ends AS (SELECT row_no, arg_max(d, k) AS folded_root FROM folded GROUP BY 1),
+proofs AS (SELECT row_no, sha256(string_agg(before || after, '' ORDER BY lvl)) AS proof_sha256 FROM paths GROUP BY 1),
+top AS (SELECT d AS root FROM high WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (src) JOIN ends USING (row_no) LEFT JOIN proofs USING (row_no) CROSS JOIN top
+"""
+
+_OP13_SQL = r"""
+WITH occ AS (
+  SELECT row_no, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents)
+), tfs AS (SELECT row_no, doc_id, term, count(*) AS tf FROM occ GROUP BY ALL),
+sizes AS (SELECT row_no, sum(tf)::BIGINT AS n FROM tfs GROUP BY 1),
+whole AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, whole GROUP BY term, nn),
+ms AS (SELECT row_no, 100 - 25 + (25 * n * nn) // ll AS m FROM sizes, whole),
+asked AS (
+  SELECT item_no, item_id, term, count(*) AS times FROM (
+    SELECT item_no, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS item_no, item_id, text FROM benchmark)) GROUP BY ALL
+), scores AS (
+  SELECT item_no, item_id, row_no, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN ms USING (row_no) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL = {"op3_url_filter": _OP3_SQL, "op8_top_k": _OP8_SQL, "op10_warc": _OP10_SQL, "op12_merkle_manifest": _OP12_SQL, "op13_lexical_search": _OP13_SQL}
