@@ -12,12 +12,13 @@ range and emits every candidate with the offset of its successor, which its decl
 length gives.  Payloads may hold the magic too, so candidates prove nothing: pointer
 jumping from offset 0 of each file (targets double their distance each round) marks the
 candidates that the chain of records reaches, and only those are kept.  A file whose
-chain doesn't end at its last byte raises.  A header is at most ``HEADER_BYTES`` long, and the
-search for its end never looks at a byte twice, whatever a payload repeats.
+chain doesn't end at its last byte raises.  A header is at most ``HEADER_BYTES`` long, or as
+long as the longest that the file's writer recorded, and the search for its end never looks
+at a byte twice, whatever a payload repeats.
 
 An archive gets its name only when it is complete, and the list of archives is a table, so a
 lost or repeated task leaves no half archive in it.  Null html is an empty payload; very
-long pages are one record each.  A null or malformed url becomes ``urn:page:`` and the id;
+long pages are one record each, and very long urls stand whole in its header.  A null or malformed url becomes ``urn:page:`` and the id;
 other characters than visible ASCII are percent-encoded.  A null page id is written as ``null``
 and revisits like any other id, but is never the response that others name.  Ids of any type
 are kept as they are written.  Rows that share the least id of their payload are all
@@ -46,7 +47,7 @@ LEAST = 100
 BROADCAST_REVISITS = 50_000
 #: Bytes of an archive that a reading task scans.
 RANGE_BYTES = 8 << 20
-#: Bytes of a record's header, at most, and bytes read at a time when one crosses the range's end.
+#: Bytes of a record's header, unless an archive has longer ones, and bytes read first at a time when one crosses the range's end.
 HEADER_BYTES, MORE_BYTES = 64 << 10, 16 << 10
 #: Bytes of payload that a writing task holds as Python objects at once.
 SLICE_BYTES = 4 << 20
@@ -88,7 +89,7 @@ def _record(page: str, url: str | None, payload: bytes, digest: str, refers_to:
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {_record_id(page, digest)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {target[: HEADER_BYTES // 2]}",
+        f"WARC-Target-URI: {target}",
         f"WARC-Payload-Digest: sha256:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"X-Page-ID: {quote(page, safe=PLAIN)}",
@@ -100,7 +101,7 @@ def _record(page: str, url: str | None, payload: bytes, digest: str, refers_to:
 
 
 def write(planned: DataFrame, folder: str, date: str | None = None) -> DataFrame:
-    """Writes archives of ``plan``'s rows to ``folder``; the table (file, path, bytes) of them.
+    """Writes archives of ``plan``'s rows to ``folder``; the table (file, path, bytes, header_bytes) of them.
 
     date: the records' WARC-Date, now if None.
     """
@@ -110,29 +111,31 @@ def write(planned: DataFrame, folder: str, date: str | None = None) -> DataFrame
         store, top = _file_system(folder)
         store.create_dir(top, recursive=True)
         name = f"{top}/pages-{uuid.uuid4().hex}"
-        out, size = None, 0
+        out, size, longest = None, 0, 0
         for whole in batches:
             for batch in pretokens.slices(whole, "payload", SLICE_BYTES):
                 for page, url, payload, digest, to in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                     out = out or store.open_output_stream(f"{name}.open")
                     record = _record("null" if page is None else str(page), url, payload, digest, None if to is None else str(to), date)
                     out.write(record)
-                    size += len(record)
+                    size, longest = size + len(record), max(longest, record.find(END) + len(END))
         if out:
             out.close()
             store.move(f"{name}.open", f"{name}.warc")
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rpartition('/')[2]}.warc"], "bytes": [size]})
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name.rpartition('/')[2]}.warc"], "bytes": [size], "header_bytes": [longest]})
 
-    made, _ = settle(in_arrow(planned, run, "path string, bytes bigint"), "warc-archives")
-    return made.select(F.xxhash64("path").alias("file"), "path", "bytes")
+    made, _ = settle(in_arrow(planned, run, "path string, bytes bigint, header_bytes bigint"), "warc-archives")
+    return made.select(F.xxhash64("path").alias("file"), "path", "bytes", "header_bytes")
 
 
 def candidates(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file, path, at, next, body, headers) for every occurrence of the magic with a header that parses.
 
-    archives: (file, path, bytes).  ``next`` is the offset after the declared body and its
+    archives: (file, path, bytes), and header_bytes if headers may be longer than ``HEADER_BYTES``.  ``next`` is the offset after the declared body and its
     end mark, ``body`` the body's offset.
     """
+    longest = F.greatest(F.lit(HEADER_BYTES).cast("bigint"), "header_bytes") if "header_bytes" in archives.columns else F.lit(HEADER_BYTES).cast("bigint")
+    archives = archives.withColumn("header_bytes", longest)
     begins = F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1, F.lit(range_bytes).cast("bigint"))
     ranges = archives.filter("bytes > 0").select("*", F.explode(begins).alias("begin"))
     n = archives.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 0
@@ -143,13 +146,13 @@ def candidates(archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
             for row in batch.to_pylist():
                 store, path = _file_system(row["path"])
                 with store.open_input_file(path) as f:
-                    for some in _in_range(f, row["begin"], range_bytes, row["bytes"]):
+                    for some in _in_range(f, row["begin"], range_bytes, row["bytes"], row["header_bytes"]):
                         yield pa.RecordBatch.from_pylist([{"file": row["file"], "path": row["path"], **c} for c in some], _CANDIDATE_ARROW)
 
     return table.mapInArrow(run, _CANDIDATE)
 
 
-def _in_range(f, begin: int, range_bytes: int, file_bytes: int) -> Iterator[list[dict]]:
+def _in_range(f, begin: int, range_bytes: int, file_bytes: int, header_bytes: int = HEADER_BYTES) -> Iterator[list[dict]]:
     """The candidates whose magic begins in a range of an open file, some at a time."""
     f.seek(begin)
     data = f.read(range_bytes + len(MAGIC) - 1)
@@ -159,19 +162,20 @@ def _in_range(f, begin: int, range_bytes: int, file_bytes: int) -> Iterator[list
     while 0 <= at < range_bytes:
         after = data.find(MAGIC, at + 1)
         if stop < at:
-            stop, looked = -1, max(looked, at)
+            stop, looked, more = -1, max(looked, at), MORE_BYTES
             while stop < 0:
-                stop = data.find(END, looked, at + HEADER_BYTES)
-                if stop >= 0 or at + HEADER_BYTES <= len(data) or begin + len(data) >= file_bytes:
+                stop = data.find(END, looked, at + header_bytes)
+                if stop >= 0 or at + header_bytes <= len(data) or begin + len(data) >= file_bytes:
                     break
                 looked = max(at, len(data) - len(END) + 1)
                 f.seek(begin + len(data))
-                data += f.read(MORE_BYTES)
+                data += f.read(more)
+                more *= 2
             if stop < 0:
-                looked = max(at, min(at + HEADER_BYTES, len(data)) - len(END) + 1)
+                looked = max(at, min(at + header_bytes, len(data)) - len(END) + 1)
         # a line that is the magic itself is no field, so this header can't parse
         torn = 0 <= after < stop and data[after - 2 : after] == b"\r\n"
-        if 0 <= stop - at <= HEADER_BYTES and not torn:
+        if 0 <= stop - at <= header_bytes and not torn:
             headers = _headers(data[at + len(MAGIC) : stop])
             if headers is not None:
                 body = begin + stop + len(END)
