@@ -9,7 +9,8 @@ until it lands on a real one again (cycle walking), which keeps it a permutation
   or in groups 4-4-4-4 or 4-6-5): all digits but the last are permuted, the last makes
   the sum right again; separators stay
 - telephone numbers of ten digits in groups 3-3-4, with or without a country code, and numbers
-  of 8 to 15 digits after a plus sign: the last ten digits (all but two of a shorter one)
+  of 8 to 15 digits after a plus sign: the last ten digits (all but two of a shorter one); ten digits
+  whose groups of three begin with 2 to 9 are permuted among themselves
 - social security numbers ``ddd-dd-dddd`` (no group of zeros): the nine digits
 - IPv4 addresses (octets up to 255): the 32 bits
 - dates ``yyyy-mm-dd``, ``dd/mm/yyyy`` or else ``mm/dd/yyyy``, ``dd.mm.yyyy`` that exist, within
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .shared import let, without
 
 ROUNDS = 8
-#: Steps of a cycle walk at most.  Half of all values fit or more, so one in 2**100 would need another.
+#: Steps of a cycle walk at most.  A third of all values fit or more, so one in 10**17 would need another.
 WALK = 100
 #: The first day and the number of days that date pseudonyms range over.
 DAY_ZERO, DAYS = "1900-01-01", 1 << 16
@@ -144,7 +145,12 @@ def _phone(value: Column, key: str) -> Column:
     def phone(digits: Column) -> Column:
         n = F.length(digits)
         kept = F.when(n > 10, n - 10).when(value.startswith("+"), 2).otherwise(0)
-        return F.concat(digits.substr(F.lit(1), kept), permute_digits(digits.substr(kept + 1, n - kept), "phone", key))
+        return F.concat(digits.substr(F.lit(1), kept), let(digits.substr(kept + 1, n - kept), alike))
+
+    def alike(tail: Column) -> Column:
+        # what may be a number between blanks stays so, and what may not doesn't become one
+        dialled = lambda d: d.rlike("^[2-9]..[2-9]......$")
+        return walked(tail, lambda d: permute_digits(d, "phone", key), lambda d: dialled(d) == dialled(tail))
 
     digits = only_digits(value)
     return F.when(F.length(digits).between(8, 15), refill(value, let(digits, phone))).otherwise(value)
