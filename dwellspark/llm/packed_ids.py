@@ -12,7 +12,7 @@ no partial files when an executor is lost.
 Texts are encoded where they are read; only packed ids (a third of the text or so) are then
 dealt to shards by ranges of the document's id.  Null text counts as empty (its ids are the end id
 alone); a null id sorts first; repeated ids stand side by side, by a hash of their
-ids.  A document longer than a block is a block of its own, whatever its length.  Other
+ids.  A document longer than a block is a block of its own; reading back one of more than 2**29 ids raises.  Other
 columns than id and text are not written.  An empty table writes no block and reads as
 no document.
 """
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import pretokens
-from .shared import forget, in_arrow, settle
+from .shared import forget, in_arrow, settle, small
 
 #: Ids of a block, but for one longer document.
 BLOCK_IDS = 1 << 20
 #: Ids whose bits are spread out at once (32 bytes each).
 SPREAD_IDS = 1 << 16
-#: Shards are at most so many, so that a table of one row each may be broadcast.
+#: Bytes of text that a writing task encodes at once.
+SLICE_BYTES = 2 << 20
+#: Shards (16 bytes each) whose starts are broadcast, at most.
 MOST_SHARDS = 100_000
 
 
@@ -88,29 +90,30 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, doc_id: str = "d
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pretokens.slices(whole, "text"):
+            for batch in pretokens.slices(whole, "text", SLICE_BYTES):
                 offsets, ids = pretokens.encode(batch["text"], tokenizer, end)
                 cut = zip(offsets[:-1].tolist(), offsets[1:].tolist())
                 yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(np.diff(offsets)), pa.array([pack(ids[a:b], width) for a, b in cut], pa.binary())], coded.names)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, done = TaskContext.get().partitionId(), 0, 0
+        shard, block, done, total = TaskContext.get().partitionId(), 0, 0, 0
         held: tuple[list, list, list] = ([], [], [])  # documents, their numbers of ids, and ids
 
         def made() -> pa.RecordBatch:
             doc, lengths = pa.array(held[0], pa_type), np.array(held[1], np.int64)
-            ids = np.concatenate([unpack(d, width, 0, n) for d, n in zip(held[2], held[1])])
-            heads = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([done], pa.int64()), pa.array([width], pa.int32()), pa.array([len(ids)], pa.int64()), doc.slice(0, 1), doc.slice(len(doc) - 1, 1)]
+            # ids of whole bytes stand side by side as they are
+            data = b"".join(held[2]) if width in (8, 16, 32) else pack(np.concatenate([unpack(d, width, 0, n) for d, n in zip(held[2], held[1])]), width)
+            heads = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([done], pa.int64()), pa.array([width], pa.int32()), pa.array([total], pa.int64()), doc.slice(0, 1), doc.slice(len(doc) - 1, 1)]
             rows = pa.ListArray.from_arrays(pa.array([0, len(doc)], pa.int32()), doc)
-            return pa.RecordBatch.from_arrays([*heads, rows, pa.array([lengths], pa.list_(pa.int64())), pa.array([pack(ids, width)], pa.binary())], schema.names)
+            return pa.RecordBatch.from_arrays([*heads, rows, pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())], schema.names)
 
         for batch in batches:
             pa_type = batch["doc"].type
             for doc, n, data in zip(*(batch[c].to_pylist() for c in ("doc", "n", "data"))):
-                if held[0] and sum(held[1]) + n > block_ids:
+                if held[0] and total + n > block_ids:
                     yield made()
-                    block, done = block + 1, done + sum(held[1])
-                    held = ([], [], [])
+                    block, done, total, held = block + 1, done + total, 0, ([], [], [])
+                total += n
                 for column, value in zip(held, (doc, n, data)):
                     column.append(value)
         if held[0]:
@@ -142,13 +145,14 @@ def read(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame:
                 lengths = batch["lengths"][i].values.to_numpy()
                 ids = unpack(batch["data"][i].as_py(), batch["width"][i].as_py(), 0, int(lengths.sum())).astype("<u4")
                 ends = np.concatenate([[0], np.cumsum(lengths)])
+                if ends[-1] * 4 >= 1 << 31:
+                    raise ValueError("a document of more than 2**29 ids is no single row; unpack its block in parts")
                 first = batch["shard_start"][i].as_py() + batch["before"][i].as_py()
                 raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((ends * 4).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch["doc_ids"][i].values, pa.array(first + ends[:-1], pa.int64()), pa.array(lengths, pa.int64()), raw], schema.names)
 
-    starts = shard_starts(blocks)
-    starts = F.broadcast(starts) if spark.conf.get("spark.sql.shuffle.partitions").isdigit() and int(spark.conf.get("spark.sql.shuffle.partitions")) <= MOST_SHARDS else starts
-    return in_arrow(blocks.join(starts, "shard").select("shard_start", "before", "width", "doc_ids", "lengths", "data"), run, schema)
+    starts, _ = settle(shard_starts(blocks), "token-id-starts")
+    return in_arrow(blocks.join(small(starts, MOST_SHARDS), "shard").select("shard_start", "before", "width", "doc_ids", "lengths", "data"), run, schema)
 
 
 def read_document(spark: SparkSession, path: str, wanted: int, doc_id: str = "doc_id") -> list[np.ndarray]:
