@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     drawn = rows.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
-    texts = texts.select("y", F.xxhash64("id").alias("of"), F.xxhash64("text").alias("same"), "text").orderBy("of", "same").limit(most)  # ids may be repeated
+    texts = texts.select("y", F.xxhash64("id").alias("of"), F.xxhash64("text").alias("same"), "text")
 
     def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         first, size, x = line_features(batch["text"])
@@ -232,10 +232,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             "x": pa.array([x[a:b].astype(np.float32).tobytes() for a, b in cut], pa.binary()),
         }
 
+    # lines are measured where texts are read; only numbers are ordered
     made = add_columns(texts, {"size": T.BinaryType(), "x": T.BinaryType()}, ["y", "of", "same"], work, lambda b: pretokens.slices(b, "text", SLICE_BYTES))
-    made, _ = settle(made.withColumn("n", F.length("size") / 4).filter(F.col("n") <= LONGEST_FITTED), "quality-lines")
-    before = F.sum("n").over(W.orderBy("of", "same", "y").rowsBetween(W.unboundedPreceding, 0))  # of MOST_FITTED rows
-    rows = made.withColumn("lines", before).filter(F.col("lines") <= MOST_LINES).select("y", "size", "x").collect()
+    made, _ = settle(made.withColumn("n", F.length("size") / 4).withColumn("row", F.monotonically_increasing_id()), "quality-lines")
+    few = made.select("row", "y", "of", "same", "n").orderBy("of", "same", "y", "row").limit(most).filter(F.col("n") <= LONGEST_FITTED)  # ids may be repeated
+    before = F.sum("n").over(W.orderBy("of", "same", "y", "row").rowsBetween(W.unboundedPreceding, 0))  # of MOST_FITTED rows
+    chosen = few.withColumn("lines", before).filter(F.col("lines") <= MOST_LINES).select("row")
+    rows = made.join(F.broadcast(chosen), "row").select("y", "size", "x").collect()
     rows = sorted(((r.y, bytes(r.size), bytes(r.x)) for r in rows), key=lambda r: (r[0], r[1], r[2]))
     if not rows:
         return LineField((0.0,) * N_FEATURES, (0.0,) * 4)
