@@ -11,13 +11,15 @@ value that gets two are dropped.  A document holds an item if ``ENOUGH`` windows
 a shorter item, remain on one alignment.
 
 Items without such a window (short, or mostly placeholders) are found by a second, exact
-key: all their windows of ``EXACT`` words as they stand, on one alignment; items of
-fewer words only where they are a whole document.
+key: all their windows of ``EXACT`` words as they stand, on one alignment; items of two or
+three words by those words anywhere, and single words only where they are a whole document.
 
 Tasks hash windows with numpy and pass on only those whose hash falls on a bit map of
 the benchmark's hashes, of at most ``MOST_BITS`` bits; wrong hits of it end in the join.
-Windows meet distinct benchmark windows first; only documents with enough of them are
-joined to items, of which equal ones count once until the end.
+Windows meet distinct benchmark windows first.  A document that holds an item has one of the
+item's rarest windows, all but the needed number less one, so only those lead from documents to items:
+a window that many items and documents share leads nowhere unless an item needs it.  The pairs found meet their
+windows by document and item.  Equal items count once until the end.
 
 Null and empty texts match nothing, nor do items without a word.  Rows are judged by
 id and text: rows that share an id (or have none) each by their own text, repeated rows
@@ -63,13 +65,14 @@ STRIPPED = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "
 
 LITERAL, NUMBER, UNIT, NAME, MEASURE, NOTHING = range(6)
 PLACEHOLDER = {NUMBER: "<number>", UNIT: "<unit>", NAME: "<name>", MEASURE: "<number><unit>"}
-#: Forms of a window: template, exact words, whole text.
-TEMPLATE, WORDS, WHOLE = range(3)
+#: Forms of a window: template, exact words, a whole text of one word, exactly two and three words.
+TEMPLATE, WORDS, WHOLE, TWO, THREE = range(5)
+FORMS = (TEMPLATE, WORDS, WHOLE, TWO, THREE)
 BLANKS = np.zeros(256, bool)
 BLANKS[[32, 9, 10, 11, 12, 13]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _CHECKS = np.random.default_rng(11).integers(1, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FORMS = np.random.default_rng(12).integers(1, 1 << 63, (3, WINDOW + 1), dtype=np.uint64)
+_FORMS = np.random.default_rng(12).integers(1, 1 << 63, (len(FORMS), WINDOW + 1), dtype=np.uint64)
 
 
 def _kind(core: str, word: str) -> tuple[int, str]:
@@ -215,16 +218,17 @@ def _hits(texts: pa.Array, packed: np.ndarray | None, bits: int, forms: tuple[in
         n = len(whole)
         for at in parts(hashes, whole if packed is not None else whole & bare[words.of[:n]]):
             yield rows(WORDS, hashes[at], words.hashes, EXACT, at, words.of[at], words.first, [[]] * len(at))
-    if WHOLE in forms:
-        for size in range(1, EXACT):
+    for form, size in ((WHOLE, 1), (TWO, 2), (THREE, 3)):
+        if form in forms:
             hashes, whole = words.exact(size)
             n = len(whole)
-            hashes, whole = hashes ^ _FORMS[WHOLE, size], whole & (n_words[words.of[:n]] == size)
-            for at in parts(hashes, whole if packed is not None else whole & bare[words.of[:n]]):
-                yield rows(WHOLE, hashes[at], words.hashes, size, at, words.of[at], words.first, [[]] * len(at))
+            hashes, alone = hashes ^ _FORMS[form, size], n_words[words.of[:n]] == size
+            # an item is its only window; a single word counts in a document that has no other
+            for at in parts(hashes, whole & alone & bare[words.of[:n]] if packed is None else whole & (alone if form == WHOLE else True)):
+                yield rows(form, hashes[at], words.hashes, size, at, words.of[at], words.first, [[]] * len(at))
 
 
-def windows(texts: DataFrame, key: str, text: str, packed: np.ndarray | None = None, bits: int = LEAST_BITS, forms: tuple[int, ...] = (TEMPLATE, WORDS, WHOLE)) -> DataFrame:
+def windows(texts: DataFrame, key: str, text: str, packed: np.ndarray | None = None, bits: int = LEAST_BITS, forms: tuple[int, ...] = FORMS) -> DataFrame:
     """(key, same, pos, form, hash, check, slots) per window that may count; ``same`` is a hash of the text."""
     rows = texts.select(F.col(key).alias("key"), F.xxhash64(text).alias("same"), F.col(text).alias("text"))
     schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(n, t) for n, t in _HIT.items())])
@@ -257,8 +261,17 @@ def _matched(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id:
     hits = hits.join(some, F.col("key").eqNullSafe(F.col("__key")) & (F.col("same") == F.col("__same"))).drop("__key", "__same")
     one = sizes.filter("of.item = item AND of.same = same").select("item", "same", "n_windows", needed.alias("needed"))
     asked = bench.join(one, ["item", "same"]).select(F.struct("item", "same").alias("of"), "n_windows", "needed", F.col("pos").alias("item_pos"), "hash", "check", F.col("slots").alias("old"))
+    met_by = hits.groupBy("hash", "check").agg(F.count(F.lit(1)).alias("met_by"))
+    rarest = F.row_number().over(W.partitionBy("of").orderBy("met_by", "hash", "item_pos"))
+    leads = asked.join(met_by, ["hash", "check"], "left").withColumn("met_by", F.coalesce("met_by", F.lit(0))).withColumn("nth", rarest)
+    leads = leads.filter("nth <= n_windows - needed + 1 AND met_by > 0").select("of", "hash", "check").distinct()
+    pairs = hits.select("key", "same", "hash", "check").join(leads, ["hash", "check"]).select(F.coalesce(F.xxhash64("key"), F.lit(0)).alias("key_hash"), "key", "same", "of").distinct()
+    pairs, _ = settle(pairs, "benchmark-pairs")
     slots = F.zip_with("old", "slots", lambda o, r: F.struct(o.alias("o"), r.alias("r")))
-    met = hits.join(asked, ["hash", "check"]).select("key", "same", "of", "n_windows", "needed", (F.col("pos") - F.col("item_pos")).alias("shift"), F.struct("item_pos", slots.alias("slots")).alias("hit"))
+    wanted = pairs.join(asked, "of").withColumnsRenamed({"key": "__key", "same": "__same"})
+    hits = hits.withColumn("key_hash", F.coalesce(F.xxhash64("key"), F.lit(0)))
+    met = hits.join(wanted, ["key_hash", "hash", "check"]).filter(F.col("key").eqNullSafe(F.col("__key")) & (F.col("same") == F.col("__same")))
+    met = met.select("key", "same", "of", "n_windows", "needed", (F.col("pos") - F.col("item_pos")).alias("shift"), F.struct("item_pos", slots.alias("slots")).alias("hit"))
     # all windows of an item on one alignment: no more than the item has
     lines = met.groupBy("key", "same", "of", "shift").agg(F.collect_set("hit").alias("hits"), F.first("n_windows").alias("n_windows"), F.first("needed").alias("needed")).filter("size(hits) >= needed")
     lines = lines.withColumn("pairs", F.array_distinct(F.flatten(F.transform("hits", lambda h: h["slots"]))))

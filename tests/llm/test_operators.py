@@ -342,7 +342,7 @@ def brute_matches(docs, items):
                     best = max(best, sum(all(len(values[o]) == 1 for o, _ in h) for h in hits))
                 if best >= min(5, len(templates)):
                     found[d, item] = best
-            elif words and (spoken == words if len(words) < 4 else any(spoken[i : i + len(words)] == words for i in range(len(spoken)))):
+            elif words and (spoken == words if len(words) < 2 else any(spoken[i : i + len(words)] == words for i in range(len(spoken)))):
                 found[d, item] = max(1, len(words) - 3)
     return found
 
@@ -365,7 +365,7 @@ def test_matches_equal_brute_force(spark):
     assert {(r.doc_id, r.item_id): r.windows for r in got} == brute_matches(docs, items) and len(got) == len({(r.doc_id, r.item_id) for r in got})
     by_doc = {d: {r.item_id for r in got if r.doc_id == d} for d in range(10_000, 10_000 + len(texts))}
     assert by_doc[10_001] == by_doc[10_002] == {1000, 1004} and by_doc[10_010] == by_doc[10_011] == {1005}  # other names, numbers and word counts
-    assert by_doc[10_004] == {1001} and not by_doc[10_005] and by_doc[10_006] == {1002} and not by_doc[10_007] and by_doc[10_008] == {1003} and not by_doc[10_009]
+    assert by_doc[10_004] == by_doc[10_005] == {1001} and by_doc[10_006] == {1002} and not by_doc[10_007] and by_doc[10_008] == {1003} and not by_doc[10_009]
 
 
 def test_rows_are_judged_by_their_own_text(spark):
@@ -377,6 +377,37 @@ def test_rows_are_judged_by_their_own_text(spark):
     assert sorted(kept, key=str) == sorted([rows[1], rows[2], rows[3], rows[5]], key=str)
 
 
+def test_a_window_that_many_items_and_documents_share_makes_no_pairs(spark):
+    """A thousand items and documents share one passage of two windows; each item needs five, one has a single window."""
+    passage = "the committee has been asked to answer the following"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(9))
+    items = [(i, f"{passage} {own(i)}") for i in range(1000)] + [(5000, "quiet rivers carry small boats beyond old mills")]
+    docs = [(i, f"{own(10_000 + i)} {passage} {own(20_000 + i)}") for i in range(1000)] + [(3000, items[7][1]), (3001, f"so {items[5000 - 4000][1]} again")]
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    seen = []
+    settle = decontaminate.settle
+
+    def watched(df, name, *args):
+        out = settle(df, name, *args)
+        seen.append((name, out[0].count()))
+        return out
+
+    decontaminate.settle = watched
+    try:
+        got = {(r.doc_id, r.item_id) for r in decontaminate.matches(d, q).collect()}
+    finally:
+        decontaminate.settle = settle
+    assert got == {(3000, 7), (3001, 5000)}
+    assert dict(seen)["benchmark-pairs"] <= 10 and dict(seen)["benchmark-hits"] <= 3 * len(docs) + 20
+
+
+def test_extra_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, ITEM, "x", 2, 3), (2, "plain", "y", None, 4)], "doc_id bigint, text string, Key string, same int, item_id int")
+    items = spark.createDataFrame([(10, ITEM, 1, "k")], "item_id bigint, text string, hash int, doc_id string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()] == [(1, 10)]
+    assert [tuple(r) for r in decontaminate.remove_contaminated(docs, items).collect()] == [(2, "plain", "y", None, 4)]
+
+
 def test_planted_items_are_found_and_clean_documents_kept(spark):
     sf = "/root/testdata/sf0.01"
     items = [r.text for r in queries.table(spark, sf, "benchmark").collect()]
@@ -456,7 +487,7 @@ def test_pseudonyms(spark, hard):
     new = out[1].text.split()[1]
     assert luhn(card) and luhn(new) and new != card and new[:15] == brute_walk(card[:15], "card", "k", lambda d: "2" <= d[0] <= "6")
     assert out[0].text == f"card {new} and {new[:4]}-{new[4:8]}-{new[8:12]}-{new[12:]} not {other}" and dict(out[0].pii_found) == {"card": 2}
-    d = brute_digits("2075557713", "phone", "k")
+    d = brute_walk("2075557713", "phone", "k", lambda d: d[0] > "1" and d[3] > "1")
     assert f"({d[:3]}) {d[3:6]}-{d[6:]}" in out[2].text and "000-12-3456" in out[2].text and "123-45-6789" not in out[2].text
     assert "10.2.3.4" not in out[3].text and "300.1.1.1" in out[3].text and re.search(r"ip (\d+\.){3}\d+ not", out[3].text)
     assert re.fullmatch(r"on \d{4}-\d\d-\d\d, \d\d\.\d\d\.\d{4}, not 2023-02-30", out[4].text) and "2024-02-29" not in out[4].text
@@ -503,12 +534,27 @@ def test_addresses_and_numbers_equal_brute_force(spark):
         assert got[i] == f"{d[:3]}-{d[3:5]}-{d[5:]}"
 
 
+def test_telephones_stay_telephones(spark):
+    """Every pseudonym is of its kind and layout again, equal digits stay linked, and none are shared."""
+    rng = np.random.default_rng(9)
+    tails = [f"{a:03d}{b:03d}{c:04d}" for a, b, c in zip(rng.integers(0, 1000, 2000).tolist(), rng.integers(0, 1000, 2000).tolist(), rng.integers(0, 10000, 2000).tolist())]
+    tails = sorted({t for t in tails if t[0] > "1" and t[3] > "1"} | {f"555200{i:04d}" for i in range(1000, 1400)})
+    plain = [f"{t[:3]} {t[3:6]} {t[6:]}" for t in tails]
+    dashed = [f"{t[:3]}-{t[3:6]}-{t[6:]}" for t in tails]
+    both = rewritten(spark, plain + dashed)
+    got = [both[i] for i in range(len(both))]
+    assert all(re.fullmatch(r"[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}", x) for x in got[: len(plain)])
+    assert [x.replace(" ", "") for x in got[: len(plain)]] == [x.replace("-", "") for x in got[len(plain) :]] and len(set(got)) == len(got)
+    other = [f"{t[:3]}-{t[3:6]}-{t[6:]}" for t in (f"0{i:09d}" for i in range(0, 10**9, 10**7 + 7))]
+    assert not {x.replace("-", "") for x in rewritten(spark, other).values()} & {x.replace(" ", "") for x in got[: len(plain)]}
+
+
 def test_spellings_of_numbers(spark):
     phones = ["555-123-4567", "+1-555-123-4567", "1.555.123.4567", "555 223 4567", "(555) 123-4567", "+1 (555) 123-4567", "+49 30 1234567", "+442071234567"]
     cards = ["378282246310005", "3782 822463 10005", "3782-822463-10005"]
     plain = ["1700000000008", "100 200 3000", "555-123-45678", "12 555 223 4567 8", "3 + 4", "2024-02-30", "1234567890123"]
     got = rewritten(spark, phones + cards + plain)
-    d = brute_digits("5551234567", "phone", "k")
+    d = brute_walk("5551234567", "phone", "k", lambda d: d[0] < "2" or d[3] < "2")
     spelt = f"{d[:3]}-{d[3:6]}-{d[6:]}"
     assert [got[i] for i in (0, 1, 2, 4, 5)] == [spelt, "+1-" + spelt, "1." + spelt.replace("-", "."), f"({d[:3]}) {d[3:6]}-{d[6:]}", f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"]
     assert all(got[i] != phones[i] and re.sub("[0-9]", "0", got[i]) == re.sub("[0-9]", "0", phones[i]) for i in range(len(phones)))
@@ -661,6 +707,14 @@ def test_records_are_those_of_the_format(spark):
     assert got == {"a b": ("response", None, b"x" * 150), "c": ("revisit", "a b", None), "d": ("response", None, b"tiny"), None: ("response", None, b"y" * 120)}
 
 
+def test_long_urls_are_archived_whole(spark):
+    urls = {1: "http://a.org/" + "x" * 40_004, 2: "http://a.org/" + "é" * 30_000, 3: "http://a.org/?" + "y" * 3_000_000, 4: "http://a.org/"}
+    pages = spark.createDataFrame([(i, u, "z" * 150 + str(i), 5, "clash") for i, u in urls.items()], "page_id bigint, url string, html string, bytes int, Digest string")
+    archives = warc.write(warc.plan(pages), new_path(spark, "long-urls"))
+    got = {r.page_id: r.url for r in warc.read(archives, range_bytes=1 << 16).collect()}
+    assert got == {i: u.replace("é", "%C3%A9") for i, u in urls.items()}
+
+
 def test_repeated_magic_is_scanned_once():
     for part in (b"WARC/1.0\r\n", b"X: WARC/1.0\r\n", b"WARC/1.0\r\nA: b\r\n"):
         data = part * ((2 << 20) // len(part))
@@ -669,6 +723,16 @@ def test_repeated_magic_is_scanned_once():
         assert time.time() - began < 1
 
 
+def test_many_tiny_documents_fill_blocks_fast(spark):
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit(1).alias("lengths")).coalesce(1)
+    path = new_path(spark, "tiny")
+    began = time.time()
+    packed_ids.write(docs, path, WORD, 2)
+    assert time.time() - began < 60  # a sum per document took minutes
+    row = packed_ids.read(spark, path).agg(F.count("doc_id").alias("n"), F.sum("n_tokens").alias("ids"), F.max("start").alias("last"), F.sum((F.col("start") != F.col("doc_id")).cast("int")).alias("off")).first()
+    assert tuple(row) == (200_000, 200_000, 199_999, 0)
+
+
 # registered queries ----------------------------------------------------------------------
 
 
