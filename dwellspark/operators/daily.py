@@ -89,6 +89,14 @@ def transition_features(moves: DataFrame) -> DataFrame:
     return moves.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n_moves"), *counts.values(), places)
 
 
+def transition_long(moves: DataFrame, top: DataFrame) -> DataFrame:
+    """(hashvin, date06, feature, value) of days with moves: the count of every top transition, of moves by period and in all, and distinct places; only what is above 0."""
+    named = transition_counts(moves, top).select(*DAY, F.concat(F.lit("trans__"), "from_place", F.lit("--"), "to_place").alias("feature"), F.col("n").cast("double").alias("value"))
+    counts = {f"trans_count_{p}": f"n_{p}" for p in ("morning", "afternoon", "evening", "night")} | {"trans_count_total": "n_moves", "unique_clusters_visited": "places"}
+    made = F.explode(F.array(*[F.struct(F.lit(name).alias("feature"), F.col(c).cast("double").alias("value")) for name, c in counts.items()])).alias("f")
+    return named.unionByName(transition_features(moves).select(*DAY, made).select(*DAY, "f.*").filter("value > 0"))
+
+
 def transition_counts(moves: DataFrame, top: DataFrame) -> DataFrame:
     return moves.join(F.broadcast(top.select("from_place", "to_place")), ["from_place", "to_place"]).groupBy(*DAY, "from_place", "to_place").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,14 +2,15 @@
 
 Days are rows (key, day, vector) with ``key`` a vehicle; all vehicles are clustered in
 one job.  Distances are taken within a key only; where all pairs of a key are needed
-(silhouette, core distances), its days are dealt to blocks, a task compares two blocks with
-numpy, and only sums or nearest distances leave it.
+(silhouette, core distances, links), its days are dealt to blocks, a task compares two blocks with
+numpy, and only sums, nearest distances or one link per day leave it.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Days of a block; a task holds one, or compares two.
 BLOCK_DAYS = 2_000
+#: Numbers that a task compares at once.
+CELLS = 1 << 22
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -28,10 +31,18 @@ def squared(a: Column, b: Column) -> Column:
 
 
 def standardize(long: DataFrame) -> DataFrame:
-    """(key, day, feature, value) scaled per key and feature by mean and population deviation (0 counts as 1)."""
-    w = W.partitionBy("key", "feature")
-    sd = F.stddev_pop("value").over(w)
-    return long.withColumn("z", (F.col("value") - F.avg("value").over(w)) / F.when(sd == 0, 1.0).otherwise(sd))
+    """Rows (key, day, feature, value) with z, scaled per key and feature over all days of the key, and z_absent, what a day without the feature has.
+
+    A day that lacks a feature counts as 0: the moments of the rows that exist are merged
+    with those of so many zeros, and no row is made for them.  A deviation of 0 counts as 1.
+    """
+    days = long.select("key", "day").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("days"))
+    held = long.groupBy("key", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).join(days, "key")
+    mean = F.col("n") * F.col("m") / F.col("days")
+    spread = F.sqrt((F.col("n") * F.col("v") + F.col("m") * F.col("m") * F.col("n") * (F.col("days") - F.col("n")) / F.col("days")) / F.col("days"))
+    scale = held.select("key", "feature", mean.alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("sd"))
+    z = lambda x: (x - F.col("mean")) / F.col("sd")
+    return long.join(scale, ["key", "feature"]).withColumns({"z": z(F.col("value")), "z_absent": z(F.lit(0.0))}).drop("mean", "sd")
 
 
 def mean_vectors(rows: DataFrame, *keys: str) -> DataFrame:
@@ -47,6 +58,14 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that no later step reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def work_folder(df: DataFrame) -> str:
     """A folder that all executors share: under spark.checkpoint.dir, or local where that is unset in a local session."""
     context = df.sparkSession.sparkContext
@@ -71,35 +90,113 @@ def scaled(days: DataFrame) -> DataFrame:
     return days.join(scale, "key").select("key", "day", F.zip_with("vector", "scale", one).alias("vector"))
 
 
-def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), restarts: int = 10, rounds: int = 300, seed: int = 42) -> DataFrame:
+def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest of ``centres`` to each of ``vectors``, and its squared distance."""
+    label, d2 = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    step = max(1, CELLS // max(1, centres.size))
+    for at in range(0, len(vectors), step):
+        far = ((vectors[at : at + step, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+        label[at : at + step] = far.argmin(axis=1)
+        d2[at : at + step] = far.min(axis=1)
+    return label, d2
+
+
+def drawn(hashes: np.ndarray, run: int, turn: int) -> np.ndarray:
+    """A number in (0, 1) for each hash, other for each run and turn."""
+    x = hashes.view(np.uint64) + np.uint64((run * 1000 + turn + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53 + 2**-54
+
+
+def reclustered(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """``k`` centres of weighted candidates: each drawn by weight and squared distance to those before, then moved to their means."""
+    chosen = [int(rng.choice(len(candidates), p=weights / weights.sum()))]
+    while len(chosen) < k:
+        lot = weights * nearest(candidates, candidates[chosen])[1]
+        chosen.append(int(rng.choice(len(candidates), p=lot / lot.sum())) if lot.sum() > 0 else chosen[0])
+    centres = candidates[chosen]
+    for _ in range(20):
+        one = np.eye(k)[nearest(candidates, centres)[0]] * weights[:, None]
+        moved = np.where(one.sum(axis=0)[:, None] > 0, one.T @ candidates / np.maximum(one.sum(axis=0), 1e-300)[:, None], centres)
+        if np.allclose(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), restarts: int = 10, rounds: int = 300, seed: int = 42, turns: int = 3) -> DataFrame:
     """(key, k, day, label): per key and k the labels of the restart with least inertia.
 
+    Seeding (k-means||): a restart of a key begins with one day and in each of ``turns``
+    turns adds twice the largest k of days, drawn by their squared distance to those it has.  A
+    day's lot is the logarithm of a hash over its squared distance, and the highest lots win, so
+    blocks pass on their highest and no total is needed.  The candidates, weighted by the days
+    nearest to them, are clustered to each k in one task.
+
     Lloyd's steps run for all keys, ks and restarts at once, until no centre of any moves;
-    runs that are settled take no further part.  First centres are the k days that
-    come first by a hash of day, k, restart and seed.  A k needs more than k days.  Raises if
+    runs that are settled take no further part.  A k needs more than k days.  Raises if
     ``rounds`` are not enough.  A task gets a block of a key's days and the centres of its runs,
-    and passes on sums by label; one task per run adds those up.
+    and passes on sums by label; one task per run adds those up.  Tables of earlier steps are deleted.
     """
     folder = work_folder(days)
     n = days.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    runs = n.select("key", "n", F.explode(F.array(*map(F.lit, ks))).alias("k")).filter("k < n").select("key", "k", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"))
-    first = days.join(runs, "key").withColumn("r", F.row_number().over(W.partitionBy("key", "k", "run").orderBy(F.xxhash64("day", "k", "run", F.lit(seed)), "day")))
-    open_ = first.filter("r <= k").groupBy("key", "k", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "vector"))), lambda c: c["vector"]).alias("centres"))
-    open_, settled = written(open_, folder), None
-    blocks = n.select("key", F.ceil(F.col("n") / BLOCK_DAYS).cast("int").alias("blocks"))
-    dealt = written(days.join(blocks, "key").select("key", "day", "vector", F.pmod(F.xxhash64("day"), F.col("blocks")).cast("int").alias("block")), folder)
+    blocks = n.filter(F.col("n") > min(ks)).select("key", F.ceil(F.col("n") / BLOCK_DAYS).cast("int").alias("blocks"))
+    blocks = written(blocks, folder)
+    dealt = days.join(blocks, "key").select("key", "day", "vector", F.xxhash64("day", F.lit(seed)).alias("h"), F.pmod(F.xxhash64("day"), F.col("blocks")).cast("int").alias("block"))
+    dealt = written(dealt, folder)
     key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
     run_type = f"key {key_type}, k int, run int"
+    wanted = 2 * max(ks)
 
     def met(runs: DataFrame, work, schema: str) -> DataFrame:
         """``work`` on each block of days with all runs of its key."""
-        everywhere = runs.join(blocks, "key").select("key", "k", "run", "centres", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        everywhere = runs.join(blocks, "key").select(*runs.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         return dealt.groupBy("key", "block").cogroup(everywhere.groupBy("key", "block")).applyInPandas(work, schema)
 
-    def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d2 = ((vectors[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-        label = d2.argmin(axis=1)
-        return label, d2[np.arange(len(label)), label]
+    def lots(turn: int):
+        def work(here: pd.DataFrame, pools: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(here):
+                vectors, hashes = np.stack(here["vector"].to_numpy()), here["h"].to_numpy()
+                for r in pools.itertuples():
+                    d2 = nearest(vectors, np.stack(r.candidates))[1]
+                    some = np.flatnonzero(d2 > 0)
+                    lot = np.log(drawn(hashes[some], r.run, turn)) / d2[some]
+                    out += [(r.key, r.run, lot[i], vectors[some[i]]) for i in np.argsort(-lot, kind="stable")[:wanted]]
+            return pd.DataFrame(out, columns=["key", "run", "lot", "vector"])
+
+        return work
+
+    def nearby(here: pd.DataFrame, pools: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(here):
+            vectors = np.stack(here["vector"].to_numpy())
+            for r in pools.itertuples():
+                candidates = np.stack(r.candidates)
+                out.append((r.key, r.run, candidates.ravel(), np.bincount(nearest(vectors, candidates)[0], minlength=len(candidates)).astype(float)))
+        return pd.DataFrame(out, columns=["key", "run", "flat", "weights"])
+
+    def seeds(parts: pd.DataFrame) -> pd.DataFrame:
+        key, run = parts["key"].iloc[0], int(parts["run"].iloc[0])
+        weights = np.sum(np.stack(parts["weights"].to_numpy()), axis=0)
+        candidates = np.asarray(parts["flat"].iloc[0]).reshape(len(weights), -1)
+        made = [(key, k, run, list(reclustered(candidates, weights, k, np.random.default_rng([seed, run, k])))) for k in ks if k < weights.sum()]
+        return pd.DataFrame(made, columns=["key", "k", "run", "centres"])
+
+    runs = blocks.select("key", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"))
+    # the first candidate of a restart: the day with the least hash for it, found by partial minima
+    one = dealt.select("key", "vector", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"), "h").groupBy("key", "run").agg(F.min_by("vector", F.xxhash64("h", "run")).alias("v"))
+    pools = written(runs.join(one, ["key", "run"]).select("key", "run", F.array("v").alias("candidates")), folder)
+    for turn in range(turns):
+        best = met(pools, lots(turn), f"key {key_type}, run int, lot double, vector array<double>").groupBy("key", "run").agg(F.slice(F.sort_array(F.collect_list(F.struct("lot", "vector")), asc=False), 1, wanted).alias("best"))
+        more = F.concat("candidates", F.coalesce(F.transform("best", lambda b: b["vector"]), F.array().cast("array<array<double>>")))
+        grown = written(pools.join(best, ["key", "run"], "left").select("key", "run", more.alias("candidates")), folder)
+        forget(pools)
+        pools = grown
+    weighed = met(pools, nearby, f"key {key_type}, run int, flat array<double>, weights array<double>")
+    open_, settled = written(weighed.groupBy("key", "run").applyInPandas(seeds, f"{run_type}, centres array<array<double>>"), folder), None
+    forget(pools)
 
     def sums(here: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -146,20 +243,105 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
     return last.join(best, ["key", "k", "run"]).select("key", "k", "day", "label")
 
 
-def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, least: int = 5, rounds: int = 1000) -> DataFrame:
+def block_pairs(rows: DataFrame, block_days: int):
+    """Rows (key, day, ...) of every two blocks of a key together, each pair of blocks once: groups (key, __one, __other) for ``applyInPandas``."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block_days).cast("int").alias("__blocks"))
+    dealt = rows.join(blocks, "key").withColumn("__b", F.pmod(F.xxhash64("day"), F.col("__blocks")).cast("int"))
+    mine = dealt.select(*rows.columns, F.col("__b").alias("__one"), F.explode(F.sequence(F.col("__b"), F.col("__blocks") - 1)).alias("__other"))
+    again = [F.col(c).alias(c) for c in rows.columns]  # columns of their own, since both sides are one table
+    theirs = dealt.select(*again, F.explode(F.sequence(F.lit(0), F.col("__b"))).alias("__one"), F.col("__b").alias("__other"))
+    group = ["key", "__one", "__other"]
+    return mine.groupBy(*group).cogroup(theirs.groupBy(*group))
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Euclidean distances (to nine digits) of some rows of ``a``, from each i on, to all of ``b``."""
+    step = max(1, CELLS // max(1, b.size))
+    for i in range(0, len(a), step):
+        yield i, np.round(np.sqrt(((a[i : i + step, None, :] - b[None, :, :]) ** 2).sum(axis=2)), 9)
+
+
+def core_distances(days: DataFrame, neighbours: int = 3, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """(key, day, core): the distance of each day to its ``neighbours``-th nearest other day; days of a key with fewer are left out.
+
+    Each pair of blocks gives each of its days the least distances within it, which merge.
+    """
+
+    def least(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            va, vb = np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())
+            across = np.full((neighbours, len(b)), np.inf)
+            for i, far in distances(va, vb):
+                if key[1] == key[2]:  # one block with itself, in one order
+                    far[np.arange(len(far)), i + np.arange(len(far))] = np.inf
+                out += [(key[0], day, near[np.isfinite(near)]) for day, near in zip(a["day"].iloc[i : i + len(far)], np.sort(far, axis=1)[:, :neighbours])]
+                across = np.sort(np.concatenate([across, far]), axis=0)[:neighbours]
+            if key[1] != key[2]:
+                out += [(key[0], day, near[np.isfinite(near)]) for day, near in zip(b["day"], across.T)]
+        return pd.DataFrame(out, columns=["key", "day", "near"])
+
+    key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
+
+    def ordered(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return least(key, a.sort_values("day", kind="stable"), b.sort_values("day", kind="stable"))
+
+    near = block_pairs(days.select("key", "day", "vector"), block_days).applyInPandas(ordered, f"key {key_type}, day {day_type}, near array<double>")
+    merged = near.groupBy("key", "day").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, neighbours).alias("near"))  # a few per block
+    return merged.filter(F.size("near") == neighbours).select("key", "day", F.col("near")[neighbours - 1].alias("core"))
+
+
+def density_links(days: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
+    """(key, a, b): links that join what days (key, day, vector, core, eps) within mutual reachability ``eps`` join.
+
+    A pair of blocks gives each of its days one link at most, to the least day that it reaches in the two.
+    """
+
+    def joined(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"key": pd.Series([], dtype=object), "a": a["day"].iloc[:0], "b": a["day"].iloc[:0]})
+        same = key[1] == key[2]
+        a = a.sort_values("day", kind="stable")
+        b = a if same else b.sort_values("day", kind="stable")
+        ca, cb, eps = a["core"].to_numpy(), b["core"].to_numpy(), a["eps"].iloc[0] + 1e-9
+        linked = np.zeros((len(a), len(b)), bool)
+        for i, far in distances(np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())):
+            linked[i : i + len(far)] = (far <= eps) & (ca[i : i + len(far), None] <= eps) & (cb <= eps)
+        day = np.concatenate([a["day"].to_numpy(), [] if same else b["day"].to_numpy()]).astype(a["day"].dtype)
+        order = np.argsort(day, kind="stable")
+        label = np.empty(len(day), np.int64)
+        label[order] = np.arange(len(day))  # places in the order of days
+        mine, theirs = np.arange(len(a)), np.arange(len(a)) if same else len(a) + np.arange(len(b))
+        far_off = len(day)
+        while True:
+            before = label.copy()
+            label[mine] = np.minimum(label[mine], np.where(linked, label[theirs], far_off).min(axis=1))
+            label[theirs] = np.minimum(label[theirs], np.where(linked, label[mine][:, None], far_off).min(axis=0))
+            while (label[order[label]] < label).any():
+                label = label[order[label]]
+            if (label == before).all():
+                break
+        least = day[order[label]]
+        told = least != day
+        return pd.DataFrame({"key": pd.Series([key[0]] * int(told.sum()), dtype=object), "a": day[told], "b": least[told]})
+
+    key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
+    return block_pairs(days, block_days).applyInPandas(joined, f"key {key_type}, a {day_type}, b {day_type}")
+
+
+def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, least: int = 5, rounds: int = 1000, block_days: int = BLOCK_DAYS) -> DataFrame:
     """(key, day, label): groups of days linked at mutual reachability up to the key's cut-off, -1 for small ones.
 
     The core distance of a day is that to its third-nearest other day; the cut-off is
-    a quantile of the core distances.  Labels are the least day of the group.  Raises if
-    ``rounds`` don't settle them.
+    a quantile of the core distances.  Labels are the least day of the group.  Pairs of days are met in
+    blocks, twice: for the core distances, then for the links.  Raises if ``rounds`` don't settle the labels.
     """
     folder = work_folder(days)
-    a, b = days.select("key", F.col("day").alias("a"), F.col("vector").alias("va")), days.select("key", F.col("day").alias("b"), F.col("vector").alias("vb"))
-    far = written(a.join(b, "key").filter("a <> b").select("key", "a", "b", F.round(F.sqrt(squared(F.col("va"), F.col("vb"))), 9).alias("d")), folder)
-    core = far.withColumn("r", F.row_number().over(W.partitionBy("key", "a").orderBy("d", "b"))).filter(F.col("r") == neighbours).select("key", F.col("a").alias("day"), F.col("d").alias("core"))
+    days = written(days.select("key", "day", "vector"), folder)
+    core = written(core_distances(days, neighbours, block_days), folder)
     eps = core.groupBy("key").agg(F.percentile("core", share).alias("eps"))
-    ca, cb = core.select("key", F.col("day").alias("a"), F.col("core").alias("ca")), core.select("key", F.col("day").alias("b"), F.col("core").alias("cb"))
-    edges = written(far.join(ca, ["key", "a"]).join(cb, ["key", "b"]).join(eps, "key").filter(F.greatest("d", "ca", "cb") <= F.col("eps") + 1e-9).select("key", "a", "b"), folder)
+    links = density_links(days.join(core, ["key", "day"]).join(eps, "key").filter("core <= eps + 1e-9"), block_days)
+    edges = written(links.unionByName(links.select("key", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), folder)
     labels = written(days.select("key", "day", F.col("day").alias("label")), folder)
     for _ in range(rounds):
         near = edges.join(labels.select("key", F.col("day").alias("b"), F.col("label").alias("l")), ["key", "b"]).groupBy("key", F.col("a").alias("day")).agg(F.min("l").alias("l"))
@@ -167,6 +349,7 @@ def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, lea
         up = lower.select("key", F.col("day").alias("label"), F.col("label").alias("l2"))
         after = written(lower.select("key", "day", "label").join(up, ["key", "label"]).select("key", "day", F.least("label", "l2").alias("label")), folder)
         changed = after.join(labels.withColumnRenamed("label", "old"), ["key", "day"]).filter("label <> old").limit(1).count()
+        forget(labels)
         labels = after
         if not changed:
             break

@@ -9,14 +9,34 @@ from ..functions import time as ft
 from ..operators import daily as dy
 from ..operators import patterns as pt
 from ..sources import fleet
-from .base import DATE06, Family
-from .daily import FOLDED, folded
+from .base import DATE06, SESSIONS, Family
+from .daily import FOLDED, MOVES, folded
 
 family = Family()
 r = lambda c, n=6: F.round(c, n).alias(c)
 
 #: Long day features (key, day, feature, value) from the daily ratios; a day's label in the registered queries.
 LONG = FOLDED + ", lg AS (SELECT hashvin AS key, date06 AS day, bin || '__' || place AS feature, round(minutes / sum(minutes) OVER (PARTITION BY hashvin, date06), 9) AS value FROM folded)"
+#: The same with the day's moves, which clustering takes too.
+FEATURES = (
+    LONG
+    + MOVES.removeprefix(SESSIONS)
+    + """, tf AS (
+  SELECT hashvin AS key, date06 AS day, 'trans__' || from_place || '--' || to_place AS feature, count(*)::DOUBLE AS value FROM moves JOIN topmoves USING (from_place, to_place) GROUP BY ALL
+  UNION ALL SELECT hashvin, date06, 'trans_count_' || period, count(*)::DOUBLE FROM moves GROUP BY ALL
+  UNION ALL SELECT hashvin, date06, 'trans_count_total', count(*)::DOUBLE FROM moves GROUP BY ALL
+  UNION ALL SELECT hashvin, date06, 'unique_clusters_visited', len(list_distinct(list_concat(list(from_place), list(to_place))))::DOUBLE FROM moves GROUP BY ALL
+), lf AS (SELECT * FROM lg UNION ALL SELECT * FROM tf)"""
+)
+#: Every day of a vehicle with every feature of it, 0 where it has none, and its standard score.
+SCALED = """, dn_fs AS (SELECT DISTINCT key, feature FROM lf),
+dn_dy AS (SELECT DISTINCT key, day, CAST(date_diff('day', DATE '1970-01-01', CAST(day AS DATE)) AS INTEGER) AS no FROM lf),
+dn_dv AS (
+  SELECT dn_dy.key, dn_dy.day, dn_dy.no, f.feature, l.value IS NOT NULL AS held, coalesce(l.value, 0) AS x
+  FROM dn_dy JOIN dn_fs f ON f.key = dn_dy.key LEFT JOIN lf l ON l.key = dn_dy.key AND l.day = dn_dy.day AND l.feature = f.feature
+), dn_sd AS (
+  SELECT *, avg(x) OVER w AS mean, CASE WHEN min(x) OVER w = max(x) OVER w THEN 1 ELSE stddev_pop(x) OVER w END AS sd FROM dn_dv WINDOW w AS (PARTITION BY key, feature)
+), dn_sc AS (SELECT key, day, no, feature, held, (x - mean) / sd AS z, (0 - mean) / sd AS z_absent FROM dn_sd)"""
 DAY_LABEL = "CAST((isodow(day) + CAST(substr(key, 4) AS INTEGER)) % 4 AS INTEGER) - 1"
 LABELS = f", lb AS (SELECT DISTINCT key, day, {DAY_LABEL} AS label FROM lg)"
 
@@ -26,6 +46,13 @@ def long_days(spark, d):
     return x.select(F.col("hashvin").alias("key"), F.col("date06").alias("day"), F.concat(F.col("bin").cast("string"), F.lit("__"), F.col("place")).alias("feature"), F.round("ratio", 9).alias("value"))
 
 
+def day_features(spark, d):
+    """``long_days`` with the day's moves."""
+    moves = dy.place_transitions(fleet.sessions(spark, d))
+    x = dy.transition_long(moves, dy.top_transitions(moves, 15))
+    return long_days(spark, d).unionByName(x.select(F.col("hashvin").alias("key"), F.col("date06").alias("day"), "feature", "value"))
+
+
 def given_labels(long):
     label = ((ft.weekday("day") + 1 + F.substring("key", 4, 10).cast("int")) % 4).cast("int") - 1
     return long.select("key", "day").distinct().withColumn("label", label)
@@ -38,16 +65,15 @@ def embedded(spark, d):
 
 
 def day_vectors(spark, d):
-    """(key, day, vector): standardised shares of the day by hour bin and place, days as numbers."""
-    long = long_days(spark, d).select("key", F.unix_date(F.to_date("day")).alias("day"), "feature", "value")
+    """(key, day, vector): standardised shares of the day by hour bin and place, and moves; days as numbers."""
+    long = day_features(spark, d).select("key", F.unix_date(F.to_date("day")).alias("day"), "feature", "value")
     return pt.scaled(pt.dense(long))
 
 
-@family.query(
-    f"WITH {LONG} SELECT key, day, feature, round((value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w = 0 THEN 1 ELSE stddev_pop(value) OVER w END, 5) + 0.0 AS z FROM lg WINDOW w AS (PARTITION BY key, feature)"
-)
+@family.query(f"WITH {FEATURES}{SCALED} SELECT key, day, feature, round(z, 5) + 0.0 AS z, round(z_absent, 5) + 0.0 AS z_absent FROM dn_sc WHERE held")
 def standardize_days(spark, d):
-    return pt.standardize(long_days(spark, d)).select("key", "day", "feature", (F.round("z", 5) + 0.0).alias("z"))
+    r5 = lambda c: (F.round(c, 5) + 0.0).alias(c)
+    return pt.standardize(day_features(spark, d)).select("key", "day", "feature", r5("z"), r5("z_absent"))
 
 
 @family.query()
@@ -107,9 +133,7 @@ def choose_k(spark, d):
 
 
 #: Standardised day vectors, distances, core distances, links and what each day reaches.
-DENSITY = """, dn_fs AS (SELECT DISTINCT key, feature FROM lg), dn_dy AS (SELECT DISTINCT key, day, CAST(date_diff('day', DATE '1970-01-01', CAST(day AS DATE)) AS INTEGER) AS no FROM lg),
-dn_dv AS (SELECT dn_dy.key, dn_dy.no, f.feature, coalesce(l.value, 0) AS x FROM dn_dy JOIN dn_fs f ON f.key = dn_dy.key LEFT JOIN lg l ON l.key = dn_dy.key AND l.day = dn_dy.day AND l.feature = f.feature),
-dn_sc AS (SELECT key, no, feature, (x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w = 0 THEN 1 ELSE stddev_pop(x) OVER w END AS z FROM dn_dv WINDOW w AS (PARTITION BY key, feature)),
+DENSITY = SCALED + """,
 dn_pr AS (SELECT a.key, a.no AS a, b.no AS b, round(sqrt(sum((a.z - b.z) * (a.z - b.z))), 9) AS d FROM dn_sc a JOIN dn_sc b ON b.key = a.key AND b.feature = a.feature AND b.no <> a.no GROUP BY ALL),
 dn_co AS (SELECT key, a AS no, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY key, a ORDER BY d, b) AS k FROM dn_pr) WHERE k = 3), dn_ep AS (SELECT key, quantile_cont(core, 0.9) AS eps FROM dn_co GROUP BY 1),
 dn_ed AS (SELECT p.key, p.a, p.b FROM dn_pr p JOIN dn_co x ON x.key = p.key AND x.no = p.a JOIN dn_co y ON y.key = p.key AND y.no = p.b JOIN dn_ep ON dn_ep.key = p.key WHERE greatest(p.d, x.core, y.core) <= eps + 1e-9),
@@ -117,7 +141,7 @@ dn_re AS (SELECT key, no AS a, no AS b FROM dn_dy UNION SELECT r.key, r.a, e.b F
 SELECT key, day, CASE WHEN count(*) OVER (PARTITION BY key, label) >= 5 THEN label ELSE -1 END AS label FROM dn_la"""
 
 
-@family.query(f"WITH RECURSIVE {LONG}{DENSITY}")
+@family.query(f"WITH RECURSIVE {FEATURES}{DENSITY}")
 def density_days(spark, d):
     return pt.density_groups(day_vectors(spark, d))
 
