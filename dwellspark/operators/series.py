@@ -5,6 +5,8 @@ Series are keyed (``series``) so that windows never gather the whole table in a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,20 +58,92 @@ def positions(df: DataFrame, *order: str) -> DataFrame:
     return dealt.join(before, "__p").withColumn("position", F.col("__before") + place - 1).drop("__p", "__before")
 
 
-def time_cut_split(df: DataFrame, shares: tuple[float, ...], names: tuple[str, ...], t: str = "t", tie: str = "id") -> DataFrame:
-    """``split`` by position in (t, tie) order of the whole table: the first floor(n * share) rows and so on (1 row at least).
+#: Bins of a histogram, and rows of a bin whose places are read off it by collecting them.
+BINS, FEW_ROWS = 4096, 10_000
+
 
-    Rows are ordered by ranges of (t, tie), as ``positions`` does.
+def order_statistics(df: DataFrame, places: list[int], first: str, second: str) -> list[tuple[int, int]]:
+    """The pairs (first, second) at ``places`` (from 0) in the order of two whole-number columns, exactly.
+
+    Histograms are refined until the bin of each place has few rows, which are collected:
+    a scan per round for all places at once, no ordering of the table, and at most ``FEW_ROWS`` rows
+    or ``BINS`` counts per place to the driver.  Columns without nulls are expected.
+    """
+    out: dict[int, tuple[int, int]] = {}
+    whole = df.agg(F.min(first), F.max(first), F.min(second), F.max(second)).first()
+    # place: (fixed first column or None, low, high of the column that is refined, places before low, rows within)
+    todo = {p: (None, whole[0], whole[1], 0) for p in places}
+    while todo:
+        states = sorted(set(todo.values()), key=str)
+        cases = []
+        for i, (fixed, low, high, _) in enumerate(states):
+            column = first if fixed is None else second
+            here = F.col(column).between(low, high) if fixed is None else (F.col(first) == fixed) & F.col(column).between(low, high)
+            width = -(-(high - low + 1) // BINS)
+            cases.append(F.when(here, F.struct(F.lit(i).alias("state"), F.floor((F.col(column) - low) / width).cast("int").alias("bin"))))
+        counts: dict[int, dict[int, int]] = {}
+        for r in df.select(F.explode(F.array_compact(F.array(*cases))).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r.c.state, {})[r.c.bin] = r.n
+        after, read = {}, {}
+        for place, state in todo.items():
+            i = states.index(state)
+            fixed, low, high, before = state
+            width = -(-(high - low + 1) // BINS)
+            for b in sorted(counts[i]):
+                if place < before + counts[i][b]:
+                    break
+                before += counts[i][b]
+            a, z = low + b * width, min(high, low + (b + 1) * width - 1)
+            if counts[i][b] <= FEW_ROWS:
+                read[place] = (fixed, a, z, before)
+            elif a < z:
+                after[place] = (fixed, a, z, before)
+            elif fixed is None:
+                after[place] = (a, whole[2], whole[3], before)
+            else:
+                out[place] = (fixed, a)  # rows that are equal in both columns
+        for bounds in set(read.values()):
+            fixed, a, z, before = bounds
+            here = F.col(first).between(a, z) if fixed is None else (F.col(first) == fixed) & F.col(second).between(a, z)
+            rows = sorted((r[0], r[1]) for r in df.filter(here).select(first, second).collect())
+            out |= {p: rows[p - before] for p, x in read.items() if x == bounds}
+        todo = after
+    return [out[p] for p in places]
+
+
+def time_cut_split(df: DataFrame, splits: dict[str, tuple[tuple[float, ...], tuple[str, ...]]], t: str = "t", tie: str = "id") -> DataFrame:
+    """``df`` with a column per split (name: shares, names) by position in (t, tie) order of the whole table.
+
+    The first floor(n * share) rows (1 at least) get the first name, and so on.  The rows
+    at the cuts are selected, and others compared with them.  Rows equal in t and tie stay
+    together; those without a time come first.
     """
-    out = positions(df, t, tie).withColumnsRenamed({"position": "__i", "total": "__all"})
-    split, total = F.lit(names[-1]), 0.0
-    cuts = []
-    for share in shares[:-1]:
-        total += share
-        cuts.append(F.greatest(F.lit(1), F.floor(F.col("__all") * F.lit(round(total, 9)))))
-    for cut, name in reversed(list(zip(cuts, names))):
-        split = F.when(F.col("__i") < cut, name).otherwise(split)
-    return out.withColumn("split", split).drop("__all", "__i")
+    at = F.coalesce(F.unix_micros(F.col(t).cast("timestamp")), F.lit(-(1 << 62)))
+    marked = df.withColumns({"__t": at, "__tie": F.col(tie).cast("bigint")})
+    known = marked.filter(F.col(t).isNotNull()).select("__t", "__tie")
+    n, absent = df.agg(F.count(F.lit(1)), F.count_if(F.col(t).isNull())).first()
+    cuts = {}
+    for name, (shares, names) in splits.items():
+        total, places = 0.0, []
+        for share in shares[:-1]:
+            total += share
+            places.append(max(1, math.floor(n * round(total, 9))))
+        cuts[name] = places
+    wanted = sorted({p - absent for places in cuts.values() for p in places if absent <= p < n})
+    found = dict(zip(wanted, order_statistics(known, wanted, "__t", "__tie"))) if wanted else {}
+    made = {}
+    for name, (_, names) in splits.items():
+        split = F.lit(names[-1])
+        for place, label in reversed(list(zip(cuts[name], names))):
+            if place >= n:
+                split = F.lit(label)
+            elif place < absent:
+                split = F.when(F.col(t).isNull(), label).otherwise(split)
+            else:
+                ft, fi = found[place - absent]
+                split = F.when((F.col("__t") < ft) | ((F.col("__t") == ft) & (F.col("__tie") < fi)), label).otherwise(split)
+        made[name] = split
+    return marked.withColumns(made).drop("__t", "__tie")
 
 
 def category_codes(df: DataFrame, column: str) -> DataFrame:

@@ -168,25 +168,26 @@ def common_features(spark, d):
 
 @family.query(
     f"""WITH {FEATURES}{_bins_sql('calendar')}{WIDE}, cm AS ({COMMON}), sz AS (SELECT session_uid, count(*) AS candidate_set_size FROM cand GROUP BY 1)
-SELECT f.session_uid, s.hashvin, s.split, f.place AS candidate_cluster, s.next_long_inactive_cluster AS true_cluster, CAST(f.place = s.next_long_inactive_cluster AS INTEGER) AS label, z.candidate_set_size, f.cand_distance_m, f.cand_freq, f.cand_recency_hours, f.cand_time_compat, f.cand_transition_prev,
-c.dow, c.time_sin, c.soc_start, c.station_home, w.daily_bin_0_place, w.daily_bin_0_minutes, w.daily_bin_3_place, w.daily_bin_3_minutes
+SELECT f.session_uid, s.hashvin, s.split, f.place AS candidate_cluster, s.next_long_inactive_cluster AS true_cluster, CAST(f.place = s.next_long_inactive_cluster AS INTEGER) AS label, z.candidate_set_size,
+       f.* EXCLUDE (session_uid, place, is_truth), c.* EXCLUDE (session_uid), w.* EXCLUDE (session_uid)
 FROM feat f JOIN split s USING (session_uid) JOIN sz z USING (session_uid) JOIN cm c USING (session_uid) JOIN wb w USING (session_uid)"""
 )
 def scoring_table(spark, d):
+    """A row per charge and candidate with every feature of the candidate, of the charge, and of the day's bins before it."""
     from pyspark.sql import Window as W
 
     rows = ordered(spark, d)
     f = features(spark, d).withColumn("candidate_set_size", F.count(F.lit(1)).over(W.partitionBy("session_uid")))
-    f = f.withColumnRenamed("place", "candidate_cluster")
+    f = f.withColumnRenamed("place", "candidate_cluster").drop("is_truth")
     me = rows.select("session_uid", "hashvin", "split", F.col(pl.LABEL).alias("true_cluster"))
+    out = f.join(me, "session_uid").join(common(rows), "session_uid").join(day_bins(rows, spark, d), "session_uid")
+    return out.withColumn("label", (F.col("candidate_cluster") == F.col("true_cluster")).cast("int"))
+
+
+def day_bins(rows, spark, d):
+    """Places and minutes of the four bins of the charge's day, a column each."""
     wide = cd.wide_bins(cd.daily_bins(rows, sessions(spark, d)))
-    out = f.join(me, "session_uid").join(common(rows), "session_uid").join(wide, "session_uid")
-    out = out.withColumn("label", (F.col("candidate_cluster") == F.col("true_cluster")).cast("int"))
-    m = lambda i: F.round(F.col(f"daily_bin_{i}_minutes") + 2e-9, 6).alias(f"daily_bin_{i}_minutes")
-    return out.select(
-        "session_uid", "hashvin", "split", "candidate_cluster", "true_cluster", "label", "candidate_set_size", "cand_distance_m", "cand_freq", "cand_recency_hours", "cand_time_compat",
-        "cand_transition_prev", "dow", "time_sin", "soc_start", "station_home", "daily_bin_0_place", m(0), "daily_bin_3_place", m(3),
-    )
+    return wide.withColumns({f"daily_bin_{i}_minutes": F.round(F.col(f"daily_bin_{i}_minutes") + 2e-9, 6) for i in range(4)})
 
 
 VISITS = """, vs AS (SELECT h.session_uid, h.place, count(*) FILTER (WHERE v.inactive_start_time >= s.charge_start_time - INTERVAL 90 DAY) AS n, arg_max(v.inactive_start_time, v.session_order) AS last, any_value(s.charge_start_time) AS start
@@ -230,22 +231,32 @@ _NAMES = ("dist_m", "freq", "recency_hours", "time_compat", "transition_p")
 
 
 @family.query(
-    f"""WITH {PLACE_FEATURES}{_bins_sql('calendar')}{WIDE}, cm AS ({COMMON}), wd AS (SELECT session_uid, {', '.join(f"max(CASE WHEN head_rank = {k} THEN {n} END) AS {n}_{k}" for k in range(1, 6) for n in _NAMES)} FROM pf GROUP BY 1)
-SELECT s.session_uid, s.split8 AS split, CASE WHEN h.place IS NULL THEN 'OTHER' ELSE s.next_long_inactive_cluster END AS y_class, c.dow, c.time_sin, c.time_cos, c.soc_start, w.daily_bin_0_place, w.daily_bin_1_place, {', '.join(f'wd.{n}_{k}' for k in range(1, 6) for n in _NAMES)}
+    f"""WITH {PLACE_FEATURES}{_bins_sql('calendar')}{WIDE}, cm AS ({COMMON}),
+wd AS (SELECT session_uid, {', '.join(f"max(CASE WHEN head_rank = {k} THEN {n} END) AS {n}_{k}" for k in range(1, 6) for n in _NAMES)} FROM pf GROUP BY 1)
+SELECT s.session_uid, s.split8 AS split, CASE WHEN h.place IS NULL THEN 'OTHER' ELSE s.next_long_inactive_cluster END AS y_class,
+       c.* EXCLUDE (session_uid), w.* EXCLUDE (session_uid), {', '.join(f'wd.{n}_{k}' for k in range(1, 6) for n in _NAMES)}
 FROM split s LEFT JOIN head h ON h.hashvin = s.hashvin AND h.place = s.next_long_inactive_cluster JOIN cm c ON c.session_uid = s.session_uid JOIN wb w ON w.session_uid = s.session_uid LEFT JOIN wd ON wd.session_uid = s.session_uid"""
 )
 def multiclass_table(spark, d):
+    """A row per charge with its class and every feature of the charge, of the day's bins before it, and of its vehicle's HEAD places."""
     rows = ordered(spark, d)
     wide = place_features(spark, d).groupBy("session_uid").agg(*[F.max(F.when(F.col("head_rank") == k, F.col(n))).alias(f"{n}_{k}") for k in range(1, 6) for n in _NAMES])
     y = labels(spark, d).select("session_uid", F.col("split8").alias("split"), "y_class")
-    out = y.join(common(rows), "session_uid").join(cd.wide_bins(cd.daily_bins(rows, sessions(spark, d))), "session_uid").join(wide, "session_uid", "left")
-    return out.select("session_uid", "split", "y_class", "dow", "time_sin", "time_cos", "soc_start", "daily_bin_0_place", "daily_bin_1_place", *[f"{n}_{k}" for k in range(1, 6) for n in _NAMES])
+    return y.join(common(rows), "session_uid").join(day_bins(rows, spark, d), "session_uid").join(wide, "session_uid", "left")
+
 
+#: Columns of the base table that the assembled one keeps.
+_BASE = ["session_uid", "session_id", "session_order", "hashvin", "charge_start_time", "charge_end_time", "charge_cluster", "prev_cluster", "next_long_inactive_cluster", "split", "split8"]
 
-@family.query(f"WITH {BASE}, cm AS ({COMMON}) SELECT s.session_uid, s.hashvin, s.split, c.dow, c.soc_start, c.is_weekend FROM split s JOIN cm c USING (session_uid)")
+
+@family.query(
+    f"""WITH {BASE}, cm AS ({COMMON})
+SELECT s.session_uid, s.session_id, CAST(s.session_order AS BIGINT) AS session_order, s.hashvin, s.charge_start_time, s.charge_end_time, s.charge_cluster, s.prev_cluster, s.next_long_inactive_cluster, s.split, s.split8,
+       CAST(isodow(s.charge_start_time) - 1 AS INTEGER) AS dow, c.* EXCLUDE (session_uid, dow)
+FROM split s JOIN cm c USING (session_uid)"""
+)
 def feature_assembly(spark, d):
-    """Columns of the base and the common features, each name once."""
+    """The base's columns and the common features, each name once: the base's where both have it."""
     rows = ordered(spark, d).withColumn("dow", ft.weekday("charge_start_time"))
     extra = common(rows)
-    out = rows.join(extra.select("session_uid", *[c for c in extra.columns if c not in rows.columns]), "session_uid")
-    return out.select("session_uid", "hashvin", "split", "dow", "soc_start", "is_weekend")
+    return rows.select(*_BASE, "dow").join(extra.select("session_uid", *[c for c in extra.columns if c not in [*_BASE, "dow"]]), "session_uid")

@@ -55,10 +55,8 @@ def forward_fill(spark, d):
 SELECT id, CASE WHEN i < greatest(1, floor(n * 0.8::DOUBLE)) THEN 'train' ELSE 'test' END AS split_80, CASE WHEN i < greatest(1, floor(n * 0.6::DOUBLE)) THEN 'train' WHEN i < greatest(1, floor(n * 0.8::DOUBLE)) THEN 'valid' ELSE 'test' END AS split_60 FROM o"""
 )
 def ratio_split(spark, d):
-    x = vehicle_hours(spark, d).withColumn("day", F.col("timestamp"))
-    two = sr.time_cut_split(x, (0.8, 0.2), ("train", "test"), "timestamp").select("id", F.col("split").alias("split_80"))
-    three = sr.time_cut_split(x, (0.6, 0.2, 0.2), ("train", "valid", "test"), "timestamp").select("id", F.col("split").alias("split_60"))
-    return two.join(three, "id")
+    splits = {"split_80": ((0.8, 0.2), ("train", "test")), "split_60": ((0.6, 0.2, 0.2), ("train", "valid", "test"))}
+    return sr.time_cut_split(vehicle_hours(spark, d), splits, "timestamp").select("id", "split_80", "split_60")
 
 
 @family.query(f"WITH {HOURS} SELECT hashvin, CAST(dense_rank() OVER (ORDER BY hashvin) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT hashvin FROM vh)")
