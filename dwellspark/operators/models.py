@@ -1,16 +1,20 @@
-"""Pooled models: one Spark ML pipeline over the fleet instead of a loop over vehicles.
+"""Models: Spark ML pipelines pooled over the fleet, and logistic models per vehicle.
 
 Features are relative to the vehicle already (distances, shares, ranks), so vehicles can
-share a model; classes of the place model are HEAD ranks for the same reason.
+share a model; classes of the place model are HEAD ranks for the same reason.  Models per
+vehicle are fitted all at once: each round sums every vehicle's normal equations over blocks of
+its rows and solves them by vehicle, so no loop runs over vehicles and none is gathered whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -18,6 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .patterns import forget, work_folder, written
+
+#: Categories of a text that trees tell apart, at most; rows of a block of a vehicle.
+MOST_BINS, BLOCK_ROWS = 256, 4_000
+
 
 def assembled(numeric: Sequence[str], texts: Sequence[str] = ()) -> list:
     """Stages from columns to ``features``: texts are indexed, missing numbers take the median."""
@@ -34,14 +43,14 @@ def candidate_classifier(rows: DataFrame, numeric: Sequence[str], texts: Sequenc
     """"Is this the place": None where there are not both labels."""
     if not enough_labels(rows, "label"):
         return None
-    return Pipeline(stages=[*assembled(numeric, texts), GBTClassifier(labelCol="label", maxIter=trees, maxDepth=4, seed=42)]).fit(rows)
+    return Pipeline(stages=[*assembled(numeric, texts), GBTClassifier(labelCol="label", maxIter=trees, maxDepth=4, maxBins=MOST_BINS, seed=42)]).fit(rows)
 
 
-def place_classifier(rows: DataFrame, numeric: Sequence[str], trees: int = 30) -> PipelineModel | None:
+def place_classifier(rows: DataFrame, numeric: Sequence[str], texts: Sequence[str] = (), trees: int = 30) -> PipelineModel | None:
     """The HEAD rank (0 for OTHER) of the place; None with fewer than two classes."""
     if not enough_labels(rows, "label"):
         return None
-    return Pipeline(stages=[*assembled(numeric), RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=6, seed=42)]).fit(rows)
+    return Pipeline(stages=[*assembled(numeric, texts), RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=6, maxBins=MOST_BINS, seed=42)]).fit(rows)
 
 
 def boosted_regressor(rows: DataFrame, numeric: Sequence[str], label: str = "target", rounds: int = 400, step: float = 0.05) -> PipelineModel:
@@ -65,20 +74,31 @@ def _altered(rows: DataFrame, columns: Sequence[str], new: dict[str, Column], ke
     return rows.select(*others, F.explode(F.array(*map(one, columns))).alias("__a")).select(*others, "__a.*")
 
 
-def dealt_anew(rows: DataFrame, columns: Sequence[str], seed: int = 42, by: Sequence[str] = ("hashvin",)) -> DataFrame:
-    """``rows`` with ``__new``: the ``columns`` of another row of the same ``by``, each row's given once."""
-    here = W.partitionBy(*by)
-    a = rows.withColumn("__i", F.row_number().over(here.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id")))
-    b = rows.select(*by, F.struct(*columns).alias("__new"), F.row_number().over(here.orderBy(F.xxhash64("row_id", F.lit(seed + 1)), "row_id")).alias("__i"))
-    return a.join(b, [*by, "__i"]).drop("__i")
+def shifted(rows: DataFrame, columns: Sequence[str], shuffles: int, seed: int = 42, by: Sequence[str] = ("hashvin",), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``rows`` once per shuffle (``shuffle``) with ``__new``: the ``columns`` of another row of the same ``by``.
 
-
-def permutation_importance(model: PipelineModel, rows: DataFrame, columns: Sequence[str], seed: int = 42) -> DataFrame:
-    """(feature, drop): loss of accuracy when a feature is dealt anew; one pass over all features."""
+    Rows stand in one order by a hash within blocks of each ``by``, and a shuffle is a cyclic
+    shift of a block, so each gives every row's values once and no two give a row the same ones (where the
+    block has more rows than shuffles).
+    """
+    blocks = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__blocks"))
+    dealt = rows.join(blocks, [*by]).withColumn("__b", F.pmod(F.xxhash64("row_id", F.lit(seed + 1)), F.col("__blocks")))
+    here = W.partitionBy(*by, "__b")
+    placed = dealt.withColumns({"__i": F.row_number().over(here.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id")) - 1, "__n": F.count(F.lit(1)).over(here)}).drop("__blocks")
+    a = placed.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    a = a.withColumn("__from", F.pmod(F.col("__i") + 1 + F.floor(F.col("shuffle") * (F.col("__n") - 1) / shuffles), F.col("__n")))
+    b = placed.select(*[F.col(c).alias(c) for c in by], F.col("__b").alias("__b"), F.struct(*columns).alias("__new"), F.col("__i").alias("__from"))
+    return a.join(b, [*by, "__b", "__from"]).drop("__i", "__n", "__b", "__from")
+
+
+def permutation_importance(model: PipelineModel, rows: DataFrame, columns: Sequence[str], shuffles: int = 5, seed: int = 42) -> DataFrame:
+    """(hashvin, feature, importance, deviation, n): mean and deviation, over paired shuffles, of a vehicle's loss of accuracy when a feature is another row's."""
     hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-    base = model.transform(rows).agg(hit.alias("base"))
-    altered = _altered(dealt_anew(rows, columns, seed), columns, {c: F.col(f"__new.{c}") for c in columns}, rows.columns)
-    return model.transform(altered).groupBy("feature").agg(hit.alias("score")).join(F.broadcast(base)).select("feature", (F.col("base") - F.col("score")).alias("drop"))
+    base = model.transform(rows).groupBy("hashvin").agg(hit.alias("base"), F.count(F.lit(1)).alias("n"))
+    moved = shifted(rows, columns, shuffles, seed)
+    altered = _altered(moved, columns, {c: F.col(f"__new.{c}") for c in columns}, [*rows.columns, "shuffle"])
+    per = model.transform(altered).groupBy("hashvin", "feature", "shuffle").agg(hit.alias("score")).join(base, "hashvin").withColumn("drop", F.col("base") - F.col("score"))
+    return per.groupBy("hashvin", "feature").agg(F.avg("drop").alias("importance"), F.coalesce(F.stddev("drop"), F.lit(0.0)).alias("deviation"), F.first("n").alias("n"))
 
 
 def precision_gap(model: PipelineModel, rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -90,28 +110,106 @@ def precision_gap(model: PipelineModel, rows: DataFrame, numeric: Sequence[str])
     return a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n"), F.avg(gap).alias("mean_gap"), F.max(gap).alias("max_gap"))
 
 
-def leaderboard(train: DataFrame, test: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """(model, test_accuracy), best first."""
+def leaderboard(train: DataFrame, test: DataFrame, numeric: Sequence[str], texts: Sequence[str] = (), trees: int = 50, rounds: int = 20) -> DataFrame:
+    """(model, test_accuracy, test_balanced, fit_seconds, score_seconds, n_train, n_test, n_features, parameters, rank), best first."""
     fits = {
-        "logistic": LogisticRegression(labelCol="label", maxIter=20),
-        "forest": RandomForestClassifier(labelCol="label", numTrees=10, maxDepth=5, seed=42),
-        "boosted": GBTClassifier(labelCol="label", maxIter=5, maxDepth=4, seed=42),
+        "logistic": LogisticRegression(labelCol="label", maxIter=100),
+        "forest": RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=5, maxBins=MOST_BINS, seed=42),
+        "boosted": GBTClassifier(labelCol="label", maxIter=rounds, maxDepth=4, maxBins=MOST_BINS, seed=42),
     }
-    judge = MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy")
-    rows = [(name, float(judge.evaluate(Pipeline(stages=[*assembled(numeric), fit]).fit(train).transform(test)))) for name, fit in fits.items()]
-    return train.sparkSession.createDataFrame(rows, "model string, test_accuracy double").orderBy(F.desc("test_accuracy"), "model")
-
-
-def feature_impact(model: PipelineModel, rows: DataFrame, train: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame:
-    """(row_id, feature, impact): change of the top class's probability when a feature takes its training median; the ``top`` largest per row.
+    n_train, n_test, rows = train.count(), test.count(), []
+    for name, fit in fits.items():
+        began = time.monotonic()
+        model = Pipeline(stages=[*assembled(numeric, texts), fit]).fit(train)
+        fitted = time.monotonic()
+        per = model.transform(test).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("prediction") == F.col("label")).cast("int")).alias("hits")).collect()  # a row per class
+        last = model.stages[-1]
+        size = sum(t.numNodes for t in last.trees) if name != "logistic" else last.numFeatures + 1
+        hits, n = sum(r.hits for r in per), sum(r.n for r in per)
+        rows.append((name, hits / n if n else None, sum(r.hits / r.n for r in per) / len(per) if per else None, fitted - began, time.monotonic() - fitted, n_train, n_test, len(numeric) + len(texts), int(size)))
+    out = train.sparkSession.createDataFrame(rows, "model string, test_accuracy double, test_balanced double, fit_seconds double, score_seconds double, n_train bigint, n_test bigint, n_features int, parameters bigint")
+    return out.withColumn("rank", F.row_number().over(W.orderBy(F.desc("test_accuracy"), "model")))  # three rows
+
+
+def keyed_logit(rows: DataFrame, features: Sequence[str], keys: Sequence[str] = ("hashvin",), label: str = "label", ridge: float = 1.0, rounds: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, status, n, positives, coefficients, mean, sd, rounds): a logistic model per key, by iteratively reweighted least squares.
+
+    Features are filled with the key's mean, scaled by the key's mean and deviation (0 counts
+    as 1), and ``coefficients`` (the constant first) are for those; ``ridge`` penalises all but the constant.  A key
+    with one label is ``skipped`` with null coefficients, one that ``rounds`` do not settle is ``unsettled``.
+
+    Rows are packed once into blocks of a key.  A round gives every block its key's coefficients, adds up
+    the normal equations of the blocks, and solves them by key; settled keys take no further part.
+    """
+    folder, ks, d = work_folder(rows), list(keys), len(features)
+    rows = rows.filter(F.col(label).isNotNull())
+    whole = rows.groupBy(*ks).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("double")).alias("positives"), F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in features]).alias("mean"),
+        F.array(*[F.coalesce(F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)), F.lit(1.0)) for c in features]).alias("sd"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"),
+    )
+    whole = written(whole, folder)
+    both = whole.filter("positives > 0 AND positives < n")
+    x = F.array(*[F.coalesce((F.col(c).cast("double") - F.col("mean")[i]) / F.col("sd")[i], F.lit(0.0)) for i, c in enumerate(features)])
+    row = F.struct(F.col(label).cast("double").alias("y"), x.alias("x")).alias("row")
+    dealt = rows.join(both.select(*ks, "mean", "sd", "blocks"), ks).select(*ks, F.pmod(F.xxhash64(*rows.columns), F.col("blocks")).alias("block"), row)
+    packed = dealt.groupBy(*ks, "block").agg(F.collect_list("row").alias("rows"))
+    packed = written(packed.select(*ks, F.transform("rows", lambda r: r["y"]).alias("y"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x")), folder)
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in ks)
+
+    def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            out: dict = {k: some[k].astype(object) for k in ks} | {"gradient": [], "hessian": []}
+            for y, flat, beta in zip(some["y"], some["x"], some["beta"]):
+                a = np.column_stack([np.ones(len(y)), np.asarray(flat).reshape(len(y), -1)])
+                p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+                out["gradient"].append(a.T @ (np.asarray(y) - p))
+                out["hessian"].append(((a * (p * (1 - p))[:, None]).T @ a).ravel())
+            yield pd.DataFrame(out)
+
+    def solved(parts: pd.DataFrame) -> pd.DataFrame:
+        beta = np.asarray(parts["beta"].iloc[0])
+        penalty = np.full(d + 1, ridge)
+        penalty[0] = 0
+        gradient = np.sum(np.stack(parts["gradient"].to_numpy()), axis=0) - penalty * beta
+        hessian = np.sum(np.stack(parts["hessian"].to_numpy()), axis=0).reshape(d + 1, d + 1) + np.diag(penalty + 1e-9)
+        step = np.linalg.solve(hessian, gradient)
+        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-300))  # no leap out of the range of the curve
+        return pd.DataFrame([(*parts[ks].iloc[0], beta + step, bool(np.abs(step).max() < 1e-9))], columns=[*ks, "beta", "still"])
+
+    zero = F.array_repeat(F.lit(0.0), d + 1)
+    open_, settled, i = written(both.select(*ks, zero.alias("beta")), folder), [], 0
+    while i < rounds and not open_.isEmpty():
+        i += 1
+        sums = packed.join(open_, ks).select(*ks, "y", "x", "beta").mapInPandas(equations, f"{kinds}, gradient array<double>, hessian array<double>")
+        moved = written(sums.join(open_, ks).groupBy(*ks).applyInPandas(solved, f"{kinds}, beta array<double>, still boolean"), folder)
+        forget(open_)
+        settled.append(moved.filter("still").select(*ks, "beta", F.lit(i).alias("rounds"), F.lit("trained").alias("status")))
+        open_ = written(moved.filter("NOT still").drop("still"), folder)
+    fits = open_.select(*ks, "beta", F.lit(i).alias("rounds"), F.lit("unsettled").alias("status"))
+    for part in settled:
+        fits = fits.unionByName(part)
+    out = whole.drop("blocks").join(fits, ks, "left")
+    return out.select(*ks, F.coalesce("status", F.lit("skipped")).alias("status"), "n", "positives", F.col("beta").alias("coefficients"), "mean", "sd", "rounds")
+
+
+def keyed_scores(models: DataFrame, rows: DataFrame, features: Sequence[str], keys: Sequence[str] = ("hashvin",)) -> DataFrame:
+    """``rows`` with proba by their key's model; null where it has none."""
+    x = F.array(*[F.coalesce((F.col(c).cast("double") - F.col("mean")[i]) / F.col("sd")[i], F.lit(0.0)) for i, c in enumerate(features)])
+    z = F.aggregate(F.zip_with(F.slice("coefficients", 2, len(features)), x, lambda b, v: b * v), F.col("coefficients")[0], lambda s, v: s + v)
+    return rows.join(models.select(*keys, "coefficients", "mean", "sd"), list(keys), "left").withColumn("proba", 1 / (1 + F.exp(-z))).drop("coefficients", "mean", "sd")
+
+
+def feature_impact(model: PipelineModel, rows: DataFrame, train: DataFrame, numeric: Sequence[str], texts: Sequence[str] = (), top: int = 5) -> DataFrame:
+    """(row_id, feature, impact): change of the top class's probability when a feature takes its usual training value (median, or most frequent text); the ``top`` largest per row.
 
     A label without a probability is an error.
     """
-    medians = train.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in columns]).first()
+    columns = [*numeric, *texts]
+    usual = train.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in numeric], *[F.mode(c, True).alias(c) for c in texts]).first()
     base = model.transform(rows).select("row_id", F.col("prediction").cast("int").alias("k"), vector_to_array("probability").alias("p"))
     if base.filter("k >= size(p)").limit(1).count():
         raise ValueError("a predicted label has no probability")
-    altered = _altered(rows, columns, {c: F.lit(float(medians[c])) for c in columns}, rows.columns)
+    altered = _altered(rows, columns, {c: F.lit(usual[c]).cast("double" if c in numeric else "string") for c in columns}, rows.columns)
     other = model.transform(altered).select("row_id", "feature", vector_to_array("probability").alias("q"))
     out = base.join(other, "row_id").select("row_id", "feature", (F.element_at("p", F.col("k") + 1) - F.element_at("q", F.col("k") + 1)).alias("impact"))
     w = W.partitionBy("row_id").orderBy(F.desc(F.abs("impact")), "feature")

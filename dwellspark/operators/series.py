@@ -118,7 +118,9 @@ def time_cut_split(df: DataFrame, splits: dict[str, tuple[tuple[float, ...], tup
     at the cuts are selected, and others compared with them.  Rows equal in t and tie stay
     together; those without a time come first.
     """
-    at = F.coalesce(F.unix_micros(F.col(t).cast("timestamp")), F.lit(-(1 << 62)))
+    wall = df.schema[t].dataType.typeName() == "timestamp_ntz"  # no session zone may reorder wall-clock times
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', `{t}`)") if wall else F.unix_micros(F.col(t).cast("timestamp"))
+    at = F.coalesce(micros, F.lit(-(1 << 62)))
     marked = df.withColumns({"__t": at, "__tie": F.col(tie).cast("bigint")})
     known = marked.filter(F.col(t).isNotNull()).select("__t", "__tie")
     n, absent = df.agg(F.count(F.lit(1)), F.count_if(F.col(t).isNull())).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import geo
 from ..functions import time as ft
 from ..operators import cleaning as cl
 from ..operators import daily as dy
+from ..operators.patterns import work_folder
 from ..sources import fleet
 from .base import BIN_LABEL, CHARGES, DATE06, PIECES, SESSIONS, Family
 
@@ -44,6 +47,30 @@ def scan_sessions(spark, d):
     return out.select("session_id", "hashvin", "session_type", "session_cluster", "start_time", "end_time", F.round(F.col("duration_minutes") + 2e-9, 6).alias("duration_minutes"))
 
 
+#: Rows that the written file breaks: a text for a number, a field too few, no vehicle.
+_BROKEN = "CASE WHEN session_id % 97 = 0 THEN 'text' WHEN session_id % 89 = 0 THEN 'short' WHEN session_id % 83 = 0 THEN 'vehicle' END"
+
+
+@family.query(
+    f"""WITH {SESSIONS}, b AS (SELECT *, {_BROKEN} AS fault FROM sessions)
+SELECT hashvin, count(*) AS n, 0::BIGINT AS unparsed, 0::BIGINT AS incomplete, round(sum(duration_minutes), 4) AS minutes FROM b WHERE fault IS NULL AND duration_minutes >= 20 GROUP BY 1
+UNION ALL SELECT '(quarantine)', count(*), count(*) FILTER (WHERE fault <> 'vehicle'), count(*) FILTER (WHERE fault = 'vehicle'), NULL FROM b WHERE fault IS NOT NULL"""
+)
+def read_session_files(spark, d):
+    """Sessions written as CSV with broken rows among them, read back: stays and minutes per vehicle, and what went to quarantine."""
+    s = sessions(spark, d).withColumn("fault", F.expr(_BROKEN))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    names = [f.split()[0] for f in fleet.SESSION_SCHEMA.split(", ")]
+    shown = {c: text(c) for c in names} | {"duration_minutes": F.when(F.col("fault") == "text", "n/a").otherwise(text("duration_minutes")), "hashvin": F.when(F.col("fault") == "vehicle", "").otherwise(F.col("hashvin"))}
+    line = F.when(F.col("fault") == "short", F.concat_ws(",", *[shown[c] for c in names[:4]])).otherwise(F.concat_ws(",", *[shown[c] for c in names]))
+    top = f"{work_folder(s)}/{uuid.uuid4().hex}"
+    s.select(line.alias("value")).write.text(f"{top}/sessions")
+    good = fleet.read_sessions(spark, f"{top}/sessions", 20, "csv", quarantine=f"{top}/quarantine", header=False)
+    per = good.groupBy("hashvin").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("unparsed"), F.lit(0).cast("bigint").alias("incomplete"), F.round(F.sum("duration_minutes"), 4).alias("minutes"))
+    lost = spark.read.parquet(f"{top}/quarantine").agg(F.lit("(quarantine)").alias("hashvin"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason") == "unparsed").alias("unparsed"), F.count_if(F.col("reason") != "unparsed").alias("incomplete"), F.lit(None).cast("double").alias("minutes"))
+    return per.unionByName(lost)
+
+
 @family.query(f"WITH {CHARGES} SELECT DISTINCT hashvin FROM charges ORDER BY hashvin")
 def scan_charges(spark, d):
     return fleet.charges(sessions(spark, d)).select("hashvin").distinct().orderBy("hashvin")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from ..functions import geo
 from ..functions import time as ft
 from ..operators import metrics as mt
 from ..operators import places as pl
-from ..sources import fleet
+from ..operators.patterns import work_folder
+from ..sources import fleet, sinks
 from .base import DATE06, Family
 from .inputs import TEXT, ordered, sessions
 from .places import BASE, HEAD, HEAD_K, long_cut
@@ -174,12 +177,20 @@ def top_n_rows(spark, d):
     return m.select("hashvin", r("accuracy"), F.row_number().over(W.orderBy(F.desc(F.col("accuracy")), "hashvin")).alias("position"))
 
 
-@family.query(f"WITH {SCORED}, o AS (SELECT hashvin, y_class AS feature, count(*) AS importance FROM sc GROUP BY ALL), n AS (SELECT hashvin, 'new' AS feature, 1::BIGINT AS importance FROM (SELECT DISTINCT hashvin FROM sc) WHERE CAST(substr(hashvin, 4) AS INTEGER) % 2 = 0) SELECT * FROM o WHERE hashvin NOT IN (SELECT hashvin FROM n) UNION ALL SELECT * FROM n")
+@family.query(
+    f"""WITH {SCORED}, o AS (SELECT hashvin, y_class AS feature, count(*) AS importance FROM sc GROUP BY ALL),
+n AS (SELECT hashvin, 'new' AS feature, 1::BIGINT AS importance FROM (SELECT DISTINCT hashvin FROM sc) WHERE CAST(substr(hashvin, 4) AS INTEGER) % 2 = 0)
+SELECT * FROM o WHERE hashvin NOT IN (SELECT hashvin FROM n) UNION ALL SELECT * FROM n"""
+)
 def upsert_importance(spark, d):
+    """A table by vehicle in which later rows of a vehicle take the place of its earlier ones."""
     s = scored(spark, d)
     old = s.groupBy("hashvin", F.col("y_class").alias("feature")).agg(F.count(F.lit(1)).alias("importance"))
     new = s.select("hashvin").distinct().filter(F.substring("hashvin", 4, 10).cast("int") % 2 == 0).select("hashvin", F.lit("new").alias("feature"), F.lit(1).cast("bigint").alias("importance"))
-    return mt.upsert(old, new, "hashvin")
+    path = f"{work_folder(s)}/{uuid.uuid4().hex}"
+    sinks.upsert(old, path)
+    sinks.upsert(new, path)
+    return spark.read.schema("feature string, importance bigint, hashvin string").parquet(path)
 
 
 PATTERN = f"CASE WHEN session_cluster LIKE 'C%' THEN NULL WHEN (isodow({DATE06.format('start_time')})) % 4 = 0 THEN NULL ELSE 'P' || (isodow({DATE06.format('start_time')}) % 4) END"
@@ -196,22 +207,54 @@ def session_pattern_lookup(spark, d):
 
 
 def map_rows(spark, d):
+    """A feature per stay with what its popup shows; moves without an end are none."""
     s = sessions(spark, d)
     kind = F.when(F.col("session_type") == "moving", "LineString").otherwise("Point")
     color = F.when(F.col("session_type") == "charging", "red").when(F.col("session_type") == "moving", "green").otherwise("blue")
+    label = F.when(F.col("session_type") == "charging", "Charging").when(F.col("session_type") == "moving", "Moving").otherwise("Inactive")
     n = F.row_number().over(W.partitionBy("hashvin").orderBy("start_time", "session_id"))
     out = s.withColumn("number", n).filter("session_type <> 'moving' OR end_lat IS NOT NULL")
-    return out.select("session_id", "hashvin", "number", kind.alias("geometry"), color.alias("color"), ft.date06("start_time").alias("time"), "start_lon", "start_lat", *[F.when(kind == "LineString", F.col(c)).alias(c) for c in ("end_lon", "end_lat")], geo.duration_text(F.col("duration_minutes")).alias("duration_text"))
+    end_soc = F.coalesce("end_soc", "start_soc")
+    tenth = lambda c: F.round(c + 2e-9, 1)  # noqa: E731 - ties as in the SQL
+    popup = {
+        "title": F.concat(label, F.lit(" #"), F.col("number").cast("string")), "place": F.col("session_cluster"), "start_time": F.col("start_time"), "end_time": F.col("end_time"),
+        "start_soc": tenth(F.col("start_soc")), "end_soc": F.when(F.col("start_soc").isNotNull(), tenth(end_soc)), "soc_change": tenth(end_soc - F.col("start_soc")),
+        "position": F.format_string("%.6f, %.6f", "start_lat", "start_lon"), "link": F.format_string("https://www.google.com/maps?q=%.6f,%.6f", "start_lat", "start_lon"),
+    }
+    return out.select(
+        "session_id", "hashvin", "number", kind.alias("geometry"), color.alias("color"), ft.date06("start_time").alias("time"), "start_lon", "start_lat", *[F.when(kind == "LineString", F.col(c)).alias(c) for c in ("end_lon", "end_lat")],
+        geo.duration_text(F.col("duration_minutes")).alias("duration_text"), *[c.alias(name) for name, c in popup.items()],
+    )
 
 
 @family.query(
-    f"""WITH {BASE} SELECT session_id, hashvin, CASE session_type WHEN 'moving' THEN 'LineString' ELSE 'Point' END AS geometry, CASE session_type WHEN 'charging' THEN 'red' WHEN 'moving' THEN 'green' ELSE 'blue' END AS color, {DATE06.format('start_time')} AS time, round(start_lon, 6) AS start_lon, round(start_lat, 6) AS start_lat, CASE WHEN session_type = 'moving' THEN round(end_lon, 6) END AS end_lon, CASE WHEN session_type = 'moving' THEN round(end_lat, 6) END AS end_lat, {TEXT} AS duration_text FROM sessions WHERE session_type <> 'moving' OR end_lat IS NOT NULL"""
+    f"""WITH {BASE}, nm AS (SELECT *, row_number() OVER (PARTITION BY hashvin ORDER BY start_time, session_id) AS number FROM sessions)
+SELECT session_id, hashvin, CASE session_type WHEN 'moving' THEN 'LineString' ELSE 'Point' END AS geometry, CASE session_type WHEN 'charging' THEN 'red' WHEN 'moving' THEN 'green' ELSE 'blue' END AS color,
+       {DATE06.format('start_time')} AS time, round(start_lon, 6) AS start_lon, round(start_lat, 6) AS start_lat, CASE WHEN session_type = 'moving' THEN round(end_lon, 6) END AS end_lon,
+       CASE WHEN session_type = 'moving' THEN round(end_lat, 6) END AS end_lat, {TEXT} AS duration_text,
+       CASE session_type WHEN 'charging' THEN 'Charging' WHEN 'moving' THEN 'Moving' ELSE 'Inactive' END || ' #' || number AS title, session_cluster AS place, start_time, end_time,
+       round(start_soc + 2e-9, 1) AS start_soc, CASE WHEN start_soc IS NOT NULL THEN round(coalesce(end_soc, start_soc) + 2e-9, 1) END AS end_soc, round(coalesce(end_soc, start_soc) - start_soc + 2e-9, 1) AS soc_change,
+       printf('%.6f, %.6f', start_lat, start_lon) AS position, printf('https://www.google.com/maps?q=%.6f,%.6f', start_lat, start_lon) AS link
+FROM nm WHERE session_type <> 'moving' OR end_lat IS NOT NULL"""
 )
 def map_features(spark, d):
     """Flat columns; ``sinks.geojson`` makes the GeoJSON documents."""
-    return map_rows(spark, d).select("session_id", "hashvin", "geometry", "color", "time", r("start_lon"), r("start_lat"), r("end_lon"), r("end_lat"), "duration_text")
+    return map_rows(spark, d).drop("number").withColumns({c: F.round(c, 6) for c in ("start_lon", "start_lat", "end_lon", "end_lat")})
 
 
-@family.query(f"WITH {BASE} SELECT hashvin, count(*) AS features, round(avg(start_lat), 6) AS center_lat, round(avg(start_lon), 6) AS center_lon FROM sessions WHERE session_type <> 'moving' OR end_lat IS NOT NULL GROUP BY 1")
+#: Features of a map document in the registered queries, fewer than some vehicles have.
+MAP_CHUNK = 25
+
+
+@family.query(
+    f"""WITH {BASE}, nm AS (SELECT *, row_number() OVER (PARTITION BY hashvin ORDER BY start_time, session_id) AS number FROM sessions),
+ft AS (SELECT hashvin, count(*) AS features, CAST((max(number) - 1) // {MAP_CHUNK} - (min(number) - 1) // {MAP_CHUNK} + 1 AS INTEGER) AS chunks, avg(start_lat) AS lat, avg(start_lon) AS lon FROM nm WHERE session_type <> 'moving' OR end_lat IS NOT NULL GROUP BY 1)
+SELECT hashvin, coalesce(features, 0) AS features, coalesce(chunks, 0) AS chunks, round(coalesce(lat, 35.6812), 6) AS center_lat, round(coalesce(lon, 139.7671), 6) AS center_lon
+FROM (SELECT DISTINCT hashvin FROM sessions UNION SELECT 'hv_' || lpad(CAST(c_custkey + 100000 AS VARCHAR), 6, '0') FROM customer) LEFT JOIN ft USING (hashvin)"""
+)
 def map_collections(spark, d):
-    return map_rows(spark, d).groupBy("hashvin").agg(F.count(F.lit(1)).alias("features"), F.round(F.avg("start_lat"), 6).alias("center_lat"), F.round(F.avg("start_lon"), 6).alias("center_lon"))
+    """The index of the map documents; vehicles without stays (here named after customers) have the default centre."""
+    known = sessions(spark, d).select("hashvin").distinct()
+    others = fleet.table(spark, d, "customer").select(F.concat(F.lit("hv_"), F.lpad((F.col("c_custkey") + 100000).cast("string"), 6, "0")).alias("hashvin"))
+    index = sinks.map_index(map_rows(spark, d), known.union(others), MAP_CHUNK)
+    return index.select("hashvin", "features", "chunks", r("center_lat"), r("center_lon"))

@@ -212,10 +212,21 @@ def labels(spark, d):
 
 
 @family.query(
-    f"""WITH {CENTRES}{STARTS}{HEAD} SELECT h.hashvin, h.head_rank, h.place, round(c.lat, 7) AS lat, round(c.lon, 7) AS lon, s.dow, s.bin, round(s.p, 6) AS p FROM head h LEFT JOIN centres c USING (hashvin, place) LEFT JOIN starts s USING (hashvin, place)"""
+    f"""WITH {CENTRES}{STARTS}{DELAYS}{HEAD}, oa AS (SELECT hashvin, place, n, hours FROM hd WHERE source = 'charge')
+SELECT h.hashvin, h.head_rank, h.place, CASE h.source WHEN 'charge' THEN 'after_charge' ELSE 'anytime' END AS source, coalesce(oa.n, 0) AS n_after_charge, round(coalesce(oa.hours, 0), 4) AS hours_after_charge,
+       coalesce(an.n, 0) AS n_any, round(coalesce(an.hours, 0), 4) AS hours_any, round(c.lat, 7) AS lat, round(c.lon, 7) AS lon, round(coalesce(bp.delay_h, 0), 6) AS delay_h, s.dow, s.bin, round(s.p, 6) AS p
+FROM head h LEFT JOIN oa USING (hashvin, place) LEFT JOIN an USING (hashvin, place) LEFT JOIN centres c USING (hashvin, place) LEFT JOIN bp USING (hashvin, place) LEFT JOIN starts s USING (hashvin, place)"""
 )
 def head_details_json(spark, d):
     """Flattened HEAD details; ``sinks.head_details`` writes them as JSON documents."""
-    head = pl.head_places(ordered(spark, d), long_cut(spark, d), HEAD_K)
-    out = head.join(centres(spark, d), ["hashvin", "place"], "left").join(starts(spark, d), ["hashvin", "place"], "left")
-    return out.select("hashvin", "head_rank", "place", r("lat", 7), r("lon", 7), "dow", "bin", r("p"))
+    rows, long = ordered(spark, d), long_cut(spark, d)
+    head = pl.head_places(rows, long, HEAD_K).select("hashvin", "head_rank", "place")
+    after = pl.train(rows).groupBy("hashvin", F.col(pl.LABEL).alias("place")).agg(F.count(F.lit(1)).alias("n_after_charge"), (F.sum("inactive_time_minutes") / 60).alias("hours_after_charge"))
+    anytime = long.groupBy("hashvin", F.col("session_cluster").alias("place")).agg(F.count(F.lit(1)).alias("n_any"), (F.sum("duration_minutes") / 60).alias("hours_any"))
+    out = head
+    for facts in (after, anytime, centres(spark, d), pl.place_delays(rows), starts(spark, d)):
+        out = out.join(facts, ["hashvin", "place"], "left")
+    source = F.when(F.col("n_after_charge").isNotNull(), "after_charge").otherwise("anytime").alias("source")
+    zero = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), n).alias(c)
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_after_charge", "n_any")]
+    return out.select("hashvin", "head_rank", "place", source, *counts, zero("hours_after_charge", 4), zero("hours_any", 4), r("lat", 7), r("lon", 7), zero("delay_h", 6), "dow", "bin", r("p"))

@@ -17,14 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_sessions(spark: SparkSession, path: str, min_minutes: float = 0.0, fmt: str = "parquet", schema=None) -> DataFrame:
-    """A session file without stays shorter than ``min_minutes`` (pushed to the scan)."""
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        reader = reader.option("header", True)
-    return reader.load(path).filter(F.col("duration_minutes") >= min_minutes)
+#: Columns of a session file.
+SESSION_SCHEMA = (
+    "session_id bigint, hashvin string, session_type string, session_cluster string, start_time timestamp_ntz, end_time timestamp_ntz, duration_minutes double, "
+    "start_lat double, start_lon double, start_soc double, end_soc double"
+)
+#: Fields without which a row is no session.
+REQUIRED = ("session_id", "hashvin", "start_time", "end_time", "duration_minutes")
+BROKEN = "broken_record"
+
+
+def read_sessions(spark: SparkSession, path: str, min_minutes: float = 0.0, fmt: str = "parquet", schema: str = SESSION_SCHEMA, quarantine: str | None = None, header: bool = True) -> DataFrame:
+    """A session file of a declared schema without stays shorter than ``min_minutes`` (pushed to a Parquet scan).
+
+    Rows of text files that don't parse, or lack a required field, are left out; with ``quarantine``, they are
+    written there with the reason (``reason``) and the text (``broken_record``).
+    """
+    if fmt == "parquet":
+        return spark.read.schema(schema).parquet(path).filter(F.col("duration_minutes") >= min_minutes)
+    reader = spark.read.format(fmt).schema(f"{schema}, {BROKEN} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+    rows = (reader.option("header", header) if fmt == "csv" else reader).load(path)
+    absent = F.concat_ws(",", *[F.when(F.col(c).isNull(), c) for c in REQUIRED if c in rows.columns])
+    reason = F.when(F.col(BROKEN).isNotNull(), "unparsed").when(absent != "", F.concat(F.lit("missing "), absent))
+    marked = rows.withColumn("reason", reason)
+    if quarantine is not None:
+        marked.filter("reason IS NOT NULL").write.mode("overwrite").parquet(quarantine)
+    return marked.filter("reason IS NULL").drop("reason", BROKEN).filter(F.col("duration_minutes") >= min_minutes)
 
 
 def read_series(df: DataFrame, value: str, time: str | None = None) -> DataFrame:

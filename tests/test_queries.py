@@ -51,9 +51,11 @@ def test_splits_are_written_and_read(spark):
 
 def test_maps_are_geojson(spark):
     rows = registry.QUERIES["map_features"](spark, SMALL).groupBy("hashvin").count().collect()
-    docs = {r.hashvin: json.loads(r.json) for r in registry.QUERIES["map_documents"](spark, SMALL).collect()}
-    assert {r.hashvin: r["count"] for r in rows} == {v: len(d["features"]) for v, d in docs.items()}
-    for f in (f for d in docs.values() for f in d["features"]):
+    docs = {}
+    for r in registry.QUERIES["map_documents"](spark, SMALL).collect():
+        docs.setdefault(r.hashvin, []).extend(json.loads(r.json)["features"])
+    assert {r.hashvin: r["count"] for r in rows} == {v: len(f) for v, f in docs.items()}
+    for f in (f for d in docs.values() for f in d):
         at = f["geometry"]["coordinates"]
         assert len(at) == 2 and all(len(p) == 2 for p in at) if f["geometry"]["type"] == "LineString" else all(isinstance(x, float) for x in at)
 
@@ -79,7 +81,7 @@ def test_models_score_every_row(spark):
     rows = registry.QUERIES["candidate_classifier"](spark, SMALL).collect()
     assert rows and all(0 <= r.proba <= 1 and r.label in (0.0, 1.0) for r in rows)
     assert registry.QUERIES["model_dtype_parity"](spark, SMALL).first().max_gap >= 0
-    assert registry.QUERIES["permutation_importance"](spark, SMALL).count() == 10
+    assert registry.QUERIES["permutation_importance"](spark, SMALL).filter("n > 0 AND deviation >= 0").count() > 50
 
 
 def test_probabilities_sum_to_one(spark):
