@@ -55,8 +55,8 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
 def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """``urls`` with host, path, and the deciding rule and its verdict (null if none).
 
-    Rules with a null field are ignored.  All rules of one host and its parent domains
-    must fit in a row; that holds for any number of hosts.
+    Rules with a null field are ignored.  Up to ``INLINE_RULES`` rules are tested in one expression; more are
+    joined by parent domain and path prefix, in rows that do not depend on the number of rules of a domain.
     """
     urls = without(urls, *RESULT).withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     rules = rules.select("host", "path", "verdict").dropna().distinct()
@@ -68,16 +68,15 @@ def apply_rules(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFram
             fits = ((F.col("host") == r.host) | F.col("host").endswith(f".{r.host}")) & F.col("path").startswith(r.path)
             best = F.when(fits, F.struct(F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(best)
         return urls.withColumn("__best", best).select(*[f"`{c}`" for c in urls.columns], F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("verdict"))
+    # a row per parent domain with rules and length of a rule's path there, joined by domain and path prefix
     labels = F.split("host", "\\.", -1)
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = urls.select("host").distinct().select("host", F.explode(parents).alias("parent"))
-    ranked = rules.select(
-        F.col("host").alias("parent"),
-        F.struct((-F.length(F.concat("host", "path"))).alias("n"), "verdict", F.concat("host", "path").alias("rule"), "path").alias("r"),
-    )
-    by_host = hosts.join(ranked, "parent").groupBy("host").agg(F.array_sort(F.collect_set("r")).alias("__rules_here"))
-    found = F.try_element_at(F.filter("__rules_here", lambda r: F.col("path").startswith(r["path"])), F.lit(1))
-    out = urls.join(by_host, "host", "left").withColumn("__best", found)
+    lengths = rules.groupBy(F.col("host").alias("parent")).agg(F.collect_set(F.length("path")).alias("lengths"))
+    asked = urls.select("host", "path").distinct().select("host", "path", F.explode(parents).alias("parent")).join(lengths, "parent")
+    asked = asked.select("host", "path", "parent", F.explode("lengths").alias("n")).filter("n <= length(path)").withColumn("prefix", F.expr("substring(path, 1, n)"))
+    ranked = rules.select(F.col("host").alias("parent"), F.col("path").alias("prefix"), F.struct((-F.length(F.concat("host", "path"))).alias("n"), "verdict", F.concat("host", "path").alias("rule")).alias("r"))
+    best = asked.join(ranked, ["parent", "prefix"]).groupBy("host", "path").agg(F.min("r").alias("__best"))
+    out = urls.join(best, ["host", "path"], "left")
     return out.select(*[f"`{c}`" for c in urls.columns], F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("verdict"))
 
 
