@@ -9,8 +9,9 @@ Each task packs the documents of its own partition in pools of at most ``POOL_ID
 so nothing is shuffled, hot sources do not matter and a lost task is simply run again.
 A pool of five hundred windows leaves well under a percent of padding.
 
-Null text counts as empty: its end id alone.  Repeated rows are packed like others.  An
-empty table gives no pieces.
+Null text counts as empty: its end id alone.  A text of any length is encoded whole, alone if it is
+longer than a slice.  Repeated rows and ids are packed like others.  Columns other than id
+and text take no part, whatever their names.  An empty table gives no pieces.
 """
 
 from __future__ import annotations

@@ -18,7 +18,8 @@ same components result with rows in proportion to the crowd.
 
 Null or empty text has fingerprint zero, which links like any other.  Repeated rows
 and ids each stay; the component id is the least non-null id that a row reaches (null
-if there is none).  An empty table gives an empty table.
+if there is none).  Very long texts are hashed whole, one at a time, and their bits summed in pieces.
+Other columns take no part, whatever their names.  An empty table gives an empty table.
 """
 
 from __future__ import annotations

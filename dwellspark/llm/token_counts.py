@@ -5,7 +5,8 @@ once (a worker remembers several hundred thousand of them between batches), join
 to the per-document pre-token frequencies by dictionary code, and sums.
 Nothing is shuffled, so a hot source or a very common word changes nothing.
 
-Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows each get their own count.
+Null text counts as empty: 0 bytes, 0 tokens.  A text of any length is counted whole, alone if it
+is longer than a slice.  Repeated rows each get their own count.
 Existing columns named like a result column are replaced; other columns are kept.
 An empty table gives an empty table with the same columns.
 """

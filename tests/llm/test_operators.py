@@ -602,6 +602,31 @@ def test_search_edges(spark):
     assert [(r.query_id, r.neighbor_id) for r in hamming_search.top_k(named, named, k=1).collect() if r.query_id == "a"] == [("a", "a")]
 
 
+def test_search_of_tables_with_clashing_columns(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=64).tolist(), i, "x", 1) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, Query int, code string, part int")
+    codes = hamming_search.codes(table)
+    assert codes.columns == ["id", "code"] and hamming_search.top_k(codes, codes.filter("id % 20 = 0"), k=3).count() == 9
+
+
+def test_components_of_a_given_table_equal_brute_force(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r for r in queries.op4_simhash(spark, "/root/testdata/sf0.01").collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    prints = simhash.fingerprints(pa.array([texts[i] for i in ids]), 3).view(np.uint64)
+    assert [got[i].fingerprint for i in ids] == [f"{int(p):016x}" for p in prints]
+    label = np.arange(len(ids))
+    apart = np.array([[int(a ^ b).bit_count() <= 2 for b in prints.tolist()] for a in prints.tolist()])
+    while True:
+        after = np.where(apart, label, len(ids)).min(axis=1)
+        if (after == label).all():
+            break
+        label = after
+    assert [got[i].component_id for i in ids] == [ids[x] for x in label]
+
+
 # 9 ---------------------------------------------------------------------------------------
 
 

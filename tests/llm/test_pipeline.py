@@ -37,6 +37,14 @@ def test_stages_take_odd_rows(spark):
         assert out.columns == docs.columns
         out.collect()
         assert stage(spark, docs.filter("false"), SMALL).count() == 0
+    name, packing = corpus_pipeline.STAGES[-1]
+    assert name == "packing"
+    pieces = packing(spark, docs, SMALL).collect()
+    tokens = {}
+    for r in pieces:
+        tokens.setdefault((r.doc_id, r.doc_tokens), []).append(r.length)
+    assert sum(map(sum, tokens.values())) == sum(n * sum(x == n for x in [r.doc_tokens for r in pieces if r.start == 0]) for n in {r.doc_tokens for r in pieces})
+    assert {r.doc_id for r in pieces} == {1, None, 2, 3} and max(r.doc_tokens for r in pieces) > 50_000 and packing(spark, docs.filter("false"), SMALL).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -86,6 +94,21 @@ def edited(words, n, rng):
     return " ".join(words)
 
 
+def test_near_copies_of_tables_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 7, "x", 0), (2, "A b  c d e f g", 8, "y", 1), (3, None, 9, None, 2), (None, "", 9, None, 2), (4, "other words than those", 1, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, Node int, component_id string, bands int")
+    assert {(r.doc_id, r.component_id) for r in near_copies.near_copies(docs).collect()} == {(1, 1), (2, 1), (3, 3), (None, 3), (4, 4)}
+    kept = near_copies.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert near_copies.near_copies(docs.filter("false")).count() == 0
+
+
+def test_near_copies_of_a_given_table_equal_brute_force(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == least_of_groups(texts)
+
+
 @pytest.mark.parametrize("crowd", [32, 3])
 def test_near_copies_equal_brute_force(spark, crowd):
     rng = np.random.default_rng(8)
