@@ -60,7 +60,8 @@ CHARGES = (
          lag(next_long_inactive_cluster) OVER w AS prev_cluster, lag(inactive_lat) OVER w AS prev_lat, lag(inactive_lon) OVER w AS prev_lon
   FROM charges WHERE next_long_inactive_cluster IS NOT NULL WINDOW w AS (PARTITION BY hashvin ORDER BY charge_start_time, session_id)
 ), bounds AS (
-  SELECT *, hashvin || '_' || session_order AS session_uid, greatest(CAST(floor(n * 0.7::DOUBLE) AS BIGINT), 1) AS te7, greatest(CAST(floor(n * 0.8::DOUBLE) AS BIGINT), 1) AS te8, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS tenth FROM ordered
+  SELECT *, hashvin || '_' || session_order AS session_uid, greatest(CAST(floor(n * 0.7::DOUBLE) AS BIGINT), 1) AS te7,
+  greatest(CAST(floor(n * 0.8::DOUBLE) AS BIGINT), 1) AS te8, CAST(floor(n * 0.1::DOUBLE) AS BIGINT) AS tenth FROM ordered
 ), split AS (
   SELECT *,
     CASE WHEN n <= 2 THEN CASE WHEN session_order = 0 THEN 'train' ELSE 'test' END WHEN session_order < te7 THEN 'train'

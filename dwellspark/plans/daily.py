@@ -17,10 +17,12 @@ m6 = lambda c: F.round(F.col(c) + 2e-9, 6).alias(c)
 
 PLACE_MINUTES = PIECES + ", pm AS (SELECT hashvin, date06, bin, session_cluster, sum(minutes) AS minutes FROM bins GROUP BY ALL)"
 TOP = ", top AS (SELECT session_cluster, sum(duration_minutes) AS minutes FROM sessions GROUP BY 1 ORDER BY minutes DESC, session_cluster LIMIT 6)"
-FOLDED = PLACE_MINUTES + TOP + ", folded AS (SELECT hashvin, date06, bin, coalesce(t.session_cluster, 'OTHER') AS place, sum(pm.minutes) AS minutes FROM pm LEFT JOIN top t ON t.session_cluster = pm.session_cluster GROUP BY ALL)"
+FOLDED = PLACE_MINUTES + TOP + """, folded AS (SELECT hashvin, date06, bin, coalesce(t.session_cluster, 'OTHER') AS place, sum(pm.minutes) AS minutes FROM pm LEFT
+  JOIN top t ON t.session_cluster = pm.session_cluster GROUP BY ALL)"""
 MOVES = (
     SESSIONS
-    + f""", lw AS (SELECT hashvin, session_id, session_cluster AS from_place, lead(session_cluster) OVER w AS to_place, lead(start_time) OVER w AS moved_at FROM sessions WINDOW w AS (PARTITION BY hashvin ORDER BY start_time, session_id)),
+    + f""", lw AS (SELECT hashvin, session_id, session_cluster AS from_place, lead(session_cluster) OVER w AS to_place, lead(start_time) OVER w AS moved_at
+  FROM sessions WINDOW w AS (PARTITION BY hashvin ORDER BY start_time, session_id)),
 moves AS (SELECT *, {DATE06.format('moved_at')} AS date06, {_PERIOD.format('moved_at')} AS period FROM lw WHERE to_place IS NOT NULL AND from_place <> to_place),
 topmoves AS (SELECT from_place, to_place, count(*) AS n FROM moves GROUP BY ALL ORDER BY n DESC, from_place, to_place LIMIT 15)"""
 )
@@ -38,7 +40,8 @@ def bin_place_minutes(spark, d):
     return dy.place_minutes(sessions(spark, d)).select("hashvin", "date06", ft.bin_label(F.col("bin")).alias("hour_bin"), "session_cluster", m6("minutes"))
 
 
-@family.query(f"WITH {CHARGES} SELECT session_uid, CAST(session_order AS BIGINT) AS session_order, hashvin, charge_start_time, prev_cluster, round(prev_lat, 6) AS prev_lat, round(prev_lon, 6) AS prev_lon FROM split")
+@family.query(f"""WITH {CHARGES} SELECT session_uid, CAST(session_order AS BIGINT) AS session_order, hashvin, charge_start_time, prev_cluster, round(prev_lat,
+  6) AS prev_lat, round(prev_lon, 6) AS prev_lon FROM split""")
 def session_order(spark, d):
     return ordered(spark, d).select("session_uid", "session_order", "hashvin", "charge_start_time", "prev_cluster", r6("prev_lat"), r6("prev_lon"))
 
@@ -59,7 +62,9 @@ def top_transitions(spark, d):
 
 
 @family.query(
-    f"WITH {FOLDED} SELECT hashvin, date06, {BIN_LABEL.format('bin')} AS hour_bin, place, round(minutes + 2e-9, 6) AS minutes, round(sum(minutes) OVER (PARTITION BY hashvin, date06) + 2e-9, 6) AS total_minutes, CAST(isodow(date06) - 1 AS INTEGER) AS weekday, 0 AS is_empty_day FROM folded"
+    f"""WITH {FOLDED} SELECT hashvin, date06, {BIN_LABEL.format('bin')} AS hour_bin, place, round(minutes + 2e-9, 6) AS minutes,
+  round(sum(minutes) OVER (PARTITION BY hashvin, date06) + 2e-9, 6) AS total_minutes, CAST(isodow(date06) - 1 AS INTEGER) AS weekday, 0 AS is_empty_day
+  FROM folded"""
 )
 def full_vectors(spark, d):
     f = folded(spark, d)
@@ -71,7 +76,8 @@ TOPK = (
     PIECES
     + """, sums AS (SELECT hashvin, date06, bin, session_cluster, sum(minutes) AS minutes, min(s) AS first FROM bins GROUP BY ALL),
 best AS (SELECT *, row_number() OVER (PARTITION BY hashvin, date06, bin ORDER BY minutes DESC, first, session_cluster) AS rank FROM sums),
-frame AS (SELECT hashvin, date06, b.bin, r.rank FROM (SELECT DISTINCT hashvin, date06 FROM bins), (SELECT CAST(unnest(range(24)) AS INTEGER) AS bin) b, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS rank) r),
+frame AS (SELECT hashvin, date06, b.bin, r.rank FROM (SELECT DISTINCT hashvin, date06
+  FROM bins), (SELECT CAST(unnest(range(24)) AS INTEGER) AS bin) b, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS rank) r),
 topk AS (SELECT hashvin, date06, f.bin, f.rank, coalesce(session_cluster, '') AS place, coalesce(minutes, 0) AS minutes FROM frame f LEFT JOIN best b USING (hashvin, date06, bin, rank))"""
 )
 
@@ -96,15 +102,20 @@ def dwell_ratios(spark, d):
 
 
 @family.query(
-    f"""WITH {FOLDED}, r AS (SELECT hashvin, date06, bin, minutes / sum(minutes) OVER (PARTITION BY hashvin, date06) AS ratio FROM folded), b AS (SELECT hashvin, date06, bin, sum(ratio) AS r FROM r GROUP BY ALL),
-y AS (SELECT hashvin, date06, sum(r) AS row_sum, max(r) AS bin_max FROM b GROUP BY ALL) SELECT count(*) AS days, round(max(abs(row_sum - 1)), 6) AS max_gap, round(max(bin_max), 6) AS max_bin, max(abs(row_sum - 1)) <= 1e-3 AND max(bin_max) <= 1 + 1e-9 AS ok FROM y"""
+    f"""WITH {FOLDED}, r AS (SELECT hashvin, date06, bin, minutes / sum(minutes) OVER (PARTITION BY hashvin, date06) AS ratio
+  FROM folded), b AS (SELECT hashvin, date06, bin, sum(ratio) AS r FROM r GROUP BY ALL),
+y AS (SELECT hashvin, date06, sum(r) AS row_sum, max(r) AS bin_max FROM b GROUP BY ALL)
+  SELECT count(*) AS days, round(max(abs(row_sum - 1)), 6) AS max_gap, round(max(bin_max), 6) AS max_bin, max(abs(row_sum - 1)) <= 1e-3
+  AND max(bin_max) <= 1 + 1e-9 AS ok FROM y"""
 )
 def vector_quality(spark, d):
     return dy.vector_quality(dy.dwell_ratios(folded(spark, d))).select("days", r6("max_gap"), r6("max_bin"), "ok")
 
 
 @family.query(
-    f"SELECT count(*) AS n, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS std, round(min(total), 6) AS min, round(quantile_cont(total, 0.25), 6) AS q25, round(quantile_cont(total, 0.5), 6) AS q50, round(quantile_cont(total, 0.75), 6) AS q75, round(max(total), 6) AS max FROM (WITH {PLACE_MINUTES} SELECT hashvin, date06, sum(minutes) AS total FROM pm GROUP BY ALL)"
+    f"""SELECT count(*) AS n, round(avg(total), 6) AS mean, round(stddev_samp(total), 6) AS std, round(min(total), 6) AS min, round(quantile_cont(total, 0.25),
+  6) AS q25, round(quantile_cont(total, 0.5), 6) AS q50, round(quantile_cont(total, 0.75), 6) AS q75, round(max(total), 6) AS max FROM (WITH {PLACE_MINUTES}
+  SELECT hashvin, date06, sum(minutes) AS total FROM pm GROUP BY ALL)"""
 )
 def describe_vectors(spark, d):
     t = dy.day_totals(dy.place_minutes(sessions(spark, d))).withColumnRenamed("total_minutes", "total")
@@ -120,7 +131,8 @@ def place_transitions(spark, d):
 @family.query(
     f"""WITH {MOVES}, days AS (SELECT DISTINCT hashvin, {DATE06.format('start_time')} AS date06 FROM sessions),
 c AS (SELECT hashvin, date06, from_place, to_place, count(*) AS n FROM moves GROUP BY ALL)
-SELECT d.hashvin, d.date06, t.from_place, t.to_place, coalesce(c.n, 0) AS n FROM days d CROSS JOIN topmoves t LEFT JOIN c ON c.hashvin = d.hashvin AND c.date06 = d.date06 AND c.from_place = t.from_place AND c.to_place = t.to_place"""
+SELECT d.hashvin, d.date06, t.from_place, t.to_place, coalesce(c.n, 0) AS n FROM days d CROSS JOIN topmoves t LEFT JOIN c ON c.hashvin = d.hashvin
+  AND c.date06 = d.date06 AND c.from_place = t.from_place AND c.to_place = t.to_place"""
 )
 def day_transition_join(spark, d):
     stays = sessions(spark, d)

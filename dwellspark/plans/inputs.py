@@ -41,7 +41,8 @@ def ordered(spark: SparkSession, d: str) -> DataFrame:
     return _ordered[key].persist()
 
 
-@family.query(f"WITH {SESSIONS} SELECT session_id, hashvin, session_type, session_cluster, start_time, end_time, round(duration_minutes + 2e-9, 6) AS duration_minutes FROM sessions WHERE duration_minutes >= 20")
+@family.query(f"""WITH {SESSIONS} SELECT session_id, hashvin, session_type, session_cluster, start_time, end_time, round(duration_minutes + 2e-9,
+  6) AS duration_minutes FROM sessions WHERE duration_minutes >= 20""")
 def scan_sessions(spark, d):
     out = sessions(spark, d).filter("duration_minutes >= 20")
     return out.select("session_id", "hashvin", "session_type", "session_cluster", "start_time", "end_time", F.round(F.col("duration_minutes") + 2e-9, 6).alias("duration_minutes"))
@@ -83,7 +84,8 @@ def scan_series(spark, d):
 
 
 @family.query(
-    f"WITH {SESSIONS} SELECT count(*) AS rows_read, count(*) FILTER (WHERE duration_minutes < 20) AS rows_dropped, count(DISTINCT hashvin) AS vehicles, min(start_time) AS first_start, max(end_time) AS last_end FROM sessions"
+    f"""WITH {SESSIONS} SELECT count(*) AS rows_read, count(*) FILTER (WHERE duration_minutes < 20) AS rows_dropped, count(DISTINCT hashvin) AS vehicles,
+  min(start_time) AS first_start, max(end_time) AS last_end FROM sessions"""
 )
 def load_profile(spark, d):
     return sessions(spark, d).agg(
@@ -93,7 +95,8 @@ def load_profile(spark, d):
 
 
 @family.query(
-    "WITH n AS (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) AS n FROM orders), s AS (SELECT unnest(range(n)) AS t FROM n) SELECT t, round(5 + 0.0015 * t + sin(2 * pi() * t / 24) + 0.5 * sin(2 * pi() * t / 168), 6) AS value FROM s"
+    """WITH n AS (SELECT count(DISTINCT CAST(o_orderdate AS DATE)) AS n FROM orders), s AS (SELECT unnest(range(n)) AS t FROM n)
+  SELECT t, round(5 + 0.0015 * t + sin(2 * pi() * t / 24) + 0.5 * sin(2 * pi() * t / 168), 6) AS value FROM s"""
 )
 def seasonal_series(spark, d):
     """The noise-free series, as long as the table's daily series."""
@@ -102,7 +105,8 @@ def seasonal_series(spark, d):
 
 
 @family.query(
-    f"WITH {SESSIONS}, v AS (SELECT DISTINCT hashvin FROM sessions) SELECT hashvin, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-14 23:00:00', INTERVAL 1 HOUR)) AS timestamp FROM v"
+    f"""WITH {SESSIONS}, v AS (SELECT DISTINCT hashvin FROM sessions) SELECT hashvin, unnest(generate_series(TIMESTAMP '2024-01-01 00:00:00',
+  TIMESTAMP '2024-01-14 23:00:00', INTERVAL 1 HOUR)) AS timestamp FROM v"""
 )
 def vehicle_hour_grid(spark, d):
     return fleet.vehicle_hours(sessions(spark, d).select("hashvin").distinct(), "2024-01-01 00:00:00", 14)
@@ -124,7 +128,8 @@ def normalize_times(spark, d):
 
 
 @family.query(
-    f"""WITH {CHARGES}, t AS (SELECT session_id, CASE WHEN session_id % 5 = 0 THEN 'unknown' ELSE CAST(charge_start_soc AS VARCHAR) END AS charge_start_soc, CASE WHEN session_id % 7 = 0 THEN '' ELSE CAST(charge_end_soc AS VARCHAR) END AS charge_end_soc FROM charges)
+    f"""WITH {CHARGES}, t AS (SELECT session_id, CASE WHEN session_id % 5 = 0 THEN 'unknown' ELSE CAST(charge_start_soc AS VARCHAR) END AS charge_start_soc,
+  CASE WHEN session_id % 7 = 0 THEN '' ELSE CAST(charge_end_soc AS VARCHAR) END AS charge_end_soc FROM charges)
 SELECT session_id, TRY_CAST(charge_start_soc AS DOUBLE) AS charge_start_soc, TRY_CAST(charge_end_soc AS DOUBLE) AS charge_end_soc FROM t"""
 )
 def coerce_numeric(spark, d):
@@ -218,7 +223,8 @@ def time_period(spark, d):
     return fleet.table(spark, d, "events").select("event_id", ft.period("ts").alias("period"))
 
 
-@family.query("SELECT event_id, CAST(isodow(ts) - 1 AS INTEGER) AS dow, round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24), 6) AS time_sin, round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24), 6) AS time_cos FROM events")
+@family.query("""SELECT event_id, CAST(isodow(ts) - 1 AS INTEGER) AS dow, round(sin(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24), 6) AS time_sin,
+  round(cos(2 * pi() * (hour(ts) + minute(ts) / 60.0::DOUBLE) / 24), 6) AS time_cos FROM events""")
 def cyclic_time(spark, d):
     c = ft.cyclic("ts")
     return fleet.table(spark, d, "events").select("event_id", c["dow"].alias("dow"), F.round(c["time_sin"], 6).alias("time_sin"), F.round(c["time_cos"], 6).alias("time_cos"))
@@ -231,19 +237,22 @@ def raw_time(spark, d):
 
 @family.query(
     """WITH x AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN NULL ELSE ts END AS ts FROM events)
-SELECT event_id, CASE WHEN ts IS NULL THEN 'unknown' ELSE printf('%02d_%02d', hour(ts) // 2 * 2, hour(ts) // 2 * 2 + 2) END AS band, CASE WHEN ts IS NULL THEN 'unknown' ELSE ['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'][isodow(ts)] END AS day FROM x"""
+SELECT event_id, CASE WHEN ts IS NULL THEN 'unknown' ELSE printf('%02d_%02d', hour(ts) // 2 * 2, hour(ts) // 2 * 2 + 2) END AS band, CASE
+  WHEN ts IS NULL THEN 'unknown' ELSE ['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'][isodow(ts)] END AS day FROM x"""
 )
 def categorical_time(spark, d):
     x = fleet.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("ts")).alias("ts"))
     return x.select("event_id", ft.two_hour_band("ts").alias("band"), ft.weekday_name("ts").alias("day"))
 
 
-@family.query("SELECT event_id, CAST(hour(ts) >= 18 OR hour(ts) < 6 AS INTEGER) AS is_return_band, CAST(hour(ts) >= 7 AND hour(ts) < 18 AS INTEGER) AS is_commute_band, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend FROM events")
+@family.query("""SELECT event_id, CAST(hour(ts) >= 18 OR hour(ts) < 6 AS INTEGER) AS is_return_band, CAST(hour(ts) >= 7
+  AND hour(ts) < 18 AS INTEGER) AS is_commute_band, CAST(isodow(ts) >= 6 AS INTEGER) AS is_weekend FROM events""")
 def behavior_flags(spark, d):
     return fleet.table(spark, d, "events").select("event_id", *[c.alias(n) for n, c in ft.behavior_flags("ts").items()])
 
 
-_CYC = ", ".join(f"round({f}(2 * pi() * ({e})), 6) AS {n}_{f}" for n, e in (("month", "(month(ts) - 1) / 12.0::DOUBLE"), ("day", "(day(ts) - 1) / 31.0::DOUBLE"), ("hour", "hour(ts) / 24.0::DOUBLE")) for f in ("sin", "cos"))
+_CYC = ", ".join(f"""round({f}(2 * pi() * ({e})),
+  6) AS {n}_{f}""" for n, e in (("month", "(month(ts) - 1) / 12.0::DOUBLE"), ("day", "(day(ts) - 1) / 31.0::DOUBLE"), ("hour", "hour(ts) / 24.0::DOUBLE")) for f in ("sin", "cos"))
 
 
 @family.query(f"SELECT event_id, CAST(year(ts) AS INTEGER) AS year, {_CYC} FROM events")
@@ -256,7 +265,8 @@ _CHORD = "(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians
 HAV = f"(2 * 6371000.0::DOUBLE * asin(sqrt({_CHORD} - greatest({_CHORD} - 1, 0))))"
 
 
-@family.query(f"WITH {SESSIONS} SELECT session_id, round({HAV.format('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 4) AS meters, round({HAV.format('start_lat', 'start_lon', 'end_lat', 'end_lon')} / 1000, 4) AS km FROM sessions")
+@family.query(f"""WITH {SESSIONS} SELECT session_id, round({HAV.format('start_lat', 'start_lon', 'end_lat', 'end_lon')}, 4) AS meters,
+  round({HAV.format('start_lat', 'start_lon', 'end_lat', 'end_lon')} / 1000, 4) AS km FROM sessions""")
 def haversine(spark, d):
     m = geo.haversine_m(F.col("start_lat"), F.col("start_lon"), F.col("end_lat"), F.col("end_lon"))
     return sessions(spark, d).select("session_id", F.round(m, 4).alias("meters"), F.round(m / 1000, 4).alias("km"))
@@ -282,7 +292,8 @@ TEXT = "(floor(duration_minutes)::INT // 60) || '時間' || (floor(duration_minu
 
 
 @family.query(
-    f"""WITH {SESSIONS} SELECT session_id, {TEXT} AS duration_text, round(end_soc - start_soc, 6) AS soc_delta, CASE WHEN end_soc > start_soc THEN 'up' WHEN end_soc < start_soc THEN 'down' ELSE 'flat' END AS soc_direction,
+    f"""WITH {SESSIONS} SELECT session_id, {TEXT} AS duration_text, round(end_soc - start_soc, 6) AS soc_delta, CASE WHEN end_soc > start_soc THEN 'up'
+  WHEN end_soc < start_soc THEN 'down' ELSE 'flat' END AS soc_direction,
 'https://www.google.com/maps?q=' || printf('%.6f', start_lat) || ',' || printf('%.6f', start_lon) AS map_url FROM sessions"""
 )
 def session_text(spark, d):

@@ -90,13 +90,15 @@ def k_metric_table(spark, d):
 
 SCORES = """
 WITH e AS (SELECT vec_id AS x, CAST(label AS INTEGER) AS label, embedding::DOUBLE[] AS v FROM embeddings), f AS (SELECT x, label, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM e),
-m AS (SELECT label, i, avg(c) AS c FROM f GROUP BY ALL), mv AS (SELECT label, list(c ORDER BY i) AS c FROM m GROUP BY 1), g AS (SELECT i, avg(c) AS c FROM f GROUP BY 1), gv AS (SELECT list(c ORDER BY i) AS c FROM g),
+m AS (SELECT label, i, avg(c) AS c FROM f GROUP BY ALL), mv AS (SELECT label, list(c ORDER BY i) AS c FROM m GROUP BY 1), g AS (SELECT i, avg(c) AS c FROM f
+  GROUP BY 1), gv AS (SELECT list(c ORDER BY i) AS c FROM g),
 nr AS (SELECT e.x, e.label, list_distance(e.v, mv.c) AS d FROM e JOIN mv USING (label)),
 sp AS (SELECT label, count(*) AS n, avg(d) AS s, sum(d * d) AS w FROM nr GROUP BY 1), pa AS (SELECT sp.*, mv.c FROM sp JOIN mv USING (label)),
 ch AS (SELECT (sum(n * pow(list_distance(pa.c, gv.c), 2)) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS v FROM pa, gv),
 db AS (SELECT avg(r) AS v FROM (SELECT p.label, max((p.s + q.s) / list_distance(p.c, q.c)) AS r FROM pa p JOIN pa q ON p.label <> q.label GROUP BY 1)),
 pr AS (SELECT a.x, a.label AS lx, b.label AS ly, avg(list_distance(a.v, b.v)) AS d FROM e a JOIN e b ON a.x <> b.x GROUP BY ALL),
-si AS (SELECT avg(CASE WHEN own IS NULL THEN 0 ELSE (oth - own) / greatest(own, oth) END) AS v FROM (SELECT x, max(CASE WHEN lx = ly THEN d END) AS own, min(CASE WHEN lx <> ly THEN d END) AS oth FROM pr GROUP BY 1))
+si AS (SELECT avg(CASE WHEN own IS NULL THEN 0 ELSE (oth - own) / greatest(own, oth) END) AS v FROM (SELECT x, max(CASE
+  WHEN lx = ly THEN d END) AS own, min(CASE WHEN lx <> ly THEN d END) AS oth FROM pr GROUP BY 1))
 SELECT 'all' AS key, round(si.v, 5) AS silhouette, round(ch.v, 4) AS calinski_harabasz, round(db.v, 5) AS davies_bouldin FROM si, ch, db"""
 
 
@@ -105,11 +107,13 @@ def cluster_scores(spark, d):
     return pt.cluster_scores(embedded(spark, d), "key").select("key", r("silhouette", 5), r("calinski_harabasz", 4), r("davies_bouldin", 5))
 
 
-_RANKS = "WITH s AS (SELECT c_custkey % 20 AS key, c_nationkey AS k, round(avg(c_acctbal), -2) AS silhouette, count(*) AS calinski_harabasz, round(min(c_acctbal), -3) AS davies_bouldin FROM customer GROUP BY ALL)"
+_RANKS = """WITH s AS (SELECT c_custkey % 20 AS key, c_nationkey AS k, round(avg(c_acctbal), -2) AS silhouette, count(*) AS calinski_harabasz,
+  round(min(c_acctbal), -3) AS davies_bouldin FROM customer GROUP BY ALL)"""
 
 
 @family.query(
-    f"""{_RANKS}, q AS (SELECT *, rank() OVER (PARTITION BY key ORDER BY silhouette DESC) + (count(*) OVER (PARTITION BY key, silhouette) - 1) / 2.0 AS r1, rank() OVER (PARTITION BY key ORDER BY calinski_harabasz DESC) + (count(*) OVER (PARTITION BY key, calinski_harabasz) - 1) / 2.0 AS r2,
+    f"""{_RANKS}, q AS (SELECT *, rank() OVER (PARTITION BY key ORDER BY silhouette DESC) + (count(*) OVER (PARTITION BY key, silhouette) - 1) / 2.0 AS r1,
+  rank() OVER (PARTITION BY key ORDER BY calinski_harabasz DESC) + (count(*) OVER (PARTITION BY key, calinski_harabasz) - 1) / 2.0 AS r2,
 rank() OVER (PARTITION BY key ORDER BY davies_bouldin) + (count(*) OVER (PARTITION BY key, davies_bouldin) - 1) / 2.0 AS r3 FROM s)
 SELECT key, k, round((r1 + r2 + r3) / 3.0, 6) AS mean_rank, row_number() OVER (PARTITION BY key ORDER BY round((r1 + r2 + r3) / 3.0, 9), k) = 1 AS best FROM q"""
 )
@@ -125,8 +129,11 @@ def _choose(spark, d):
 
 
 @family.query(
-    f"""SELECT key, k AS best_k FROM ({_RANKS}, q AS (SELECT *, rank() OVER (PARTITION BY key ORDER BY silhouette DESC) + (count(*) OVER (PARTITION BY key, silhouette) - 1) / 2.0 + rank() OVER (PARTITION BY key ORDER BY calinski_harabasz DESC) + (count(*) OVER (PARTITION BY key, calinski_harabasz) - 1) / 2.0
-+ rank() OVER (PARTITION BY key ORDER BY davies_bouldin) + (count(*) OVER (PARTITION BY key, davies_bouldin) - 1) / 2.0 AS t FROM s) SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, k) AS o FROM q) WHERE o = 1"""
+    f"""SELECT key, k AS best_k FROM ({_RANKS}, q AS (SELECT *, rank() OVER (PARTITION BY key
+  ORDER BY silhouette DESC) + (count(*) OVER (PARTITION BY key, silhouette) - 1) / 2.0 + rank() OVER (PARTITION BY key
+  ORDER BY calinski_harabasz DESC) + (count(*) OVER (PARTITION BY key, calinski_harabasz) - 1) / 2.0
++ rank() OVER (PARTITION BY key ORDER BY davies_bouldin) + (count(*) OVER (PARTITION BY key, davies_bouldin) - 1) / 2.0 AS t FROM s)
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, k) AS o FROM q) WHERE o = 1"""
 )
 def choose_k(spark, d):
     return _choose(spark, d).filter("best").select("key", F.col("k").alias("best_k"))
@@ -135,9 +142,12 @@ def choose_k(spark, d):
 #: Standardised day vectors, distances, core distances, links and what each day reaches.
 DENSITY = SCALED + """,
 dn_pr AS (SELECT a.key, a.no AS a, b.no AS b, round(sqrt(sum((a.z - b.z) * (a.z - b.z))), 9) AS d FROM dn_sc a JOIN dn_sc b ON b.key = a.key AND b.feature = a.feature AND b.no <> a.no GROUP BY ALL),
-dn_co AS (SELECT key, a AS no, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY key, a ORDER BY d, b) AS k FROM dn_pr) WHERE k = 3), dn_ep AS (SELECT key, quantile_cont(core, 0.9) AS eps FROM dn_co GROUP BY 1),
-dn_ed AS (SELECT p.key, p.a, p.b FROM dn_pr p JOIN dn_co x ON x.key = p.key AND x.no = p.a JOIN dn_co y ON y.key = p.key AND y.no = p.b JOIN dn_ep ON dn_ep.key = p.key WHERE greatest(p.d, x.core, y.core) <= eps + 1e-9),
-dn_re AS (SELECT key, no AS a, no AS b FROM dn_dy UNION SELECT r.key, r.a, e.b FROM dn_re r JOIN dn_ed e ON e.key = r.key AND e.a = r.b), dn_la AS (SELECT key, a AS day, min(b) AS label FROM dn_re GROUP BY ALL)
+dn_co AS (SELECT key, a AS no, d AS core FROM (SELECT *, row_number() OVER (PARTITION BY key, a ORDER BY d, b) AS k FROM dn_pr)
+  WHERE k = 3), dn_ep AS (SELECT key, quantile_cont(core, 0.9) AS eps FROM dn_co GROUP BY 1),
+dn_ed AS (SELECT p.key, p.a, p.b FROM dn_pr p JOIN dn_co x ON x.key = p.key AND x.no = p.a JOIN dn_co y ON y.key = p.key AND y.no = p.b
+  JOIN dn_ep ON dn_ep.key = p.key WHERE greatest(p.d, x.core, y.core) <= eps + 1e-9),
+dn_re AS (SELECT key, no AS a, no AS b FROM dn_dy UNION SELECT r.key, r.a, e.b FROM dn_re r JOIN dn_ed e ON e.key = r.key
+  AND e.a = r.b), dn_la AS (SELECT key, a AS day, min(b) AS label FROM dn_re GROUP BY ALL)
 SELECT key, day, CASE WHEN count(*) OVER (PARTITION BY key, label) >= 5 THEN label ELSE -1 END AS label FROM dn_la"""
 
 
@@ -159,7 +169,9 @@ def nearest_days(spark, d):
     return pt.nearest_days(pt.dense(x), given_labels(x))
 
 
-PROFILE = LONG + LABELS + ", ds AS (SELECT key, label, count(*) AS days FROM lb WHERE label <> -1 GROUP BY ALL), pf AS (SELECT l.key, b.label, feature, sum(value) / any_value(days) AS mean, any_value(days) AS days FROM lg l JOIN lb b USING (key, day) JOIN ds ON ds.key = l.key AND ds.label = b.label GROUP BY ALL)"
+PROFILE = LONG + LABELS + """, ds AS (SELECT key, label, count(*) AS days FROM lb WHERE label <> -1
+  GROUP BY ALL), pf AS (SELECT l.key, b.label, feature, sum(value) / any_value(days) AS mean, any_value(days) AS days FROM lg l JOIN lb b USING (key, day)
+  JOIN ds ON ds.key = l.key AND ds.label = b.label GROUP BY ALL)"""
 
 
 @family.query(f"WITH {PROFILE} SELECT key, label, feature, round(mean, 6) AS mean, days FROM pf")
@@ -174,8 +186,10 @@ def pattern_sizes(spark, d):
 
 
 @family.query(
-    f"""WITH {PROFILE}, fr AS (SELECT key, label, b.bin, p.place FROM (SELECT DISTINCT key, label FROM pf), (SELECT unnest(range(24)) AS bin) b, (SELECT session_cluster AS place FROM top UNION ALL SELECT 'OTHER') p)
-SELECT fr.key, fr.label, CAST(fr.bin AS INTEGER) AS bin, fr.place, coalesce(round(mean, 6), 0) AS mean FROM fr LEFT JOIN pf ON pf.key = fr.key AND pf.label = fr.label AND pf.feature = fr.bin || '__' || fr.place"""
+    f"""WITH {PROFILE}, fr AS (SELECT key, label, b.bin, p.place FROM (SELECT DISTINCT key, label
+  FROM pf), (SELECT unnest(range(24)) AS bin) b, (SELECT session_cluster AS place FROM top UNION ALL SELECT 'OTHER') p)
+SELECT fr.key, fr.label, CAST(fr.bin AS INTEGER) AS bin, fr.place, coalesce(round(mean, 6), 0) AS mean FROM fr LEFT JOIN pf ON pf.key = fr.key
+  AND pf.label = fr.label AND pf.feature = fr.bin || '__' || fr.place"""
 )
 def pattern_heatmap(spark, d):
     x = long_days(spark, d)
@@ -187,7 +201,8 @@ def pattern_heatmap(spark, d):
 
 
 WEEKDAYS = LONG + LABELS + """, wc AS (SELECT key, label, CAST(isodow(day) - 1 AS INTEGER) AS dow, count(*) AS n FROM lb GROUP BY ALL),
-wk AS (SELECT f.key, f.label, f.dow, coalesce(n, 0) AS n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY f.key, f.label) AS share FROM (SELECT DISTINCT key, label, CAST(dd.dow AS INTEGER) AS dow FROM lb, (SELECT unnest(range(7)) AS dow) dd) f LEFT JOIN wc USING (key, label, dow))"""
+wk AS (SELECT f.key, f.label, f.dow, coalesce(n, 0) AS n, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY f.key, f.label) AS share
+  FROM (SELECT DISTINCT key, label, CAST(dd.dow AS INTEGER) AS dow FROM lb, (SELECT unnest(range(7)) AS dow) dd) f LEFT JOIN wc USING (key, label, dow))"""
 
 
 @family.query(f"WITH {WEEKDAYS} SELECT key, label, dow, round(share, 6) AS share, row_number() OVER (PARTITION BY key, label ORDER BY n DESC, dow) = 1 AS is_top FROM wk")

@@ -20,19 +20,23 @@ SLOTS7 = "(SELECT CAST(unnest(range(7)) AS INTEGER) AS dow) dd, (SELECT CAST(unn
 
 BASE = CHARGES + LONG_CUT + """, tr AS (SELECT * FROM split WHERE split = 'train'), places AS (SELECT DISTINCT hashvin, next_long_inactive_cluster AS place FROM tr)"""
 CENTRES = BASE + """, own AS (SELECT hashvin, next_long_inactive_cluster AS place, median(inactive_lat) AS lat1, median(inactive_lon) AS lon1 FROM tr GROUP BY ALL),
-rest AS (SELECT s.hashvin, session_cluster AS place, median(start_lat) AS lat2, median(start_lon) AS lon2 FROM sessions s JOIN cut USING (hashvin) WHERE session_type = 'inactive' AND start_time <= cutoff GROUP BY ALL),
+rest AS (SELECT s.hashvin, session_cluster AS place, median(start_lat) AS lat2, median(start_lon) AS lon2 FROM sessions s JOIN cut USING (hashvin)
+  WHERE session_type = 'inactive' AND start_time <= cutoff GROUP BY ALL),
 centres AS (SELECT o.hashvin, o.place, coalesce(lat1, lat2) AS lat, coalesce(lon1, lon2) AS lon FROM own o LEFT JOIN rest USING (hashvin, place))"""
 DELAYS = f""", hrs AS (SELECT hashvin, charge_cluster AS origin, next_long_inactive_cluster AS place, {DELAY} AS h FROM tr),
-bp AS (SELECT hashvin, place, greatest(0.0::DOUBLE, least(24.0::DOUBLE, CASE WHEN count(h) >= 3 THEN median(h) ELSE any_value(a) END)) AS delay_h FROM hrs JOIN (SELECT hashvin, median(h) AS a FROM hrs GROUP BY 1) USING (hashvin) GROUP BY ALL),
+bp AS (SELECT hashvin, place, greatest(0.0::DOUBLE, least(24.0::DOUBLE, CASE WHEN count(h) >= 3 THEN median(h) ELSE any_value(a) END)) AS delay_h FROM hrs
+  JOIN (SELECT hashvin, median(h) AS a FROM hrs GROUP BY 1) USING (hashvin) GROUP BY ALL),
 bq AS (SELECT hashvin, origin, place, greatest(0.0::DOUBLE, least(24.0::DOUBLE, median(h))) AS delay_h FROM hrs GROUP BY ALL HAVING count(h) >= 2)"""
 STARTS = f""", seen AS (SELECT hashvin, session_cluster AS place, {SLOT.format('start_time')}, count(*) AS n FROM long_cut GROUP BY ALL),
-starts AS (SELECT hashvin, place, dow, bin, (coalesce(n, 0) + 1.0) / sum(coalesce(n, 0) + 1.0) OVER (PARTITION BY hashvin, place) AS p FROM (SELECT * FROM places, {SLOTS7}) LEFT JOIN seen USING (hashvin, place, dow, bin))"""
+starts AS (SELECT hashvin, place, dow, bin, (coalesce(n, 0) + 1.0) / sum(coalesce(n, 0) + 1.0) OVER (PARTITION BY hashvin, place) AS p FROM (SELECT *
+  FROM places, {SLOTS7}) LEFT JOIN seen USING (hashvin, place, dow, bin))"""
 MOVED = f""", mv AS (SELECT hashvin, coalesce(prev_cluster, 'NONE') AS prev, {SLOT.format('charge_start_time')}, next_long_inactive_cluster AS target FROM tr),
 counts AS (SELECT hashvin, 'prev_slot' AS level, prev, dow, bin, target, count(*) AS n FROM mv GROUP BY ALL UNION ALL SELECT hashvin, 'prev', prev, NULL, NULL, target, count(*) FROM mv GROUP BY ALL
 UNION ALL SELECT hashvin, 'slot', NULL, dow, bin, target, count(*) FROM mv GROUP BY ALL UNION ALL SELECT hashvin, 'all', NULL, NULL, NULL, target, count(*) FROM mv GROUP BY ALL),
 keys AS (SELECT DISTINCT hashvin, level, prev, dow, bin FROM counts), targets AS (SELECT hashvin, place AS target FROM places UNION SELECT hashvin, 'OTHER' FROM places),
 tp AS (SELECT k.hashvin, k.level, k.prev, k.dow, k.bin, t.target, (coalesce(c.n, 0) + 1.0) / sum(coalesce(c.n, 0) + 1.0) OVER (PARTITION BY k.hashvin, k.level, k.prev, k.dow, k.bin) AS p
-  FROM keys k JOIN targets t USING (hashvin) LEFT JOIN counts c ON c.hashvin = k.hashvin AND c.level = k.level AND c.prev IS NOT DISTINCT FROM k.prev AND c.dow IS NOT DISTINCT FROM k.dow AND c.bin IS NOT DISTINCT FROM k.bin AND c.target = t.target)"""
+  FROM keys k JOIN targets t USING (hashvin) LEFT JOIN counts c ON c.hashvin = k.hashvin AND c.level = k.level AND c.prev IS NOT DISTINCT FROM k.prev
+  AND c.dow IS NOT DISTINCT FROM k.dow AND c.bin IS NOT DISTINCT FROM k.bin AND c.target = t.target)"""
 HEAD = """, ow AS (SELECT hashvin, next_long_inactive_cluster AS place, count(*) AS n, sum(inactive_time_minutes) / 60 AS hours, 'charge' AS source FROM tr GROUP BY ALL),
 an AS (SELECT hashvin, session_cluster AS place, count(*) AS n, sum(duration_minutes) / 60 AS hours, 'any' AS source FROM long_cut GROUP BY ALL),
 hd AS (SELECT * FROM ow UNION ALL SELECT a.* FROM an a WHERE a.hashvin IN (SELECT hashvin FROM ow) AND NOT EXISTS (SELECT 1 FROM ow o WHERE o.hashvin = a.hashvin AND o.place = a.place)),
@@ -66,11 +70,14 @@ def pairs(spark, d):
     return base.join(pl.train_places(rows), "hashvin")
 
 
-PAIRS = f", prs AS (SELECT session_uid, s.hashvin, charge_cluster AS origin, charge_start_time, coalesce(prev_cluster, 'NONE') AS prev, {SLOT.format('charge_start_time')}, place FROM split s JOIN places USING (hashvin))"
+PAIRS = f""", prs AS (SELECT session_uid, s.hashvin, charge_cluster AS origin, charge_start_time, coalesce(prev_cluster, 'NONE') AS prev,
+  {SLOT.format('charge_start_time')}, place FROM split s JOIN places USING (hashvin))"""
 
 
 @family.query(
-    f"WITH {BASE}, g AS (SELECT hashvin, {HOURS.format('lag(charge_start_time) OVER w', 'charge_start_time')} / 24 AS gap FROM tr WINDOW w AS (PARTITION BY hashvin ORDER BY charge_start_time, session_id)) SELECT hashvin, round(CASE WHEN median(gap) > 0 THEN median(gap) ELSE 14.0 END, 6) AS interval_days FROM g GROUP BY 1"
+    f"""WITH {BASE}, g AS (SELECT hashvin, {HOURS.format('lag(charge_start_time) OVER w', 'charge_start_time')} / 24 AS gap FROM tr
+  WINDOW w AS (PARTITION BY hashvin ORDER BY charge_start_time, session_id)) SELECT hashvin, round(CASE WHEN median(gap) > 0 THEN median(gap)
+  ELSE 14.0 END, 6) AS interval_days FROM g GROUP BY 1"""
 )
 def charge_interval_median(spark, d):
     return pl.charge_interval(ordered(spark, d)).select("hashvin", r("interval_days"))
@@ -114,13 +121,16 @@ def head_clusters(spark, d):
 
 
 @family.query(
-    f"WITH {BASE}, c AS (SELECT hashvin, session_cluster AS place, count(*) AS n FROM long_cut GROUP BY ALL) SELECT * FROM (SELECT hashvin, place, n, row_number() OVER (PARTITION BY hashvin ORDER BY n DESC, place) AS rank FROM c) WHERE rank <= 18"
+    f"""WITH {BASE}, c AS (SELECT hashvin, session_cluster AS place, count(*) AS n FROM long_cut GROUP BY ALL) SELECT *
+  FROM (SELECT hashvin, place, n, row_number() OVER (PARTITION BY hashvin ORDER BY n DESC, place) AS rank FROM c) WHERE rank <= 18"""
 )
 def frequent_long_stay(spark, d):
     return pl.frequent_long_stay(long_cut(spark, d), 18)
 
 
-NEAR = f", near AS (SELECT session_uid, s.hashvin, place, {HAV.format('charge_lat', 'charge_lon', 'lat', 'lon')} AS meters FROM split s JOIN centres USING (hashvin)), nearest AS (SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY round(meters, 3), place) - 1 AS distance_order FROM near WHERE meters IS NOT NULL)"
+NEAR = f""", near AS (SELECT session_uid, s.hashvin, place, {HAV.format('charge_lat', 'charge_lon', 'lat', 'lon')} AS meters FROM split s
+  JOIN centres USING (hashvin)), nearest AS (SELECT *, row_number() OVER (PARTITION BY session_uid ORDER BY round(meters, 3), place) - 1 AS distance_order
+  FROM near WHERE meters IS NOT NULL)"""
 
 
 @family.query(f"WITH {CENTRES}{NEAR} SELECT session_uid, place, round(meters, 3) AS meters, distance_order FROM nearest")
@@ -137,7 +147,8 @@ def resolve_delay(spark, d):
     return pl.resolve_delay(pairs(spark, d), pl.pair_delays(rows), pl.place_delays(rows)).select("session_uid", "place", r("delay_h"))
 
 
-RANKING = """, lr AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'prev_slot' AND k.hashvin = p.hashvin AND k.prev = p.prev AND k.dow = p.dow AND k.bin = p.bin) THEN t1.p ELSE t2.p END AS a, t3.p AS b, t4.p AS c FROM prs p
+RANKING = """, lr AS (SELECT p.*, CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'prev_slot' AND k.hashvin = p.hashvin AND k.prev = p.prev
+  AND k.dow = p.dow AND k.bin = p.bin) THEN t1.p ELSE t2.p END AS a, t3.p AS b, t4.p AS c FROM prs p
 LEFT JOIN tp t1 ON t1.level = 'prev_slot' AND t1.hashvin = p.hashvin AND t1.prev = p.prev AND t1.dow = p.dow AND t1.bin = p.bin AND t1.target = p.place
 LEFT JOIN tp t2 ON t2.level = 'prev' AND t2.hashvin = p.hashvin AND t2.prev = p.prev AND t2.target = p.place
 LEFT JOIN tp t3 ON t3.level = 'slot' AND t3.hashvin = p.hashvin AND t3.dow = p.dow AND t3.bin = p.bin AND t3.target = p.place
@@ -150,13 +161,18 @@ def transition_lookup_ranking(spark, d):
 
 
 #: Sessions with their HEAD places, and the level that the multiclass lookup reads.
-HEADED = f""", hp AS (SELECT session_uid, s.hashvin, charge_cluster AS origin, charge_start_time, coalesce(prev_cluster, 'NONE') AS prev, {SLOT.format('charge_start_time')}, place, head_rank FROM split s JOIN head USING (hashvin)),
+HEADED = f""", hp AS (SELECT session_uid, s.hashvin, charge_cluster AS origin, charge_start_time, coalesce(prev_cluster, 'NONE') AS prev,
+  {SLOT.format('charge_start_time')}, place, head_rank FROM split s JOIN head USING (hashvin)),
 lv AS (SELECT h.*, CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'prev' AND k.hashvin = h.hashvin AND k.prev = h.prev)
     THEN CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'prev_slot' AND k.hashvin = h.hashvin AND k.prev = h.prev AND k.dow = h.dow AND k.bin = h.bin) THEN 'prev_slot' ELSE 'prev' END
     ELSE CASE WHEN EXISTS (SELECT 1 FROM keys k WHERE k.level = 'slot' AND k.hashvin = h.hashvin AND k.dow = h.dow AND k.bin = h.bin) THEN 'slot' ELSE 'all' END END AS at_level FROM hp h),
 ml AS (SELECT l.*, coalesce(a.p, b.p, 1.0 / 5) AS transition_p FROM lv l
- LEFT JOIN tp a ON a.hashvin = l.hashvin AND a.level = at_level AND a.target = l.place AND a.prev IS NOT DISTINCT FROM CASE WHEN at_level LIKE 'prev%' THEN l.prev END AND a.dow IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.dow END AND a.bin IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.bin END
- LEFT JOIN tp b ON b.hashvin = l.hashvin AND b.level = at_level AND b.target = 'OTHER' AND b.prev IS NOT DISTINCT FROM CASE WHEN at_level LIKE 'prev%' THEN l.prev END AND b.dow IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.dow END AND b.bin IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.bin END)"""
+ LEFT JOIN tp a ON a.hashvin = l.hashvin AND a.level = at_level AND a.target = l.place AND a.prev IS NOT DISTINCT FROM CASE
+  WHEN at_level LIKE 'prev%' THEN l.prev END AND a.dow IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.dow END AND a.bin IS NOT DISTINCT FROM CASE
+  WHEN at_level LIKE '%slot' THEN l.bin END
+ LEFT JOIN tp b ON b.hashvin = l.hashvin AND b.level = at_level AND b.target = 'OTHER' AND b.prev IS NOT DISTINCT FROM CASE
+  WHEN at_level LIKE 'prev%' THEN l.prev END AND b.dow IS NOT DISTINCT FROM CASE WHEN at_level LIKE '%slot' THEN l.dow END AND b.bin IS NOT DISTINCT FROM CASE
+  WHEN at_level LIKE '%slot' THEN l.bin END)"""
 
 
 def heads(spark, d):
@@ -177,7 +193,8 @@ def transition_lookup_multiclass(spark, d):
 
 
 ARRIVED = """, ar AS (SELECT r.*, charge_start_time + to_microseconds(CAST(round(delay_h * 3600, 6) * 1000000 AS BIGINT)) AS arrive FROM rs r),
-tc AS (SELECT a.session_uid, a.place, coalesce(s.p, 0) AS time_compat FROM ar a LEFT JOIN starts s ON s.hashvin = a.hashvin AND s.place = a.place AND s.dow = isodow(arrive) - 1 AND s.bin = hour(arrive) // 4)"""
+tc AS (SELECT a.session_uid, a.place, coalesce(s.p, 0) AS time_compat FROM ar a LEFT JOIN starts s ON s.hashvin = a.hashvin AND s.place = a.place
+  AND s.dow = isodow(arrive) - 1 AND s.bin = hour(arrive) // 4)"""
 
 
 @family.query(f"WITH {BASE}{DELAYS}{STARTS}{PAIRS}{RESOLVED}{ARRIVED} SELECT session_uid, place, round(time_compat, 6) AS time_compat FROM tc")
@@ -187,7 +204,8 @@ def time_compat_ranking(spark, d):
     return pl.time_compat_ranking(resolved, starts(spark, d)).select("session_uid", "place", r("time_compat"))
 
 
-COMPAT = """, hr AS (SELECT h.*, h.charge_start_time + to_microseconds(CAST(round(coalesce(q.delay_h, b.delay_h, 0) * 3600, 6) * 1000000 AS BIGINT)) AS arrive FROM hp h LEFT JOIN bq q USING (hashvin, origin, place) LEFT JOIN bp b USING (hashvin, place)),
+COMPAT = """, hr AS (SELECT h.*, h.charge_start_time + to_microseconds(CAST(round(coalesce(q.delay_h, b.delay_h, 0) * 3600, 6) * 1000000 AS BIGINT)) AS arrive
+  FROM hp h LEFT JOIN bq q USING (hashvin, origin, place) LEFT JOIN bp b USING (hashvin, place)),
 mc AS (SELECT h.session_uid, h.place, 0.75 * coalesce(a.p, 1.0 / 42) + 0.25 * coalesce(b.p, 1.0 / 42) AS time_compat FROM hr h
 LEFT JOIN starts a ON a.hashvin = h.hashvin AND a.place = h.place AND a.dow = isodow(arrive) - 1 AND a.bin = hour(arrive) // 4
 LEFT JOIN starts b ON b.hashvin = h.hashvin AND b.place = h.place AND b.dow = isodow(arrive) - 1 AND b.bin = (hour(arrive) // 4 + 5) % 6)"""
@@ -200,7 +218,8 @@ def time_compat_multiclass(spark, d):
     return pl.time_compat_multiclass(resolved, starts(spark, d)).select("session_uid", "place", r("time_compat"))
 
 
-@family.query(f"WITH {BASE}{HEAD} SELECT session_uid, CASE WHEN place IS NULL THEN 'OTHER' ELSE next_long_inactive_cluster END AS y_class FROM split s LEFT JOIN head h ON h.hashvin = s.hashvin AND h.place = s.next_long_inactive_cluster")
+@family.query(f"""WITH {BASE}{HEAD} SELECT session_uid, CASE WHEN place IS NULL THEN 'OTHER' ELSE next_long_inactive_cluster END AS y_class FROM split s LEFT
+  JOIN head h ON h.hashvin = s.hashvin AND h.place = s.next_long_inactive_cluster""")
 def label_or_other(spark, d):
     return labels(spark, d).select("session_uid", "y_class")
 
@@ -213,9 +232,12 @@ def labels(spark, d):
 
 @family.query(
     f"""WITH {CENTRES}{STARTS}{DELAYS}{HEAD}, oa AS (SELECT hashvin, place, n, hours FROM hd WHERE source = 'charge')
-SELECT h.hashvin, h.head_rank, h.place, CASE h.source WHEN 'charge' THEN 'after_charge' ELSE 'anytime' END AS source, coalesce(oa.n, 0) AS n_after_charge, round(coalesce(oa.hours, 0), 4) AS hours_after_charge,
-       coalesce(an.n, 0) AS n_any, round(coalesce(an.hours, 0), 4) AS hours_any, round(c.lat, 7) AS lat, round(c.lon, 7) AS lon, round(coalesce(bp.delay_h, 0), 6) AS delay_h, s.dow, s.bin, round(s.p, 6) AS p
-FROM head h LEFT JOIN oa USING (hashvin, place) LEFT JOIN an USING (hashvin, place) LEFT JOIN centres c USING (hashvin, place) LEFT JOIN bp USING (hashvin, place) LEFT JOIN starts s USING (hashvin, place)"""
+SELECT h.hashvin, h.head_rank, h.place, CASE h.source WHEN 'charge' THEN 'after_charge'
+  ELSE 'anytime' END AS source, coalesce(oa.n, 0) AS n_after_charge, round(coalesce(oa.hours, 0), 4) AS hours_after_charge,
+       coalesce(an.n, 0) AS n_any, round(coalesce(an.hours, 0), 4) AS hours_any, round(c.lat, 7) AS lat, round(c.lon, 7) AS lon, round(coalesce(bp.delay_h, 0),
+  6) AS delay_h, s.dow, s.bin, round(s.p, 6) AS p
+FROM head h LEFT JOIN oa USING (hashvin, place) LEFT JOIN an USING (hashvin, place) LEFT JOIN centres c USING (hashvin, place) LEFT
+  JOIN bp USING (hashvin, place) LEFT JOIN starts s USING (hashvin, place)"""
 )
 def head_details_json(spark, d):
     """Flattened HEAD details; ``sinks.head_details`` writes them as JSON documents."""

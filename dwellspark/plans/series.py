@@ -25,7 +25,9 @@ def vehicle_hours(spark, d):
 
 
 @family.query(
-    f"WITH {DAILY}, l AS (SELECT series, t, value, lag(value, 4) OVER w AS lag_1, lag(value, 3) OVER w AS lag_2, lag(value, 2) OVER w AS lag_3, lag(value, 1) OVER w AS lag_4 FROM daily WINDOW w AS (PARTITION BY series ORDER BY t)) SELECT series, t, round(lag_1, 2) AS lag_1, round(lag_2, 2) AS lag_2, round(lag_3, 2) AS lag_3, round(lag_4, 2) AS lag_4, round(value, 2) AS target FROM l WHERE lag_1 IS NOT NULL"
+    f"""WITH {DAILY}, l AS (SELECT series, t, value, lag(value, 4) OVER w AS lag_1, lag(value, 3) OVER w AS lag_2, lag(value, 2) OVER w AS lag_3, lag(value,
+  1) OVER w AS lag_4 FROM daily WINDOW w AS (PARTITION BY series ORDER BY t)) SELECT series, t, round(lag_1, 2) AS lag_1, round(lag_2, 2) AS lag_2, round(lag_3,
+  2) AS lag_3, round(lag_4, 2) AS lag_4, round(value, 2) AS target FROM l WHERE lag_1 IS NOT NULL"""
 )
 def lag_vector(spark, d):
     x = sr.lag_vectors(daily(spark, d), 4)
@@ -33,9 +35,11 @@ def lag_vector(spark, d):
 
 
 @family.query(
-    f"""WITH {DAILY}, s AS (SELECT series, t, avg(value) OVER w AS lag_mean, stddev_pop(value) OVER w AS lag_std, min(value) OVER w AS lag_min, max(value) OVER w AS lag_max, last_value(value) OVER w - first_value(value) OVER w AS lag_change, count(value) OVER w AS c,
+    f"""WITH {DAILY}, s AS (SELECT series, t, avg(value) OVER w AS lag_mean, stddev_pop(value) OVER w AS lag_std, min(value) OVER w AS lag_min,
+  max(value) OVER w AS lag_max, last_value(value) OVER w - first_value(value) OVER w AS lag_change, count(value) OVER w AS c,
 row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS i FROM daily WINDOW w AS (PARTITION BY series ORDER BY t ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
-SELECT series, t, round(lag_mean + 1e-5, 2) AS lag_mean, round(lag_std, 2) AS lag_std, round(lag_min, 2) AS lag_min, round(lag_max, 2) AS lag_max, round(lag_change, 2) AS lag_change, CAST(i % 12 AS INTEGER) AS month_index, strftime(t, '%Y-%m') AS month FROM s WHERE c = 6"""
+SELECT series, t, round(lag_mean + 1e-5, 2) AS lag_mean, round(lag_std, 2) AS lag_std, round(lag_min, 2) AS lag_min, round(lag_max, 2) AS lag_max,
+  round(lag_change, 2) AS lag_change, CAST(i % 12 AS INTEGER) AS month_index, strftime(t, '%Y-%m') AS month FROM s WHERE c = 6"""
 )
 def rolling_stats(spark, d):
     x = sr.rolling_stats(daily(spark, d), 6)
@@ -43,7 +47,8 @@ def rolling_stats(spark, d):
 
 
 @family.query(
-    f"""WITH {DAILY}, c AS (SELECT series, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM daily GROUP BY 1), j AS (SELECT c.series, c.t, value FROM c LEFT JOIN daily USING (series, t))
+    f"""WITH {DAILY}, c AS (SELECT series, CAST(unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) AS DATE) AS t FROM daily
+  GROUP BY 1), j AS (SELECT c.series, c.t, value FROM c LEFT JOIN daily USING (series, t))
 SELECT series, t, round(last_value(value IGNORE NULLS) OVER (PARTITION BY series ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS value FROM j"""
 )
 def forward_fill(spark, d):
@@ -52,7 +57,8 @@ def forward_fill(spark, d):
 
 @family.query(
     f"""WITH {HOURS}, o AS (SELECT id, row_number() OVER (ORDER BY timestamp, id) - 1 AS i, count(*) OVER () AS n FROM vh)
-SELECT id, CASE WHEN i < greatest(1, floor(n * 0.8::DOUBLE)) THEN 'train' ELSE 'test' END AS split_80, CASE WHEN i < greatest(1, floor(n * 0.6::DOUBLE)) THEN 'train' WHEN i < greatest(1, floor(n * 0.8::DOUBLE)) THEN 'valid' ELSE 'test' END AS split_60 FROM o"""
+SELECT id, CASE WHEN i < greatest(1, floor(n * 0.8::DOUBLE)) THEN 'train' ELSE 'test' END AS split_80, CASE
+  WHEN i < greatest(1, floor(n * 0.6::DOUBLE)) THEN 'train' WHEN i < greatest(1, floor(n * 0.8::DOUBLE)) THEN 'valid' ELSE 'test' END AS split_60 FROM o"""
 )
 def ratio_split(spark, d):
     splits = {"split_80": ((0.8, 0.2), ("train", "test")), "split_60": ((0.6, 0.2, 0.2), ("train", "valid", "test"))}
@@ -73,7 +79,8 @@ def target_mean(spark, d):
     return per.unionByName(whole.select(F.lit("(all)").alias("hashvin"), F.col("mean_all").alias("encoded"))).select("hashvin", r("encoded"))
 
 
-@family.query(f"WITH {HOURS}, {_TRAIN}, p AS (SELECT hashvin, avg(target) AS e FROM tr GROUP BY 1) SELECT id, hashvin, round(coalesce(e, (SELECT avg(target) FROM tr)), 6) AS encoded FROM vh LEFT JOIN p USING (hashvin)")
+@family.query(f"""WITH {HOURS}, {_TRAIN}, p AS (SELECT hashvin, avg(target) AS e FROM tr GROUP BY 1) SELECT id, hashvin, round(coalesce(e, (SELECT avg(target)
+  FROM tr)), 6) AS encoded FROM vh LEFT JOIN p USING (hashvin)""")
 def target_encode_join(spark, d):
     x = vehicle_hours(spark, d)
     return sr.target_encode(x, x.filter("id % 5 < 3 AND hashvin <> 'hv_00001'"), "hashvin", "target").select("id", "hashvin", r("encoded"))
