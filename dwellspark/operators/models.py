@@ -69,9 +69,9 @@ def batch_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
 def _altered(rows: DataFrame, columns: Sequence[str], new: dict[str, Column], keep: Sequence[str]) -> DataFrame:
     """A row per row and column of ``columns``, named ``feature``, in which that column has its ``new`` value."""
-    one = lambda c: F.struct(F.lit(c).alias("feature"), *[(new[c] if x == c else F.col(x)).alias(x) for x in columns])
     others = [c for c in keep if c not in columns]
-    return rows.select(*others, F.explode(F.array(*map(one, columns))).alias("__a")).select(*others, "__a.*")
+    each = rows.withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
+    return each.select(*others, "feature", *[F.when(F.col("feature") == c, new[c]).otherwise(F.col(c)).alias(c) for c in columns])
 
 
 def shifted(rows: DataFrame, columns: Sequence[str], shuffles: int, seed: int = 42, by: Sequence[str] = ("hashvin",), block_rows: int = BLOCK_ROWS) -> DataFrame:
