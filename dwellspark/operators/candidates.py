@@ -8,6 +8,8 @@ charge is joined with its vehicle's whole history.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -114,24 +116,25 @@ def candidates(rows: DataFrame, intervals: DataFrame, nearest: DataFrame, includ
     past = history(rows)
     windows = adaptive_windows(rows, intervals, past)
     per = past.join(windows.select("session_uid", "window_days"), "session_uid").filter("age_days <= window_days").groupBy("session_uid", "place").agg(F.count(F.lit(1)).alias("freq"))
-    recent = last_events(rows).select("session_uid", "place").distinct()
-    listed = per.join(recent, ["session_uid", "place"], "full").select("session_uid", "place", F.when(F.col("freq") > 0, "window").otherwise("recent").alias("source"))
-    have = listed.groupBy("session_uid").agg(F.count(F.lit(1)).alias("have"))
-    rest = nearest.select("session_uid", "place", "distance_order").join(listed.select("session_uid", "place"), ["session_uid", "place"], "left_anti").join(have, "session_uid", "left")
-    rest = rest.withColumn("order", F.row_number().over(W.partitionBy("session_uid").orderBy("distance_order")))
-    rest = rest.filter(F.col("order") <= F.greatest(F.lit(1), TOP_K - F.coalesce("have", F.lit(0)))).select("session_uid", "place", F.lit("fallback").alias("source"), F.col("order").alias("distance_order"))
-    named = listed.select("session_uid", "place", "source", F.lit(None).cast("int").alias("distance_order")).unionByName(rest)
     truth = rows.select("session_uid", F.col(LABEL).alias("place"), "split")
     truth = truth.filter("split = 'train'") if include_truth == "train" else truth.filter("false") if include_truth == "none" else truth
-    truth = truth.select("session_uid", "place", F.lit(True).alias("is_truth"))
-    named = named.join(truth, ["session_uid", "place"], "full").withColumns({"source": F.coalesce("source", F.lit("label")), "is_truth": F.coalesce("is_truth", F.lit(False))})
-    me = rows.select("session_uid", "hashvin", F.col("session_order").alias("order"), reference().alias("ref"))
+    told = [per, last_events(rows).select("session_uid", "place", F.lit(True).alias("recent")), nearest.select("session_uid", "place", "distance_order"), truth.select("session_uid", "place", F.lit(True).alias("is_truth"))]
+    # all that is told of a session's places meets in one shuffle by session, which the windows below share
+    known = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), told).repartition("session_uid").groupBy("session_uid", "place")
+    known = known.agg(F.max("freq").alias("freq"), F.max("recent").alias("recent"), F.min("distance_order").alias("distance_order"), F.coalesce(F.max("is_truth"), F.lit(False)).alias("is_truth"))
+    known = known.withColumn("listed", F.when(F.col("freq") > 0, "window").when(F.col("recent"), "recent"))
+    all_, rest = W.partitionBy("session_uid"), F.col("listed").isNull() & F.col("distance_order").isNotNull()
+    known = known.withColumns({"have": F.count("listed").over(all_), "order": F.when(rest, F.row_number().over(all_.orderBy(F.when(rest, 0).otherwise(1), "distance_order")))})
+    near = F.col("order") <= F.greatest(F.lit(1), TOP_K - F.col("have"))
+    named = known.select(
+        "session_uid", "place", F.coalesce("listed", F.when(near, "fallback"), F.when(F.col("is_truth"), "label")).alias("source"), F.when(near, F.col("order")).alias("distance_order"), "is_truth", F.coalesce("freq", F.lit(0)).alias("freq")
+    ).filter("source IS NOT NULL")
+    me = rows.select("session_uid", "hashvin", F.col("session_order").alias("order"), reference().alias("ref")).join(windows, "session_uid")
     seen = rows.select("hashvin", F.col(LABEL).alias("place"), F.col("session_order").alias("e_order"), F.coalesce("inactive_start_time", "charge_end_time").alias("event_time"))
     visited = last_visit(named.join(me, "session_uid"), seen.filter("event_time IS NOT NULL"), ["hashvin", "place"], F.max("event_time")).drop("hashvin", "order")
     hours = ft.hours_between("last", "ref")
-    visited = visited.withColumn("recency_hours", F.when(hours >= 0, hours)).drop("last", "ref")
-    full = visited.join(per, ["session_uid", "place"], "left").join(windows, "session_uid")
-    full = full.withColumns({"freq": F.coalesce("freq", F.lit(0)), "recency_hours": F.coalesce("recency_hours", F.lit(NEVER_HOURS)), "in_window": F.col("source").isin("window", "label")})
+    full = visited.withColumn("recency_hours", F.coalesce(F.when(hours >= 0, hours), F.lit(NEVER_HOURS))).drop("last", "ref")
+    full = full.withColumn("in_window", F.col("source").isin("window", "label"))
     order = [F.desc("is_truth"), F.when(F.col("source") == "window", 0).otherwise(1), F.desc("freq"), "recency_hours", F.coalesce("distance_order", F.lit(9999)), "place"]
     return full.withColumn("rank", F.row_number().over(W.partitionBy("session_uid").orderBy(*order))).filter(F.col("rank") <= TOP_K)
 
