@@ -73,13 +73,17 @@ def top_per_bin(stays: DataFrame, k: int = 3, size: int = 1) -> DataFrame:
 
     Ties keep the place whose stay began first; missing ranks are ('', 0).
     """
-    cut = hour_bins(split_by_day06(stays), size)
+    # one shuffle by day serves sums, ranks and the filling of what a day lacks
+    cut = hour_bins(split_by_day06(stays), size).repartition(*DAY)
     sums = cut.groupBy(*DAY, "bin", "session_cluster").agg(F.sum("minutes").alias("minutes"), F.min("s").alias("first"))
     w = W.partitionBy(*DAY, "bin").orderBy(F.desc("minutes"), "first", "session_cluster")
     best = sums.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    frame = cut.select(*DAY).distinct().select(*DAY, F.explode(F.sequence(F.lit(0), F.lit(24 // size - 1))).alias("bin")).select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
-    out = frame.join(best, [*DAY, "bin", "rank"], "left")
-    return out.select(*DAY, "bin", "rank", F.coalesce("session_cluster", F.lit("")).alias("place"), F.coalesce("minutes", F.lit(0.0)).alias("minutes"))
+    at = (F.col("bin") * k + F.col("rank") - 1).cast("int")
+    days = best.groupBy(*DAY).agg(F.collect_list(F.struct(at.alias("at"), F.col("session_cluster").alias("place"), "minutes")).alias("held"))
+    lacking = F.array_except(F.sequence(F.lit(0), F.lit(24 // size * k - 1)), F.col("held.at"))
+    filled = F.concat("held", F.transform(lacking, lambda i: F.struct(i.alias("at"), F.lit("").alias("place"), F.lit(0.0).alias("minutes"))))
+    out = days.select(*DAY, F.explode(filled).alias("h"))
+    return out.select(*DAY, F.expr(f"CAST(h.at div {k} AS INT)").alias("bin"), (F.col("h.at") % k + 1).alias("rank"), F.coalesce("h.place", F.lit("")).alias("place"), F.coalesce("h.minutes", F.lit(0.0)).alias("minutes"))
 
 
 def transition_features(moves: DataFrame) -> DataFrame:
