@@ -93,3 +93,30 @@ def test_calendar_bins_before_the_charge(spark):
     assert all(got["u0", b] == ("unknown", 0.0) for b in range(4))
     assert got["u1", 0] == ("I_2", 180.0) and got["u1", 1] == ("unknown", 0.0)  # a tie keeps the stay that began first
     assert got["u2", 0] == ("I_2", 180.0) and len(got) == 12
+
+
+def test_top_places_fill_what_a_day_lacks(spark):
+    stays = spark.sql(
+        """SELECT * FROM VALUES ('v', 1, 'inactive', 'a', TIMESTAMP_NTZ'2024-01-01 06:00:00', TIMESTAMP_NTZ'2024-01-01 06:20:00'), ('v', 2, 'inactive', 'b', TIMESTAMP_NTZ'2024-01-01 06:20:00', TIMESTAMP_NTZ'2024-01-01 06:40:00'),
+        ('v', 3, 'inactive', 'c', TIMESTAMP_NTZ'2024-01-01 06:40:00', TIMESTAMP_NTZ'2024-01-01 06:50:00') AS t(hashvin, session_id, session_type, session_cluster, start_time, end_time)"""
+    )
+    rows = dy.top_per_bin(stays, 2).collect()
+    got = {(r.bin, r["rank"]): (r.place, round(r.minutes, 6)) for r in rows}
+    assert len(rows) == len(got) == 48 and {k: v for k, v in got.items() if v != ("", 0.0)} == {(0, 1): ("a", 20.0), (0, 2): ("b", 20.0)}
+    assert dy.top_per_bin(stays.filter("false"), 2).count() == 0
+
+
+@pytest.mark.parametrize("truth, kept", [("all", {"train", "valid", "test"}), ("train", {"train"}), ("none", set())])
+def test_truth_is_forced_where_asked(spark, truth, kept):
+    rows = spark.sql(
+        """SELECT 'v' AS hashvin, concat('v_', id) AS session_uid, id AS session_order, timestampadd(DAY, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 08:00:00') AS charge_start_time,
+        timestampadd(DAY, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 09:00:00') AS charge_end_time, timestampadd(DAY, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 10:00:00') AS inactive_start_time,
+        concat('p', id) AS next_long_inactive_cluster, CASE WHEN id < 3 THEN 'train' WHEN id = 3 THEN 'valid' ELSE 'test' END AS split FROM range(5)"""
+    )
+    intervals = spark.createDataFrame([("v", 7.0)], "hashvin string, interval_days double")
+    nearest = spark.createDataFrame([(f"v_{i}", f"q{j}", j) for i in range(5) for j in (1, 2)], "session_uid string, place string, distance_order int")
+    found = cd.candidates(rows, intervals, nearest, truth).collect()
+    assert {r.source for r in found if r.is_truth} <= {"label"} and {s.split for s in rows.collect() if any(r.is_truth and r.session_uid == s.session_uid for r in found)} == kept
+    last = sorted((r["rank"], r.place, r.source) for r in found if r.session_uid == "v_4" and not r.is_truth)
+    # four earlier places, then the nearest others up to six in all
+    assert [x[2] for x in last][:4] == ["window"] * 4 and {x[1] for x in last} <= {"p0", "p1", "p2", "p3", "q1", "q2"}
