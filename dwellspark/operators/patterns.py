@@ -90,12 +90,22 @@ def scaled(days: DataFrame) -> DataFrame:
     return days.join(scale, "key").select("key", "day", F.zip_with("vector", "scale", one).alias("vector"))
 
 
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all of ``b`` by one product of matrices; what lies within its rounding error counts as 0."""
+    middle = a.mean(axis=0) if len(a) else 0.0
+    a, b = a - middle, b - middle
+    aa, bb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    far = aa[:, None] + bb[None, :] - 2 * (a @ b.T)
+    far[far < 1e-13 * (aa.max(initial=0.0) + bb.max(initial=0.0))] = 0
+    return far
+
+
 def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest of ``centres`` to each of ``vectors``, and its squared distance."""
     label, d2 = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
-    step = max(1, CELLS // max(1, centres.size))
+    step = max(1, CELLS // max(1, len(centres)))
     for at in range(0, len(vectors), step):
-        far = ((vectors[at : at + step, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+        far = squares(vectors[at : at + step], centres)
         label[at : at + step] = far.argmin(axis=1)
         d2[at : at + step] = far.min(axis=1)
     return label, d2
@@ -125,6 +135,93 @@ def reclustered(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.ran
     return centres
 
 
+def lloyd(vectors: np.ndarray, weights: np.ndarray, centres: np.ndarray, rounds: int, rtol: float, atol: float, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Centres (run, k, component) of several runs moved to the means of their ``weights`` (run, day) until they are still, and which runs are.
+
+    A still run ends with its ``last`` centres or those before them.
+    """
+    k, size = centres.shape[1:]
+    centres, open_ = centres.copy(), np.arange(len(centres))
+    for _ in range(rounds):
+        old = centres[open_]
+        label = squares(vectors, old.reshape(-1, size)).reshape(len(vectors), len(open_), k).argmin(axis=2)
+        one = (label[:, :, None] == np.arange(k)) * weights[open_].T[:, :, None]
+        n = one.sum(axis=0)[:, :, None]
+        moved = np.where(n > 0, (one.reshape(len(vectors), -1).T @ vectors).reshape(old.shape) / np.maximum(n, 1e-300), old)
+        still = (np.abs(moved - old) <= atol + rtol * np.abs(old)).all(axis=(1, 2))
+        centres[open_] = moved if last else np.where(still[:, None, None], old, moved)
+        open_ = open_[~still]
+        if not len(open_):
+            break
+    settled = np.ones(len(centres), bool)
+    settled[open_] = False
+    return centres, settled
+
+
+def lots_of(d2: np.ndarray, hashes: np.ndarray, run: int, turn: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """The days with the highest lots of a turn of seeding, and those lots."""
+    some = np.flatnonzero(d2 > 0)
+    lot = np.log(drawn(hashes[some], run, turn)) / d2[some]
+    top = np.argsort(-lot, kind="stable")[:wanted]
+    return some[top], lot[top]
+
+
+def kmeans_of_block(vectors: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ks: list[int], rounds: int, seed: int, turns: int, wanted: int) -> dict[int, np.ndarray]:
+    """Labels by k of one key's days, all in one block: the seeding, steps and choice of ``day_kmeans``, with all restarts of a k at once.
+
+    ``starts`` holds the order number of every day in every restart.  Vectors of more components than days are turned into as many, which
+    keeps all distances.
+    """
+    if len(vectors) < vectors.shape[1]:
+        vectors = np.linalg.qr((vectors - vectors.mean(axis=0)).T, mode="r").T
+    far, restarts = squares(vectors, vectors), starts.shape[1]
+    pools, weights = [], np.zeros((restarts, len(vectors)))
+    for run in range(restarts):
+        pool = np.array([starts[:, run].argmin()])
+        for turn in range(turns):
+            pool = np.concatenate([pool, lots_of(far[:, pool].min(axis=1), hashes, run, turn, wanted)[0]])
+        np.add.at(weights[run], pool[far[:, pool].argmin(axis=1)], 1.0)
+        pools.append(pool)
+    size = max(map(len, pools))
+    held = np.stack([np.pad(p, (0, size - len(p)), mode="edge") for p in pools])
+    lot = np.take_along_axis(weights, held, axis=1) * (np.arange(size) < np.array([[len(p)] for p in pools]))
+    out, every = {}, np.arange(restarts)
+    for k in ks:
+        uniform = np.stack([np.random.default_rng([seed, run, k]).random(k) for run in range(restarts)])
+        drawn_by = lambda w, j: ((w.cumsum(axis=1) / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)) <= uniform[:, j : j + 1]).sum(axis=1).clip(max=size - 1)
+        chosen = [drawn_by(lot, 0)]
+        d2 = far[held[every, chosen[0]][:, None], held]
+        for j in range(1, k):
+            more = lot * d2
+            chosen.append(np.where(more.sum(axis=1) > 0, drawn_by(more, j), chosen[0]))
+            d2 = np.minimum(d2, far[held[every, chosen[-1]][:, None], held])
+        centres = vectors[held[every[:, None], np.stack(chosen, axis=1)]]
+        centres = lloyd(vectors, weights, centres, 20, 1e-5, 1e-8, last=False)[0]
+        centres, settled = lloyd(vectors, np.ones_like(weights), centres, rounds, 0, 1e-9, last=True)
+        if not settled.all():
+            raise RuntimeError(f"k-means needs more than {rounds} rounds")
+        d2 = squares(vectors, centres.reshape(restarts * k, -1)).reshape(len(vectors), restarts, k)
+        best = np.round(d2.min(axis=2).sum(axis=0), 9).argmin()
+        out[k] = d2[:, best].argmin(axis=1)
+    return out
+
+
+def kmeans_of_blocks(days: DataFrame, ks: tuple[int, ...], restarts: int, rounds: int, seed: int, turns: int) -> DataFrame:
+    """``day_kmeans`` of keys (key, day, vector, h) that a block holds whole."""
+    key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(restarts - 1)), lambda run: F.xxhash64("h", run))
+
+    def work(here: pd.DataFrame) -> pd.DataFrame:
+        here = here.sort_values("day", kind="stable")
+        fit = [k for k in ks if k < len(here)]
+        vectors, order = np.stack(here["vector"].to_numpy()), np.stack(here["starts"].to_numpy())
+        labels = kmeans_of_block(vectors, here["h"].to_numpy(), order, fit, rounds, seed, turns, 2 * max(ks))
+        day, n = np.tile(here["day"].to_numpy(), len(fit)), len(fit) * len(here)
+        return pd.DataFrame({"key": pd.Series([here["key"].iloc[0]] * n, dtype=object), "k": np.repeat(np.array(fit, np.int32), len(here)), "day": day, "label": np.concatenate([labels[k] for k in fit]).astype(np.int32)})
+
+    return days.withColumn("starts", starts).groupBy("key").applyInPandas(work, f"key {key_type}, k int, day {day_type}, label int")
+
+
 def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), restarts: int = 10, rounds: int = 300, seed: int = 42, turns: int = 3) -> DataFrame:
     """(key, k, day, label): per key and k the labels of the restart with least inertia.
 
@@ -136,14 +233,20 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
 
     Lloyd's steps run for all keys, ks and restarts at once, until no centre of any moves;
     runs that are settled take no further part.  A k needs more than k days.  Raises if
-    ``rounds`` are not enough.  A task gets a block of a key's days and the centres of its runs,
+    ``rounds`` are not enough.  A key of one block is clustered where the block is, by the same draws and
+    steps, and passes on labels only.  Of keys with more blocks, a task gets a block of a key's days and the centres of its runs,
     and passes on sums by label; one task per run adds those up.  Tables of earlier steps are deleted.
     """
     folder = work_folder(days)
     n = days.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    blocks = n.filter(F.col("n") > min(ks)).select("key", F.ceil(F.col("n") / BLOCK_DAYS).cast("int").alias("blocks"))
-    blocks = written(blocks, folder)
-    dealt = days.join(blocks, "key").select("key", "day", "vector", F.xxhash64("day", F.lit(seed)).alias("h"), F.pmod(F.xxhash64("day"), F.col("blocks")).cast("int").alias("block"))
+    sizes = n.filter(F.col("n") > min(ks)).select("key", F.ceil(F.col("n") / BLOCK_DAYS).cast("int").alias("blocks"))
+    sizes = written(sizes, folder)
+    blocks = sizes.filter("blocks > 1")
+    hashed = days.select("key", "day", "vector", F.xxhash64("day", F.lit(seed)).alias("h"))
+    whole = kmeans_of_blocks(hashed.join(sizes.filter("blocks = 1").select("key"), "key"), ks, restarts, rounds, seed, turns)
+    if blocks.isEmpty():
+        return whole
+    dealt = hashed.join(blocks, "key").select("key", "day", "vector", "h", F.pmod(F.xxhash64("day"), F.col("blocks")).cast("int").alias("block"))
     dealt = written(dealt, folder)
     key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
     run_type = f"key {key_type}, k int, run int"
@@ -160,10 +263,8 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
             if len(here):
                 vectors, hashes = np.stack(here["vector"].to_numpy()), here["h"].to_numpy()
                 for r in pools.itertuples():
-                    d2 = nearest(vectors, np.stack(r.candidates))[1]
-                    some = np.flatnonzero(d2 > 0)
-                    lot = np.log(drawn(hashes[some], r.run, turn)) / d2[some]
-                    out += [(r.key, r.run, lot[i], vectors[some[i]]) for i in np.argsort(-lot, kind="stable")[:wanted]]
+                    found = lots_of(nearest(vectors, np.stack(r.candidates))[1], hashes, r.run, turn, wanted)
+                    out += [(r.key, r.run, lot, vectors[i]) for i, lot in zip(*found)]
             return pd.DataFrame(out, columns=["key", "run", "lot", "vector"])
 
         return work
@@ -240,7 +341,7 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
     last = written(met(settled, labelled, f"{run_type}, day {day_type}, label int, d2 double"), folder)
     cost = last.groupBy("key", "k", "run").agg(F.sum("d2").alias("cost"))
     best = cost.groupBy("key", "k").agg(F.min_by("run", F.struct(F.round("cost", 9), "run")).alias("run"))
-    return last.join(best, ["key", "k", "run"]).select("key", "k", "day", "label")
+    return whole.unionByName(last.join(best, ["key", "k", "run"]).select("key", "k", "day", "label"))
 
 
 def block_pairs(rows: DataFrame, block_days: int):

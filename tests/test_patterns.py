@@ -99,3 +99,22 @@ def test_equal_days_are_clustered(spark):
     days = spark.createDataFrame([("v", i, [1.0, 2.0]) for i in range(9)] + [("w", i, [float(i > 3)]) for i in range(8)], "key string, day int, vector array<double>")
     got = pt.day_kmeans(days, ks=(3,), restarts=2).collect()
     assert len(got) == 17 and len({r.label for r in got if r.key == "v"}) == 1 and len({(r.day > 3, r.label) for r in got if r.key == "w"}) == 2
+
+
+def test_keys_of_one_block_are_clustered_where_they_are(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(f"v{v}", i, (rng.normal(size=5) + 4 * (i % 4) * np.eye(5)[v % 5]).tolist()) for v in range(4) for i in range(20 + 9 * v)] + [("few", i, [float(i)] * 5) for i in range(4)]
+    days = spark.createDataFrame(rows, "key string, day int, vector array<double>")
+    monkeypatch.setattr(pt, "written", lambda df, folder, keep=pt.written: wrote.append(df.columns) or keep(df, folder))
+    found = {}
+    for block in (2000, 15):
+        monkeypatch.setattr(pt, "BLOCK_DAYS", block)
+        wrote = []
+        found[block] = {(r.key, r.k, r.day): r.label for r in pt.day_kmeans(days, ks=(3, 4, 6), restarts=3).collect()}
+        assert (len(wrote) == 1) == (block == 2000)  # no table of runs, rounds or centres
+    assert found[2000].keys() == found[15].keys() and {k for key, k, _ in found[2000] if key == "few"} == {3}
+    x = {(key, day): np.array(v) for key, day, v in rows}
+    for key, k in {(key, k) for key, k, _ in found[15]}:
+        of = [np.array([label for (a, b, _), label in sorted(f.items()) if (a, b) == (key, k)]) for f in found.values()]
+        points = np.stack([v for (a, _), v in sorted(x.items()) if a == key])
+        assert inertia(points, of[0]) == pytest.approx(inertia(points, of[1]), rel=1e-9)
