@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,13 +37,8 @@ def standardize(long: DataFrame) -> DataFrame:
     A day that lacks a feature counts as 0: the moments of the rows that exist are merged
     with those of so many zeros, and no row is made for them.  A deviation of 0 counts as 1.
     """
-    days = long.select("key", "day").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("days"))
-    held = long.groupBy("key", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).join(days, "key")
-    mean = F.col("n") * F.col("m") / F.col("days")
-    spread = F.sqrt((F.col("n") * F.col("v") + F.col("m") * F.col("m") * F.col("n") * (F.col("days") - F.col("n")) / F.col("days")) / F.col("days"))
-    scale = held.select("key", "feature", mean.alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("sd"))
     z = lambda x: (x - F.col("mean")) / F.col("sd")
-    return long.join(scale, ["key", "feature"]).withColumns({"z": z(F.col("value")), "z_absent": z(F.lit(0.0))}).drop("mean", "sd")
+    return long.join(scales(long), ["key", "feature"]).withColumns({"z": z(F.col("value")), "z_absent": z(F.lit(0.0))}).drop("mean", "sd")
 
 
 def mean_vectors(rows: DataFrame, *keys: str) -> DataFrame:
@@ -75,11 +71,50 @@ def work_folder(df: DataFrame) -> str:
     return f"{top.rstrip('/')}/patterns" if top else f"file://{tempfile.mkdtemp(prefix='spark-patterns-')}"
 
 
+def placed(days: DataFrame) -> DataFrame:
+    """(key, day, vector) of days with ``held``, their (i, x), and ``base``, what a component has that is not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, held = batch["base"], batch["held"]
+            flat, starts = base.flatten().to_numpy(zero_copy_only=False).copy(), np.asarray(base.offsets)[:-1] - base.offsets[0].as_py()
+            sizes = np.diff(np.asarray(held.offsets))
+            pairs = held.flatten()
+            flat[np.repeat(starts, sizes) + pairs.field("i").to_numpy(zero_copy_only=False)] = pairs.field("x").to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.append(starts, len(flat)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["day"], pa.ListArray.from_arrays(offsets, pa.array(flat))], ["key", "day", "vector"])
+
+    kinds = ", ".join(f"{c} {days.schema[c].dataType.simpleString()}" for c in ("key", "day"))
+    return days.select("key", "day", "held", "base").mapInArrow(run, f"{kinds}, vector array<double>")
+
+
 def dense(long: DataFrame) -> DataFrame:
     """(key, day, vector) of long rows (key, day, feature, value): a component per feature of the key, in order of its name, 0 where a day lacks it."""
-    names = long.groupBy("key").agg(F.array_sort(F.collect_set("feature")).alias("features"))
-    days = long.groupBy("key", "day").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")).join(names, "key")
-    return days.select("key", "day", F.transform("features", lambda f: F.coalesce(F.try_element_at("m", f), F.lit(0.0))).alias("vector"))
+    order = W.partitionBy("key").orderBy("feature")
+    names = long.select("key", "feature").distinct().select("key", "feature", (F.row_number().over(order) - 1).alias("i"))
+    base = names.groupBy("key").agg(F.array_repeat(F.lit(0.0), F.count(F.lit(1)).cast("int")).alias("base"))
+    days = long.join(names, ["key", "feature"]).groupBy("key", "day").agg(F.collect_list(F.struct("i", F.coalesce("value", F.lit(0.0)).alias("x"))).alias("held"))
+    return placed(days.join(base, "key"))
+
+
+def scales(long: DataFrame) -> DataFrame:
+    """(key, feature, mean, sd) over all days of a key, of which those without the feature count as 0."""
+    days = long.select("key", "day").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("days"))
+    held = long.groupBy("key", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")).join(days, "key")
+    mean = F.col("n") * F.col("m") / F.col("days")
+    spread = F.sqrt((F.col("n") * F.col("v") + F.col("m") * F.col("m") * F.col("n") * (F.col("days") - F.col("n")) / F.col("days")) / F.col("days"))
+    return held.select("key", "feature", mean.alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("sd"))
+
+
+def standard_vectors(long: DataFrame) -> DataFrame:
+    """``scaled(dense(long))``, scaled by the moments of the long rows before vectors are made."""
+    order = W.partitionBy("key").orderBy("feature")
+    scale = scales(long).select("key", "feature", "mean", "sd", (F.row_number().over(order) - 1).alias("i"))
+    absent = F.array_sort(F.collect_list(F.struct("i", (-F.col("mean") / F.col("sd")).alias("z"))))
+    base = scale.groupBy("key").agg(absent["z"].alias("base"))
+    z = ((F.col("value") - F.col("mean")) / F.col("sd")).alias("x")
+    days = long.join(scale, ["key", "feature"]).groupBy("key", "day").agg(F.collect_list(F.struct("i", z)).alias("held"))
+    return placed(days.join(base, "key"))
 
 
 def scaled(days: DataFrame) -> DataFrame:
@@ -238,6 +273,7 @@ def day_kmeans(days: DataFrame, ks: tuple[int, ...] = tuple(range(3, 11)), resta
     and passes on sums by label; one task per run adds those up.  Tables of earlier steps are deleted.
     """
     folder = work_folder(days)
+    days = written(days.select("key", "day", "vector"), folder)  # counted first, then clustered
     n = days.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     sizes = n.filter(F.col("n") > min(ks)).select("key", F.ceil(F.col("n") / BLOCK_DAYS).cast("int").alias("blocks"))
     sizes = written(sizes, folder)
@@ -521,6 +557,67 @@ def cluster_scores(rows: DataFrame, *keys: str) -> DataFrame:
     return sil.join(ch, ks).join(db, ks)
 
 
+def scores_of(far: np.ndarray, vectors: np.ndarray, label: np.ndarray) -> tuple[float | None, ...] | None:
+    """(silhouette, calinski_harabasz, davies_bouldin) of labelled vectors with distances ``far``; None where there is one label only."""
+    labels, of = np.unique(label, return_inverse=True)
+    if len(labels) < 2:
+        return None
+    one = np.eye(len(labels))[of]
+    n, rows = one.sum(axis=0), np.arange(len(of))
+    sums = far @ one
+    own = sums[rows, of] / np.maximum(n[of] - 1, 1)
+    mean = sums / n
+    mean[rows, of] = np.inf
+    other = mean.min(axis=1)
+    s = np.where(n[of] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0.0)
+    centres = (one.T @ vectors) / n[:, None]
+    d2 = ((vectors - centres[of]) ** 2).sum(axis=1)
+    between = (n * ((centres - vectors.mean(axis=0)) ** 2).sum(axis=1)).sum() / (len(labels) - 1)
+    within = d2.sum() / (len(of) - len(labels)) if len(of) > len(labels) else 0.0
+    spread = (np.sqrt(d2) @ one) / n
+    apart = np.sqrt(squares(centres, centres))
+    np.fill_diagonal(apart, np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = (spread[:, None] + spread) / apart
+    return s.mean(), between / within if within > 0 else None, ratio.max(axis=1).mean()
+
+
+def scores_by_k(labels: DataFrame, days: DataFrame) -> DataFrame:
+    """``cluster_scores`` by key and k of labels (key, k, day, label) of days (key, day, vector).
+
+    A key whose days fit one block is scored for all k where its days are, so no vector is made once per k; others
+    are scored by pairs of blocks.
+    """
+    folder = work_folder(days)
+    n = days.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    large = written(n.filter(F.col("n") > BLOCK_DAYS).select("key"), folder)
+    key_type = days.schema["key"].dataType.simpleString()
+    names = ["key", "k", "silhouette", "calinski_harabasz", "davies_bouldin"]
+
+    def work(here: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(here) and len(of):
+            here = here.sort_values("day", kind="stable")
+            vectors = np.stack(here["vector"].to_numpy())
+            far = np.sqrt(squares(vectors, vectors))
+            for k, rows in of.groupby("k"):
+                at = here["day"].searchsorted(rows["day"])
+                found = scores_of(far[np.ix_(at, at)], vectors[at], rows["label"].to_numpy())
+                if found:
+                    out.append((here["key"].iloc[0], k, *found))
+        return pd.DataFrame(out, columns=names)
+
+    some = large.isEmpty()
+    if not some:
+        labels = written(labels, folder)
+    whole, of = (df if some else df.join(large, "key", "left_anti") for df in (days.select("key", "day", "vector"), labels))
+    scored = whole.groupBy("key").cogroup(of.groupBy("key")).applyInPandas(work, f"key {key_type}, k int, silhouette double, calinski_harabasz double, davies_bouldin double")
+    if some:
+        return scored
+    rest = labels.join(large, "key").join(days, ["key", "day"])
+    return scored.unionByName(cluster_scores(rest, "key", "k").select(*names))
+
+
 def average_ranks(scores: DataFrame, *keys: str) -> DataFrame:
     """Average-tie ranks of the three scores (davies_bouldin ascending), their mean, and whether the row is its key's first minimum."""
     order = {"silhouette": F.desc("silhouette"), "calinski_harabasz": F.desc("calinski_harabasz"), "davies_bouldin": F.asc("davies_bouldin")}

@@ -67,7 +67,7 @@ def embedded(spark, d):
 def day_vectors(spark, d):
     """(key, day, vector): standardised shares of the day by hour bin and place, and moves; days as numbers."""
     long = day_features(spark, d).select("key", F.unix_date(F.to_date("day")).alias("day"), "feature", "value")
-    return pt.scaled(pt.dense(long))
+    return pt.standard_vectors(long)
 
 
 @family.query(f"WITH {FEATURES}{SCALED} SELECT key, day, feature, round(z, 5) + 0.0 AS z, round(z_absent, 5) + 0.0 AS z_absent FROM dn_sc WHERE held")
@@ -84,8 +84,8 @@ def day_kmeans(spark, d):
 @family.query()
 def k_metric_table(spark, d):
     days = day_vectors(spark, d)
-    labels = pt.day_kmeans(days)
-    return pt.average_ranks(pt.cluster_scores(labels.join(days, ["key", "day"]), "key", "k"), "key")
+    days = pt.written(days, pt.work_folder(days))
+    return pt.average_ranks(pt.scores_by_k(pt.day_kmeans(days), days), "key")
 
 
 SCORES = """

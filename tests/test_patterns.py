@@ -111,10 +111,40 @@ def test_keys_of_one_block_are_clustered_where_they_are(spark, monkeypatch):
         monkeypatch.setattr(pt, "BLOCK_DAYS", block)
         wrote = []
         found[block] = {(r.key, r.k, r.day): r.label for r in pt.day_kmeans(days, ks=(3, 4, 6), restarts=3).collect()}
-        assert (len(wrote) == 1) == (block == 2000)  # no table of runs, rounds or centres
+        assert (len(wrote) <= 2) == (block == 2000)  # the days and their numbers, no table of runs, rounds or centres
     assert found[2000].keys() == found[15].keys() and {k for key, k, _ in found[2000] if key == "few"} == {3}
     x = {(key, day): np.array(v) for key, day, v in rows}
     for key, k in {(key, k) for key, k, _ in found[15]}:
         of = [np.array([label for (a, b, _), label in sorted(f.items()) if (a, b) == (key, k)]) for f in found.values()]
         points = np.stack([v for (a, _), v in sorted(x.items()) if a == key])
         assert inertia(points, of[0]) == pytest.approx(inertia(points, of[1]), rel=1e-9)
+
+
+def test_vectors_are_scaled_before_they_are_made(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"v{v}", d, f"f{f}", float(rng.integers(1, 5))) for v in range(3) for d in range(9) for f in range(7) if rng.random() < 0.5] + [("one", 1, "f", 2.0)]
+    long = spark.createDataFrame(rows, "key string, day int, feature string, value double").repartition(3)
+    want = {(r.key, r.day): r.vector for r in pt.scaled(pt.dense(long)).collect()}
+    got = pt.standard_vectors(long)
+    assert {(r.key, r.day): r.vector for r in got.collect()} == {at: pytest.approx(v, abs=1e-12) for at, v in want.items()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "try_element_at" not in plan  # no row or look-up per day and component
+    x = {(key, day): {f: v for k, d, f, v in rows if (k, d) == (key, day)} for key, day, _, _ in rows}
+    names = {key: sorted({f for k, _, f, _ in rows if k == key}) for key, *_ in rows}
+    assert {(r.key, r.day): r.vector for r in pt.dense(long).collect()} == {at: [h.get(f, 0.0) for f in names[at[0]]] for at, h in x.items()}
+
+
+def test_keys_of_one_block_are_scored_where_they_are(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(key, i, rng.normal(size=3).tolist()) for key, n in (("a", 30), ("b", 90)) for i in range(n)]
+    days = spark.createDataFrame(rows, "key string, day int, vector array<double>")
+    labels = spark.createDataFrame([(key, k, i, i * i % k) for key, i, _ in rows for k in (1, 3, 4)], "key string, k int, day int, label int")
+    want = {(r.key, r.k): r for r in pt.cluster_scores(labels.join(days, ["key", "day"]), "key", "k").collect()}
+    for block in (2000, 40):
+        monkeypatch.setattr(pt, "BLOCK_DAYS", block)
+        table = pt.scores_by_k(labels, days)
+        got = {(r.key, r.k): r for r in table.collect()}
+        assert got.keys() == want.keys() and len(got) == 4
+        for at, r in got.items():
+            assert [r[c] for c in r.__fields__[2:]] == pytest.approx([want[at][c] for c in r.__fields__[2:]], rel=1e-9)
+        assert ("Generate" in table._jdf.queryExecution().executedPlan().toString()) == (block == 40)
