@@ -499,35 +499,41 @@ def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, lea
 def label_distances(rows: DataFrame, ks: list[str], block_days: int = BLOCK_DAYS) -> DataFrame:
     """(keys, x, lx, ly, d): mean distance of each day x to the other days of each label of its key.
 
-    A key's days are dealt to blocks by a hash; every block meets every block in one group,
-    whose distances numpy computes and sums by day and label.
+    A key's days are dealt to blocks by a hash; every two blocks meet once in one group, whose distances
+    come from products of matrices and are summed by day and label for both.
     """
     blocks = rows.groupBy(*ks).agg(F.ceil(F.count(F.lit(1)) / block_days).cast("int").alias("__blocks"))
     dealt = rows.join(blocks, ks).withColumn("__b", F.pmod(F.xxhash64("day"), F.col("__blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    mine = dealt.select(*ks, F.col("__b").alias("__mine"), every.alias("__other"), "day", "label", "vector")
-    theirs = dealt.select(*[F.col(k).alias(k) for k in ks], every.alias("__mine"), F.col("__b").alias("__other"), *[F.col(c).alias(c) for c in ("day", "label", "vector")])
-    group = [*ks, "__mine", "__other"]
+    mine = dealt.select(*ks, F.col("__b").alias("__one"), F.explode(F.sequence(F.col("__b"), F.col("__blocks") - 1)).alias("__other"), "day", "label", "vector")
+    theirs = dealt.select(*[F.col(k).alias(k) for k in ks], F.explode(F.sequence(F.lit(0), F.col("__b"))).alias("__one"), F.col("__b").alias("__other"), *[F.col(c).alias(c) for c in ("day", "label", "vector")])
+    group = [*ks, "__one", "__other"]
     day_type, label_type = rows.schema["day"].dataType.simpleString(), rows.schema["label"].dataType.simpleString()
     schema = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in ks] + [f"x {day_type}", f"lx {label_type}", f"ly {label_type}", "total double", "n bigint"])
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        va, vb = np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())
-        labels, of = np.unique(b["label"].to_numpy(), return_inverse=True)
-        one = np.zeros((len(b), len(labels)))
-        one[np.arange(len(b)), of] = 1
-        sums, counts = np.zeros((len(a), len(labels))), np.zeros((len(a), len(labels)))
-        days = b["day"].to_numpy()
-        for at in range(0, len(a), 64):  # 64 x block_days x components at most
-            part = slice(at, at + 64)
-            far = np.sqrt(((va[part, None, :] - vb[None, :, :]) ** 2).sum(axis=2))
-            other = a["day"].to_numpy()[part, None] != days[None, :]
-            sums[part], counts[part] = (far * other) @ one, other @ one
-        i, j = np.nonzero(counts)
-        made = {k: [v] * len(i) for k, v in zip(ks, key)}
-        return pd.DataFrame({**made, "x": a["day"].to_numpy()[i], "lx": a["label"].to_numpy()[i], "ly": labels[j], "total": sums[i, j], "n": counts[i, j].astype(np.int64)})
+        same = key[-2] == key[-1]  # equal days lie in one block
+        va, vb = (np.stack(t["vector"].to_numpy()) for t in (a, b))
+        (la, oa), (lb, ob) = (np.unique(t["label"].to_numpy(), return_inverse=True) for t in (a, b))
+        ea, eb = np.eye(len(la))[oa], np.eye(len(lb))[ob]
+        sums, counts = np.zeros((len(a), len(lb))), np.tile(eb.sum(axis=0), (len(a), 1))
+        back = np.zeros((len(b), len(la)))
+        step = max(1, CELLS // len(b))
+        for at in range(0, len(a), step):
+            part = slice(at, at + step)
+            far = np.sqrt(squares(va[part], vb))
+            if same:
+                other = a["day"].to_numpy()[part, None] != b["day"].to_numpy()[None, :]
+                far, counts[part] = far * other, other @ eb
+            else:
+                back += far.T @ ea[part]
+            sums[part] = far @ eb
+        out = []
+        for t, labels, total, n in [(a, lb, sums, counts)] + ([] if same else [(b, la, back, np.tile(ea.sum(axis=0), (len(b), 1)))]):
+            i, j = np.nonzero(n)
+            out.append(pd.DataFrame({**{k: [v] * len(i) for k, v in zip(ks, key)}, "x": t["day"].to_numpy()[i], "lx": t["label"].to_numpy()[i], "ly": labels[j], "total": total[i, j], "n": n[i, j].astype(np.int64)}))
+        return pd.concat(out)
 
     summed = mine.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInPandas(compare, schema)
     return summed.groupBy(*ks, "x", "lx", "ly").agg((F.sum("total") / F.sum("n")).alias("d"))

@@ -148,3 +148,16 @@ def test_keys_of_one_block_are_scored_where_they_are(spark, monkeypatch):
         for at, r in got.items():
             assert [r[c] for c in r.__fields__[2:]] == pytest.approx([want[at][c] for c in r.__fields__[2:]], rel=1e-9)
         assert ("Generate" in table._jdf.queryExecution().executedPlan().toString()) == (block == 40)
+
+
+def test_every_two_blocks_are_compared_once(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 3))
+    days = spark.createDataFrame([("v", i, i % 3, x[i].tolist()) for i in range(60)], "key string, day int, label int, vector array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for block in (9, 2000):
+        got = pt.label_distances(days, ["key"], block)
+        for r in got.collect():
+            others = [j for j in range(60) if j % 3 == r.ly and j != r.x]
+            assert r.lx == r.x % 3 and r.d == pytest.approx(far[r.x, others].mean(), rel=1e-9)
+        assert got.count() == 180 and "__one" in got._jdf.queryExecution().executedPlan().toString()
