@@ -138,7 +138,7 @@ def keyed_logit(rows: DataFrame, features: Sequence[str], keys: Sequence[str] =
     as 1), and ``coefficients`` (the constant first) are for those; ``ridge`` penalises all but the constant.  A key
     with one label is ``skipped`` with null coefficients, one that ``rounds`` do not settle is ``unsettled``.
 
-    Rows are packed once into blocks of a key.  A round gives every block its key's coefficients, adds up
+    Rows are packed once into blocks of a key.  A key of one block is fitted where the block is.  Of others, a round gives every block its key's coefficients, adds up
     the normal equations of the blocks, and solves them by key; settled keys take no further part.
     """
     folder, ks, d = work_folder(rows), list(keys), len(features)
@@ -151,33 +151,54 @@ def keyed_logit(rows: DataFrame, features: Sequence[str], keys: Sequence[str] =
     both = whole.filter("positives > 0 AND positives < n")
     x = F.array(*[F.coalesce((F.col(c).cast("double") - F.col("mean")[i]) / F.col("sd")[i], F.lit(0.0)) for i, c in enumerate(features)])
     row = F.struct(F.col(label).cast("double").alias("y"), x.alias("x")).alias("row")
-    dealt = rows.join(both.select(*ks, "mean", "sd", "blocks"), ks).select(*ks, F.pmod(F.xxhash64(*rows.columns), F.col("blocks")).alias("block"), row)
-    packed = dealt.groupBy(*ks, "block").agg(F.collect_list("row").alias("rows"))
-    packed = written(packed.select(*ks, F.transform("rows", lambda r: r["y"]).alias("y"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x")), folder)
+    dealt = rows.join(both.select(*ks, "mean", "sd", "blocks"), ks).select(*ks, "blocks", F.pmod(F.xxhash64(*rows.columns), F.col("blocks")).alias("block"), row)
+    packed = dealt.groupBy(*ks, "blocks", "block").agg(F.collect_list("row").alias("rows"))
+    packed = written(packed.select(*ks, "blocks", F.transform("rows", lambda r: r["y"]).alias("y"), F.flatten(F.transform("rows", lambda r: r["x"])).alias("x")), folder)
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in ks)
 
+    penalty = np.full(d + 1, ridge)
+    penalty[0] = 0
+
+    def normal(y: np.ndarray, flat: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = np.column_stack([np.ones(len(y)), np.asarray(flat).reshape(len(y), -1)])
+        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+        return a.T @ (np.asarray(y) - p), (a * (p * (1 - p))[:, None]).T @ a
+
+    def moved_by(gradient: np.ndarray, hessian: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, bool]:
+        step = np.linalg.solve(hessian + np.diag(penalty + 1e-9), gradient - penalty * beta)
+        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-300))  # no leap out of the range of the curve
+        return beta + step, bool(np.abs(step).max() < 1e-9)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for some in batches:
+            out: dict = {k: some[k].astype(object) for k in ks} | {"beta": [], "rounds": [], "status": []}
+            for y, flat in zip(some["y"], some["x"]):
+                beta, still, i = np.zeros(d + 1), False, 0
+                while i < rounds and not still:
+                    beta, still = moved_by(*normal(y, flat, beta), beta)
+                    i += 1
+                for name, value in zip(("beta", "rounds", "status"), (beta, i, "trained" if still else "unsettled")):
+                    out[name].append(value)
+            yield pd.DataFrame(out)
+
     def equations(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
             out: dict = {k: some[k].astype(object) for k in ks} | {"gradient": [], "hessian": []}
             for y, flat, beta in zip(some["y"], some["x"], some["beta"]):
-                a = np.column_stack([np.ones(len(y)), np.asarray(flat).reshape(len(y), -1)])
-                p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-                out["gradient"].append(a.T @ (np.asarray(y) - p))
-                out["hessian"].append(((a * (p * (1 - p))[:, None]).T @ a).ravel())
+                gradient, hessian = normal(y, flat, beta)
+                out["gradient"].append(gradient)
+                out["hessian"].append(hessian.ravel())
             yield pd.DataFrame(out)
 
     def solved(parts: pd.DataFrame) -> pd.DataFrame:
-        beta = np.asarray(parts["beta"].iloc[0])
-        penalty = np.full(d + 1, ridge)
-        penalty[0] = 0
-        gradient = np.sum(np.stack(parts["gradient"].to_numpy()), axis=0) - penalty * beta
-        hessian = np.sum(np.stack(parts["hessian"].to_numpy()), axis=0).reshape(d + 1, d + 1) + np.diag(penalty + 1e-9)
-        step = np.linalg.solve(hessian, gradient)
-        step *= min(1.0, 5 / max(np.abs(step).max(), 1e-300))  # no leap out of the range of the curve
-        return pd.DataFrame([(*parts[ks].iloc[0], beta + step, bool(np.abs(step).max() < 1e-9))], columns=[*ks, "beta", "still"])
+        gradient = np.sum(np.stack(parts["gradient"].to_numpy()), axis=0)
+        hessian = np.sum(np.stack(parts["hessian"].to_numpy()), axis=0).reshape(d + 1, d + 1)
+        beta, still = moved_by(gradient, hessian, np.asarray(parts["beta"].iloc[0]))
+        return pd.DataFrame([(*parts[ks].iloc[0], beta, still)], columns=[*ks, "beta", "still"])
 
     zero = F.array_repeat(F.lit(0.0), d + 1)
-    open_, settled, i = written(both.select(*ks, zero.alias("beta")), folder), [], 0
+    fits = written(packed.filter("blocks = 1").drop("blocks").mapInPandas(fitted, f"{kinds}, beta array<double>, rounds int, status string"), folder)
+    open_, settled, i = written(both.filter("blocks > 1").select(*ks, zero.alias("beta")), folder), [], 0
     while i < rounds and not open_.isEmpty():
         i += 1
         sums = packed.join(open_, ks).select(*ks, "y", "x", "beta").mapInPandas(equations, f"{kinds}, gradient array<double>, hessian array<double>")
@@ -185,8 +206,7 @@ def keyed_logit(rows: DataFrame, features: Sequence[str], keys: Sequence[str] =
         forget(open_)
         settled.append(moved.filter("still").select(*ks, "beta", F.lit(i).alias("rounds"), F.lit("trained").alias("status")))
         open_ = written(moved.filter("NOT still").drop("still"), folder)
-    fits = open_.select(*ks, "beta", F.lit(i).alias("rounds"), F.lit("unsettled").alias("status"))
-    for part in settled:
+    for part in [open_.select(*ks, "beta", F.lit(i).alias("rounds"), F.lit("unsettled").alias("status")), *settled]:
         fits = fits.unionByName(part)
     out = whole.drop("blocks").join(fits, ks, "left")
     return out.select(*ks, F.coalesce("status", F.lit("skipped")).alias("status"), "n", "positives", F.col("beta").alias("coefficients"), "mean", "sd", "rounds")

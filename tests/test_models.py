@@ -196,3 +196,19 @@ def test_head_documents_hold_delays(spark):
 def test_metrics_are_written_for_vehicles_and_fleet(spark):
     got = {(r.hashvin, r.metric): r.value for r in registry.QUERIES["write_metrics"](spark, SMALL).collect()}
     assert ("(all)", "top1") in got and ("(all)", "accuracy@0.5") in got and {m for v, m in got if v != "(all)"} >= {"top1", "balanced", "n"}
+
+
+def test_keys_of_one_block_are_fitted_where_they_are(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 2))
+    rows = [("abc"[i % 3], i, float(a), float(b), float(a + b + rng.normal() > 0)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "hashvin string, row_id int, f double, g double, label double")
+    monkeypatch.setattr(md, "written", lambda df, folder, keep=md.written: wrote.append(df.columns) or keep(df, folder))
+    found = {}
+    for block in (4000, 11):
+        wrote = []
+        found[block] = {r.hashvin: r for r in md.keyed_logit(df, ["f", "g"], block_rows=block).collect()}
+        assert (len(wrote) <= 4) == (block == 4000)  # no table per round
+    for v in "abc":
+        one, other = found[4000][v], found[11][v]
+        assert one.coefficients == pytest.approx(other.coefficients, abs=1e-9) and (one.status, one.rounds, one.n) == (other.status, other.rounds, other.n)
