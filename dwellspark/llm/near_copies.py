@@ -1,7 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Words and shingles are those of ``simhash``, with ``WIDTH`` words.  Texts with equal sets
-are one node.  Candidates share a band of ``ROWS`` of the min-hashes and no more differing
+are one node.  Candidates come from SimHash first: nodes whose fingerprints (``simhash``, of the set)
+``simhash.links`` finds by pigeonring chains, each fingerprint by its least node.  At 0.8 most
+fingerprints are too far apart for that, so others share a band of ``ROWS`` of the min-hashes and no more differing
 sketch bits than ``APART``; every candidate is verified on the sets themselves before it is
 linked.  A pair at 0.8 shares one of ``BANDS`` bands with probability 0.99995, a closer one
 with more; the sketch loses about one pair in 100,000 at 0.8.
@@ -52,7 +54,7 @@ MAP_BITS = 1 << 24
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (2, 128), dtype=np.uint64)
 _FACTORS, _MASKS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-COLUMNS = {"node": T.LongType(), "n": T.IntegerType(), "s0": T.LongType(), "s1": T.LongType(), "bands": T.ArrayType(T.LongType())}
+COLUMNS = {"node": T.LongType(), "n": T.IntegerType(), "s0": T.LongType(), "s1": T.LongType(), "simhash": T.LongType(), "bands": T.ArrayType(T.LongType())}
 
 
 def shingle_sets(texts: pa.Array, width: int, hashes: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -90,6 +92,7 @@ def measured(texts: pa.Array, width: int = WIDTH) -> dict[str, pa.Array]:
         "n": pa.array(sizes, pa.int32()),
         "s0": pa.array(bits[:64].sum(axis=0, dtype=np.uint64).view(np.int64)),
         "s1": pa.array(bits[64:].sum(axis=0, dtype=np.uint64).view(np.int64)),
+        "simhash": pa.array(np.array([simhash.majority(x) for x in sets], np.uint64).view(np.int64)),
         "bands": _lists(np.full(len(sets), BANDS), np.ascontiguousarray(keys.T).ravel()),
     }
 
@@ -179,10 +182,19 @@ def _told_apart(many: DataFrame, shingles: DataFrame, crowd: int) -> list[DataFr
     return out
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Viable pairs of nodes (NODE, simhash) of equal or linked fingerprints, those by the least node of each."""
+    least = nodes.groupBy("simhash").agg(F.min(F.struct(*NODE)).alias("o"))
+    equal = nodes.join(least, "simhash").select(F.struct(*NODE).alias("a"), F.col("o").alias("b"))
+    a, b = (least.select(F.col("simhash").alias(x), F.col("o").alias(f"{x}_o")) for x in "ab")
+    near = simhash.links(nodes).join(a, "a").join(b, "b").select(F.col("a_o").alias("a"), F.col("b_o").alias("b"))
+    return _viable(equal.union(near).select(*[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in NODE]))
+
+
 def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], crowd: int = CROWD) -> DataFrame:
-    """(a, b): verified links between ``nodes`` (NODE, bands).
+    """(a, b): verified links between ``nodes`` (NODE, simhash, bands).
 
-    ``sets`` gives (node, shingles) for some nodes: those that share a band with another.
+    ``sets`` gives (node, shingles) for some nodes: those that share a band or a link of fingerprints with another.
     """
     rows = nodes.filter("n > 0").select(*NODE, F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("met")).filter("met > 1")
@@ -191,8 +203,8 @@ def links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], crowd: int =
     me = F.struct(*NODE)
     middle = met.join(times, "node").groupBy("key").agg(F.max_by(me, F.struct("times", "node")).alias("o"), F.min(me).alias("least"))
     centres = met.join(middle, "key").select(*_side("a"), F.explode(F.array("o", "least")).alias("o"))
-    star, star_path = settle(_viable(centres.select(*[f"a_{c}" for c in NODE], *[F.col(f"o.{c}").alias(f"b_{c}") for c in NODE])), "near-star")
-    wanted, wanted_path = settle(met.select("node").distinct(), "near-wanted")
+    star, star_path = settle(_viable(centres.select(*[f"a_{c}" for c in NODE], *[F.col(f"o.{c}").alias(f"b_{c}") for c in NODE])).union(_by_fingerprint(nodes.filter("n > 0"))).distinct(), "near-star")
+    wanted, wanted_path = settle(met.select("node").union(star.select(F.explode(F.array("a", "b")))).distinct(), "near-wanted")
     shingles, shingles_path = settle(sets(wanted), "near-sets")
     found, _ = settle(verified(star, shingles), "near-found")
     of, _ = settle(connected_components(found), "near-parts")
@@ -211,7 +223,7 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cro
     """(doc_id, component_id) per row of ``docs``."""
     made = add_columns(docs.select(doc_id, text), COLUMNS, [doc_id], lambda b: measured(b[text]), lambda b: pretokens.slices(b, text, SLICE_BYTES))
     prints, _ = settle(made, "near-prints")
-    nodes, _ = settle(prints.select(*NODE, "bands").dropDuplicates(["node"]), "near-nodes")
+    nodes, _ = settle(prints.select(*NODE, "simhash", "bands").dropDuplicates(["node"]), "near-nodes")
     of = connected_components(links(nodes, lambda pairs: sets_of(docs, pairs, text), crowd))
     least = prints.groupBy("node").agg(F.min(doc_id).alias("least")).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least, _ = settle(least, "near-groups")

@@ -66,19 +66,26 @@ def shingle_hashes(text: np.ndarray, width: int) -> np.ndarray:
     return np.fromiter((digest(raw[a:b], 42) for a, b in zip(begins, ends)), np.uint64, n)
 
 
+_POWERS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.uint64:
+    """The bits that over half of some hashes have."""
+    totals = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        totals += bits.sum(axis=0, dtype=np.int64)
+    return _POWERS[totals * 2 > len(hashes)].sum(dtype=np.uint64)
+
+
 def fingerprints(texts: pa.Array, width: int) -> np.ndarray:
     """Fingerprints (as signed longs) of an array of texts."""
     offsets, data = pretokens.utf8(texts)
     out = np.zeros(len(offsets) - 1, np.uint64)
-    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
         hashes = shingle_hashes(data[a:b], width)
         if len(hashes):
-            totals = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), 1 << 16):
-                bits = np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                totals += bits.sum(axis=0, dtype=np.int64)
-            out[i] = powers[totals * 2 > len(hashes)].sum(dtype=np.uint64)
+            out[i] = majority(hashes)
     return out.view(np.int64)
 
 

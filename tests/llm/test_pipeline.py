@@ -128,3 +128,16 @@ def test_near_copies_equal_brute_force(spark, crowd):
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs, crowd=crowd).collect()} == want
     if crowd == near_copies.CROWD:
         assert sorted(r.doc_id for r in corpus_pipeline.deduplicate(spark, docs, SMALL).collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_come_from_fingerprints_first(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 50_000, 20_000)]
+    texts = {1: " ".join(base), 2: edited(base, 1, rng), 3: " ".join(f"x{x}" for x in rng.integers(0, 50_000, 300)), 4: ""}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    made = near_copies.add_columns(docs, near_copies.COLUMNS, ["doc_id"], lambda b: near_copies.measured(b["text"]), lambda b: iter([b])).persist()
+    of = {r.doc_id: r for r in made.collect()}
+    assert bin((of[1].simhash ^ of[2].simhash) % 2**64).count("1") <= 2
+    alone = made.withColumn("bands", F.array("node"))  # no band is shared
+    found = near_copies.links(alone, lambda nodes: near_copies.sets_of(docs, nodes)).collect()
+    assert [{r.a, r.b} for r in found] == [{of[1].node, of[2].node}]
