@@ -29,9 +29,23 @@ def hour_bins(pieces: DataFrame, size: int = 1) -> DataFrame:
     return out.filter("bs < be").withColumn("minutes", ft.minutes_between("bs", "be")).drop("bs", "be")
 
 
-def place_minutes(stays: DataFrame, size: int = 1) -> DataFrame:
+#: Stays of a partition of days, some; each makes a row per hour that it touches.
+PART_STAYS = 10_000
+
+
+def parts_of(stays: int) -> int:
+    """Partitions for so many stays, so that a task's share does not grow with the table."""
+    return max(1, -(-stays // PART_STAYS))
+
+
+def dealt_days(stays: DataFrame, parts: int | None = None) -> DataFrame:
+    """``split_by_day06`` with whole days in ``parts`` partitions (None: the session's), before pieces become hours; what is grouped by day next needs no shuffle."""
+    return split_by_day06(stays).repartition(*([parts] if parts else []), *DAY)
+
+
+def place_minutes(stays: DataFrame, size: int = 1, parts: int | None = None) -> DataFrame:
     """(hashvin, date06, bin, session_cluster, minutes)."""
-    return hour_bins(split_by_day06(stays), size).groupBy(*DAY, "bin", "session_cluster").agg(F.sum("minutes").alias("minutes"))
+    return hour_bins(dealt_days(stays, parts), size).groupBy(*DAY, "bin", "session_cluster").agg(F.sum("minutes").alias("minutes"))
 
 
 def top_places(stays: DataFrame, k: int = 20) -> DataFrame:
@@ -68,13 +82,13 @@ def wide_vectors(folded: DataFrame, places: list[str], size: int = 1) -> DataFra
     return keyed.groupBy(*DAY).pivot("name", names).agg(F.sum("minutes")).na.fill(0.0)
 
 
-def top_per_bin(stays: DataFrame, k: int = 3, size: int = 1) -> DataFrame:
+def top_per_bin(stays: DataFrame, k: int = 3, size: int = 1, parts: int | None = None) -> DataFrame:
     """(hashvin, date06, bin, rank, place, minutes) for all bins and ranks of days with stays.
 
     Ties keep the place whose stay began first; missing ranks are ('', 0).
     """
     # one shuffle by day serves sums, ranks and the filling of what a day lacks
-    cut = hour_bins(split_by_day06(stays), size).repartition(*DAY)
+    cut = hour_bins(dealt_days(stays, parts), size)
     sums = cut.groupBy(*DAY, "bin", "session_cluster").agg(F.sum("minutes").alias("minutes"), F.min("s").alias("first"))
     w = W.partitionBy(*DAY, "bin").orderBy(F.desc("minutes"), "first", "session_cluster")
     best = sums.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

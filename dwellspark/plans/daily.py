@@ -30,9 +30,14 @@ topmoves AS (SELECT from_place, to_place, count(*) AS n FROM moves GROUP BY ALL
 K_PLACES = 6
 
 
+def day_parts(spark, d):
+    """Partitions of days, by the events' count, which Parquet's footers hold."""
+    return dy.parts_of(fleet.table(spark, d, "events").count())
+
+
 def folded(spark, d):
     stays = sessions(spark, d)
-    return dy.folded_minutes(dy.place_minutes(stays), dy.top_places(stays, K_PLACES))
+    return dy.folded_minutes(dy.place_minutes(stays, parts=day_parts(spark, d)), dy.top_places(stays, K_PLACES))
 
 
 @family.query(f"WITH {PLACE_MINUTES} SELECT hashvin, date06, {BIN_LABEL.format('bin')} AS hour_bin, session_cluster, round(minutes + 2e-9, 6) AS minutes FROM pm")
@@ -85,7 +90,7 @@ topk AS (SELECT hashvin, date06, f.bin, f.rank, coalesce(session_cluster, '') AS
 @family.query(f"WITH {TOPK} SELECT hashvin, date06, bin, rank, place, round(minutes + 2e-9, 6) AS minutes FROM topk")
 def topk_vectors(spark, d):
     # the first start among pieces of one place decides ties, as in the SQL
-    return dy.top_per_bin(sessions(spark, d), 3).select("hashvin", "date06", "bin", "rank", "place", m6("minutes"))
+    return dy.top_per_bin(sessions(spark, d), 3, parts=day_parts(spark, d)).select("hashvin", "date06", "bin", "rank", "place", m6("minutes"))
 
 
 @family.query(
