@@ -649,9 +649,17 @@ def pattern_sizes(labels: DataFrame) -> DataFrame:
     return n.withColumn("share", F.col("days") / F.sum("days").over(W.partitionBy("key")))
 
 
-def nearest_days(days: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
-    """(key, label, rank, day): the days nearest to their pattern's mean."""
-    rows = days.join(labels.filter("label <> -1"), ["key", "day"])
-    centre = mean_vectors(rows, "key", "label").withColumnRenamed("vector", "centre")
-    d2 = rows.join(centre, ["key", "label"]).withColumn("d2", F.round(squared(F.col("vector"), F.col("centre")), 9))
+def nearest_days(long: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
+    """(key, label, rank, day): the days of long rows (key, day, feature, value) nearest to their pattern's mean.
+
+    A day that lacks a feature counts as 0: its distance is that of the mean from 0, with the features that the
+    day has put right, so no row is made for the others.
+    """
+    filled = long.withColumn("value", F.coalesce("value", F.lit(0.0)))
+    centre = profiles(filled, labels).select("key", "label", "feature", "mean")
+    base = centre.groupBy("key", "label").agg(F.sum(F.col("mean") * F.col("mean")).alias("base"))
+    x, c = F.col("value"), F.col("mean")
+    held = filled.join(labels.filter("label <> -1"), ["key", "day"]).join(centre, ["key", "label", "feature"])
+    more = held.groupBy("key", "label", "day").agg(F.sum((x - c) * (x - c) - c * c).alias("more"))
+    d2 = more.join(base, ["key", "label"]).withColumn("d2", F.round(F.col("base") + F.col("more"), 9))
     return d2.withColumn("rank", F.row_number().over(W.partitionBy("key", "label").orderBy("d2", "day"))).filter(F.col("rank") <= n).select("key", "label", "rank", "day")

@@ -53,6 +53,11 @@ def day_features(spark, d):
     return long_days(spark, d).unionByName(x.select(F.col("hashvin").alias("key"), F.col("date06").alias("day"), "feature", "value"))
 
 
+def once(long):
+    """The long rows written once, for steps that read them several times."""
+    return pt.written(long, pt.work_folder(long))
+
+
 def given_labels(long):
     label = ((ft.weekday("day") + 1 + F.substring("key", 4, 10).cast("int")) % 4).cast("int") - 1
     return long.select("key", "day").distinct().withColumn("label", label)
@@ -165,8 +170,8 @@ SELECT key, label, CAST(rank AS INTEGER) AS rank, day FROM (SELECT *, row_number
 FROM lb b JOIN fs f ON f.key = b.key LEFT JOIN lg l ON l.key = b.key AND l.day = b.day AND l.feature = f.feature WHERE b.label <> -1){NEAREST}""")
 def nearest_days(spark, d):
     """The three days nearest to the mean of their pattern."""
-    x = long_days(spark, d)
-    return pt.nearest_days(pt.dense(x), given_labels(x))
+    x = once(long_days(spark, d))
+    return pt.nearest_days(x, given_labels(x))
 
 
 PROFILE = LONG + LABELS + """, ds AS (SELECT key, label, count(*) AS days FROM lb WHERE label <> -1
