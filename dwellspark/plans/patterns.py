@@ -78,7 +78,7 @@ def day_vectors(spark, d):
 @family.query(f"WITH {FEATURES}{SCALED} SELECT key, day, feature, round(z, 5) + 0.0 AS z, round(z_absent, 5) + 0.0 AS z_absent FROM dn_sc WHERE held")
 def standardize_days(spark, d):
     r5 = lambda c: (F.round(c, 5) + 0.0).alias(c)
-    return pt.standardize(day_features(spark, d)).select("key", "day", "feature", r5("z"), r5("z_absent"))
+    return pt.standardize(once(day_features(spark, d))).select("key", "day", "feature", r5("z"), r5("z_absent"))
 
 
 @family.query()
@@ -197,12 +197,12 @@ SELECT fr.key, fr.label, CAST(fr.bin AS INTEGER) AS bin, fr.place, coalesce(roun
   AND pf.label = fr.label AND pf.feature = fr.bin || '__' || fr.place"""
 )
 def pattern_heatmap(spark, d):
-    x = long_days(spark, d)
-    p = pt.profiles(x, given_labels(x))
+    x = once(long_days(spark, d))
+    p = pt.profiles(x, given_labels(x)).groupBy("key", "label").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.round("mean", 6)))).alias("means"))
     places = dy.top_places(fleet.sessions(spark, d), 6).select(F.col("session_cluster").alias("place")).union(spark.createDataFrame([("OTHER",)], "place string"))
-    frame = p.select("key", "label").distinct().crossJoin(F.broadcast(places)).select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("bin"))
-    frame = frame.withColumn("feature", F.concat(F.col("bin").cast("string"), F.lit("__"), F.col("place")))
-    return frame.join(p, ["key", "label", "feature"], "left").select("key", "label", "bin", "place", F.coalesce(F.round("mean", 6), F.lit(0.0)).alias("mean"))
+    frame = p.crossJoin(F.broadcast(places)).select("*", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("bin"))
+    mean = F.col("means")[F.concat(F.col("bin").cast("string"), F.lit("__"), F.col("place"))]
+    return frame.select("key", "label", "bin", "place", F.coalesce(mean, F.lit(0.0)).alias("mean"))
 
 
 WEEKDAYS = LONG + LABELS + """, wc AS (SELECT key, label, CAST(isodow(day) - 1 AS INTEGER) AS dow, count(*) AS n FROM lb GROUP BY ALL),
