@@ -466,15 +466,50 @@ def density_links(days: DataFrame, block_days: int = BLOCK_DAYS) -> DataFrame:
     return block_pairs(days, block_days).applyInPandas(joined, f"key {key_type}, a {day_type}, b {day_type}")
 
 
+def groups_of_block(vectors: np.ndarray, day: np.ndarray, share: float, neighbours: int, least: int) -> np.ndarray:
+    """The labels of ``density_groups`` of one key's days, all in one block and in order."""
+    n = len(day)
+    if n <= neighbours:
+        return np.full(n, -1, day.dtype)
+    far = np.concatenate([part for _, part in distances(vectors, vectors)])
+    np.fill_diagonal(far, np.inf)
+    core = np.partition(far, neighbours - 1, axis=1)[:, neighbours - 1]
+    eps = np.quantile(core, share) + 1e-9
+    linked = (far <= eps) & (core[:, None] <= eps) & (core <= eps)
+    label = np.arange(n)
+    while True:
+        before = label
+        label = np.minimum(label, np.where(linked, label, n).min(axis=1))
+        while (label[label] < label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    return np.where(np.bincount(label, minlength=n)[label] >= least, day[label], -1)
+
+
 def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, least: int = 5, rounds: int = 1000, block_days: int = BLOCK_DAYS) -> DataFrame:
     """(key, day, label): groups of days linked at mutual reachability up to the key's cut-off, -1 for small ones.
 
     The core distance of a day is that to its third-nearest other day; the cut-off is
-    a quantile of the core distances.  Labels are the least day of the group.  Pairs of days are met in
+    a quantile of the core distances.  Labels are the least day of the group.  A key of one block is grouped where
+    the block is.  Pairs of days of others are met in
     blocks, twice: for the core distances, then for the links.  Raises if ``rounds`` don't settle the labels.
     """
     folder = work_folder(days)
     days = written(days.select("key", "day", "vector"), folder)
+    large = written(days.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_days).select("key"), folder)
+    some = large.isEmpty()
+    key_type, day_type = (days.schema[c].dataType.simpleString() for c in ("key", "day"))
+
+    def work(here: pd.DataFrame) -> pd.DataFrame:
+        here = here.sort_values("day", kind="stable")
+        label = groups_of_block(np.stack(here["vector"].to_numpy()), here["day"].to_numpy(), share, neighbours, least)
+        return pd.DataFrame({"key": here["key"], "day": here["day"], "label": label})
+
+    whole = (days if some else days.join(large, "key", "left_anti")).groupBy("key").applyInPandas(work, f"key {key_type}, day {day_type}, label {day_type}")
+    if some:
+        return whole
+    days = days.join(large, "key")
     core = written(core_distances(days, neighbours, block_days), folder)
     eps = core.groupBy("key").agg(F.percentile("core", share).alias("eps"))
     links = density_links(days.join(core, ["key", "day"]).join(eps, "key").filter("core <= eps + 1e-9"), block_days)
@@ -493,7 +528,7 @@ def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, lea
     else:
         raise RuntimeError(f"the groups need more than {rounds} rounds")
     size = F.count(F.lit(1)).over(W.partitionBy("key", "label"))
-    return labels.withColumn("n", size).select("key", "day", F.when(F.col("n") >= least, F.col("label")).otherwise(F.lit(-1)).alias("label"))
+    return whole.unionByName(labels.withColumn("n", size).select("key", "day", F.when(F.col("n") >= least, F.col("label")).otherwise(F.lit(-1)).alias("label")))
 
 
 def label_distances(rows: DataFrame, ks: list[str], block_days: int = BLOCK_DAYS) -> DataFrame:

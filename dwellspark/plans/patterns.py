@@ -72,7 +72,7 @@ def embedded(spark, d):
 def day_vectors(spark, d):
     """(key, day, vector): standardised shares of the day by hour bin and place, and moves; days as numbers."""
     long = day_features(spark, d).select("key", F.unix_date(F.to_date("day")).alias("day"), "feature", "value")
-    return pt.standard_vectors(long)
+    return pt.standard_vectors(once(long))
 
 
 @family.query(f"WITH {FEATURES}{SCALED} SELECT key, day, feature, round(z, 5) + 0.0 AS z, round(z_absent, 5) + 0.0 AS z_absent FROM dn_sc WHERE held")
