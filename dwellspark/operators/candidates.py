@@ -140,18 +140,31 @@ def candidates(rows: DataFrame, intervals: DataFrame, nearest: DataFrame, includ
 
 
 def place_visits(rows: DataFrame, pairs: DataFrame, days: int = 90, alpha: float = 1.0, never: float = NEVER_HOURS, split: str = "split") -> DataFrame:
-    """``pairs`` (session_uid, hashvin, place) with freq (+ alpha) within ``days`` before the charge and hours since the last registered visit."""
-    kept = rows.filter((F.col(split) == "train") & F.col("inactive_start_time").isNotNull())
-    seen = kept.select("hashvin", F.col(LABEL).alias("place"), F.col("session_order").alias("e_order"), F.col("charge_start_time").alias("began"), F.col("inactive_start_time").alias("event_time"))
-    me = rows.select("session_uid", F.col("session_order").alias("order"), F.col("charge_start_time").alias("at"))
-    asks = pairs.select("session_uid", "hashvin", "place").join(me, "session_uid")
-    near = in_days(asks, seen, ["hashvin", "place"], days).filter(F.col("event_time") >= F.expr(f"at - INTERVAL '{days}' DAY"))
-    near = near.groupBy("session_uid", "place").agg(F.count(F.lit(1)).alias("n"))
-    last = last_visit(asks, seen.drop("began"), ["hashvin", "place"], F.last("event_time", ignorenulls=True))
-    last = last.select("session_uid", "place", F.greatest(F.lit(0.0), ft.hours_between("last", "at")).alias("h"), F.col("last").isNotNull().alias("__seen"))
-    out = pairs.join(near, ["session_uid", "place"], "left").join(last, ["session_uid", "place"], "left")
-    recency = F.when(F.col("__seen"), F.col("h")).otherwise(never)
-    return out.withColumns({"freq": F.coalesce("n", F.lit(0)) + F.lit(alpha), "recency_hours": recency}).drop("n", "h", "__seen")
+    """``pairs`` (session_uid, hashvin, place) with freq (+ alpha) within ``days`` before the charge and hours since the last registered visit.
+
+    Of a place's earlier stays, those before the ``days`` are taken off: two running counts over charges and stays
+    by vehicle and place, so no charge meets its vehicle's stays one by one.
+    """
+    span = F.expr(f"INTERVAL '{days}' DAY")
+    absent = [c for c in ("session_order", "charge_start_time") if c not in pairs.columns]
+    asks = pairs.join(rows.select("session_uid", *absent), "session_uid") if absent else pairs
+    asks = asks.withColumns({"__order": F.col("session_order"), "__at": F.col("charge_start_time"), "__cut": F.col("charge_start_time") - span, "__event": F.lit(None).cast("timestamp_ntz"), "__is": F.lit(0)})
+    # a stay counts from its charge on; one that lies ``days`` before some charge up to its own can't be told by the two counts below
+    so_far = F.max("charge_start_time").over(W.partitionBy("hashvin").orderBy("session_order").rowsBetween(W.unboundedPreceding, 0))
+    kept = rows.withColumn("__odd", F.col("inactive_start_time") < so_far - span).filter((F.col(split) == "train") & F.col("inactive_start_time").isNotNull())
+    seen = kept.select("hashvin", F.col(LABEL).alias("place"), F.col("session_order").alias("__order"), F.col("inactive_start_time").alias("__event"), F.lit(1).alias("__is"), "__odd")
+    odd, key = seen.filter("__odd"), W.partitionBy("hashvin", "place")
+    both = asks.unionByName(seen.drop("__odd").withColumn("__cut", F.col("__event")), allowMissingColumns=True)
+    before, older = (key.orderBy(by, "__is").rowsBetween(W.unboundedPreceding, 0) for by in ("__order", "__cut"))
+    both = both.withColumns({"__last": F.last("__event", ignorenulls=True).over(before), "__n": F.count("__event").over(before)}).withColumn("__n", F.col("__n") - F.count("__event").over(older))
+    out = both.filter("__is = 0")
+    if not odd.isEmpty():
+        late = odd.select("hashvin", "place", F.col("__order").alias("__o"), F.col("__event").alias("__e"))
+        late = asks.join(late, ["hashvin", "place"]).filter("__o >= __order AND __e < __cut").groupBy("session_uid", "place").agg(F.count(F.lit(1)).alias("__late"))
+        out = out.join(late, ["session_uid", "place"], "left").withColumn("__n", F.col("__n") + F.coalesce("__late", F.lit(0)))
+    n = F.when(F.col("__at").isNotNull(), F.col("__n")).otherwise(0)
+    recency = F.when(F.col("__last").isNotNull(), F.greatest(F.lit(0.0), ft.hours_between("__last", "__at"))).otherwise(never)
+    return out.select(*pairs.columns, (n + F.lit(alpha)).alias("freq"), recency.alias("recency_hours"))
 
 
 def daily_bins(rows: DataFrame, stays: DataFrame, mode: str = "calendar", size: int = 6) -> DataFrame:

@@ -138,64 +138,78 @@ def resolve_delay(pairs: DataFrame, by_pair: DataFrame, by_place: DataFrame) ->
     return out.withColumn("delay_h", F.coalesce("pair_h", "place_h", F.lit(0.0))).drop("pair_h", "place_h")
 
 
-def _level(table: DataFrame, level: str, keys: list[str], name: str) -> DataFrame:
-    return table.filter(F.col("level") == level).select(*keys, "target", F.col("p").alias(name))
+def _told(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, told): the training charges of the keys, in all (``total``) and by target (``counts``)."""
+    per = counts.groupBy(*keys, "target").agg(F.sum("n").alias("n"))
+    return per.groupBy(*keys).agg(F.struct(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("target", "n"))).alias("counts")).alias("told"))
 
 
-def lookup_ranking(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """``pairs`` (hashvin, prev, dow, bin, place) with transition_p.
+def _levels(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, ``name``, ``name``_slots): what is told of the keys, and of their slots by slot."""
+    slots = _told(counts.filter("slot IS NOT NULL"), [*keys, "slot"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "told"))).alias(f"{name}_slots"))
+    return _told(counts, keys).withColumnRenamed("told", name).join(slots, keys, "left")
 
-    The previous place's slot, or its default if it never had that slot; if the target is
-    missing there: the slot over all places, then all, then 0.
+
+def _slot(dow: Column, b: Column) -> Column:
+    return dow * SLOTS + b
+
+
+def with_transitions(charges: DataFrame, rows: DataFrame) -> DataFrame:
+    """``charges`` (hashvin, prev, dow, bin) with ``told``, the training charges of ``rows`` that transition shares come from, and ``n_targets``, the vehicle's places and OTHER.
+
+    Those after the same previous place in the same slot, else after that place; of a place never seen, those of
+    the slot, else all.  Counts of targets are kept as they are, so no share of an absent target is made.
     """
-    slot_seen = table.filter("level = 'prev_slot'").select("hashvin", "prev", "dow", "bin").distinct().withColumn("has_slot", F.lit(True))
-    t = "target"
-    out = pairs.withColumn(t, F.col("place")).join(slot_seen, ["hashvin", "prev", "dow", "bin"], "left")
-    for level, keys, name in (("prev_slot", ["hashvin", "prev", "dow", "bin"], "p1"), ("prev", ["hashvin", "prev"], "p2"), ("slot", ["hashvin", "dow", "bin"], "p3"), ("all", ["hashvin"], "p4")):
-        out = out.join(_level(table, level, keys, name), [*keys, t], "left")
-    p = F.coalesce(F.when(F.col("has_slot"), F.col("p1")).otherwise(F.col("p2")), F.col("p3"), F.col("p4"), F.lit(0.0))
-    return out.withColumn("transition_p", p).drop("p1", "p2", "p3", "p4", "has_slot", t)
+    dow, b = ft.slot("charge_start_time", SLOT_HOURS)
+    t = train(rows).select("hashvin", F.coalesce("prev_cluster", F.lit("NONE")).alias("prev"), _slot(dow, b).alias("slot"), F.col(LABEL).alias("target"))
+    counts = t.groupBy("hashvin", "prev", "slot", "target").agg(F.count(F.lit(1)).alias("n"))
+    out = charges.withColumn("slot", _slot(F.col("dow"), F.col("bin")))
+    out = out.join(_levels(counts, ["hashvin"], "all"), "hashvin", "left").join(_levels(counts, ["hashvin", "prev"], "after"), ["hashvin", "prev"], "left")
+    told = F.coalesce(F.col("after_slots")[F.col("slot")], F.col("after"), F.col("all_slots")[F.col("slot")], F.col("all"))
+    return out.withColumns({"told": told, "n_targets": F.size("all.counts") + 1}).drop("slot", "all", "all_slots", "after", "after_slots")
+
 
+def transition_share(alpha: float = 1.0) -> Column:
+    """Of rows with ``told``, ``n_targets`` and ``place``: the place's smoothed share, that of OTHER for a place without training charges; null for a vehicle without."""
+    return (F.coalesce(F.col("told.counts")[F.col("place")], F.lit(0)) + F.lit(alpha)) / (F.col("told.total") + F.lit(alpha) * F.col("n_targets"))
 
-def lookup_multiclass(pairs: DataFrame, table: DataFrame, k: int) -> DataFrame:
-    """``pairs`` with transition_p from the previous place's table, or the global one if that place was never seen.
 
-    In a table the slot if it occurs, else the default; a missing target takes OTHER's
-    share there, else 1 / k.
+def place_facts(rows: DataFrame, stays: DataFrame, long_stays: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """A row per vehicle and training place with what lookups ask of it, so that they are one join.
+
+    (hashvin, place, known, lat, lon, place_h, origin_h, starts, start_n): its centre, its delay and those by
+    the charge's place, and its long stays by slot and in all.
     """
-    prev_seen = table.filter("level = 'prev'").select("hashvin", "prev").distinct().withColumn("has_prev", F.lit(True))
-    prev_slot = table.filter("level = 'prev_slot'").select("hashvin", "prev", "dow", "bin").distinct().withColumn("has_prev_slot", F.lit(True))
-    any_slot = table.filter("level = 'slot'").select("hashvin", "dow", "bin").distinct().withColumn("has_slot", F.lit(True))
-    out = pairs.join(prev_seen, ["hashvin", "prev"], "left").join(prev_slot, ["hashvin", "prev", "dow", "bin"], "left").join(any_slot, ["hashvin", "dow", "bin"], "left")
-    level = F.when(F.col("has_prev"), F.when(F.col("has_prev_slot"), "prev_slot").otherwise("prev")).otherwise(F.when(F.col("has_slot"), "slot").otherwise("all"))
-    out = out.withColumn("at", level)
-    keys = table.select(F.col("hashvin").alias("t_hashvin"), F.col("level").alias("t_level"), F.col("prev").alias("t_prev"), F.col("dow").alias("t_dow"), F.col("bin").alias("t_bin"), F.col("target").alias("t_target"), "p")
-    here = (F.col("hashvin") == F.col("t_hashvin")) & (F.col("at") == F.col("t_level"))
-    here &= F.when(F.col("at").startswith("prev"), F.col("prev")).eqNullSafe(F.col("t_prev"))
-    for x in ("dow", "bin"):
-        here &= F.when(F.col("at").endswith("slot"), F.col(x)).eqNullSafe(F.col(f"t_{x}"))
-    cols = out.columns
-    own = out.join(keys, here & (F.col("place") == F.col("t_target")), "left").select(*cols, F.col("p").alias("p1"))
-    both = own.join(keys, here & (F.col("t_target") == "OTHER"), "left").select(*cols, "p1", F.col("p").alias("p2"))
-    return both.withColumn("transition_p", F.coalesce("p1", "p2", F.lit(1.0 / k))).drop("p1", "p2", "at", "has_prev", "has_prev_slot", "has_slot")
-
-
-def _arrival_slot(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (charge_start_time, delay_h) with the slot (dow, bin) that the delay leads to."""
-    out = pairs.withColumn("arrive", F.expr("charge_start_time + make_dt_interval(0, 0, 0, cast(round(delay_h * 3600, 6) AS DECIMAL(18,6)))"))
-    dow, b = ft.slot("arrive", SLOT_HOURS)
-    return out.withColumns({"dow": dow, "bin": b}).drop("arrive")
-
-
-def time_compat_ranking(pairs: DataFrame, start_p: DataFrame) -> DataFrame:
-    """``pairs`` with time_compat: p at the slot of arrival, 0 without a table."""
-    out = _arrival_slot(pairs).join(start_p, ["hashvin", "place", "dow", "bin"], "left")
-    return out.withColumn("time_compat", F.coalesce("p", F.lit(0.0))).drop("p", "dow", "bin")
-
-
-def time_compat_multiclass(pairs: DataFrame, start_p: DataFrame) -> DataFrame:
-    """``pairs`` with time_compat: 3/4 of p at the slot of arrival and 1/4 of the slot before on that weekday; flat without a table."""
-    flat = F.lit(1.0 / (7 * SLOTS))
-    before = start_p.select("hashvin", "place", "dow", ((F.col("bin") + 1) % SLOTS).alias("bin"), F.col("p").alias("p_before"))
-    out = _arrival_slot(pairs).join(start_p, ["hashvin", "place", "dow", "bin"], "left").join(before, ["hashvin", "place", "dow", "bin"], "left")
-    return out.withColumn("time_compat", 0.75 * F.coalesce("p", flat) + 0.25 * F.coalesce("p_before", flat)).drop("p", "p_before", "dow", "bin")
+    keys = ["hashvin", "place"]
+    dow, b = ft.slot("start_time", SLOT_HOURS)
+    origins = pair_delays(rows).filter("origin IS NOT NULL").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("origin", "delay_h"))).alias("origin_h"))
+    seen = long_stays.select("hashvin", F.col("session_cluster").alias("place"), _slot(dow, b).alias("slot")).filter("slot IS NOT NULL")
+    seen = seen.groupBy(*keys, "slot").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("starts"), F.sum("n").alias("start_n"))
+    out = centroids(rows, stays, cutoffs).withColumn("known", F.lit(True)).join(place_delays(rows).withColumnRenamed("delay_h", "place_h"), keys, "left")
+    return out.join(origins, keys, "left").join(seen, keys, "left")
+
+
+def _start_share(slot: Column, alpha: float) -> Column:
+    """A training place's smoothed share of its long stays in the slot; null for other places."""
+    n = F.coalesce(F.col("starts")[slot], F.lit(0)) + F.lit(alpha)
+    return F.when(F.col("known") & slot.isNotNull(), n / (F.coalesce("start_n", F.lit(0)) + F.lit(alpha * 7 * SLOTS)))
+
+
+def _arrived(pairs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """``pairs`` (origin, charge_start_time, ``place_facts``) with ``arrive``, the time that the delay leads to, and its slot (dow, bin)."""
+    delay = F.coalesce(F.col("origin_h")[F.col("origin")], F.col("place_h"), F.lit(0.0))
+    out = pairs.withColumn("arrive", F.col("charge_start_time") + F.make_dt_interval(secs=F.round(delay * 3600, 6).cast("decimal(18,6)")))
+    return out, *ft.slot("arrive", SLOT_HOURS)
+
+
+def time_compat_ranking(pairs: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``pairs`` with time_compat: the place's share of the slot of arrival, 0 without a table."""
+    out, dow, b = _arrived(pairs)
+    return out.withColumn("time_compat", F.coalesce(_start_share(_slot(dow, b), alpha), F.lit(0.0))).drop("arrive")
+
+
+def time_compat_multiclass(pairs: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """``pairs`` with time_compat: 3/4 of the share of the slot of arrival and 1/4 of that of the slot before on that weekday; flat without a table."""
+    flat, (out, dow, b) = F.lit(1.0 / (7 * SLOTS)), _arrived(pairs)
+    before = _start_share(_slot(dow, (b + SLOTS - 1) % SLOTS), alpha)
+    return out.withColumn("time_compat", 0.75 * F.coalesce(_start_share(_slot(dow, b), alpha), flat) + 0.25 * F.coalesce(before, flat)).drop("arrive")

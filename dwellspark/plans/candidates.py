@@ -10,8 +10,8 @@ from ..operators import candidates as cd
 from ..operators import cleaning as cl
 from ..operators import places as pl
 from .base import Family
-from .inputs import EAST, HAV, KINDS, NORTH, ONEHOT, STATIONS, ordered, sessions
-from .places import ARRIVED, BASE, CENTRES, COMPAT, DELAYS, HEAD, HEADED, HOURS, MOVED, NEAR, PAIRS, RANKING, RESOLVED, STARTS, centres, head_pairs, labels, meters_to_centre, pairs, starts
+from .inputs import EAST, HAV, KINDS, NORTH, ONEHOT, STATIONS, ordered, stays
+from .places import ARRIVED, BASE, CENTRES, COMPAT, DELAYS, HEAD, HEADED, HOURS, HEAD_K, MOVED, NEAR, PAIRS, RANKING, RESOLVED, STARTS, centres, facts, head_charges, head_pairs, heads, labels, meters_to_centre
 
 family = Family()
 r = lambda c, n=6: F.round(c, n).alias(c)
@@ -118,9 +118,8 @@ def features(spark, d, include_truth: str = "all"):
     rows = ordered(spark, d)
     dow, b = ft.slot("charge_start_time", 4)
     me = rows.select("session_uid", "hashvin", F.col("charge_cluster").alias("origin"), "charge_start_time", "charging_start_lat", "charging_start_lon", F.coalesce("prev_cluster", F.lit("NONE")).alias("prev"), dow.alias("dow"), b.alias("bin"))
-    c = candidate_table(spark, d, include_truth).join(me, "session_uid").join(centres(spark, d), ["hashvin", "place"], "left")
-    c = pl.lookup_ranking(c, pl.transition_probability(rows)).drop("dow", "bin")
-    c = pl.time_compat_ranking(pl.resolve_delay(c, pl.pair_delays(rows), pl.place_delays(rows)), starts(spark, d))
+    c = candidate_table(spark, d, include_truth).join(pl.with_transitions(me, rows), "session_uid").join(facts(spark, d), ["hashvin", "place"], "left")
+    c = pl.time_compat_ranking(c.withColumn("transition_p", F.when(F.col("known"), pl.transition_share()).otherwise(0.0)))
     meters = geo.haversine_m(F.col("charging_start_lat"), F.col("charging_start_lon"), F.col("lat"), F.col("lon"))
     return c.select(
         "session_uid", "place", "rank", "is_truth", F.bround(meters, 0).alias("cand_distance_m"), (F.col("freq") + 1.0).alias("cand_freq"), F.round(geo.log1p_safe(F.col("freq")), 6).alias("cand_freq_log"),
@@ -147,12 +146,12 @@ db AS (SELECT z.session_uid, z.bin, coalesce(o.place, 'unknown') AS place, coale
 
 @family.query(f"WITH {BASE}{_bins_sql('calendar')} SELECT session_uid, bin, place, round(minutes + 2e-9, 6) AS minutes FROM db")
 def daily_bins(spark, d):
-    return cd.daily_bins(ordered(spark, d), sessions(spark, d)).select("session_uid", "bin", "place", F.round(F.col("minutes") + 2e-9, 6).alias("minutes"))
+    return cd.daily_bins(ordered(spark, d), stays(spark, d)).select("session_uid", "bin", "place", F.round(F.col("minutes") + 2e-9, 6).alias("minutes"))
 
 
 @family.query(f"WITH {BASE}{_bins_sql('rolling')} SELECT session_uid, bin, place, round(minutes + 2e-9, 6) AS minutes FROM db")
 def daily_bins_rolling(spark, d):
-    return cd.daily_bins(ordered(spark, d), sessions(spark, d), "rolling").select("session_uid", "bin", "place", F.round(F.col("minutes") + 2e-9, 6).alias("minutes"))
+    return cd.daily_bins(ordered(spark, d), stays(spark, d), "rolling").select("session_uid", "bin", "place", F.round(F.col("minutes") + 2e-9, 6).alias("minutes"))
 
 
 WIDE = ", wb AS (SELECT session_uid, " + """,
@@ -213,7 +212,7 @@ def scoring_table(spark, d):
 
 def day_bins(rows, spark, d):
     """Places and minutes of the four bins of the charge's day, a column each."""
-    wide = cd.wide_bins(cd.daily_bins(rows, sessions(spark, d)))
+    wide = cd.wide_bins(cd.daily_bins(rows, stays(spark, d)))
     return wide.withColumns({f"daily_bin_{i}_minutes": F.round(F.col(f"daily_bin_{i}_minutes") + 2e-9, 6) for i in range(4)})
 
 
@@ -245,10 +244,9 @@ FROM hp h JOIN split s USING (session_uid) LEFT JOIN centres x ON x.hashvin = h.
 
 def place_features(spark, d):
     rows = ordered(spark, d)
-    p = cd.place_visits(rows, head_pairs(spark, d))
-    p = pl.lookup_multiclass(p, pl.transition_probability(rows), 5).drop("dow", "bin")
-    p = pl.time_compat_multiclass(pl.resolve_delay(p, pl.pair_delays(rows), pl.place_delays(rows)), starts(spark, d))
-    p = p.join(rows.select("session_uid", "charge_lat", "charge_lon"), "session_uid").join(centres(spark, d), ["hashvin", "place"], "left")
+    p = pl.with_transitions(head_charges(spark, d), rows).join(heads(spark, d).select("hashvin", "place", "head_rank"), "hashvin")
+    p = p.withColumn("transition_p", F.coalesce(pl.transition_share(), F.lit(1.0 / HEAD_K))).drop("told", "n_targets", "prev", "dow", "bin")
+    p = pl.time_compat_multiclass(cd.place_visits(rows, p).join(facts(spark, d), ["hashvin", "place"], "left"))
     return p.select("session_uid", "head_rank", "place", F.bround(meters_to_centre(), 0).alias("dist_m"), "freq", r("recency_hours"), r("time_compat"), r("transition_p"))
 
 

@@ -25,9 +25,18 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
     return fleet.sessions(spark, d)
 
 
+_stays: dict[tuple[str, str], DataFrame] = {}
 _ordered: dict[tuple[str, str], DataFrame] = {}
 
 
+def stays(spark: SparkSession, d: str) -> DataFrame:
+    """All sessions, persisted (memory, then disk): the charges and what is told of places are read from one table."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stays:
+        _stays[key] = fleet.sessions(spark, d)
+    return _stays[key].persist()
+
+
 def ordered(spark: SparkSession, d: str) -> DataFrame:
     """Labelled charges in order, with the 70/10/20 (split) and 80/10/10 (split8) splits.
 
@@ -35,8 +44,9 @@ def ordered(spark: SparkSession, d: str) -> DataFrame:
     persisted (memory, then disk) for its session.
     """
     key = (spark.sparkContext.applicationId, d)
+    whole = stays(spark, d)
     if key not in _ordered:
-        out = cl.order_charges(cl.labeled(fleet.charges(fleet.sessions(spark, d))))
+        out = cl.order_charges(cl.labeled(fleet.charges(whole)))
         _ordered[key] = cl.chrono_split(cl.chrono_split(out, 0.7), 0.8, name="split8")
     return _ordered[key].persist()
 
@@ -150,7 +160,7 @@ long_cut AS (SELECT s.* FROM sessions s JOIN cut USING (hashvin) WHERE session_t
 
 @family.query(f"WITH {CHARGES}{LONG_CUT} SELECT session_id, hashvin, session_cluster, start_time, round(duration_minutes + 2e-9, 6) AS duration_minutes FROM long_cut")
 def long_inactive_filter(spark, d):
-    out = cl.long_inactive(sessions(spark, d), cl.train_cutoffs(ordered(spark, d)))
+    out = cl.long_inactive(stays(spark, d), cl.train_cutoffs(ordered(spark, d)))
     return out.select("session_id", "hashvin", "session_cluster", "start_time", F.round(F.col("duration_minutes") + 2e-9, 6).alias("duration_minutes"))
 
 

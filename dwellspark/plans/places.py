@@ -9,7 +9,7 @@ from ..functions import time as ft
 from ..operators import cleaning as cl
 from ..operators import places as pl
 from .base import CHARGES, Family
-from .inputs import HAV, LONG_CUT, ordered, sessions
+from .inputs import HAV, LONG_CUT, ordered, stays
 
 family = Family()
 r = lambda c, n=6: F.round(c, n).alias(c)
@@ -46,12 +46,17 @@ HEAD_K = 5
 
 
 def long_cut(spark, d):
-    return cl.long_inactive(sessions(spark, d), cl.train_cutoffs(ordered(spark, d)))
+    return cl.long_inactive(stays(spark, d), cl.train_cutoffs(ordered(spark, d)))
 
 
 def centres(spark, d):
     rows = ordered(spark, d)
-    return pl.centroids(rows, sessions(spark, d), cl.train_cutoffs(rows))
+    return pl.centroids(rows, stays(spark, d), cl.train_cutoffs(rows))
+
+
+def facts(spark, d):
+    rows = ordered(spark, d)
+    return pl.place_facts(rows, stays(spark, d), long_cut(spark, d), cl.train_cutoffs(rows))
 
 
 def meters_to_centre():
@@ -62,12 +67,15 @@ def starts(spark, d):
     return pl.start_probability(long_cut(spark, d), pl.train_places(ordered(spark, d)))
 
 
+def charges(spark, d, *more):
+    """Every session with its place, the one before and its slot."""
+    dow, b = ft.slot("charge_start_time", 4)
+    return ordered(spark, d).select("session_uid", "hashvin", F.col("charge_cluster").alias("origin"), "charge_start_time", F.coalesce("prev_cluster", F.lit("NONE")).alias("prev"), dow.alias("dow"), b.alias("bin"), *more)
+
+
 def pairs(spark, d):
     """Every session with each of its vehicle's training places, and the charge's slot."""
-    rows = ordered(spark, d)
-    dow, b = ft.slot("charge_start_time", 4)
-    base = rows.select("session_uid", "hashvin", F.col("charge_cluster").alias("origin"), "charge_start_time", F.coalesce("prev_cluster", F.lit("NONE")).alias("prev"), dow.alias("dow"), b.alias("bin"))
-    return base.join(pl.train_places(rows), "hashvin")
+    return charges(spark, d).join(pl.train_places(ordered(spark, d)), "hashvin")
 
 
 PAIRS = f""", prs AS (SELECT session_uid, s.hashvin, charge_cluster AS origin, charge_start_time, coalesce(prev_cluster, 'NONE') AS prev,
@@ -157,7 +165,8 @@ LEFT JOIN tp t4 ON t4.level = 'all' AND t4.hashvin = p.hashvin AND t4.target = p
 
 @family.query(f"WITH {BASE}{MOVED}{PAIRS}{RANKING} SELECT session_uid, place, round(coalesce(a, b, c, 0), 6) AS transition_p FROM lr")
 def transition_lookup_ranking(spark, d):
-    return pl.lookup_ranking(pairs(spark, d), pl.transition_probability(ordered(spark, d))).select("session_uid", "place", r("transition_p"))
+    p = pl.with_transitions(charges(spark, d), ordered(spark, d)).join(pl.train_places(ordered(spark, d)), "hashvin")
+    return p.withColumn("transition_p", pl.transition_share()).select("session_uid", "place", r("transition_p"))
 
 
 #: Sessions with their HEAD places, and the level that the multiclass lookup reads.
@@ -179,17 +188,20 @@ def heads(spark, d):
     return pl.head_places(ordered(spark, d), long_cut(spark, d), HEAD_K)
 
 
+def head_charges(spark, d):
+    """``charges`` with what features of HEAD places ask of a charge."""
+    return charges(spark, d, "session_order", "charge_lat", "charge_lon")
+
+
 def head_pairs(spark, d):
     """Every session with each of its vehicle's HEAD places."""
-    rows = ordered(spark, d)
-    dow, b = ft.slot("charge_start_time", 4)
-    base = rows.select("session_uid", "hashvin", F.col("charge_cluster").alias("origin"), "charge_start_time", F.coalesce("prev_cluster", F.lit("NONE")).alias("prev"), dow.alias("dow"), b.alias("bin"))
-    return base.join(pl.head_places(rows, long_cut(spark, d), HEAD_K).select("hashvin", "place", "head_rank"), "hashvin")
+    return head_charges(spark, d).join(heads(spark, d).select("hashvin", "place", "head_rank"), "hashvin")
 
 
 @family.query(f"WITH {BASE}{MOVED}{HEAD}{HEADED} SELECT session_uid, place, round(transition_p, 6) AS transition_p FROM ml")
 def transition_lookup_multiclass(spark, d):
-    return pl.lookup_multiclass(head_pairs(spark, d), pl.transition_probability(ordered(spark, d)), HEAD_K).select("session_uid", "place", r("transition_p"))
+    p = pl.with_transitions(head_charges(spark, d), ordered(spark, d)).join(heads(spark, d).select("hashvin", "place"), "hashvin")
+    return p.withColumn("transition_p", F.coalesce(pl.transition_share(), F.lit(1.0 / HEAD_K))).select("session_uid", "place", r("transition_p"))
 
 
 ARRIVED = """, ar AS (SELECT r.*, charge_start_time + to_microseconds(CAST(round(delay_h * 3600, 6) * 1000000 AS BIGINT)) AS arrive FROM rs r),
@@ -199,9 +211,8 @@ tc AS (SELECT a.session_uid, a.place, coalesce(s.p, 0) AS time_compat FROM ar a
 
 @family.query(f"WITH {BASE}{DELAYS}{STARTS}{PAIRS}{RESOLVED}{ARRIVED} SELECT session_uid, place, round(time_compat, 6) AS time_compat FROM tc")
 def time_compat_ranking(spark, d):
-    rows = ordered(spark, d)
-    resolved = pl.resolve_delay(pairs(spark, d), pl.pair_delays(rows), pl.place_delays(rows)).drop("dow", "bin")
-    return pl.time_compat_ranking(resolved, starts(spark, d)).select("session_uid", "place", r("time_compat"))
+    p = pairs(spark, d).join(facts(spark, d), ["hashvin", "place"], "left")
+    return pl.time_compat_ranking(p).select("session_uid", "place", r("time_compat"))
 
 
 COMPAT = """, hr AS (SELECT h.*, h.charge_start_time + to_microseconds(CAST(round(coalesce(q.delay_h, b.delay_h, 0) * 3600, 6) * 1000000 AS BIGINT)) AS arrive
@@ -213,9 +224,8 @@ LEFT JOIN starts b ON b.hashvin = h.hashvin AND b.place = h.place AND b.dow = is
 
 @family.query(f"WITH {BASE}{MOVED}{DELAYS}{STARTS}{HEAD}{HEADED}{COMPAT} SELECT session_uid, place, round(time_compat, 6) AS time_compat FROM mc")
 def time_compat_multiclass(spark, d):
-    rows = ordered(spark, d)
-    resolved = pl.resolve_delay(head_pairs(spark, d).drop("dow", "bin"), pl.pair_delays(rows), pl.place_delays(rows))
-    return pl.time_compat_multiclass(resolved, starts(spark, d)).select("session_uid", "place", r("time_compat"))
+    p = head_pairs(spark, d).join(facts(spark, d), ["hashvin", "place"], "left")
+    return pl.time_compat_multiclass(p).select("session_uid", "place", r("time_compat"))
 
 
 @family.query(f"""WITH {BASE}{HEAD} SELECT session_uid, CASE WHEN place IS NULL THEN 'OTHER' ELSE next_long_inactive_cluster END AS y_class FROM split s LEFT

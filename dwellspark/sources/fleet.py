@@ -54,10 +54,13 @@ def read_series(df: DataFrame, value: str, time: str | None = None) -> DataFrame
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per stay, charge or move: an event until the vehicle's next one."""
+    """A row per stay, charge or move: an event until the vehicle's next one.
+
+    Rows are dealt by hashvin, of which a user has one, so that later windows and groups by vehicle shuffle nothing.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.when(F.col("event_type") == "purchase", "charging").when(F.col("event_type") == "signup", "moving").otherwise("inactive")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    order = W.partitionBy("hashvin", "user_id").orderBy("ts", "event_id")
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", k.alias("k"), kind.alias("session_type"))
     place = F.when(F.col("session_type") == "charging", 20 + F.col("k") % 5).when(F.col("session_type") == "moving", 30).otherwise(F.col("k") % 8)
     ev = ev.withColumn("place_no", place.cast("int"))
@@ -74,9 +77,10 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") >= 95, "-1")
         .otherwise(F.concat(F.lit("I_"), (F.col("k") % 8).cast("string")))
     )
+    ev = ev.withColumn("hashvin", F.concat(F.lit("hv_"), F.lpad(F.col("user_id").cast("string"), 5, "0"))).repartition("hashvin")
     nxt = {c: F.lead(c).over(order) for c in ("ts", "lat", "lon", "soc")}
     out = ev.select(
-        F.col("event_id").alias("session_id"), F.concat(F.lit("hv_"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("hashvin"), F.col("ts").alias("start_time"),
+        F.col("event_id").alias("session_id"), "hashvin", F.col("ts").alias("start_time"),
         nxt["ts"].alias("end_time"), "session_type", cluster.alias("session_cluster"), "place_no", "k", F.col("lat").alias("start_lat"), F.col("lon").alias("start_lon"),
         nxt["lat"].alias("end_lat"), nxt["lon"].alias("end_lon"), F.col("soc").alias("start_soc"), nxt["soc"].alias("end_soc"),
     )
@@ -84,11 +88,14 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def charges(stays: DataFrame) -> DataFrame:
-    """A row per charge with the vehicle's next long stay (null label if there is none)."""
-    later = W.partitionBy("hashvin").orderBy("start_time", "session_id").rowsBetween(1, W.unboundedFollowing)
+    """A row per charge with the vehicle's next long stay (null label if there is none).
+
+    The vehicle is passed from its end, since Spark reads a frame that ends with the vehicle anew for every row.
+    """
+    later = W.partitionBy("hashvin").orderBy(F.desc("start_time"), F.desc("session_id")).rowsBetween(W.unboundedPreceding, -1)
     long = (F.col("session_type") == "inactive") & (F.col("duration_minutes") >= LONG_STAY_MINUTES) & (F.col("session_cluster") != "-1")
     fields = F.struct("session_cluster", "start_time", "end_time", "start_lat", "start_lon", "duration_minutes")
-    found = stays.withColumn("n", F.first(F.when(long, fields), ignorenulls=True).over(later)).filter("session_type = 'charging'")
+    found = stays.withColumn("n", F.last(F.when(long, fields), ignorenulls=True).over(later)).filter("session_type = 'charging'")
     return found.select(
         "session_id", "hashvin", F.col("start_time").alias("charge_start_time"), F.col("end_time").alias("charge_end_time"), F.col("session_cluster").alias("charge_cluster"),
         F.col("start_lat").alias("charge_lat"), F.col("start_lon").alias("charge_lon"), F.col("start_lat").alias("charging_start_lat"), F.col("start_lon").alias("charging_start_lon"),
