@@ -219,9 +219,9 @@ def upsert_importance(spark, d):
     old = s.groupBy("hashvin", F.col("y_class").alias("feature")).agg(F.count(F.lit(1)).alias("importance"))
     new = s.select("hashvin").distinct().filter(F.substring("hashvin", 4, 10).cast("int") % 2 == 0).select("hashvin", F.lit("new").alias("feature"), F.lit(1).cast("bigint").alias("importance"))
     path = f"{work_folder(s)}/{uuid.uuid4().hex}"
-    sinks.upsert(old, path)
-    sinks.upsert(new, path)
-    return spark.read.schema("feature string, importance bigint, hashvin string").parquet(path)
+    sinks.upsert(old, path, parts=sinks.PARTS)
+    sinks.upsert(new, path, parts=sinks.PARTS)
+    return spark.read.schema("feature string, importance bigint, hashvin string").parquet(path).select("feature", "importance", "hashvin")
 
 
 PATTERN = f"CASE WHEN session_cluster LIKE 'C%' THEN NULL WHEN (isodow({DATE06.format('start_time')})) % 4 = 0 THEN NULL ELSE 'P' || (isodow({DATE06.format('start_time')}) % 4) END"

@@ -27,11 +27,26 @@ def write_vectors(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("maxRecordsPerFile", file_rows).parquet(path)
 
 
-def upsert(df: DataFrame, path: str, key: str = "hashvin") -> None:
+#: Folders of a registered table of all vehicles.
+PARTS = 64
+
+
+def upsert(df: DataFrame, path: str, key: str = "hashvin", parts: int | None = None) -> None:
     """Puts ``df`` in place of its keys' rows in the table at ``path``, which has a folder per key.
 
-    Folders of other keys are not touched; a second run with the same rows changes nothing.
+    Folders of other keys are not touched; a second run with the same rows changes nothing.  A folder costs the
+    driver some milliseconds, so a table of many keys has ``parts`` folders (column ``part``) by a hash of the key
+    instead: other keys' rows of the parts that ``df`` meets are written anew beside its own.
     """
+    if parts is not None:
+        spark, rows = df.sparkSession, df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            met = rows.select("part", key).distinct()
+            old = spark.read.schema(rows.schema).parquet(path).join(F.broadcast(met.select("part").distinct()), "part", "left_semi")
+            rows = rows.unionByName(old.join(met.select(key), key, "left_anti"))
+        rows.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        return
     df.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 

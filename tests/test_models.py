@@ -212,3 +212,15 @@ def test_keys_of_one_block_are_fitted_where_they_are(spark, monkeypatch):
     for v in "abc":
         one, other = found[4000][v], found[11][v]
         assert one.coefficients == pytest.approx(other.coefficients, abs=1e-9) and (one.status, one.rounds, one.n) == (other.status, other.rounds, other.n)
+
+
+def test_upsert_by_parts_has_few_folders(spark, tmp_path):
+    path = tmp_path / "parts"
+    table = lambda rows: spark.createDataFrame(rows, "hashvin string, importance double")
+    read = lambda: {r.hashvin: r.importance for r in spark.read.parquet(f"file://{path}").collect()}
+    sinks.upsert(table([(f"v{i}", float(i)) for i in range(300)]), f"file://{path}", parts=8)
+    for _ in range(2):
+        sinks.upsert(table([("v7", -1.0), ("new", 5.0)]), f"file://{path}", parts=8)
+        assert read() == {f"v{i}": float(i) for i in range(300)} | {"v7": -1.0, "new": 5.0}
+        assert spark.read.parquet(f"file://{path}").count() == 301
+    assert len([p for p in path.iterdir() if p.name.startswith("part=")]) == 8
