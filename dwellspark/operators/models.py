@@ -13,10 +13,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -67,11 +67,24 @@ def batch_score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return out.withColumns({"proba": F.col("p")[1], "max_proba": F.array_max("p")})
 
 
-def _altered(rows: DataFrame, columns: Sequence[str], new: dict[str, Column], keep: Sequence[str]) -> DataFrame:
-    """A row per row and column of ``columns``, named ``feature``, in which that column has its ``new`` value."""
-    others = [c for c in keep if c not in columns]
-    each = rows.withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
-    return each.select(*others, "feature", *[F.when(F.col("feature") == c, new[c]).otherwise(F.col(c)).alias(c) for c in columns])
+def _parts(model: PipelineModel) -> tuple[PipelineModel, Model, dict[str, int]]:
+    """The stages of ``assembled``, the classifier, and each column's place (from 1) in the vector between them."""
+    *first, last = model.stages
+    return PipelineModel(first), last, {c.rpartition("_")[0]: i + 1 for i, c in enumerate(first[-1].getInputCols())}
+
+
+def _altered(rows: DataFrame, columns: Sequence[str], places: dict[str, int], new: str, keep: Sequence[str], changed: bool = False) -> DataFrame:
+    """A row per row and column of ``columns``, named ``feature``, with ``features``: the vector ``x``, in which that column's component comes from ``new``.
+
+    With ``changed`` rows that this would leave as they are have none.
+    """
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(places.get(c, 0)).alias("at")) for c in columns])).alias("f")
+    each = rows.select(*keep, "x", new, named).select(*keep, "x", new, "f.feature", "f.at")
+    x, y, at = F.col("x"), F.col(new), F.col("at")
+    if changed:
+        each = each.filter((at > 0) & (F.try_element_at("x", at) != F.try_element_at(new, at)))
+    vector = F.when(at > 0, F.concat(F.slice(x, 1, at - 1), F.slice(y, at, 1), F.slice(x, at + 1, F.size(x)))).otherwise(x)
+    return each.select(*keep, "feature", array_to_vector(vector).alias("features"))
 
 
 def shifted(rows: DataFrame, columns: Sequence[str], shuffles: int, seed: int = 42, by: Sequence[str] = ("hashvin",), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -93,12 +106,22 @@ def shifted(rows: DataFrame, columns: Sequence[str], shuffles: int, seed: int =
 
 def permutation_importance(model: PipelineModel, rows: DataFrame, columns: Sequence[str], shuffles: int = 5, seed: int = 42) -> DataFrame:
     """(hashvin, feature, importance, deviation, n): mean and deviation, over paired shuffles, of a vehicle's loss of accuracy when a feature is another row's."""
-    hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
-    base = model.transform(rows).groupBy("hashvin").agg(hit.alias("base"), F.count(F.lit(1)).alias("n"))
-    moved = shifted(rows, columns, shuffles, seed)
-    altered = _altered(moved, columns, {c: F.col(f"__new.{c}") for c in columns}, [*rows.columns, "shuffle"])
-    per = model.transform(altered).groupBy("hashvin", "feature", "shuffle").agg(hit.alias("score")).join(base, "hashvin").withColumn("drop", F.col("base") - F.col("score"))
-    return per.groupBy("hashvin", "feature").agg(F.avg("drop").alias("importance"), F.coalesce(F.stddev("drop"), F.lit(0.0)).alias("deviation"), F.first("n").alias("n"))
+    prepare, last, places = _parts(model)
+    hit = (F.col("prediction") == F.col("label")).cast("int")
+    asked = last.transform(prepare.transform(rows).select("row_id", "hashvin", "label", "features")).select("row_id", "hashvin", "label", hit.alias("hit"), vector_to_array("features").alias("x"))
+    asked = written(asked, work_folder(rows))
+    vehicles = asked.groupBy("hashvin").agg(F.count(F.lit(1)).alias("n")).withColumn("feature", F.explode(F.array(*map(F.lit, columns))))
+    moved = shifted(asked, ["x"], shuffles, seed).withColumn("y", F.col("__new.x"))
+    # a row whose value is the same in the other row is hit or missed as before
+    other = last.transform(_altered(moved, columns, places, "y", ["hashvin", "label", "hit", "shuffle"], changed=True))
+    lost = other.groupBy("hashvin", "feature", "shuffle").agg(F.sum(F.col("hit") - hit).alias("lost")).groupBy("hashvin", "feature").agg(F.collect_list("lost").alias("lost"))
+    some = F.coalesce("lost", F.array().cast("array<bigint>"))
+    drops = F.concat(F.transform(some, lambda v: v / F.col("n")), F.array_repeat(F.lit(0.0), shuffles - F.size(some)))
+    out = vehicles.join(lost, ["hashvin", "feature"], "left").withColumn("drops", drops)
+    mean = F.aggregate("drops", F.lit(0.0), lambda a, v: a + v) / shuffles
+    out = out.withColumn("importance", mean)
+    square = F.aggregate("drops", F.lit(0.0), lambda a, v: a + (v - F.col("importance")) * (v - F.col("importance")))
+    return out.select("hashvin", "feature", "importance", F.sqrt(square / max(shuffles - 1, 1)).alias("deviation"), "n")
 
 
 def precision_gap(model: PipelineModel, rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
@@ -226,11 +249,14 @@ def feature_impact(model: PipelineModel, rows: DataFrame, train: DataFrame, nume
     """
     columns = [*numeric, *texts]
     usual = train.agg(*[F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in numeric], *[F.mode(c, True).alias(c) for c in texts]).first()
-    base = model.transform(rows).select("row_id", F.col("prediction").cast("int").alias("k"), vector_to_array("probability").alias("p"))
-    if base.filter("k >= size(p)").limit(1).count():
+    prepare, last, places = _parts(model)
+    single = train.sparkSession.createDataFrame([tuple(usual[c] for c in columns)], ", ".join(f"`{c}` {'double' if c in numeric else 'string'}" for c in columns))
+    usual_x = prepare.transform(single).select(vector_to_array("features")).first()[0]  # one row
+    asked = last.transform(prepare.transform(rows).select("row_id", "features"))
+    asked = asked.select("row_id", F.col("prediction").cast("int").alias("k"), vector_to_array("probability").alias("p"), vector_to_array("features").alias("x"))
+    if asked.filter("k >= size(p)").limit(1).count():
         raise ValueError("a predicted label has no probability")
-    altered = _altered(rows, columns, {c: F.lit(usual[c]).cast("double" if c in numeric else "string") for c in columns}, rows.columns)
-    other = model.transform(altered).select("row_id", "feature", vector_to_array("probability").alias("q"))
-    out = base.join(other, "row_id").select("row_id", "feature", (F.element_at("p", F.col("k") + 1) - F.element_at("q", F.col("k") + 1)).alias("impact"))
+    altered = _altered(asked.withColumn("y", F.array(*map(F.lit, usual_x))), columns, places, "y", ["row_id", "k", "p"])
+    out = last.transform(altered.withColumnsRenamed({"p": "__p"})).select("row_id", "feature", (F.element_at("__p", F.col("k") + 1) - F.element_at(vector_to_array("probability"), F.col("k") + 1)).alias("impact"))
     w = W.partitionBy("row_id").orderBy(F.desc(F.abs("impact")), "feature")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

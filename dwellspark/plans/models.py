@@ -151,8 +151,8 @@ def permutation_importance(spark, d):
     model, rows, numeric, texts = _fit_places(spark, d)
     out = md.permutation_importance(model, rows.filter("split8 = 'test'"), [*numeric, *texts])
     path = _folder(rows, "importance")
-    sinks.upsert(out, path)
-    return spark.read.schema("feature string, importance double, deviation double, n bigint, hashvin string").parquet(path)
+    sinks.upsert(out, path, parts=sinks.PARTS)
+    return spark.read.schema("feature string, importance double, deviation double, n bigint, hashvin string").parquet(path).select("feature", "importance", "deviation", "n", "hashvin")
 
 
 @family.query()

@@ -214,6 +214,34 @@ def test_keys_of_one_block_are_fitted_where_they_are(spark, monkeypatch):
         assert one.coefficients == pytest.approx(other.coefficients, abs=1e-9) and (one.status, one.rounds, one.n) == (other.status, other.rounds, other.n)
 
 
+def test_importance_and_impact_equal_whole_scoring(spark):
+    """A component of the assembled vector is altered: the same as altering the column and running every stage again."""
+    rng = np.random.default_rng(3)
+    words = ["even", "odd", None, "new"]
+    rows = [(f"v{i % 3}", i, float(a) if i % 7 else None, float(i % 2), words[(i * i) % (3 if i < 90 else 4)], float((a > 0) + (i % 2))) for i, a in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "hashvin string, row_id int, matters double, flag double, word string, label double")
+    columns = ["matters", "flag", "word"]
+    model = md.place_classifier(df.filter("row_id < 90"), columns[:2], ["word"], trees=5)
+    moved = md.shifted(df, columns, 3)
+    hits = lambda rows: model.transform(rows).groupBy("hashvin").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("hit"))
+    base = {r.hashvin: r.hit for r in hits(df).collect()}
+    got = {(r.hashvin, r.feature): r for r in md.permutation_importance(model, df, columns, shuffles=3).collect()}
+    assert len(got) == 9
+    for c in columns:
+        drops = [{r.hashvin: base[r.hashvin] - r.hit for r in hits(moved.filter(F.col("shuffle") == s).withColumn(c, F.col(f"__new.{c}"))).collect()} for s in range(3)]
+        for v in base:
+            per = [d[v] for d in drops]
+            assert got[v, c].importance == pytest.approx(np.mean(per)) and got[v, c].deviation == pytest.approx(np.std(per, ddof=1)) and got[v, c].n == 40
+    train = df.filter("row_id < 90")
+    impact = {(r.row_id, r.feature): r.impact for r in md.feature_impact(model, df, train, columns[:2], ["word"], top=3).collect()}
+    usual = {"flag": train.agg(F.percentile("flag", 0.5)).first()[0], "word": train.agg(F.mode("word", True)).first()[0]}
+    p = {r.row_id: (int(r.prediction), r.probability) for r in model.transform(df).collect()}
+    for c, value in usual.items():
+        for r in model.transform(df.withColumn(c, F.lit(value))).collect():
+            k, was = p[r.row_id]
+            assert impact[r.row_id, c] == pytest.approx(was[k] - r.probability[k])
+
+
 def test_upsert_by_parts_has_few_folders(spark, tmp_path):
     path = tmp_path / "parts"
     table = lambda rows: spark.createDataFrame(rows, "hashvin string, importance double")
