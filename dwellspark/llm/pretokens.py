@@ -1,7 +1,7 @@
 """Encoding texts through their distinct pre-tokens, inside a task.
 
 The public tokenizers cut a text into pre-tokens before any merge, and a blank or
-line feed that follows a letter, digit or sign always begins a new one.  A batch is
+line feed that follows a letter, digit or sign always begins a new one.  So does a sign that follows a letter, but for a few signs.  A batch is
 therefore cut there, equal pieces are encoded once, and the results are joined back
 to the pieces' places by dictionary code.  Cutting at fewer places than the library
 does is always safe: a piece that holds several pre-tokens is encoded whole.
@@ -72,6 +72,23 @@ def give_back() -> None:
 _trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
+#: Signs that never stand in one pre-token with a letter before them.  Apostrophes and hyphens may, and "<", "|" and ">" make up special tokens.
+SIGNS = b"!\"#$%&()*+,./:;=?@[\\]^`{}~"
+_SIGN, _LETTER, _WIDE = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(SIGNS)] = True
+_LETTER[65:91] = _LETTER[97:123] = True
+_WIDE[128:192] = True
+_WIDE[[0x97, 0xB7]] = False  # after 0xC3 the signs of multiplication and division, else letters
+
+
+def sign_cuts(data: np.ndarray) -> np.ndarray:
+    """Offsets of signs that follow a letter of ASCII or of U+00C0 to U+00FF."""
+    at = np.flatnonzero(_SIGN[data])
+    at = at[at >= 2]
+    last = data[at - 1]
+    return at[_LETTER[last] | (_WIDE[last] & (data[at - 2] == 0xC3))]
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """Offsets at which every one of the tokenizers begins a new pre-token.
 
@@ -91,13 +108,15 @@ def cuts(data: np.ndarray) -> np.ndarray:
 class Pieces:
     """The pieces of some texts: distinct ones, and where they stand."""
 
-    def __init__(self, texts: pa.Array, divisible: bool = True):
+    def __init__(self, texts: pa.Array, divisible: bool = True, at_signs: bool = False):
         offsets, data = utf8(texts)
         self.n_bytes = np.diff(offsets)
         begins = np.zeros(len(data) + 1, bool)
         begins[offsets] = True
         if divisible:
             begins[cuts(data)] = True
+        if at_signs:
+            begins[sign_cuts(data)] = True
         bounds = np.flatnonzero(begins) if len(data) else np.zeros(1, np.int64)
         bounds = bounds if not len(data) or bounds[-1] == len(data) else np.append(bounds, len(data))
         #: Texts' first pieces, and one past the last.
@@ -107,7 +126,7 @@ class Pieces:
         )
         encoded = whole.dictionary_encode()
         self.codes = encoded.indices.to_numpy(zero_copy_only=False)
-        self.distinct = encoded.dictionary.to_pylist()
+        self.distinct = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
     def summed(self, per_distinct: np.ndarray) -> np.ndarray:
         """Per text, the sum of a figure of its pieces."""
@@ -153,9 +172,9 @@ def encode_each(pieces: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Known:
-    """Pieces that this worker has encoded before, up to ``MOST`` of them (some 200 bytes each)."""
+    """Pieces that this worker has encoded before, up to ``MOST`` of them and a slice's (some 200 bytes each); of more, those met again stay."""
 
-    MOST = 1 << 19
+    MOST = 3 << 17
 
     def __init__(self, path: str):
         self.path = path
@@ -165,13 +184,24 @@ class Known:
         self.index: dict[str, int] = {}
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.again = np.zeros(0, bool)
+
+    def shorten(self) -> None:
+        """Forgets the pieces that were not met again since the last time, and of the others those beyond half of ``MOST``."""
+        kept = np.flatnonzero(self.again)[: self.MOST // 2]
+        names, counts = list(self.index), self.counts[kept]
+        begins = (np.cumsum(self.counts) - self.counts)[kept]
+        self.ids = self.ids[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
+        self.index = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.counts, self.again = counts, np.zeros(len(kept), bool)
 
     def lookup(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of ids, first id's place, ids), the first two per piece."""
         if len(self.index) > self.MOST:
-            self.clear()
+            self.shorten()
         at = np.fromiter(map(self.index.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(missing):
             new = [distinct[i] for i in missing.tolist()]
             counts, ids = encode_each(new, self.path)
@@ -179,6 +209,7 @@ class Known:
             self.index.update(zip(new, at[missing].tolist()))
             self.counts = np.concatenate([self.counts, counts])
             self.ids = np.concatenate([self.ids, ids])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
         begins = np.cumsum(self.counts) - self.counts
         return self.counts[at], begins[at], self.ids
 
@@ -229,15 +260,21 @@ def divides(path: str) -> bool:
     return path.endswith(".json")
 
 
+@functools.cache
+def divides_at_signs(path: str) -> bool:
+    """Whether the same holds of the places of ``sign_cuts``: no added token has one inside."""
+    return divides(path) and not any(len(sign_cuts(np.frombuffer(t.content.encode(), np.uint8))) for t in library(path).get_added_tokens_decoder().values())
+
+
 def count_tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, tokens) per text; each distinct pre-token is counted once."""
-    pieces = Pieces(texts, divides(path))
+    pieces = Pieces(texts, divides(path), divides_at_signs(path))
     return pieces.n_bytes, pieces.summed(counted(path).of(pieces.distinct))
 
 
 def encode(texts: pa.Array, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, ids) of all texts, with id ``end`` after each text if given."""
-    pieces = Pieces(texts, divides(path))
+    pieces = Pieces(texts, divides(path), divides_at_signs(path))
     counts, begins, flat = known(path).lookup(pieces.distinct)
     codes, first = pieces.codes, pieces.first
     if end is not None:  # one more distinct piece, which follows each text's last
