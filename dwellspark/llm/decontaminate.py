@@ -239,6 +239,7 @@ def windows(texts: DataFrame, key: str, text: str, packed: np.ndarray | None = N
                 for of, columns in _hits(batch["text"], packed, bits, forms):
                     of = pa.array(of, pa.int64())
                     yield pa.RecordBatch.from_arrays([batch["key"].take(of), batch["same"].take(of), *columns.values()], schema.names)
+        word_facts.cache_clear()  # the worker lives on for other stages
 
     return in_arrow(rows, run, schema)
 

@@ -30,7 +30,9 @@ from .shared import in_arrow
 #: Ids that a task packs at once, but for one larger slice of texts.
 POOL_IDS = 1 << 20
 #: Bytes of text that are encoded together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Pieces that a worker remembers; fewer than where nothing but encoding runs, since the pipeline's executors come here with full heaps.
+MOST_KNOWN = 1 << 17
 
 
 class OpenWindows:
@@ -120,7 +122,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, doc_id:
         pool: tuple[list, list, list] = ([], [], [])
         for whole in batches:
             for batch in pretokens.slices(whole, text, SLICE_BYTES):
-                offsets, ids = pretokens.encode(batch[text], tokenizer, end)
+                offsets, ids = pretokens.encode(batch[text], tokenizer, end, MOST_KNOWN)
                 for held, new in zip(pool, (batch[doc_id], offsets, ids)):
                     held.append(new)
                 if sum(map(len, pool[2])) >= pool_ids:

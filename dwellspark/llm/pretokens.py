@@ -176,19 +176,16 @@ class Known:
 
     MOST = 3 << 17
 
-    def __init__(self, path: str):
-        self.path = path
-        self.clear()
-
-    def clear(self) -> None:
+    def __init__(self, path: str, most: int | None = None):
+        self.path, self.most = path, most or self.MOST
         self.index: dict[str, int] = {}
         self.counts = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.again = np.zeros(0, bool)
 
     def shorten(self) -> None:
-        """Forgets the pieces that were not met again since the last time, and of the others those beyond half of ``MOST``."""
-        kept = np.flatnonzero(self.again)[: self.MOST // 2]
+        """Forgets the pieces that were not met again since the last time, and of the others those beyond half of the most."""
+        kept = np.flatnonzero(self.again)[: self.most // 2]
         names, counts = list(self.index), self.counts[kept]
         begins = (np.cumsum(self.counts) - self.counts)[kept]
         self.ids = self.ids[np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))]
@@ -197,7 +194,7 @@ class Known:
 
     def lookup(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of ids, first id's place, ids), the first two per piece."""
-        if len(self.index) > self.MOST:
+        if len(self.index) > self.most:
             self.shorten()
         at = np.fromiter(map(self.index.get, distinct, itertools.repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(at < 0)
@@ -215,8 +212,8 @@ class Known:
 
 
 @functools.cache
-def known(path: str) -> Known:
-    return Known(path)
+def known(path: str, most: int | None = None) -> Known:
+    return Known(path, most)
 
 
 class Counts:
@@ -272,10 +269,10 @@ def count_tokens(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return pieces.n_bytes, pieces.summed(counted(path).of(pieces.distinct))
 
 
-def encode(texts: pa.Array, path: str, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, ids) of all texts, with id ``end`` after each text if given."""
+def encode(texts: pa.Array, path: str, end: int | None = None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids) of all texts, with id ``end`` after each text if given; ``most``: pieces to remember."""
     pieces = Pieces(texts, divides(path), divides_at_signs(path))
-    counts, begins, flat = known(path).lookup(pieces.distinct)
+    counts, begins, flat = known(path, most).lookup(pieces.distinct)
     codes, first = pieces.codes, pieces.first
     if end is not None:  # one more distinct piece, which follows each text's last
         flat, codes = np.append(flat, np.uint32(end)), np.insert(codes, first[1:], len(counts))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import pretokens
+
 #: Bytes of a side of a join that is broadcast, at most.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of a batch that Spark hands to Python.  Both ends hold a batch several times over, and
@@ -107,11 +109,20 @@ def small(df: DataFrame, most: int, most_bytes: int = BROADCAST_BYTES) -> DataFr
 
 
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``df.mapInArrow`` on batches of ``BATCH_BYTES``, unless the session has a bound of its own."""
+    """``df.mapInArrow`` on batches of ``BATCH_BYTES``, unless the session has a bound of its own.
+
+    A worker that is done returns its freed memory: it stays beside those of later stages.
+    """
     conf = df.sparkSession.conf
     if conf.get(_BATCH, _SPARKS_OWN) == _SPARKS_OWN:
         conf.set(_BATCH, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pretokens.give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def add_columns(
