@@ -24,6 +24,10 @@ from pyspark.sql import functions as F
 BLOCK_DAYS = 2_000
 #: Numbers that a task compares at once.
 CELLS = 1 << 22
+#: Blocks of a key that meet in groups of copies; more meet as a Cartesian product.
+MANY_BLOCKS = 8
+#: Blocks of a file of that product, some.
+FILE_BLOCKS = 4
 
 
 def squared(a: Column, b: Column) -> Column:
@@ -531,14 +535,114 @@ def density_groups(days: DataFrame, share: float = 0.9, neighbours: int = 3, lea
     return whole.unionByName(labels.withColumn("n", size).select("key", "day", F.when(F.col("n") >= least, F.col("label")).otherwise(F.lit(-1)).alias("label")))
 
 
+def block_sums(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sums of the distances of each day of block ``a`` to the days of ``b`` by its labels, how many they are, and the same of ``b`` to ``a``, or None for ``same`` blocks.
+
+    Blocks hold day, vector, codes (places of their days' labels) and labels.  A day does not meet itself.
+    """
+    ea, eb = np.eye(len(a["labels"]))[a["codes"]], np.eye(len(b["labels"]))[b["codes"]]
+    sums, counts, back = np.zeros((len(ea), eb.shape[1])), np.tile(eb.sum(axis=0), (len(ea), 1)), None if same else np.zeros((len(eb), ea.shape[1]))
+    middle = a["vector"].mean(axis=0)
+    va, vb = a["vector"] - middle, b["vector"] - middle
+    aa, bb, twice = (va * va).sum(axis=1), (vb * vb).sum(axis=1), np.ascontiguousarray(-2 * vb.T)
+    step = max(1, CELLS // 16 // len(eb))  # as ``squares``, in one array that stays in a core's cache
+    for at in range(0, len(ea), step):
+        part = slice(at, at + step)
+        far = va[part] @ twice
+        far += aa[part, None]
+        far += bb
+        far[far < 1e-13 * (aa.max() + bb.max())] = 0
+        np.sqrt(far, out=far)
+        if same:
+            other = a["day"][part, None] != b["day"][None, :]
+            far, counts[part] = far * other, other @ eb
+        else:
+            back += far.T @ ea[part]
+        sums[part] = far @ eb
+    return sums, counts, back
+
+
+def block_of(day: np.ndarray, label: np.ndarray, vector: np.ndarray) -> dict[str, np.ndarray]:
+    labels, codes = np.unique(label, return_inverse=True)
+    return {"day": day, "label": label, "vector": vector, "labels": labels, "codes": codes}
+
+
+def crowd_distances(dealt: DataFrame, ks: list[str]) -> DataFrame:
+    """``label_distances`` of keys with many blocks, of rows (keys, __blocks, __b, day, label, vector).
+
+    A block becomes one row of a table in the shared folder, and the table meets itself as a Cartesian product: a task reads a few blocks
+    and, one after another, those that they meet, so no vector is shuffled once per block.  A task adds up the sums of its blocks.
+    """
+    names = ("day", "label", "flat")
+    n = dealt.select(*ks, "__b").distinct().count()
+    packed = dealt.repartition(-(-n // FILE_BLOCKS), *ks, "__b").groupBy(*ks, "__b").agg(F.collect_list(F.struct("day", "label", "vector")).alias("h"))
+    table = written(packed.select(*ks, "__b", F.col("h.day").alias("day"), F.col("h.label").alias("label"), F.flatten("h.vector").alias("flat")), work_folder(dealt))
+    mine = table.select(*ks, F.col("__b").alias("__one"), *names)
+    theirs = table.select(*[F.col(k).alias(f"__{k}") for k in ks], F.col("__b").alias("__other"), *[F.col(c).alias(f"__{c}") for c in names])
+    met = F.col("__one") <= F.col("__other")
+    for k in ks:
+        met = met & (F.col(k) == F.col(f"__{k}"))
+    pairs = mine.join(theirs.hint("shuffle_replicate_nl"), met).drop(*[f"__{k}" for k in ks])
+    kinds = {c: dealt.schema[c].dataType.simpleString() for c in (*ks, "day", "label")}
+    keyed = ", ".join(f"{k} {kinds[k]}" for k in ks)
+
+    def rows_of(held: dict) -> pd.DataFrame:
+        out = []
+        for at, (block, sums) in held.items():
+            labels = np.array(sorted(sums), block["label"].dtype)
+            total, n = (np.stack([sums[x][i] for x in labels.tolist()], axis=1).ravel() for i in (0, 1))
+            out.append((*at, block["day"], block["label"], labels, total, n.astype(np.int64)))
+        return pd.DataFrame(out, columns=[*ks, "__b", "day", "label", "labels", "total", "n"])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, cells = {}, 0
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                key = [r[k] for k in ks]
+                one, other = (block_of(r[f"{s}day"], r[f"{s}label"], r[f"{s}flat"].reshape(len(r[f"{s}day"]), -1)) for s in ("", "__"))
+                sums, counts, back = block_sums(one, other, r["__one"] == r["__other"])
+                sides = [(r["__one"], one, other, sums, counts)]
+                if back is not None:
+                    sides.append((r["__other"], other, one, back, np.tile(np.bincount(one["codes"]), (len(back), 1))))
+                for b, block, of, total, n in sides:
+                    into = held.setdefault((*key, b), ({c: block[c].copy() for c in ("day", "label")}, {}))[1]
+                    for j, x in enumerate(of["labels"].tolist()):
+                        if x not in into:
+                            into[x] = np.zeros(len(total)), np.zeros(len(total))
+                            cells += len(total)
+                        into[x][0][:] += total[:, j]
+                        into[x][1][:] += n[:, j]
+                if cells > CELLS:
+                    yield rows_of(held)
+                    held, cells = {}, 0
+        yield rows_of(held)
+
+    def merged(parts: pd.DataFrame) -> pd.DataFrame:
+        labels = np.unique(np.concatenate(parts["labels"].to_list()))
+        first = parts.iloc[0]
+        total, n = np.zeros((len(first["day"]), len(labels))), np.zeros((len(first["day"]), len(labels)), np.int64)
+        for r in parts.itertuples():
+            at = np.searchsorted(labels, r.labels)
+            total[:, at] += r.total.reshape(len(total), -1)
+            n[:, at] += r.n.reshape(len(total), -1)
+        i, j = np.nonzero(n)
+        return pd.DataFrame({**{k: [first[k]] * len(i) for k in ks}, "x": first["day"][i], "lx": first["label"][i], "ly": labels[j], "d": total[i, j] / n[i, j]})
+
+    partial = f"{keyed}, __b int, day array<{kinds['day']}>, label array<{kinds['label']}>, labels array<{kinds['label']}>, total array<double>, n array<bigint>"
+    return pairs.mapInPandas(work, partial).groupBy(*ks, "__b").applyInPandas(merged, f"{keyed}, x {kinds['day']}, lx {kinds['label']}, ly {kinds['label']}, d double")
+
+
 def label_distances(rows: DataFrame, ks: list[str], block_days: int = BLOCK_DAYS) -> DataFrame:
     """(keys, x, lx, ly, d): mean distance of each day x to the other days of each label of its key.
 
-    A key's days are dealt to blocks by a hash; every two blocks meet once in one group, whose distances
-    come from products of matrices and are summed by day and label for both.
+    A key's days are dealt to blocks by a hash; every two blocks meet once, and their distances
+    come from products of matrices and are summed by day and label for both.  Blocks of a key meet in groups, for which each is copied
+    once per block; where those would be more than ``MANY_BLOCKS``, by ``crowd_distances``.
     """
     blocks = rows.groupBy(*ks).agg(F.ceil(F.count(F.lit(1)) / block_days).cast("int").alias("__blocks"))
-    dealt = rows.join(blocks, ks).withColumn("__b", F.pmod(F.xxhash64("day"), F.col("__blocks")).cast("int"))
+    every = rows.join(blocks, ks).withColumn("__b", F.pmod(F.xxhash64("day"), F.col("__blocks")).cast("int"))
+    crowds = not blocks.filter(F.col("__blocks") > MANY_BLOCKS).isEmpty()
+    dealt = every.filter(F.col("__blocks") <= MANY_BLOCKS) if crowds else every
     mine = dealt.select(*ks, F.col("__b").alias("__one"), F.explode(F.sequence(F.col("__b"), F.col("__blocks") - 1)).alias("__other"), "day", "label", "vector")
     theirs = dealt.select(*[F.col(k).alias(k) for k in ks], F.explode(F.sequence(F.lit(0), F.col("__b"))).alias("__one"), F.col("__b").alias("__other"), *[F.col(c).alias(c) for c in ("day", "label", "vector")])
     group = [*ks, "__one", "__other"]
@@ -548,30 +652,17 @@ def label_distances(rows: DataFrame, ks: list[str], block_days: int = BLOCK_DAYS
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        same = key[-2] == key[-1]  # equal days lie in one block
-        va, vb = (np.stack(t["vector"].to_numpy()) for t in (a, b))
-        (la, oa), (lb, ob) = (np.unique(t["label"].to_numpy(), return_inverse=True) for t in (a, b))
-        ea, eb = np.eye(len(la))[oa], np.eye(len(lb))[ob]
-        sums, counts = np.zeros((len(a), len(lb))), np.tile(eb.sum(axis=0), (len(a), 1))
-        back = np.zeros((len(b), len(la)))
-        step = max(1, CELLS // len(b))
-        for at in range(0, len(a), step):
-            part = slice(at, at + step)
-            far = np.sqrt(squares(va[part], vb))
-            if same:
-                other = a["day"].to_numpy()[part, None] != b["day"].to_numpy()[None, :]
-                far, counts[part] = far * other, other @ eb
-            else:
-                back += far.T @ ea[part]
-            sums[part] = far @ eb
+        one, other = (block_of(t["day"].to_numpy(), t["label"].to_numpy(), np.stack(t["vector"].to_numpy())) for t in (a, b))
+        sums, counts, back = block_sums(one, other, key[-2] == key[-1])  # equal days lie in one block
         out = []
-        for t, labels, total, n in [(a, lb, sums, counts)] + ([] if same else [(b, la, back, np.tile(ea.sum(axis=0), (len(b), 1)))]):
+        for t, labels, total, n in [(a, other["labels"], sums, counts)] + ([] if back is None else [(b, one["labels"], back, np.tile(np.bincount(one["codes"]), (len(b), 1)))]):
             i, j = np.nonzero(n)
             out.append(pd.DataFrame({**{k: [v] * len(i) for k, v in zip(ks, key)}, "x": t["day"].to_numpy()[i], "lx": t["label"].to_numpy()[i], "ly": labels[j], "total": total[i, j], "n": n[i, j].astype(np.int64)}))
         return pd.concat(out)
 
     summed = mine.groupBy(*group).cogroup(theirs.groupBy(*group)).applyInPandas(compare, schema)
-    return summed.groupBy(*ks, "x", "lx", "ly").agg((F.sum("total") / F.sum("n")).alias("d"))
+    few = summed.groupBy(*ks, "x", "lx", "ly").agg((F.sum("total") / F.sum("n")).alias("d"))
+    return few.unionByName(crowd_distances(every.filter(F.col("__blocks") > MANY_BLOCKS), ks)) if crowds else few
 
 
 def cluster_scores(rows: DataFrame, *keys: str) -> DataFrame:
