@@ -776,16 +776,22 @@ def pattern_sizes(labels: DataFrame) -> DataFrame:
 
 
 def nearest_days(long: DataFrame, labels: DataFrame, n: int = 3) -> DataFrame:
-    """(key, label, rank, day): the days of long rows (key, day, feature, value) nearest to their pattern's mean.
+    """(key, label, rank, day): the days of long rows (key, day, feature, value) nearest to their pattern's mean, equally near ones by day.
 
+    Values and squared distances count to nine digits.  Both are whole numbers here: of a pattern of N days, N times a value less
+    the sum of the pattern's values, squared and summed, is N * N times the distance.  So days that are equally near are equal whatever the order of the sums.
     A day that lacks a feature counts as 0: its distance is that of the mean from 0, with the features that the
     day has put right, so no row is made for the others.
     """
-    filled = long.withColumn("value", F.coalesce("value", F.lit(0.0)))
-    centre = profiles(filled, labels).select("key", "label", "feature", "mean")
-    base = centre.groupBy("key", "label").agg(F.sum(F.col("mean") * F.col("mean")).alias("base"))
-    x, c = F.col("value"), F.col("mean")
-    held = filled.join(labels.filter("label <> -1"), ["key", "day"]).join(centre, ["key", "label", "feature"])
-    more = held.groupBy("key", "label", "day").agg(F.sum((x - c) * (x - c) - c * c).alias("more"))
-    d2 = more.join(base, ["key", "label"]).withColumn("d2", F.round(F.col("base") + F.col("more"), 9))
+    kept = labels.filter("label <> -1")
+    days = kept.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    x = long.select("key", "day", "feature", F.round(F.coalesce("value", F.lit(0.0)) * 1e9).cast("bigint").alias("x")).join(kept, ["key", "day"])
+    centre = x.groupBy("key", "label", "feature").agg(F.sum("x").alias("s"))
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    base = centre.groupBy("key", "label").agg(F.sum(whole("s") * whole("s")).alias("base")).join(days, ["key", "label"])
+    # what the features of a day add to N * N times its distance, over N: x * (N * x - 2 * s)
+    held = x.join(centre, ["key", "label", "feature"]).join(days, ["key", "label"])
+    more = held.groupBy("key", "label", "day").agg(F.sum(whole("x") * (F.col("n") * F.col("x") - 2 * F.col("s")).cast("decimal(19,0)")).alias("more"))
+    squares = more.join(base, ["key", "label"]).withColumns({"t": F.expr("base + n * more"), "unit": F.expr("CAST(n AS DECIMAL(19,0)) * n * 1000000000")})
+    d2 = squares.withColumn("d2", F.expr("(2 * t + unit) div (2 * unit)"))
     return d2.withColumn("rank", F.row_number().over(W.partitionBy("key", "label").orderBy("d2", "day"))).filter(F.col("rank") <= n).select("key", "label", "rank", "day")

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 
 from dwellspark.operators import patterns as pt
@@ -17,3 +19,13 @@ def test_nearest_days_come_from_long_rows(spark):
             d2 = ((v - v.mean(axis=0)) ** 2).sum(axis=1).round(9)
             want |= {(key, label, r + 1, d) for r, (_, d) in enumerate(sorted(zip(d2, days))[:3])}
     assert {tuple(r) for r in pt.nearest_days(long, labels).collect()} == want
+
+
+def test_equally_near_days_go_by_day(spark):
+    # four days of features of their own, with equal values in other orders: their squared distances are equal and lie within 1e-18 of half a ninth digit
+    same = [(140742210, 164900526, 105315435), (140742210, 164900526, 146721685), (24077579, 165429342, 78574786), (155046599, 62211836, 134048813), (163583989, 171961586, 25614478)]
+    orders = list(itertools.permutations(range(3)))
+    keys = {f"v{i}-{j}": [[x[o] for o in orders[(j + k) % 6]] for k in range(4)] for i, x in enumerate(same) for j in range(6)}
+    long = spark.createDataFrame([(key, day, f"f{day}-{f}", v / 1e9) for key, days in keys.items() for day, held in enumerate(days) for f, v in enumerate(held)], "key string, day int, feature string, value double")
+    labels = spark.createDataFrame([(key, day, 0) for key in keys for day in range(4)], "key string, day int, label int")
+    assert {tuple(r) for r in pt.nearest_days(long, labels).collect()} == {(key, 0, day + 1, day) for key in keys for day in range(3)}
