@@ -675,7 +675,7 @@ def cluster_scores(rows: DataFrame, *keys: str) -> DataFrame:
     whole = mean_vectors(rows, *ks).withColumnRenamed("vector", "middle")
     near = rows.join(centre, [*ks, "label"]).withColumn("d2", squared(F.col("vector"), F.col("centre")))
     spread = near.groupBy(*ks, "label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.sqrt("d2")).alias("s"), F.sum("d2").alias("w"))
-    parts = spread.join(centre, [*ks, "label"]).join(whole, ks)
+    parts = written(spread.join(centre, [*ks, "label"]).join(whole, ks), work_folder(rows))  # a row per label, read several times
     between = parts.groupBy(*ks).agg(F.sum(F.col("n") * squared(F.col("centre"), F.col("middle"))).alias("b"), F.sum("w").alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
     ch = between.select(*ks, F.when(F.col("labels") > 1, (F.col("b") / (F.col("labels") - 1)) / (F.col("w") / (F.col("n") - F.col("labels")))).alias("calinski_harabasz"))
     p, q = (parts.select(*ks, F.col("label").alias(f"label_{x}"), F.col("s").alias(f"s_{x}"), F.col("centre").alias(f"c_{x}")) for x in "pq")

@@ -38,3 +38,13 @@ def test_scores_do_not_depend_on_the_way_blocks_meet(spark, monkeypatch):
         monkeypatch.setattr(pt, "MANY_BLOCKS", many)
         scores.append({(r.key, r.k): list(r)[2:] for r in pt.cluster_scores(days, "key", "k").collect()})
     assert scores[0].keys() == scores[1].keys() and all(scores[0][at] == pytest.approx(v, rel=1e-9) for at, v in scores[1].items())
+
+
+def test_distances_to_centres_are_taken_once(spark, monkeypatch):
+    rows = [("a", i, i % 3, [float(i), float(i % 5)]) for i in range(30)]
+    days = spark.createDataFrame(rows, "key string, day int, label int, vector array<double>")
+    wrote = []
+    monkeypatch.setattr(pt, "written", lambda df, folder, keep=pt.written: wrote.append(df) or keep(df, folder))
+    r = pt.cluster_scores(days, "key").first()
+    assert len(wrote) == 1 and wrote[0].count() == 3  # a row per label, of which every two meet
+    assert r.silhouette is not None and r.calinski_harabasz > 0 and r.davies_bouldin > 0
